@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sentencepiece": op1_sentencepiece}
+def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ._common import shared_dir
+    from .record_files import checksums, read_token_files, write_token_files
+
+    out = f"{shared_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+    manifest = write_token_files(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), out)
+    return checksums(read_token_files(spark, manifest)).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op8_records": op8_records,
+}
 
 ORACLE_SQL: dict[str, str] = {}
