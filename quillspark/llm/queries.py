@@ -35,6 +35,43 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_report
+
+    out = quality_report(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: Texts of a query's oracle: words, lines and windows are taken apart, and the sketches merged, as the operator's docstring says.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+t AS (SELECT doc_id, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS c FROM t) WHERE c > 1) GROUP BY doc_id),
+c AS (SELECT d.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+      length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+      len(l) AS n_lines, length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) AS n_upper FROM d LEFT JOIN r USING (doc_id)),
+m AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, coalesce(n_symbols * 1000 // nullif(word_chars, 0), 0) AS symbols,
+      coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0) AS dup_lines, coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) AS repeats,
+      coalesce(n_upper * 1000 // nullif(word_chars, 0), 0) AS upper, coalesce(word_chars * 100 // nullif(n_words, 0), 0) AS word_length FROM c),
+u AS (SELECT lang, source, unnest([{'m': 'symbols', 'v': symbols}, {'m': 'dup_lines', 'v': dup_lines}, {'m': 'repeats', 'v': repeats}, {'m': 'upper', 'v': upper}, {'m': 'word_length', 'v': word_length}]) AS x FROM m WHERE NOT base_failed),
+b AS (SELECT lang, source, x.m AS m, CASE WHEN x.v < 32 THEN x.v ELSE (length(bin(x.v)) - 5) * 16 + (x.v >> (length(bin(x.v)) - 5)::INT) END AS b, count(*) AS n FROM u GROUP BY ALL),
+s AS (SELECT 0 AS g, lang, source, m, b, n FROM b UNION ALL SELECT 1, lang, NULL, m, b, sum(n) FROM b GROUP BY lang, m, b UNION ALL SELECT 2, NULL, NULL, m, b, sum(n) FROM b GROUP BY m, b),
+k AS (SELECT *, sum(n) OVER (PARTITION BY g, lang, source, m ORDER BY b) AS up, sum(n) OVER (PARTITION BY g, lang, source, m) AS docs FROM s),
+q AS (SELECT g, lang, source, m, max(docs) AS docs, min(b) FILTER (up * 4 >= docs) AS b1, min(b) FILTER (up * 4 >= docs * 3) AS b3 FROM k GROUP BY ALL),
+e AS (SELECT *, CASE WHEN b1 < 32 THEN b1 ELSE (b1 % 16 + 16) << (b1 // 16 - 1)::INT END AS q1, CASE WHEN b3 < 32 THEN b3 ELSE (b3 % 16 + 16) << (b3 // 16 - 1)::INT END AS q3,
+      CASE m WHEN 'symbols' THEN 10 WHEN 'dup_lines' THEN 60 WHEN 'repeats' THEN 70 ELSE 20 END AS f FROM q),
+f AS (SELECT g, lang, source, m, docs, q1 - 6 * greatest(q3 - q1, f) AS low, q3 + 6 * greatest(q3 - q1, f) AS high FROM e),
+p AS (SELECT o.lang, o.source, o.m, CASE WHEN o.docs >= 200 THEN o.low WHEN l.docs >= 200 THEN l.low ELSE a.low END AS low, CASE WHEN o.docs >= 200 THEN o.high WHEN l.docs >= 200 THEN l.high ELSE a.high END AS high
+      FROM f o JOIN f l ON o.g = 0 AND l.g = 1 AND o.lang = l.lang AND o.m = l.m JOIN f a ON a.g = 2 AND a.m = o.m),
+x AS (SELECT lang, source, max(high) FILTER (m = 'symbols') AS hs, max(high) FILTER (m = 'dup_lines') AS hd, max(high) FILTER (m = 'repeats') AS hr, max(high) FILTER (m = 'upper') AS hu, max(high) FILTER (m = 'word_length') AS hw, max(low) FILTER (m = 'word_length') AS lw FROM p GROUP BY ALL)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(symbols > hs, FALSE) AND NOT coalesce(dup_lines > hd, FALSE) AND NOT coalesce(repeats > hr, FALSE) AND NOT coalesce(upper > hu, FALSE) AND NOT coalesce(word_length > hw OR word_length < lw, FALSE) AS kept
+FROM m LEFT JOIN x USING (lang, source)
+"""
+
+
 def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ._common import shared_dir
     from .record_files import checksums, read_token_files, write_token_files
@@ -46,7 +83,10 @@ def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality": op2_quality,
     "op8_records": op8_records,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality": OP2_SQL,
+}
