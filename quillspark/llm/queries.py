@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .license_scan import oracle_sql as license_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,12 +82,20 @@ def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(read_token_files(spark, manifest)).withColumnRenamed("id", "doc_id")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("templates")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
     "op8_records": op8_records,
+    "op9_licenses": op9_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality": OP2_SQL,
+    "op9_licenses": license_sql(),
 }
