@@ -73,6 +73,14 @@ FROM m LEFT JOIN x USING (lang, source)
 """
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import find_secrets, labelled_findings, train_forest
+
+    docs = _table(spark, sf_dir, "documents")
+    found = find_secrets(docs, train_forest(labelled_findings(spark)))
+    return found.withColumn("value_sha256", F.sha2(F.col("value").cast("binary"), 256)).drop("value")
+
+
 def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ._common import shared_dir
     from .record_files import checksums, read_token_files, write_token_files
@@ -91,6 +99,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
+    "op4_secrets": op4_secrets,
     "op8_records": op8_records,
     "op9_licenses": op9_licenses,
 }

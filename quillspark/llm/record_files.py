@@ -11,10 +11,13 @@ u8 id is null, u32 number of ids``; a reader seeks to any record by it.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import re
 import struct
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,7 @@ from ._common import checkpointed, ranges
 MASK_DELTA = 0xA282EAD8
 INDEX_ENTRY = np.dtype([("offset", "<u8"), ("id", "<i8"), ("null", "u1"), ("n", "<u4")])
 #: Chunks that a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 STEP_CHARS = 1 << 20
 
 MANIFEST = "shard int, data string, index string, n_docs long, n_tokens long"
@@ -86,6 +89,13 @@ class ChunkEncoder:
         self.separator = next(((t["content"], t["id"]) for t in spec["added_tokens"] if t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"]), None)
         self.marks = [t["content"].encode() for t in spec["added_tokens"]]
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.last = np.zeros(max(vocab.values()) + 1, bool) if suffix else None
+        for token, i in vocab.items() if suffix else ():
+            self.last[i] = token.endswith(suffix)
+        self.lower = self.by_chunk and "Lowercase" in json.dumps(spec["normalizer"]) and suffix is not None
+        self.between = re.compile(rb"(?<=[a-z])(?=[.,;:!?*#$%&|])")
         self.forget()
 
     @staticmethod
@@ -104,30 +114,61 @@ class ChunkEncoder:
         return not any(s in m for s in " \t\n\r\x0b\x0c" for t in (f"a{s}b", f"1{s}2", f"!{s}?", f"'{s}s", s * 3) for m in pattern.findall(t))
 
     def forget(self) -> None:
-        self.code: dict[bytes, int] = {}
+        self.code: defaultdict[bytes, int] = defaultdict()
+        self.code.default_factory = self.code.__len__
         self.ids = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1, np.int64)
 
+    def _single(self, chunk: str) -> bool:
+        """Whether the tokenizer's splitter surely leaves the chunk whole: letters alone, or ASCII marks alone."""
+        return chunk.isalpha() or (chunk.isascii() and "'" not in chunk and not any(c.isalnum() or c <= " " or c == "\x7f" for c in chunk))
+
     def _encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        flat, sizes = [], []
-        plain = [not any(m in c for m in self.marks) for c in chunks]
-        for a in range(0, len(chunks), 5000):
-            part = chunks[a : a + 5000]
-            text = self.separator[0].join(c.decode() if p else "" for c, p in zip(part, plain[a : a + 5000], strict=True))
+        """Ids of each chunk, and how many. Single words are told apart by their last token's end mark, others by a separator token."""
+        words = [c.decode() for c in chunks]
+        plain = np.array([self.last is not None and self._single(w) for w in words], bool)
+        flat, sizes = np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        easy = np.flatnonzero(plain)
+        for a in range(0, len(easy), 4000):
+            part = easy[a : a + 4000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join([words[k] for k in part])], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) != len(part) or (len(ids) and ends[-1] != len(ids) - 1):
+                plain[part] = False  # the splitter knows these characters otherwise
+                continue
+            sizes[part] = np.diff(np.r_[-1, ends])
+            out.append((part, ids))
+        hard = np.flatnonzero(~plain)
+        for a in range(0, len(hard), 4000):
+            part = hard[a : a + 4000]
+            marked = [k for k in part.tolist() if any(m in chunks[k] for m in self.marks)]
+            text = self.separator[0].join([words[k] if not any(m in chunks[k] for m in self.marks) else "" for k in part.tolist()])
             ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, np.int32)
             cuts = np.flatnonzero(ids == self.separator[1])
-            size = np.diff(np.r_[-1, cuts, len(ids)]) - 1
-            ids = np.delete(ids, cuts)
-            odd = [k for k, p in enumerate(plain[a : a + 5000]) if not p]
-            if odd:
-                pieces = np.split(ids, np.cumsum(size)[:-1])
-                for k in odd:
-                    pieces[k] = np.array(self.tok.encode(part[k].decode(), add_special_tokens=False).ids, np.int32)
-                size = np.array([len(x) for x in pieces])
-                ids = np.concatenate(pieces)
-            flat.append(ids)
-            sizes.append(size)
-        return np.concatenate(flat), np.concatenate(sizes)
+            sizes[part] = np.diff(np.r_[-1, cuts, len(ids)]) - 1
+            pieces = np.split(np.delete(ids, cuts), np.cumsum(sizes[part])[:-1])
+            for k in marked:
+                at = int(np.searchsorted(part, k))
+                pieces[at] = np.array(self.tok.encode(words[k], add_special_tokens=False).ids, np.int32)
+                sizes[k] = len(pieces[at])
+            out.append((part, np.concatenate(pieces)))
+        start = np.cumsum(sizes) - sizes
+        flat = np.zeros(int(sizes.sum()), np.int32)
+        for part, ids in out:
+            flat[ranges(start[part], sizes[part])] = ids
+        return flat, sizes
+
+    def chunks(self, text: str) -> list[bytes]:
+        """Parts that encode on their own: split at ASCII white space and between a letter and a common mark, letters A-Z lowered.
+
+        A lowered letter before a combining mark could compose otherwise, so texts
+        with such marks stay as they are.
+        """
+        raw = text.encode()
+        if self.lower and b"\xcc" not in raw and b"\xcd" not in raw and not any(m in raw for m in self.marks):
+            raw = self.between.sub(b" ", raw.lower())
+        return raw.split()
 
     def encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, each with the end id last, and their n + 1 offsets."""
@@ -137,17 +178,13 @@ class ChunkEncoder:
         else:
             if len(self.code) > REMEMBERED:
                 self.forget()
-            code, fresh, codes, counts = self.code, [], [], np.zeros(len(texts), np.int64)
+            code, codes, counts, known = self.code, [], np.zeros(len(texts), np.int64), len(self.code)
             for k, text in enumerate(texts):
-                chunks = text.encode().split()
+                chunks = self.chunks(text)
                 counts[k] = len(chunks)
-                for w in chunks:
-                    c = code.get(w)
-                    if c is None:
-                        c = code[w] = len(code)
-                        fresh.append(w)
-                    codes.append(c)
-            if fresh:
+                codes += [code[w] for w in chunks]
+            if len(code) > known:
+                fresh = list(itertools.islice(code, known, None))
                 ids, sizes = self._encode_chunks(fresh)
                 used = int(self.at[-1])
                 if used + len(ids) > len(self.ids):
