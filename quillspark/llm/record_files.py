@@ -28,13 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import checkpointed, ranges
+from ._common import checkpointed, flat_text, ranges, steps
 
 MASK_DELTA = 0xA282EAD8
 INDEX_ENTRY = np.dtype([("offset", "<u8"), ("id", "<i8"), ("null", "u1"), ("n", "<u4")])
 #: Chunks that a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 1_000_000
-STEP_CHARS = 1 << 20
+REMEMBERED = 500_000
 
 MANIFEST = "shard int, data string, index string, n_docs long, n_tokens long"
 
@@ -230,14 +229,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_uri: str, id_col
         at = n_docs = n_tokens = 0
         with files.open_output_stream(f"{name}.rec") as data, files.open_output_stream(f"{name}.idx") as index:
             for batch in batches:
-                ids, texts = batch.column(0).cast(pa.int64()), ["" if t is None else t for t in batch.column(1).to_pylist()]
-                a = 0
-                while a < len(texts):
-                    b, chars = a, 0
-                    while b < len(texts) and (b == a or chars + len(texts[b]) <= STEP_CHARS):
-                        chars += len(texts[b])
-                        b += 1
-                    flat, cut = enc.encode(texts[a:b], end_id)
+                ids = batch.column(0).cast(pa.int64())
+                _, offsets = flat_text(batch.column(1))
+                for a, b in steps(offsets):
+                    flat, cut = enc.encode(["" if t is None else t for t in batch.column(1).slice(a, b - a).to_pylist()], end_id)
                     entries = np.zeros(b - a, INDEX_ENTRY)
                     entries["id"] = ids.slice(a, b - a).fill_null(0).to_numpy(zero_copy_only=False)
                     entries["null"] = ids.slice(a, b - a).is_null().to_numpy(zero_copy_only=False)
@@ -247,7 +242,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_uri: str, id_col
                     entries["offset"] = at + np.cumsum(sizes) - sizes
                     data.write(b"".join(records))
                     index.write(entries.tobytes())
-                    at, n_docs, n_tokens, a = at + int(sizes.sum()), n_docs + b - a, n_tokens + len(flat), b
+                    at, n_docs, n_tokens = at + int(sizes.sum()), n_docs + b - a, n_tokens + len(flat)
         yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "data": f"{out_uri}/{name.rpartition('/')[2]}.rec", "index": f"{out_uri}/{name.rpartition('/')[2]}.idx", "n_docs": n_docs, "n_tokens": n_tokens}], schema=pa.schema([("shard", pa.int32()), ("data", pa.string()), ("index", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
