@@ -81,6 +81,18 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("value_sha256", F.sha2(F.col("value").cast("binary"), 256)).drop("value")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ._common import shared_dir
     from .record_files import checksums, read_token_files, write_token_files
@@ -100,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
     "op4_secrets": op4_secrets,
+    "op6_html_text": op6_html_text,
+    "op7_token_counts": op7_token_counts,
     "op8_records": op8_records,
     "op9_licenses": op9_licenses,
 }
