@@ -81,6 +81,23 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("value_sha256", F.sha2(F.col("value").cast("binary"), 256)).drop("value")
 
 
+def op5_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .window_dedup import repeated_windows, text_key
+
+    docs = _table(spark, sf_dir, "documents")
+    cut = repeated_windows(docs).select(
+        "k0",
+        "k1",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    own = docs.select("doc_id", *text_key(F.col("text")), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("own"))
+    none = F.lit(0).cast("long")
+    return own.join(cut, ["k0", "k1"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_text
 
@@ -112,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
     "op4_secrets": op4_secrets,
+    "op5_windows": op5_windows,
     "op6_html_text": op6_html_text,
     "op7_token_counts": op7_token_counts,
     "op8_records": op8_records,
