@@ -255,7 +255,7 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = members.groupBy("g", "size").agg(F.min(F.struct("k0", "k1")).alias("m"), F.count("*").alias("c")).where("c > 1")
     inside = members.join(first, ["g", "size"]).where("k0 <> m.k0 or k1 <> m.k1").select("k0", "k1", "m.k0", "m.k1").toDF("a0", "a1", "b0", "b1")
     pairs = stored(_expanded(met, members).union(inside), "pairs")
-    candidates = postings.select("g", "size").distinct().join(members, ["g", "size"]).select("k0").union(pairs.select("a0"))
+    candidates = postings.select("g", "size").distinct().join(members, ["g", "size"]).select("k0").union(pairs.select("a0")).union(pairs.select("b0"))
     texts = stored(_texts_of(rows, candidates, n), "texts").dropDuplicates(["k0", "k1"])
     links = stored(_verified(pairs, texts, n, percent), "links")
 
