@@ -9,13 +9,14 @@ from the most significant digit on; a group that is down to one suffix leaves.
    hundredth of a row.
 2. The second digit is the hash of a whole run's bytes. An anchor whose
    occurrences all have equal runs is done: alone, nothing repeats; else all does.
-3. Where runs of an anchor differ, one occurrence of each distinct run is expanded
-   into its windows, and the last digit is the hash of the window. Groups of equal
-   windows at two or more places are exactly the repeated windows.
-
-Digits are 64-bit hashes; windows count as equal if anchor and window (or anchor
-and run) hashes both agree. All counts are pre-aggregated, so no group is held in
-one task. Texts that hold no repeated anchor never move: a bitmap of fixed size
+3. Where runs of an anchor differ, the bytes of one occurrence of each distinct run
+   are dealt by anchor, and a task sorts the windows of its anchors by passes over
+   8-byte digits. Groups left after the last digit are exactly the repeated windows.
+   An anchor with more than ``CROWD`` distinct runs is not held in one task: its
+   windows become rows, whose last digit is the hash of the window.
+
+The first two digits are 64-bit hashes; runs count as equal if anchor and run
+hashes both agree, and so do a crowd's windows. Their counts are pre-aggregated. Texts that hold no repeated anchor never move: a bitmap of fixed size
 tells most of them apart, and only costs more shuffle where it errs.
 """
 
@@ -39,6 +40,10 @@ BASE = 0x5851F42D4C957F2D  # odd
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bits of the bitmap of texts with repeated anchors: 2 MB, whatever the corpus.
 BITMAP_BITS = 24
+#: Most distinct runs of an anchor that one task sorts (each has at most 369 bytes).
+CROWD = 2000
+#: Windows that one radix sort orders at once.
+STEP_WINDOWS = 400_000
 
 _powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 _values = byte_values(0x2545F491)
@@ -166,32 +171,113 @@ def _held(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "k0 long, k1 long, text string")
 
 
-def _windows(texts: DataFrame, width: int) -> DataFrame:
-    """(anchor, window, k0, k1, start, alone) of the windows of chosen runs: ``texts(k0, k1, text, runs array<(anchor, place, alone)>)``."""
+def _run_bytes(texts: DataFrame, width: int) -> DataFrame:
+    """(anchor, k0, k1, place, alone, crowd, bytes) of chosen runs: ``texts(k0, k1, text, runs array<(anchor, place, alone, crowd)>)``."""
+    schema = pa.schema([("anchor", pa.int64()), ("k0", pa.int64()), ("k1", pa.int64()), ("place", pa.int64()), ("alone", pa.bool_()), ("crowd", pa.bool_()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                flat = np.frombuffer(row["text"].encode(), np.uint8)
-                places = np.array([r["place"] for r in row["runs"]], np.int64)
-                anchors = np.array([r["anchor"] for r in row["runs"]], np.int64)
-                alone = np.array([r["alone"] for r in row["runs"]], bool)
-                order = np.argsort(places, kind="stable")
-                places, anchors, alone = places[order], anchors[order], alone[order]
-                first, more = places >> 8, places & 255
-                a = 0
-                while a < len(places):  # pieces of the text, so that sums stay small
-                    b = max(a + 1, int(np.searchsorted(first, first[a] + PIECE)))
-                    base = int(first[a])
-                    sums = prefix_sums(flat[base : int(first[b - 1] + more[b - 1]) + width])
-                    at = ranges(first[a:b] - base, more[a:b] + 1)
-                    whole = mix(range_hash(sums, at, at + width))
-                    times = more[a:b] + 1
-                    m = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(anchors[a:b], times)), _signed(whole), pa.array(np.full(m, row["k0"], np.int64)), pa.array(np.full(m, row["k1"], np.int64)), pa.array(at + base), pa.array(np.repeat(alone[a:b], times))], names=["anchor", "window", "k0", "k1", "start", "alone"])
-                    a = b
-
-    return texts.mapInArrow(run, "anchor long, window long, k0 long, k1 long, start long, alone boolean")
+            for a in range(0, len(batch), 500):
+                out = []
+                for row in batch.slice(a, 500).to_pylist():
+                    raw = row["text"].encode()
+                    out += [(r["anchor"], row["k0"], row["k1"], r["place"], r["alone"], r["crowd"], raw[r["place"] >> 8 : (r["place"] >> 8) + (r["place"] & 255) + width]) for r in row["runs"]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return texts.mapInArrow(run, "anchor long, k0 long, k1 long, place long, alone boolean, crowd boolean, bytes binary")
+
+
+def radix_groups(flat: np.ndarray, starts: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
+    """Which of the windows that start at ``starts`` equal another of their group: passes over 8-byte digits, the first the most significant."""
+    v = np.r_[flat, np.zeros(8, np.uint8)].astype(np.uint64)
+    digit = np.zeros(len(flat), np.uint64)
+    for k in range(8):
+        digit = (digit << np.uint64(8)) | v[k : k + len(flat)]
+    left = np.arange(len(starts))
+    for at in [*range(0, width - 7, 8), *([width - 8] if width % 8 and width > 8 else [])] if width >= 8 else range(width):
+        d = digit[starts[left] + at] if width >= 8 else v[starts[left] + at]
+        order = np.lexsort((d, group))
+        left, group, d = left[order], group[order], d[order]
+        new = np.r_[True, (group[1:] != group[:-1]) | (d[1:] != d[:-1])]
+        group = np.cumsum(new) - 1
+        many = np.bincount(group)[group] > 1
+        left, group = left[many], group[many]
+        if not len(left):
+            break
+    out = np.zeros(len(starts), bool)
+    out[left] = True
+    return out
+
+
+def _sorted_runs(rows: DataFrame, width: int) -> DataFrame:
+    """(k0, k1, place) of stretches of repeated windows in lone runs; ``rows`` lie by anchor in order."""
+
+    def solve(part: pa.Table) -> pa.RecordBatch:
+        same = np.r_[False, np.logical_and.reduce([(x := part.column(c).to_numpy())[1:] == x[:-1] for c in ("anchor", "k0", "k1", "place")])]
+        part = part.filter(pa.array(~same)).combine_chunks()
+        flat, offsets = flat_text_bytes(part.column("bytes"))
+        anchor = part.column("anchor").to_numpy()
+        place = part.column("place").to_numpy()
+        times = (place & 255) + 1
+        group = np.cumsum(np.r_[0, anchor[1:] != anchor[:-1]])
+        row = np.repeat(np.arange(len(place)), times)
+        starts = ranges(offsets[:-1], times)
+        hit = radix_groups(flat, starts, group[row], width) & part.column("alone").to_numpy()[row]
+        first = np.flatnonzero(hit & ~np.r_[False, hit[:-1] & (row[1:] == row[:-1])])
+        last = np.flatnonzero(hit & ~np.r_[hit[1:] & (row[1:] == row[:-1]), False])
+        own = row[first]
+        where = ((place[own] >> 8) + starts[first] - offsets[own]) * 256 + (last - first)
+        return pa.RecordBatch.from_arrays([pa.array(part.column("k0").to_numpy()[own]), pa.array(part.column("k1").to_numpy()[own]), pa.array(where)], names=["k0", "k1", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            for a in range(0, len(batch), 1000):
+                part = batch.slice(a, 1000)
+                held.append(part)
+                n += len(part)
+                if n * 100 < STEP_WINDOWS:
+                    continue
+                table = pa.Table.from_batches(held).combine_chunks()
+                anchor = table.column("anchor").to_numpy()
+                cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+                if cut:
+                    yield solve(table.slice(0, cut).combine_chunks())
+                held, n = table.slice(cut).to_batches(), len(table) - cut
+        if n:
+            yield solve(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.mapInArrow(run, "k0 long, k1 long, place long")
+
+
+def flat_text_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all values and their n + 1 offsets."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0) if column.num_chunks else pa.array([], pa.binary())
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _crowd_windows(rows: DataFrame, width: int) -> DataFrame:
+    """(anchor, window, k0, k1, start, alone) of every window of the runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 4000):
+                part = batch.slice(a, 4000)
+                flat, offsets = flat_text_bytes(part.column(6))
+                place = part.column(3).to_numpy()
+                times = (place & 255) + 1
+                row = np.repeat(np.arange(len(place)), times)
+                starts = ranges(offsets[:-1], times)
+                whole = mix(range_hash(prefix_sums(flat), starts, starts + width))
+                column = lambda i: pa.array(part.column(i).to_numpy(zero_copy_only=False)[row])  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([column(0), _signed(whole), column(1), column(2), pa.array((place[row] >> 8) + starts - offsets[row]), column(4)], names=["anchor", "window", "k0", "k1", "start", "alone"])
+
+    return rows.mapInArrow(run, "anchor long, window long, k0 long, k1 long, start long, alone boolean")
 
 
 def _cut(texts: DataFrame, width: int) -> DataFrame:
@@ -234,11 +320,16 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", width: int = WIDTH
     mixed = found.where("not same")
     distinct = stored(mixed.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("k0", "k1", "place")).alias("at")), "distinct")
     full = found.where("same").select("k0", "k1", "place").union(mixed.join(distinct.where("n > 1").select("anchor", "run"), ["anchor", "run"]).select("k0", "k1", "place"))
-    wanted = distinct.select("at.k0", "at.k1", F.struct("anchor", "at.place", (F.col("n") == 1).alias("alone")).alias("r")).groupBy("k0", "k1").agg(F.collect_list("r").alias("runs"))
-    windows = stored(_windows(texts.join(wanted, ["k0", "k1"]), width), "windows")
-    # copies of a text give the same windows at the same places: they are one place here
-    place = F.xxhash64("k0", "k1", "start")
-    equal = windows.groupBy("anchor", "window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b")
-    single = windows.where("alone").join(equal.select("anchor", "window"), ["anchor", "window"]).select("k0", "k1", (F.col("start") * 256).alias("place"))
+    crowds = distinct.groupBy("anchor").agg(F.count("*").alias("c")).select("anchor", (F.col("c") > CROWD).alias("crowd"))
+    wanted = distinct.join(crowds, "anchor").select("at.k0", "at.k1", F.struct("anchor", "at.place", (F.col("n") == 1).alias("alone"), "crowd").alias("r")).groupBy("k0", "k1").agg(F.collect_list("r").alias("runs"))
+    # a text that came from several tasks gives its runs several times
+    chosen = stored(_run_bytes(texts.join(wanted, ["k0", "k1"]), width), "chosen")
+    single = _sorted_runs(chosen.where("not crowd").repartition("anchor").sortWithinPartitions("anchor", "k0", "k1", "place"), width)
+    crowd = chosen.where("crowd")
+    if not crowd.isEmpty():
+        windows = stored(_crowd_windows(crowd, width), "windows")
+        place = F.xxhash64("k0", "k1", "start")
+        equal = windows.groupBy("anchor", "window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b")
+        single = single.union(windows.where("alone").join(equal.select("anchor", "window"), ["anchor", "window"]).select("k0", "k1", (F.col("start") * 256).alias("place")))
     places = full.union(single).distinct().groupBy("k0", "k1").agg(F.collect_list("place").alias("places"))
     return _cut(texts.join(places, ["k0", "k1"]), width).dropDuplicates(["k0", "k1"])
