@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -13,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; bounds a Python worker's memory.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
+
+#: glibc's, where there is one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,6 +73,15 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         a = b
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; after each, memory that lies free goes back to the system, so that idle workers stay small."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each range, one after another."""
     lengths = np.asarray(lengths, np.int64)

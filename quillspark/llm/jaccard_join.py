@@ -9,7 +9,8 @@ only groups meet in the join.
 
 Components don't need every link, so the join has two rounds. In the first, each
 token's groups meet only its pivot, the group that has the token earliest; what
-passes the size and position filters expands into member pairs and is verified.
+passes the filters on sizes, positions, common prefix tokens and parity bitmaps
+expands into member pairs and is verified on the texts.
 The second takes all other pairs of a token whose groups are not yet in one
 component, so every link between different components is found, and a large
 cluster of copies costs rows in proportion to its size.
@@ -60,8 +61,11 @@ def words(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, np.diff(np.searchsorted(start, offsets))
 
 
-def shingles(flat: np.ndarray, offsets: np.ndarray, n: int, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of each text, rarest first by ``codes``, and their n + 1 offsets; texts with fewer words have the whole sequence."""
+def shingles(flat: np.ndarray, offsets: np.ndarray, n: int, codes: np.ndarray | None = None, ordered: bool = False) -> tuple[np.ndarray, ...]:
+    """Distinct n-grams of each text, rarest first by ``codes``, and their n + 1 offsets; texts with fewer words have the whole sequence.
+
+    With ``ordered`` also the place of each in the order, as a whole number (rarity, then the hash's high bits).
+    """
     hashes, count = words(flat, offsets)
     first = np.cumsum(count) - count
     full = np.maximum(count - n + 1, (count > 0).astype(np.int64))
@@ -80,10 +84,11 @@ def shingles(flat: np.ndarray, offsets: np.ndarray, n: int, codes: np.ndarray |
             score += np.where(inside, code[at + k], 0)
     h = mix(h)
     order = np.lexsort((h, score, doc))
-    h, doc = h[order], doc[order]
+    h, doc, score = h[order], doc[order], score[order]
     keep = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
-    h, doc = h[keep], doc[keep]
-    return h, np.searchsorted(doc, np.arange(len(count) + 1))
+    h, doc, score = h[keep], doc[keep], score[keep]
+    at = np.searchsorted(doc, np.arange(len(count) + 1))
+    return (h, at, (score << 48) | (h >> np.uint64(16)).astype(np.int64)) if ordered else (h, at)
 
 
 def _sums(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -144,7 +149,12 @@ def word_codes(scanned: DataFrame) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, n: int, percent: int, codes: np.ndarray) -> DataFrame:
-    """(k0, k1, g, size, prefix) once for each set in a task; g is the hash of prefix and size."""
+    """(k0, k1, g, size, last, bits, prefix) once for each set in a task.
+
+    g is the hash of prefix and size, last the place of the prefix's last token in
+    the order, bits the parity bitmap of the set: at least two bits a member, a
+    power of two, in each the parity of the members that hash there.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +162,7 @@ def _prefixes(rows: DataFrame, n: int, percent: int, codes: np.ndarray) -> DataF
         for batch in batches:
             flat, offsets = flat_text(batch.column(1))
             for a, b in steps(offsets):
-                h, at = shingles(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n, shared.value)
+                h, at, order = shingles(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n, shared.value, True)
                 k0, k1 = set_keys(h, at)
                 size = np.diff(at)
                 length = np.where(size > 0, size - -(-size * percent // 100) + 1, 0)
@@ -164,16 +174,49 @@ def _prefixes(rows: DataFrame, n: int, percent: int, codes: np.ndarray) -> DataF
                     if size[i] and key not in seen:
                         seen.add(key)
                         fresh.append(i)
+                last = np.r_[order, 0][np.where(size > 0, at[:-1] + length - 1, len(order))]
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), _i64(prefix))
-                yield pa.RecordBatch.from_arrays([_i64(k0), _i64(k1), _i64(g), pa.array(size), lists], names=["k0", "k1", "g", "size", "prefix"]).take(pa.array(fresh, pa.int64()))
+                yield pa.RecordBatch.from_arrays([_i64(k0), _i64(k1), _i64(g), pa.array(size), pa.array(last), pa.array(_parity(h, at), pa.binary()), lists], names=["k0", "k1", "g", "size", "last", "bits", "prefix"]).take(pa.array(fresh, pa.int64()))
+
+    return rows.mapInArrow(run, "k0 long, k1 long, g long, size long, last long, bits binary, prefix array<long>")
+
+
+def _parity(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        bits = 1 << max(6, (2 * (b - a) - 1).bit_length())
+        out.append(np.packbits((np.bincount((h[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes())
+    return out
+
 
-    return rows.mapInArrow(run, "k0 long, k1 long, g long, size long, prefix array<long>")
+def _close(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parity bitmaps differ in no more bits than sets above the threshold may: each such bit stands for a member of one set alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(i).to_numpy() for i in (4, 5)]
+            total = sizes[0] + sizes[1]
+            most = total - 2 * -(-percent * total // (100 + percent))
+            keep = np.zeros(len(batch), bool)
+            for i, (x, y) in enumerate(zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                small = min(len(x), len(y))  # a longer bitmap folds onto a shorter one
+                x = np.bitwise_xor.reduce(x.reshape(-1, small), axis=0)
+                y = np.bitwise_xor.reduce(y.reshape(-1, small), axis=0)
+                keep[i] = int(np.bitwise_count(x ^ y).sum()) <= most[i]
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a0", "a1", "b0", "b1"]).filter(pa.array(keep))
+
+    own = prefixes.select("k0", "k1", "size", "bits").dropDuplicates(["k0", "k1"])
+    left = own.select(F.col("k0").alias("a0"), F.col("k1").alias("a1"), F.col("size").alias("sa"), F.col("bits").alias("x"))
+    right = own.select(F.col("k0").alias("b0"), F.col("k1").alias("b1"), F.col("size").alias("sb"), F.col("bits").alias("y"))
+    rows = pairs.join(left, ["a0", "a1"]).join(right, ["b0", "b1"]).select("a0", "a1", "b0", "b1", "sa", "sb", "x", "y")
+    return rows.mapInArrow(run, "a0 long, a1 long, b0 long, b1 long")
 
 
-def _texts_of(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """(k0, k1, text) of the sets in ``keys``, and of some more: once for each set in a task."""
+def _texts_of(rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """(k0, k1, text) of the sets in ``pairs``, and of some more: once for each set in a task."""
     low = F.col("k0").bitwiseAND((1 << BITMAP_BITS) - 1)
-    held = keys.select(low.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
+    held = pairs.select(F.explode(F.array("a0", "b0")).alias("k0")).select(low.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     bitmap[held["w"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
@@ -227,6 +270,22 @@ def _may_link(a: str, b: str, percent: int):
     return F.expr(f"100 * {small} >= {percent} * {large} and least({a}.size - {a}.pos, {b}.size - {b}.pos) >= {need} and (({a}.size <= {b}.size and {index(a)}) or ({b}.size <= {a}.size and {index(b)}))")
 
 
+def _group_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The distinct group pairs (ga, sa, gb, sb) whose common prefix tokens leave room for the overlap that the threshold needs.
+
+    Tokens up to the end of the prefix that ends first are common only within both
+    prefixes, so the overlap is at most the common prefix tokens plus what that set
+    has behind its prefix.
+    """
+    pairs = met.select(F.col("p.g").alias("ga"), F.col("p.size").alias("sa"), F.col("q.g").alias("gb"), F.col("q.size").alias("sb")).distinct()
+    a = groups.select(F.col("g").alias("ga"), F.col("size").alias("sa"), F.col("tokens").alias("ta"), F.col("last").alias("la"))
+    b = groups.select(F.col("g").alias("gb"), F.col("size").alias("sb"), F.col("tokens").alias("tb"), F.col("last").alias("lb"))
+    rest = lambda x: f"(ceil({percent} * {x} / 100.0d - 1e-9) - 1)"
+    room = F.expr(f"case when la < lb then {rest('sa')} when lb < la then {rest('sb')} else greatest({rest('sa')}, {rest('sb')}) end")
+    need = F.expr(f"ceil({percent} * (sa + sb) / {100 + percent}.0d - 1e-9)")
+    return pairs.join(a, ["ga", "sa"]).join(b, ["gb", "sb"]).where(F.size(F.array_intersect("ta", "tb")) + room >= need).select("ga", "sa", "gb", "sb")
+
+
 def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The set of each row, the component of each linked set, and the links.
 
@@ -248,15 +307,16 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     postings = postings.withColumn("rank", F.shiftleft(F.col("pos").cast("long"), 40) + F.col("g").bitwiseAND((1 << 40) - 1))
     shared = postings.groupBy("token").agg(F.count("*").alias("c"), F.min("rank").alias("first")).where("c > 1").select("token", "first")
     postings = stored(postings.join(shared, "token"), "postings")
+    ends = prefixes.groupBy("g", "size").agg(F.max("last").alias("last"))
+    groups = stored(postings.groupBy("g", "size").agg(F.collect_list("token").alias("tokens")).join(ends, ["g", "size"]), "groups")
     pivots = postings.where("rank = first").dropDuplicates(["token"]).select("token", "g", "size", "pos")
 
     met = postings.alias("p").join(pivots.alias("q"), "token").where("p.g <> q.g or p.size <> q.size").where(_may_link("p", "q", percent))
-    met = met.select(F.col("p.g").alias("ga"), F.col("p.size").alias("sa"), F.col("q.g").alias("gb"), F.col("q.size").alias("sb")).distinct()
+    met = _group_pairs(met, groups, percent)
     first = members.groupBy("g", "size").agg(F.min(F.struct("k0", "k1")).alias("m"), F.count("*").alias("c")).where("c > 1")
     inside = members.join(first, ["g", "size"]).where("k0 <> m.k0 or k1 <> m.k1").select("k0", "k1", "m.k0", "m.k1").toDF("a0", "a1", "b0", "b1")
-    pairs = stored(_expanded(met, members).union(inside), "pairs")
-    candidates = postings.select("g", "size").distinct().join(members, ["g", "size"]).select("k0").union(pairs.select("a0")).union(pairs.select("b0"))
-    texts = stored(_texts_of(rows, candidates, n), "texts").dropDuplicates(["k0", "k1"])
+    pairs = stored(_close(_expanded(met, members).union(inside), prefixes, percent), "pairs")
+    texts = stored(_texts_of(rows, pairs, n), "texts").dropDuplicates(["k0", "k1"])
     links = stored(_verified(pairs, texts, n, percent), "links")
 
     name = lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
@@ -273,11 +333,12 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     odd = open_.join(main, "token").where("(low <> main or high <> main) and rank <> first")
     met = odd.alias("p").join(open_.where("rank <> first").alias("q"), "token").where("(p.g <> q.g or p.size <> q.size) and (p.low <> q.low or p.high <> q.high or p.low <> p.high)")
     met = met.where("not (q.low <> p.main or q.high <> p.main) or p.g < q.g or (p.g = q.g and p.size < q.size)").where(_may_link("p", "q", percent))
-    met = met.select(F.col("p.g").alias("ga"), F.col("p.size").alias("sa"), F.col("q.g").alias("gb"), F.col("q.size").alias("sb")).distinct()
+    met = _group_pairs(met, groups, percent)
     split = grouped.join(by_group.where("low <> high").select("g", "size"), ["g", "size"])
     inside = split.alias("x").join(split.alias("y"), ["g", "size"]).where("x.component < y.component").select("x.k0", "x.k1", "y.k0", "y.k1").toDF("a0", "a1", "b0", "b1")
-    more = stored(_expanded(met, members).union(inside).distinct(), "more")
+    more = stored(_close(_expanded(met, members).union(inside).distinct(), prefixes, percent), "more")
     if not more.isEmpty():
+        texts = stored(_texts_of(rows, more, n), "texts").dropDuplicates(["k0", "k1"])
         more = stored(_verified(more, texts, n, percent), "links")
         if not more.isEmpty():
             links = links.union(more)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import flat_text, steps, stored
+from ._common import flat_text, steps, stored, tidy
 
 #: A sketch stands for its own group from so many documents on.
 LEAST_DOCS = 200
@@ -84,7 +84,7 @@ def with_counts(docs: DataFrame, text_col: str) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             _, offsets = flat_text(batch.column(at))
             for a, b in steps(offsets):
                 part = batch.slice(a, b - a)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import checkpointed, flat_text, ranges, steps
+from ._common import checkpointed, flat_text, ranges, steps, tidy
 
 MASK_DELTA = 0xA282EAD8
 INDEX_ENTRY = np.dtype([("offset", "<u8"), ("id", "<i8"), ("null", "u1"), ("n", "<u4")])
@@ -228,7 +228,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_uri: str, id_col
         name = f"{base}/{run_id}-{task.partitionId():06d}-{task.taskAttemptId()}"
         at = n_docs = n_tokens = 0
         with files.open_output_stream(f"{name}.rec") as data, files.open_output_stream(f"{name}.idx") as index:
-            for batch in batches:
+            for batch in tidy(batches):
                 ids = batch.column(0).cast(pa.int64())
                 _, offsets = flat_text(batch.column(1))
                 for a, b in steps(offsets):
@@ -265,7 +265,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     out = T.StructType([T.StructField("id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for row in batch.to_pylist():
                 files, path = pafs.FileSystem.from_uri(row["data"])
                 with files.open_input_stream(pafs.FileSystem.from_uri(row["index"])[1]) as f:
@@ -294,7 +294,7 @@ def checksums(records: DataFrame) -> DataFrame:
     """(id, start, n_tokens, crc32 of the ids as little-endian unsigned 32-bit integers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             ids = batch.column(2)
             at = ids.offsets.to_numpy()
             flat = ids.values.to_numpy().astype("<u4")

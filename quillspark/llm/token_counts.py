@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import flat_text, steps
+from ._common import flat_text, steps, tidy
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -136,7 +136,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model_path)
-        for batch in batches:
+        for batch in tidy(batches):
             _, offsets = flat_text(batch.column(1))
             for a, b in steps(offsets):
                 found = [c.count(t or "") for t in batch.column(1).slice(a, b - a).to_pylist()]

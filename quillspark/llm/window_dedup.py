@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_values, flat_text, mix, odd_powers, ranges, steps, stored
+from ._common import byte_values, flat_text, mix, odd_powers, ranges, steps, stored, tidy
 
 WIDTH = 200
 ANCHOR = 32
 #: Longer texts are cut into overlapping pieces of this many window starts; positions in a piece fit 20 bits.
-PIECE = 900_000
+PIECE = 400_000
 LOW = np.uint64((1 << 20) - 1)
 BASE = 0x5851F42D4C957F2D  # odd
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -43,7 +43,7 @@ BITMAP_BITS = 24
 #: Most distinct runs of an anchor that one task sorts (each has at most 369 bytes).
 CROWD = 2000
 #: Windows that one radix sort orders at once.
-STEP_WINDOWS = 400_000
+STEP_WINDOWS = 200_000
 
 _powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 _values = byte_values(0x2545F491)
@@ -134,7 +134,7 @@ def anchor_runs(texts: DataFrame, width: int) -> DataFrame:
     """(anchor, run, k0, k1, place) of every run in ``texts(k0, k1, text)``; place is 256 times the first start plus the number of further starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             keys = [batch.column(i).to_numpy() for i in (0, 1)]
             flat, offsets = flat_text(batch.column(2))
             for part, cut, rows, shift in pieces(flat, offsets, width):
@@ -155,7 +155,7 @@ def _held(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
-        for batch in batches:
+        for batch in tidy(batches):
             k0, k1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             h = k0 & ((1 << BITMAP_BITS) - 1)
             hit = np.flatnonzero((bits[h >> 6] >> (h & 63)) & 1)
@@ -176,7 +176,7 @@ def _run_bytes(texts: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("anchor", pa.int64()), ("k0", pa.int64()), ("k1", pa.int64()), ("place", pa.int64()), ("alone", pa.bool_()), ("crowd", pa.bool_()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for a in range(0, len(batch), 500):
                 out = []
                 for row in batch.slice(a, 500).to_pylist():
@@ -232,7 +232,7 @@ def _sorted_runs(rows: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n = 0
-        for batch in batches:
+        for batch in tidy(batches):
             for a in range(0, len(batch), 1000):
                 part = batch.slice(a, 1000)
                 held.append(part)
@@ -265,7 +265,7 @@ def _crowd_windows(rows: DataFrame, width: int) -> DataFrame:
     """(anchor, window, k0, k1, start, alone) of every window of the runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for a in range(0, len(batch), 4000):
                 part = batch.slice(a, 4000)
                 flat, offsets = flat_text_bytes(part.column(6))
@@ -284,9 +284,9 @@ def _cut(texts: DataFrame, width: int) -> DataFrame:
     """(k0, k1, spans, kept) of ``texts(k0, k1, text, places array<long>)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             out = []
-            for row in batch.to_pylist():
+            for row in (r for a in range(0, len(batch), 500) for r in batch.slice(a, 500).to_pylist()):
                 raw = row["text"].encode()
                 places = np.array(row["places"], np.int64)
                 edge = np.zeros(len(raw) + 2, np.int32)
