@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_values, connected_components, flat_text, mix, odd_powers, ranges, steps, stored
+from ._common import byte_values, connected_components, flat_text, mix, odd_powers, ranges, steps, stored, tidy
 
 #: Cells of the word count table: 1 MB as codes of a byte, whatever the corpus.
 CELL_BITS = 20
@@ -113,7 +113,7 @@ def _scan(rows: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
+        for batch in tidy(batches):
             flat, offsets = flat_text(batch.column(1))
             for a, b in steps(offsets):
                 part, cut = flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -159,7 +159,7 @@ def _prefixes(rows: DataFrame, n: int, percent: int, codes: np.ndarray) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in tidy(batches):
             flat, offsets = flat_text(batch.column(1))
             for a, b in steps(offsets):
                 h, at, order = shingles(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n, shared.value, True)
@@ -193,7 +193,7 @@ def _close(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose parity bitmaps differ in no more bits than sets above the threshold may: each such bit stands for a member of one set alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             sizes = [batch.column(i).to_numpy() for i in (4, 5)]
             total = sizes[0] + sizes[1]
             most = total - 2 * -(-percent * total // (100 + percent))
@@ -223,7 +223,7 @@ def _texts_of(rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in tidy(batches):
             flat, offsets = flat_text(batch.column(1))
             for a, b in steps(offsets):
                 k0, k1 = (k.view(np.int64) for k in set_keys(*shingles(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)))
@@ -244,7 +244,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     """The pairs (a0, a1, b0, b1) of sets whose Jaccard similarity reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for a in range(0, len(batch), 256):
                 part = batch.slice(a, 256)
                 sets = [shingles(*flat_text(part.column(i)), n) for i in (4, 5)]
