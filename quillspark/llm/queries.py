@@ -73,6 +73,12 @@ FROM m LEFT JOIN x USING (lang, source)
 """
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import find_secrets, labelled_findings, train_forest
 
@@ -134,6 +140,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
+    "op3_decontamination": op3_decontamination,
     "op4_secrets": op4_secrets,
     "op5_windows": op5_windows,
     "op6_html_text": op6_html_text,
