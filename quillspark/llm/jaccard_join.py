@@ -7,13 +7,13 @@ their prefixes, the longer one's probing prefix and the shorter one's index
 prefix. Equal sets are one; sets with equal prefixes and size are one group, and
 only groups meet in the join.
 
-Components don't need every link, so the join has two rounds. In the first, each
+Components don't need every link, so the join has three rounds. In the first, each
 token's groups meet only its pivot, the group that has the token earliest; what
 passes the filters on sizes, positions, common prefix tokens and parity bitmaps
-expands into member pairs and is verified on the texts.
-The second takes all other pairs of a token whose groups are not yet in one
-component, so every link between different components is found, and a large
-cluster of copies costs rows in proportion to its size.
+expands into member pairs and is verified on the texts. The second takes, where a
+token's sets are not yet in one component, each set's nearest partners in others.
+The third takes all pairs that are left between components, so no link between
+them is lost, while a large cluster of copies costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ CELL_BITS = 20
 CHUNK_BITS = 12
 #: Bits of the bitmap of candidate sets: 2 MB, whatever the corpus.
 BITMAP_BITS = 24
+#: Sets of a token that meet in one task are at most twice this many.
+BLOCK = 2000
+#: Partners that a set keeps at a token in the second round.
+NEAREST = 3
 BASE = 0x5851F42D4C957F2D
 _values = byte_values(0x1B873593)
 _lower = np.arange(256, dtype=np.uint8)
@@ -286,6 +290,86 @@ def _group_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, ["ga", "sa"]).join(b, ["gb", "sb"]).where(F.size(F.array_intersect("ta", "tb")) + room >= need).select("ga", "sa", "gb", "sb")
 
 
+def _close_pairs(postings: DataFrame, own: DataFrame, prefixes: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Distinct pairs (a0, a1, b0, b1) of sets in different components that share a token and pass all filters.
+
+    ``own(g, size, k0, k1, c)`` has the component of each set. With ``best`` each
+    set keeps its nearest partners at a token by bitmap, so that rows grow with the
+    sets. A token's sets, and a group's, meet in blocks of ``BLOCK``: a task holds
+    two blocks, and a set is sent once for each block of its token.
+    """
+    by_group = own.groupBy("g", "size").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"))
+    open_ = postings.select("token", "g", "size", "pos").join(by_group, ["g", "size"])
+    torn = open_.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.sum("m").alias("n")).where("l <> h and n > 2").select("token", "n")  # a pair alone met in the first round
+    rows = open_.select("token", "g", "size", "pos").join(torn, "token").join(own, ["g", "size"])
+    # members of a group have all their prefix in common: the group is a token of its own
+    split = by_group.where("low <> high").select("g", "size", F.xxhash64("g", "size").alias("token"), F.lit(0).alias("pos"), F.col("m").alias("n")).join(own, ["g", "size"])
+    rows = rows.select("token", "n", "size", "pos", "k0", "k1", "c").union(split.select("token", "n", "size", "pos", "k0", "k1", "c"))
+    bits = prefixes.select("k0", "k1", "bits").dropDuplicates(["k0", "k1"])
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("k1", "k0"), blocks).cast("int")
+    rows = rows.join(bits, ["k0", "k1"]).select("token", "size", "pos", "k0", "k1", "c", "bits", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("token", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).alias("second"), "size", "pos", "k0", "k1", "c", "bits")
+    dealt = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+
+    def solve(part: pa.Table) -> pa.RecordBatch:
+        size, pos, c = (part.column(k).to_numpy() for k in ("size", "pos", "c"))
+        key = np.stack([part.column(k).to_numpy() for k in ("k0", "k1")], axis=1)
+        second = part.column("second").to_numpy()
+        diagonal = part.column("x")[0].as_py() == part.column("y")[0].as_py()
+        left = np.arange(len(size)) if diagonal else np.flatnonzero(~second)
+        right = left if diagonal else np.flatnonzero(second)
+        raw = [np.frombuffer(b, np.uint8) for b in part.column("bits").to_pylist()]
+        width = np.array([len(b) for b in raw])
+        out: list[np.ndarray] = []
+        for wide in np.unique(width).tolist():
+            for narrow in np.unique(width).tolist():
+                ia, ib = left[width[left] == wide], right[width[right] == narrow]
+                w = min(wide, narrow)
+                if not len(ia) or not len(ib) or max(wide, narrow) > 2 * w:
+                    continue  # sizes that far apart fail the size filter
+                folded = lambda i, w=w: np.stack([np.bitwise_xor.reduce(raw[k].reshape(-1, w), axis=0) for k in i])
+                fa, fb = folded(ia).view(np.uint64 if w % 8 == 0 else np.uint8), folded(ib).view(np.uint64 if w % 8 == 0 else np.uint8)
+                step = max(1, 4_000_000 // max(1, fb.size))
+                for at in range(0, len(ia), step):
+                    own_, bits_ = ia[at : at + step], fa[at : at + step]
+                    total = size[own_][:, None] + size[ib][None, :]
+                    need = -(-percent * total // (100 + percent))
+                    ok = (c[own_][:, None] != c[ib][None, :]) & (np.minimum((size - pos)[own_][:, None], (size - pos)[ib][None, :]) >= need)
+                    ok &= 100 * np.minimum(size[own_][:, None], size[ib][None, :]) >= percent * np.maximum(size[own_][:, None], size[ib][None, :])
+                    if not ok.any():
+                        continue
+                    far = np.bitwise_count(bits_[:, None, :] ^ fb[None, :, :]).sum(axis=2, dtype=np.int64)
+                    ok &= far <= total - 2 * need
+                    if best is not None and ok.sum(axis=1).max() > best:
+                        nearest = np.argsort(np.where(ok, far, 1 << 40), axis=1, kind="stable")[:, :best]
+                        kept = np.zeros_like(ok)
+                        np.put_along_axis(kept, nearest, True, axis=1)
+                        ok &= kept
+                    i, j = np.nonzero(ok)
+                    out.append(np.concatenate([key[own_[i]], key[ib[j]]], axis=1))
+        pairs = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+        swap = (pairs[:, 0] > pairs[:, 2]) | ((pairs[:, 0] == pairs[:, 2]) & (pairs[:, 1] > pairs[:, 3]))
+        pairs[swap] = pairs[swap][:, [2, 3, 0, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)], names=["a0", "a1", "b0", "b1"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in tidy(batches):
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            at = np.stack([table.column(k).to_numpy() for k in ("token", "x", "y")], axis=1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist()]
+            done = [solve(table.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            if done:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches(max_chunksize=100_000)
+            held = table.slice(cuts[-1])
+        if held is not None and len(held):
+            yield solve(held)
+
+    return dealt.mapInArrow(run, "a0 long, a1 long, b0 long, b1 long").distinct()
+
+
 def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The set of each row, the component of each linked set, and the links.
 
@@ -323,26 +407,19 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = lambda x: x.select(name("a0", "a1").alias("a"), name("b0", "b1").alias("b"))
     components = stored(connected_components(edges(links)), "components")
 
-    # second round: tokens whose groups lie in several components
-    grouped = members.withColumn("id", name("k0", "k1")).join(components, "id", "left").select("g", "size", "k0", "k1", F.coalesce("component", "id").alias("component"))
-    by_group = grouped.groupBy("g", "size").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = postings.join(by_group, ["g", "size"])
-    torn = open_.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count("*").alias("c")).where("l <> h and c > 2").select("token")
-    open_ = stored(open_.join(torn, "token"), "open")
-    main = open_.where("rank = first").groupBy("token").agg(F.min("low").alias("main"))
-    odd = open_.join(main, "token").where("(low <> main or high <> main) and rank <> first")
-    met = odd.alias("p").join(open_.where("rank <> first").alias("q"), "token").where("(p.g <> q.g or p.size <> q.size) and (p.low <> q.low or p.high <> q.high or p.low <> p.high)")
-    met = met.where("not (q.low <> p.main or q.high <> p.main) or p.g < q.g or (p.g = q.g and p.size < q.size)").where(_may_link("p", "q", percent))
-    met = _group_pairs(met, groups, percent)
-    split = grouped.join(by_group.where("low <> high").select("g", "size"), ["g", "size"])
-    inside = split.alias("x").join(split.alias("y"), ["g", "size"]).where("x.component < y.component").select("x.k0", "x.k1", "y.k0", "y.k1").toDF("a0", "a1", "b0", "b1")
-    more = stored(_close(_expanded(met, members).union(inside).distinct(), prefixes, percent), "more")
-    if not more.isEmpty():
+    # further rounds: first each set's nearest partners in other components, then all that are left
+    for best in (NEAREST, None):
+        own = members.withColumn("id", name("k0", "k1")).join(components, "id", "left").select("g", "size", "k0", "k1", F.xxhash64(F.coalesce("component", "id")).alias("c"))
+        more = stored(_close_pairs(postings, own, prefixes, percent, best), "more")
+        if more.isEmpty():
+            continue
         texts = stored(_texts_of(rows, more, n), "texts").dropDuplicates(["k0", "k1"])
         more = stored(_verified(more, texts, n, percent), "links")
         if not more.isEmpty():
             links = links.union(more)
-            components = stored(connected_components(edges(links)), "components")
+            # links so far are one edge a set now
+            known = components.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+            components = stored(connected_components(known.union(edges(more))), "components")
     half = lambda at: F.conv(F.substring("id", at, 16), 16, -10).cast("long")
     return sets, components.select(half(1).alias("k0"), half(17).alias("k1"), "component"), links
 
