@@ -22,6 +22,7 @@ tells most of them apart, and only costs more shuffle where it errs.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ PIECE = 400_000
 LOW = np.uint64((1 << 20) - 1)
 BASE = 0x5851F42D4C957F2D  # odd
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Bits of the bitmap of texts with repeated anchors: 2 MB, whatever the corpus.
-BITMAP_BITS = 24
+#: Bits of the bitmaps of repeated anchors and of texts that have some: 8 MB, whatever the corpus.
+BITMAP_BITS = 26
 #: Most distinct runs of an anchor that one task sorts (each has at most 369 bytes).
 CROWD = 2000
 #: Windows that one radix sort orders at once.
@@ -131,10 +132,20 @@ def text_key(text) -> list:
 
 
 def anchor_runs(texts: DataFrame, width: int) -> DataFrame:
-    """(anchor, run, k0, k1, place) of every run in ``texts(k0, k1, text)``; place is 256 times the first start plus the number of further starts."""
+    """(anchor, run, k0, k1, place) of every run in ``texts(k0, k1, text)``; place is 256 times the first start plus the number of further starts.
+
+    A task gives the runs of a text twice at most: more copies tell nothing new.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[tuple[int, int]] = Counter()
         for batch in tidy(batches):
+            again = []
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                seen[key] += 1
+                if seen[key] < 3:
+                    again.append(i)
+            batch = batch.take(pa.array(again, pa.int64()))
             keys = [batch.column(i).to_numpy() for i in (0, 1)]
             flat, offsets = flat_text(batch.column(2))
             for part, cut, rows, shift in pieces(flat, offsets, width):
@@ -146,12 +157,31 @@ def anchor_runs(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, run long, k0 long, k1 long, place long")
 
 
-def _held(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``texts`` whose key the bitmap of ``keys`` may hold, one copy of a text a task."""
-    words = keys.select((F.col("k0").bitwiseAND((1 << BITMAP_BITS) - 1)).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
+def _bitmap(keys: DataFrame, column: str):
+    """A broadcast bitmap of the low bits of a hash column: its size is fixed, whatever the rows."""
+    words = keys.select((F.col(column).bitwiseAND((1 << BITMAP_BITS) - 1)).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+    return keys.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _perhaps_repeated(found: DataFrame) -> DataFrame:
+    """The runs whose anchor the bitmap of repeated anchors holds: all of those, and few others."""
+    repeated = found.select("anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    shared = _bitmap(repeated, "anchor")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in tidy(batches):
+            h = batch.column(0).to_numpy() & ((1 << BITMAP_BITS) - 1)
+            yield batch.filter(pa.array(((bits[h >> 6] >> (h & 63)) & 1).astype(bool)))
+
+    return found.mapInArrow(run, found.schema)
+
+
+def _held(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose key the bitmap of ``keys`` may hold, one copy of a text a task."""
+    shared = _bitmap(keys, "k0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
@@ -312,7 +342,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", width: int = WIDTH
     table gives none.
     """
     texts = docs.select(*text_key(F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = stored(anchor_runs(texts, width), "runs")
+    found = stored(_perhaps_repeated(stored(anchor_runs(texts, width), "runs")), "perhaps")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("run").alias("low"), F.max("run").alias("high")).where("n > 1")
     found = stored(found.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchor"), "repeated")
     texts = stored(_held(texts, found), "texts")
@@ -323,11 +353,13 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", width: int = WIDTH
     crowds = distinct.groupBy("anchor").agg(F.count("*").alias("c")).select("anchor", (F.col("c") > CROWD).alias("crowd"))
     wanted = distinct.join(crowds, "anchor").select("at.k0", "at.k1", F.struct("anchor", "at.place", (F.col("n") == 1).alias("alone"), "crowd").alias("r")).groupBy("k0", "k1").agg(F.collect_list("r").alias("runs"))
     # a text that came from several tasks gives its runs several times
-    chosen = stored(_run_bytes(texts.join(wanted, ["k0", "k1"]), width), "chosen")
+    chosen = _run_bytes(texts.join(wanted, ["k0", "k1"]), width)
+    crowded = not crowds.where("crowd").isEmpty()
+    if crowded:
+        chosen = stored(chosen, "chosen")
     single = _sorted_runs(chosen.where("not crowd").repartition("anchor").sortWithinPartitions("anchor", "k0", "k1", "place"), width)
-    crowd = chosen.where("crowd")
-    if not crowd.isEmpty():
-        windows = stored(_crowd_windows(crowd, width), "windows")
+    if crowded:
+        windows = stored(_crowd_windows(chosen.where("crowd"), width), "windows")
         place = F.xxhash64("k0", "k1", "start")
         equal = windows.groupBy("anchor", "window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b")
         single = single.union(windows.where("alone").join(equal.select("anchor", "window"), ["anchor", "window"]).select("k0", "k1", (F.col("start") * 256).alias("place")))
