@@ -4,8 +4,8 @@ Texts are words (letters and digits, A-Z lowered, marks dropped). The random-wal
 embedding of Chakraborty, Goldenberg and Koucky writes the symbol under a pointer
 at each step and moves the pointer on by a random bit of (step, symbol), which
 maps small edit distance to small Hamming distance. A table samples a few steps;
-its key is the symbols written there. Items are covered by windows of the largest
-power of two up to ``WINDOW`` that fits them, at every offset; so are documents.
+its key is the symbols written there. Items are covered by windows of the largest of
+``WINDOWS`` that fits them, at every offset; so are documents.
 Windows whose keys agree in any table give a region, where the exact edit distance
 between the item and the best stretch of the document decides.
 
@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 
 from ._common import byte_values, flat_text, mix, odd_powers, ranges, steps, tidy
 
-WINDOW = 16
+#: Window sizes; an item takes the largest that it has.
+WINDOWS = (1, 2, 3, 4, 6, 8, 12, 16)
 SAMPLES = 4
 MOST_TABLES = 24
 RECALL = 0.97
@@ -76,7 +77,7 @@ class Index:
         self.high = np.zeros(1 << 16, bool)
         self.high[(self.words >> np.uint64(48)).astype(np.int64)] = True
         self.rng = np.random.default_rng(seed)
-        self.window = np.where(self.sizes > 0, np.minimum(WINDOW, 1 << (np.frexp(np.maximum(self.sizes, 1))[1] - 1)), 0)
+        self.window = np.r_[0, WINDOWS][np.searchsorted(WINDOWS, self.sizes, "right")]
         self.tables: dict[int, list[tuple]] = {}
         for w in sorted(set(self.window.tolist()) - {0}):
             self._build(w, recall)
@@ -137,13 +138,13 @@ class Index:
     def _walk(self, symbols: np.ndarray, start: np.ndarray, w: int, where: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """The sampled symbols of the walks from ``start``, as keys; a pointer at the window's end writes padding."""
         key = np.zeros(len(start), np.uint64)
-        at = start.copy()
+        at = start.astype(np.int32)
         end = start + w
         sampled = set(where.tolist())
         for j in range(int(where[-1]) + 1):
             s = symbols[at]
             if j >= w:
-                s = np.where(at >= end, self.pad, s)
+                s = np.where(at >= end, np.int32(self.pad), s)
             if j in sampled:
                 key = (key + s.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
@@ -155,7 +156,7 @@ class Index:
         hashes, at = word_hashes(flat, offsets)
         if not len(hashes) or not len(self.words):
             return []
-        symbols = np.full(len(hashes) + 1, self.oov)
+        symbols = np.full(len(hashes) + 1, self.oov, np.int32)
         near = np.flatnonzero(self.high[(hashes >> np.uint64(48)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.words, hashes[near]), len(self.words) - 1)
         symbols[near] = np.where(self.words[k] == hashes[near], k, self.oov)
@@ -168,7 +169,7 @@ class Index:
             start = np.arange(len(hashes) - w + 1)
             # a match has a window with no more than its share of edits
             ok = (known[w:] - known[:-w] >= w - int(np.ceil(w * self.edits))) & (text[: len(start)] == text[w - 1 :])
-            start = start[ok]
+            start = start[ok].astype(np.int32)
             for a in range(0, len(start), 100_000):
                 part = start[a : a + 100_000]
                 for where, bits, keys, items, shift, high in tables:
