@@ -1 +1 @@
-
+"""Column functions over texts, titles, identifiers and scores."""
