@@ -32,8 +32,8 @@ from ._common import byte_values, connected_components, flat_text, mix, odd_powe
 #: Cells of the word count table: 1 MB as codes of a byte, whatever the corpus.
 CELL_BITS = 20
 CHUNK_BITS = 12
-#: Bits of the bitmap of candidate sets: 2 MB, whatever the corpus.
-BITMAP_BITS = 24
+#: Bits of the bitmaps of repeated tokens and candidate texts: 8 MB, whatever the corpus.
+BITMAP_BITS = 26
 #: Sets of a token that meet in one task are at most twice this many.
 BLOCK = 2000
 #: Partners that a set keeps at a token in the second round.
@@ -153,7 +153,7 @@ def word_codes(scanned: DataFrame) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, n: int, percent: int, codes: np.ndarray) -> DataFrame:
-    """(k0, k1, g, size, last, bits, prefix) once for each set in a task.
+    """(k0, k1, t, g, size, last, bits, prefix) once for each set in a task; t is the hash of its text.
 
     g is the hash of prefix and size, last the place of the prefix's last token in
     the order, bits the parity bitmap of the set: at least two bits a member, a
@@ -180,9 +180,9 @@ def _prefixes(rows: DataFrame, n: int, percent: int, codes: np.ndarray) -> DataF
                         fresh.append(i)
                 last = np.r_[order, 0][np.where(size > 0, at[:-1] + length - 1, len(order))]
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), _i64(prefix))
-                yield pa.RecordBatch.from_arrays([_i64(k0), _i64(k1), _i64(g), pa.array(size), pa.array(last), pa.array(_parity(h, at), pa.binary()), lists], names=["k0", "k1", "g", "size", "last", "bits", "prefix"]).take(pa.array(fresh, pa.int64()))
+                yield pa.RecordBatch.from_arrays([_i64(k0), _i64(k1), batch.column(2).slice(a, b - a), _i64(g), pa.array(size), pa.array(last), pa.array(_parity(h, at), pa.binary()), lists], names=["k0", "k1", "t", "g", "size", "last", "bits", "prefix"]).take(pa.array(fresh, pa.int64()))
 
-    return rows.mapInArrow(run, "k0 long, k1 long, g long, size long, last long, bits binary, prefix array<long>")
+    return rows.mapInArrow(run, "k0 long, k1 long, t long, g long, size long, last long, bits binary, prefix array<long>")
 
 
 def _parity(h: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -217,29 +217,54 @@ def _close(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a0 long, a1 long, b0 long, b1 long")
 
 
-def _texts_of(rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """(k0, k1, text) of the sets in ``pairs``, and of some more: once for each set in a task."""
-    low = F.col("k0").bitwiseAND((1 << BITMAP_BITS) - 1)
-    held = pairs.select(F.explode(F.array("a0", "b0")).alias("k0")).select(low.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
+def _bitmap(keys: DataFrame, column: str):
+    """A broadcast bitmap of the low bits of a hash column: its size is fixed, whatever the rows."""
+    h = keys.select(F.col(column).bitwiseAND((1 << BITMAP_BITS) - 1).alias("h"))
+    held = h.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     bitmap[held["w"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    return keys.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _repeated_postings(prefixes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(g, size, pos, token) of the prefix tokens that the bitmap of repeated tokens holds: all of those, and few others."""
+    shared = _bitmap(repeated, "token")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for batch in tidy(batches):
-            flat, offsets = flat_text(batch.column(1))
-            for a, b in steps(offsets):
-                k0, k1 = (k.view(np.int64) for k in set_keys(*shingles(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)))
-                h = k0 & ((1 << BITMAP_BITS) - 1)
-                fresh = []
-                for i in np.flatnonzero((shared.value[h >> 6] >> (h & 63)) & 1).tolist():
-                    key = (int(k0[i]), int(k1[i]))
-                    if key not in seen:
-                        seen.add(key)
-                        fresh.append(i)
-                if fresh:
-                    yield pa.RecordBatch.from_arrays([pa.array(k0[fresh]), pa.array(k1[fresh]), batch.column(1).slice(a, b - a).take(pa.array(fresh))], names=["k0", "k1", "text"])
+            for a in range(0, len(batch), 1000):
+                part = batch.slice(a, 1000)
+                at = part.column(2).offsets.to_numpy()
+                token = part.column(2).values.to_numpy()[at[0] : at[-1]]
+                h = token & ((1 << BITMAP_BITS) - 1)
+                hit = np.flatnonzero((shared.value[h >> 6] >> (h & 63)) & 1)
+                row = np.searchsorted(at - at[0], hit, "right") - 1
+                g, size = part.column(0).to_numpy()[row], part.column(1).to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(size), pa.array((hit - (at - at[0])[row]).astype(np.int32)), pa.array(token[hit])], names=["g", "size", "pos", "token"])
+
+    return prefixes.select("g", "size", "prefix").mapInArrow(run, "g long, size long, pos int, token long")
+
+
+def _texts_of(rows: DataFrame, pairs: DataFrame, prefixes: DataFrame, n: int) -> DataFrame:
+    """(k0, k1, text) of the sets in ``pairs``, and of some more: a bitmap of the hashes of their texts picks rows, each text once in a task."""
+    keys = pairs.select(F.explode(F.array(F.struct(F.col("a0").alias("k0"), F.col("a1").alias("k1")), F.struct(F.col("b0").alias("k0"), F.col("b1").alias("k1")))).alias("k")).select("k.*").distinct()
+    h = prefixes.select("k0", "k1", "t").join(keys, ["k0", "k1"], "left_semi").select(F.col("t").alias("h"))
+    shared = _bitmap(h, "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in tidy(batches):
+            t = batch.column(2).to_numpy()
+            h = t & ((1 << BITMAP_BITS) - 1)
+            fresh = []
+            for i in np.flatnonzero((shared.value[h >> 6] >> (h & 63)) & 1).tolist():
+                if int(t[i]) not in seen:
+                    seen.add(int(t[i]))
+                    fresh.append(i)
+            for a in range(0, len(fresh), 200):
+                texts = batch.column(1).take(pa.array(fresh[a : a + 200]))
+                k0, k1 = (_i64(k) for k in set_keys(*shingles(*flat_text(texts), n)))
+                yield pa.RecordBatch.from_arrays([k0, k1, texts], names=["k0", "k1", "text"])
 
     return rows.mapInArrow(run, "k0 long, k1 long, text string")
 
@@ -380,13 +405,14 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent goes from 50 to 100")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("t"))
     scanned = stored(_scan(rows, n), "sets")
     codes = word_codes(scanned)
     sets = scanned.where("chunk is null").select("id", "k0", "k1", "size")
     prefixes = stored(_prefixes(rows, n, percent, codes), "prefixes")
     members = prefixes.select("g", "size", "k0", "k1").distinct()
-    postings = prefixes.dropDuplicates(["g", "size"]).select("g", "size", F.posexplode("prefix").alias("pos", "token"))
+    repeated = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    postings = _repeated_postings(prefixes, repeated).distinct()
     # the pivot of a token is the group that has it first
     postings = postings.withColumn("rank", F.shiftleft(F.col("pos").cast("long"), 40) + F.col("g").bitwiseAND((1 << 40) - 1))
     shared = postings.groupBy("token").agg(F.count("*").alias("c"), F.min("rank").alias("first")).where("c > 1").select("token", "first")
@@ -400,7 +426,7 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = members.groupBy("g", "size").agg(F.min(F.struct("k0", "k1")).alias("m"), F.count("*").alias("c")).where("c > 1")
     inside = members.join(first, ["g", "size"]).where("k0 <> m.k0 or k1 <> m.k1").select("k0", "k1", "m.k0", "m.k1").toDF("a0", "a1", "b0", "b1")
     pairs = stored(_close(_expanded(met, members).union(inside), prefixes, percent), "pairs")
-    texts = stored(_texts_of(rows, pairs, n), "texts").dropDuplicates(["k0", "k1"])
+    texts = stored(_texts_of(rows, pairs, prefixes, n), "texts").dropDuplicates(["k0", "k1"])
     links = stored(_verified(pairs, texts, n, percent), "links")
 
     name = lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
@@ -413,7 +439,7 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         more = stored(_close_pairs(postings, own, prefixes, percent, best), "more")
         if more.isEmpty():
             continue
-        texts = stored(_texts_of(rows, more, n), "texts").dropDuplicates(["k0", "k1"])
+        texts = stored(_texts_of(rows, more, prefixes, n), "texts").dropDuplicates(["k0", "k1"])
         more = stored(_verified(more, texts, n, percent), "links")
         if not more.isEmpty():
             links = links.union(more)

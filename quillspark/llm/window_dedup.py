@@ -41,8 +41,8 @@ BASE = 0x5851F42D4C957F2D  # odd
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bits of the bitmaps of repeated anchors and of texts that have some: 8 MB, whatever the corpus.
 BITMAP_BITS = 26
-#: Most distinct runs of an anchor that one task sorts (each has at most 369 bytes).
-CROWD = 2000
+#: Most distinct runs of an anchor that one task sorts (each has at most 369 bytes: 7 MB).
+CROWD = 20_000
 #: Windows that one radix sort orders at once.
 STEP_WINDOWS = 200_000
 
@@ -252,7 +252,14 @@ def _sorted_runs(rows: DataFrame, width: int) -> DataFrame:
         group = np.cumsum(np.r_[0, anchor[1:] != anchor[:-1]])
         row = np.repeat(np.arange(len(place)), times)
         starts = ranges(offsets[:-1], times)
-        hit = radix_groups(flat, starts, group[row], width) & part.column("alone").to_numpy()[row]
+        hit = np.zeros(len(starts), bool)
+        many = -(-len(starts) // (2 * STEP_WINDOWS))
+        # a crowd's windows are first dealt by their first bytes, so that a sort stays small
+        deal = mix(range_hash(prefix_sums(flat), starts, starts + min(8, width))) % np.uint64(many) if many > 1 else np.zeros(1, np.uint64)
+        for k in range(many):
+            own = np.flatnonzero(deal == k) if many > 1 else np.arange(len(starts))
+            hit[own] = radix_groups(flat, starts[own], group[row[own]], width)
+        hit &= part.column("alone").to_numpy()[row]
         first = np.flatnonzero(hit & ~np.r_[False, hit[:-1] & (row[1:] == row[:-1])])
         last = np.flatnonzero(hit & ~np.r_[hit[1:] & (row[1:] == row[:-1]), False])
         own = row[first]
