@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fold(s: str | None) -> str:
@@ -20,25 +21,25 @@ def fold(s: str | None) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s or "") if not unicodedata.combining(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def norm_title(s: pd.Series) -> pd.Series:
     """Accents dropped, lowered, anything but a-z and 0-9 one blank."""
     return s.map(lambda x: re.sub(r"[^a-z0-9]+", " ", fold(x).lower()).strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def slugify(s: pd.Series) -> pd.Series:
     """An ASCII slug of at most 60 letters."""
     return s.map(lambda x: re.sub(r"[^a-z0-9]+", "-", fold(x).encode("ascii", "ignore").decode().lower()).strip("-")[:60])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio, first argument first: it isn't symmetric."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio of normalised titles; 0 if either is empty."""
     clean = lambda x: re.sub(r"[^a-z0-9]+", " ", fold(x).lower()).strip()
@@ -46,7 +47,7 @@ def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in pairs])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def yaml_to_json(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A YAML mapping as JSON, dates as ISO text; null if it doesn't parse, an empty object if it's no mapping."""
     import yaml
@@ -70,14 +71,14 @@ def match_offsets(pattern: str, groups: int, flags: int = re.IGNORECASE):
     """A UDF: array of (start, end, whole, groups) of every match of a pattern."""
     compiled = re.compile(pattern, flags)
 
-    @F.pandas_udf("array<struct<start: int, end: int, whole: string, groups: array<string>>>")
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("whole", T.StringType()), T.StructField("groups", T.ArrayType(T.StringType()))])))
     def found(s: pd.Series) -> pd.Series:
         return s.map(lambda x: [{"start": m.start(), "end": m.end(), "whole": m.group(0), "groups": [m.group(k + 1) for k in range(groups)]} for m in compiled.finditer(x or "")])
 
     return found
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def figure_slug(s: pd.Series) -> pd.Series:
     """The first eight informative words of a caption."""
     from .text import FIGURE_STOP
@@ -121,6 +122,10 @@ def opf_metadata(data: bytes) -> dict:
     return out
 
 
-@F.pandas_udf("title string, authors array<string>, editors array<string>, publisher string, isbn string, language string, year int")
+# types, not text: text would need a session at import
+_TEXT, _LIST = T.StringType(), T.ArrayType(T.StringType())
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, t) for n, t in (("title", _TEXT), ("authors", _LIST), ("editors", _LIST), ("publisher", _TEXT), ("isbn", _TEXT), ("language", _TEXT), ("year", T.IntegerType()))]))
 def epub_metadata(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([opf_metadata(bytes(x)) for x in data], columns=["title", "authors", "editors", "publisher", "isbn", "language", "year"])

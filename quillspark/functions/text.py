@@ -35,6 +35,11 @@ def none_if_empty(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+
+
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match, null without a match or where the group has no part in it."""
     return none_if_empty(F.regexp_extract(text, pattern, group))

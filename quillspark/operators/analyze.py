@@ -38,7 +38,7 @@ def pooled_samples(sources: DataFrame) -> DataFrame:
 
 def descriptor_counts(sources: DataFrame, descriptors: DataFrame, text: str = "population") -> DataFrame:
     """(grp, label, n): sources whose text has a pattern of (grp, label, pattern); the lexicon is a small dimension table."""
-    hit = sources.select("slug", F.col(text).alias("t")).join(F.broadcast(descriptors), F.col("t").rlike(F.concat(F.lit("(?i)"), "pattern")))
+    hit = sources.select("slug", F.col(text).alias("t")).join(F.broadcast(descriptors), F.rlike("t", F.concat(F.lit("(?iU)"), "pattern")))
     return hit.groupBy("grp", "label").agg(F.count_distinct("slug").alias("n"))
 
 
@@ -68,7 +68,7 @@ def metric_observations(sources: DataFrame, metrics: dict[str, list[str]], tract
     metric = F.coalesce(*(F.when(low == k, F.lit(v)) for k, v in names.items()), F.upper(low))
     rows = found.select("slug", F.col("m.start").alias("pos"), metric.alias("metric"), F.col("m.groups")[1].cast("double").alias("value"), F.col("m.groups")[2].try_cast("double").alias("sd"), F.substring("body", F.greatest(F.col("m.start") - window, F.lit(0)) + 1, F.least(F.col("m.start"), F.lit(window)) + window).alias("near"))
     rows = rows.where("metric <> 'FA' or value between 0 and 1")
-    named = rows.join(F.broadcast(tracts), F.col("near").rlike(F.concat(F.lit("(?i)"), "pattern")))
+    named = rows.join(F.broadcast(tracts), F.rlike("near", F.concat(F.lit("(?iU)"), "pattern")))
     first = named.groupBy("slug", "pos").agg(F.min_by("label", "ord").alias("tract"))
     return rows.join(first, ["slug", "pos"], "left").select("slug", "pos", "tract", "metric", "value", "sd")
 
@@ -148,7 +148,7 @@ def single_study_concepts(concepts: DataFrame, sources: DataFrame, header: str =
 
 def region_snippets(sentences: DataFrame, regions: DataFrame, cap: int = 3) -> DataFrame:
     """(key, label, page_id, pos, sentence): sentences that name a region of the lexicon (key, label, pattern), the first ``cap`` of a page (a report's limit)."""
-    hit = sentences.join(F.broadcast(regions), F.col("sentence").rlike(F.concat(F.lit("(?i)"), "pattern"))).dropDuplicates(["key", "page_id", "pos"])
+    hit = sentences.join(F.broadcast(regions), F.rlike("sentence", F.concat(F.lit("(?iU)"), "pattern"))).dropDuplicates(["key", "page_id", "pos"])
     rank = F.row_number().over(Window.partitionBy("key", "page_id").orderBy("pos"))
     return hit.withColumn("r", rank).where(F.col("r") <= cap).select("key", "label", "page_id", "pos", "sentence")
 

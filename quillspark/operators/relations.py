@@ -127,7 +127,7 @@ NAMED_CHAPTERS = (
 
 def chapter_heading(line: Column) -> Column:
     """(number, title) of a chapter heading, null for other lines; named chapters have no number."""
-    clean = F.btrim(F.regexp_replace(F.regexp_replace(F.btrim(line), r"(?i)<span[^>]*>|</span>", ""), r"\*+", ""))
+    clean = X.strip(F.regexp_replace(F.regexp_replace(X.strip(line), r"(?i)<span[^>]*>|</span>", ""), r"\*+", ""))
     options = []
     for p in CHAPTER_PATTERNS:
         g = F.regexp_extract(clean, p, 1)
@@ -139,7 +139,7 @@ def chapter_heading(line: Column) -> Column:
     for n in NAMED_CHAPTERS:
         named = named | (body == n) | body.startswith(n + " ")
     options.append(F.when(named, F.struct(F.lit(None).cast("int").alias("number"), body.alias("title"))))
-    return F.when(F.btrim(line).startswith("# "), F.coalesce(*options))
+    return F.when(X.strip(line).startswith("# "), F.coalesce(*options))
 
 
 def chapters(docs: DataFrame, body: str = "body", least: int = 1500) -> DataFrame:
@@ -154,7 +154,7 @@ def chapters(docs: DataFrame, body: str = "body", least: int = 1500) -> DataFram
 
     def step(s: Column, x: Column) -> Column:
         number = F.coalesce(x.h.number, s.top + 1)
-        title = F.coalesce(X.none_if_empty(x.h.title), F.btrim(F.ltrim(F.regexp_replace(x.line, r"\*+", ""), F.lit("# "))))
+        title = F.coalesce(X.none_if_empty(x.h.title), X.strip(F.ltrim(F.regexp_replace(x.line, r"\*+", ""), F.lit("# "))))
         new = F.struct(number.alias("number"), title.alias("title"), F.array(x.line).alias("lines"))
         last = F.element_at(s.done, -1)
         longer = F.struct(last.number.alias("number"), last.title.alias("title"), F.array_append(last.lines, x.line).alias("lines"))

@@ -315,7 +315,7 @@ def citations_snowball(spark, sf):
     return citations.snowball(view(spark, sf, CITES), view(spark, sf, OWNERS)).select("doi", "n", F.array_join("citers", ",").alias("citers"))
 
 
-@query(CITED + ", m AS (SELECT slug, ord, doi, row_number() OVER (PARTITION BY slug, doi ORDER BY ord) AS r FROM c) SELECT slug, string_agg(doi, ',' ORDER BY ord) FILTER (r = 1) AS cites, count(*) FILTER (r > 1)::BIGINT AS n_unresolved FROM m GROUP BY 1")
+@query(CITED + ", m AS (SELECT slug, ord, doi, row_number() OVER (PARTITION BY slug, doi ORDER BY ord) AS r FROM c) SELECT slug, string_agg(doi, ',' ORDER BY ord, doi) FILTER (r = 1) AS cites, count(*) FILTER (r > 1)::BIGINT AS n_unresolved FROM m GROUP BY 1")
 def references_resolved(spark, sf):
     entry = F.concat(F.lit("["), F.col("ord").cast("string"), F.lit("] Some Author. A title of a paper. doi:"), F.upper("doi"), F.lit("."))
     rows = view(spark, sf, CITES).groupBy("slug").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", entry.alias("e")))), lambda x: x.e).alias("lines"))
@@ -326,12 +326,9 @@ def references_resolved(spark, sf):
     return out.select("slug", F.array_join("cites", ",").alias("cites"), F.size("cites_unresolved").cast("long").alias("n_unresolved"))
 
 
-CITERS = ("lineitem join part on l_partkey = p_partkey", [])
-
-
-@query("WITH f AS (SELECT '10.1000/p' || l_partkey AS doi, count(DISTINCT l_suppkey) AS co, min(2000 + p_size) AS year, min(p_size) AS h, min(p_retailprice::INT) AS cit FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), v AS (SELECT *, cit / greatest(1, 2030 - year) AS vel FROM f) SELECT doi, co::BIGINT AS co, round(co * 100 + vel + log10(greatest(1, h)), 6) AS score FROM v WHERE CASE WHEN year >= 2030 THEN co >= 2 ELSE co >= 2 OR (vel >= 2.5 AND h >= 30) END")
+@query("WITH f AS (SELECT '10.1000/p' || l_partkey AS doi, count(DISTINCT l_suppkey) AS co, min(2000 + p_size) AS year, min(p_size) AS h, min(floor(p_retailprice)::INT) AS cit FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), v AS (SELECT *, cit / greatest(1, 2030 - year) AS vel FROM f) SELECT doi, co::BIGINT AS co, round(co * 100 + vel + log10(greatest(1, h)), 6) AS score FROM v WHERE CASE WHEN year >= 2030 THEN co >= 2 ELSE co >= 2 OR (vel >= 2.5 AND h >= 30) END")
 def citations_forward(spark, sf):
-    p = view(spark, sf, ("part", ["p_partkey as l_partkey", "cast(2000 + p_size as int) as year", "p_brand as venue", "p_size as venue_h", "cast(p_retailprice as int) as citations", "p_name as title"]))
+    p = view(spark, sf, ("part", ["p_partkey as l_partkey", "cast(2000 + p_size as int) as year", "p_brand as venue", "p_size as venue_h", "cast(floor(p_retailprice) as int) as citations", "p_name as title"]))
     c = view(spark, sf, ("lineitem", ["l_partkey", "cast(l_suppkey as string) as source_doi"])).join(p, "l_partkey").withColumn("doi", F.concat(F.lit("10.1000/p"), F.col("l_partkey").cast("string")))
     none = view(spark, sf, ("part", ["'x' as slug", "'' as doi"]))
     return citations.forward_candidates(c, none, 2030).select("doi", "co", F.round("score", 6).alias("score"))
@@ -436,7 +433,7 @@ def cohort_pooled_samples(spark, sf):
     return analyze.pooled_samples(o.join(view(spark, sf, ("customer", ["c_custkey", "c_mktsegment as intervention_family"])), "c_custkey"))
 
 
-@query(SECTIONS + ", d(grp, label, p) AS (VALUES ('side', 'left', '(?i)\\bthe\\b'), ('side', 'right', '(?i)\\bund\\b'), ('phase', 'acute', '(?i)\\bque\\b')) SELECT grp, label, count(DISTINCT slug)::BIGINT AS n FROM s JOIN d ON regexp_matches(text, p) GROUP BY 1, 2".replace("\\\\b", "\\b"))
+@query(SECTIONS + r", d(grp, label, p) AS (VALUES ('side', 'left', 'the'), ('side', 'right', 'und'), ('phase', 'acute', 'que')) SELECT grp, label, count(DISTINCT slug)::BIGINT AS n FROM s JOIN d ON regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])' || p || '([^\p{L}\p{N}_]|$)') GROUP BY 1, 2")
 def cohort_descriptors(spark, sf):
     d = spark.createDataFrame([("side", "left", r"\bthe\b"), ("side", "right", r"\bund\b"), ("phase", "acute", r"\bque\b")], "grp string, label string, pattern string")
     return analyze.descriptor_counts(view(spark, sf, SOURCES), d, "text")
@@ -485,14 +482,14 @@ def metrics_by_tract(spark, sf):
     return analyze.metric_summary(found).select("tract", "metric", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query(cte(x=EFFECTS) + " SELECT l_returnflag AS family, count(*)::BIGINT AS n, count(*) FILTER (l_returnflag = 'R')::BIGINT AS with_p FROM x GROUP BY 1")
+@query(cte(x=EFFECTS) + " SELECT l_returnflag AS family, count(*)::BIGINT AS n, count(*)::BIGINT AS with_delta FROM x GROUP BY 1")
 def effects_by_outcome(spark, sf):
-    rows = view(spark, sf, EFFECTS).select(F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("slug"), "text", "l_returnflag")
+    rows = view(spark, sf, EFFECTS).select(F.col("l_returnflag").alias("slug"), "text")
     found = analyze.effects(analyze.outcome_mentions(rows, "score", r"\bScore\b", "text"))
-    return found.join(rows.select("slug", F.col("l_returnflag").alias("family")), "slug").groupBy("family").agg(F.count("*").alias("n"), F.count("p").alias("with_p"))
+    return found.groupBy(F.col("slug").alias("family")).agg(F.count("*").alias("n"), F.count("delta").alias("with_delta"))
 
 
-@query(cte(p=PAGES) + ", l AS (SELECT page_id, unnest(regexp_extract_all(content, 'href=\"/([^\"]+)\"', 1)) AS target FROM p), st AS (SELECT lower(stem) AS s, arg_max(page_id, path) AS dst FROM p GROUP BY 1), e AS (SELECT DISTINCT least(l.page_id, st.dst) AS a, greatest(l.page_id, st.dst) AS b FROM l JOIN st ON lower(l.target) = st.s WHERE l.page_id <> st.dst), h AS (SELECT page_id AS id FROM p WHERE list_bool_or(list_transform(string_split(lower(stem), ' '), lambda w: length(w) > 2 AND contains('what does the action of thand on ther say', w)))), n AS (SELECT b AS id FROM e WHERE a IN (SELECT id FROM h) UNION SELECT a FROM e WHERE b IN (SELECT id FROM h) AND a NOT IN (SELECT id FROM h)), o AS (SELECT 1 AS part, id::BIGINT AS at, id || '.md' AS path FROM h UNION ALL SELECT 2, 0, id || '.md' FROM n WHERE id NOT IN (SELECT id FROM h)) SELECT (row_number() OVER (ORDER BY part, at, path) - 1)::INT AS ord, path FROM o ORDER BY 1 LIMIT 15")
+@query(cte(p=PAGES) + ", l AS (SELECT page_id, unnest(regexp_extract_all(content, 'href=\"/([^\"]+)\"', 1)) AS target FROM p), st AS (SELECT lower(stem) AS s, arg_max(page_id, path) AS dst FROM p GROUP BY 1), e AS (SELECT DISTINCT least(l.page_id, st.dst) AS a, greatest(l.page_id, st.dst) AS b FROM l JOIN st ON lower(l.target) = st.s WHERE l.page_id <> st.dst), h AS (SELECT page_id AS id FROM p WHERE list_bool_or(list_transform(string_split(lower(stem), ' '), lambda w: length(w) > 2 AND contains('what does the action of thand on ther say', w)))), n AS (SELECT b AS id FROM e WHERE a IN (SELECT id FROM h) UNION SELECT a FROM e WHERE b IN (SELECT id FROM h) AND a NOT IN (SELECT id FROM h)), o AS (SELECT 1 AS part, id::BIGINT AS place, id || '.md' AS path FROM h UNION ALL SELECT 2, 0, id || '.md' FROM n WHERE id NOT IN (SELECT id FROM h)) SELECT (row_number() OVER (ORDER BY part, place, path) - 1)::INT AS ord, path FROM o ORDER BY 1 LIMIT 15")
 def retrieval_for_question(spark, sf):
     p = view(spark, sf, PAGES)
     index = p.select(F.col("stem").alias("title"), F.concat("page_id", F.lit(".md")).alias("href"), F.col("page_id").cast("long").alias("ord"))
