@@ -1,0 +1,118 @@
+"""Quality rules, licences, secrets and pages."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["op2_quality", "op9_licenses"])
+def test_queries_equal_their_sql(spark, name):
+    from quillspark.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for f in glob.glob(f"{SMALL}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    df = QUERIES[name](spark, SMALL)
+    res = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in res.description]
+    want = sorted(repr([r[names.index(c)] for c in sorted(names)]) for r in res.fetchall())
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(repr([r[c] for c in sorted(names)]) for r in df.collect()) == want
+
+
+def test_quality_edges(spark):
+    from quillspark.llm.quality_rules import quality_filter, quality_report
+
+    good = " ".join(f"word{i} und{i}" for i in range(60))
+    rows = [(1, None, "en", "s"), (None, "", None, None), (2, good, "en", "s"), (2, good, None, None), (3, "# * ## " * 60, "en", "s"), (4, "x y z " * 40, "en", "s")]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, source string, kept long")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["base_failed"], r["kept"]) for r in quality_report(df).collect())
+    assert ("2", 120, False, True) in got and ("4", 120, True, False) in got and ("1", 0, True, False) in got and len(got) == 6
+    assert quality_filter(df).columns == df.columns and quality_filter(df).count() == 2
+    assert quality_report(df.limit(0)).count() == 0
+
+
+def test_sketches_merge_to_quantiles(spark):
+    from quillspark.llm.quality_rules import _bucket, _lower_edge
+
+    df = spark.range(0, 100000, 7).select(F.col("id").alias("v"))
+    out = df.select("v", _lower_edge(_bucket(F.col("v"))).alias("e"))
+    assert out.where("e > v or e < v - v / 16 - 1").count() == 0
+    assert df.where("v < 32").select((_lower_edge(_bucket(F.col("v"))) == F.col("v")).alias("x")).where("not x").count() == 0
+
+
+def test_licences(spark):
+    from quillspark.llm.license_scan import scan_licenses
+
+    rows = [(1, None), (1, ""), (2, "x. Released under the MIT License. Under the MIT license!"), (3, "cc by nc cc-by-nc"), (4, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."), (5, "mit einer Lizenz")]
+    df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, labels string")
+    got = {(r["doc_id"], r["n_words"]): (r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"]) for r in scan_licenses(df).collect()}
+    assert got[2, 10] == (2, 2, 6, "mit", "mit")
+    assert got[3, 6] == (2, 0, 3, "cc-by-nc", "cc-by-nc")
+    assert [v for (i, _), v in got.items() if i == 4][0][4] == "gpl-3"
+    assert got[5, 3] == (0, None, None, "", "") and got[1, 0] == (0, None, None, "", "")
+    assert scan_licenses(df.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    from quillspark.llm.secret_scan import labelled_findings, train_forest
+
+    return train_forest(labelled_findings(spark))
+
+
+def test_forest_on_held_out_findings(spark, forest):
+    from quillspark.llm.secret_scan import features, forest_score, labelled_findings
+
+    rows = labelled_findings(spark, 2000, seed=5)
+    f = features(F.col("value"), F.col("left"), F.col("right"))
+    right = rows.select(((forest_score(forest, lambda n: f[n]) >= 0.5) == (F.col("label") == 1)).alias("ok")).agg(F.avg(F.col("ok").cast("int"))).first()[0]
+    assert right > 0.95
+
+
+def test_secrets(spark, forest):
+    from quillspark.llm.secret_scan import find_secrets, redact_secrets
+
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(1, None), (1, ""), (2, f'text token = "{key}" and token = "{key}" end'), (3, f"Merge commit {key} into main"), (4, "card 4737097684299439 ununununununununun")]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, kind string")
+    found = find_secrets(df, forest).where("is_secret").collect()
+    assert sorted((r["doc_id"], r["start"], r["value"]) for r in found) == [(2, 14, key), (2, rows[2][1].rindex(key), key)]
+    out = {r["text"] for r in redact_secrets(df, forest).collect()}
+    assert out == {None, "", 'text token = "[REDACTED]" and token = "[REDACTED]" end', rows[3][1], rows[4][1]}
+    assert find_secrets(df.limit(0), forest).count() == 0
+
+
+def test_pages(spark):
+    from quillspark.llm.html_text import extract_text, render
+
+    assert render("<p>a<p>b<br>c<div hidden>no</div>") == "a\n\nb\nc"
+    assert render("<ul><li>a<li>b<ol start=3><li>x<li>y</ol></ul>") == "- a\n- b\n  3. x\n  4. y"
+    assert render("<table><tr><td>a<td>bbb<tr><td>cccc<td>d</table>") == "a    | bbb\ncccc | d"
+    assert render("<details><summary>S</summary>z</details>t") == "S\nt"
+    assert render("<pre> x\n  y</pre>a &amp;  b<script>p</script><style>q</style><!-- c -->") == " x\n  y\n\na & b"
+    for deep in ("<div>" * 30000 + "x", "<ul><li>" * 2000 + "x", "<b" * 20000, "<!--" * 20000, "<table><td>" * 500 + "x"):
+        assert "x" in render(deep) or "x" not in deep
+    df = spark.createDataFrame([(1, None, 0), (1, "", 0), (2, "<p>x", 0)], "page_id long, html string, text long")
+    assert sorted((r["page_id"], r["text"], r["n_lines"]) for r in extract_text(df).collect()) == [(1, "", 0), (1, "", 0), (2, "x", 1)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        before, docs = docs, corpus_pipeline.stored(stage(spark, docs, SMALL), f"t{k}")
+        assert docs.columns == before.columns and 0 < docs.count() <= before.count()
+    odd = spark.createDataFrame([(None, None, None, None, None)] * 2 + [(1, "a b c d e f", "en", "s", 11)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.one_of_each_group(spark, odd, SMALL)
+    assert kept.where("text is not null").count() == 1 and kept.where("text is null").count() == 2
