@@ -73,13 +73,18 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         a = b
 
 
+def trim() -> None:
+    """Gives memory that lies free back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same batches; after each, memory that lies free goes back to the system, so that idle workers stay small."""
     for batch in batches:
         yield batch
-        pa.default_memory_pool().release_unused()
-        if _trim is not None:
-            _trim(0)
+        trim()
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_values, connected_components, flat_text, mix, odd_powers, ranges, steps, stored, tidy
+from ._common import byte_values, connected_components, flat_text, mix, odd_powers, ranges, steps, stored, tidy, trim
 
 #: Cells of the word count table: 1 MB as codes of a byte, whatever the corpus.
 CELL_BITS = 20
 CHUNK_BITS = 12
-#: Bits of the bitmaps of repeated tokens and candidate texts: 8 MB, whatever the corpus.
-BITMAP_BITS = 26
+#: Bits of the bitmaps of repeated tokens and candidate texts: 2 MB, whatever the corpus.
+BITMAP_BITS = 24
 #: Sets of a token that meet in one task are at most twice this many.
 BLOCK = 2000
 #: Partners that a set keeps at a token in the second round.
@@ -149,7 +149,10 @@ def word_codes(scanned: DataFrame) -> np.ndarray:
     cells = np.zeros((1 << (CELL_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.int64)
     for k, c in zip(total["chunk"], total["cells"], strict=True):
         cells[k] = np.frombuffer(c, "<i8")
-    return np.minimum(4 * np.log2(cells.ravel() + 1), 255).astype(np.uint8)
+    codes = np.minimum(4 * np.log2(cells.ravel() + 1), 255).astype(np.uint8)
+    del total, cells
+    trim()
+    return codes
 
 
 def _prefixes(rows: DataFrame, n: int, percent: int, codes: np.ndarray) -> DataFrame:
@@ -223,6 +226,8 @@ def _bitmap(keys: DataFrame, column: str):
     held = h.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     bitmap[held["w"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
+    del held
+    trim()
     return keys.sparkSession.sparkContext.broadcast(bitmap)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_values, flat_text, mix, odd_powers, ranges, steps, stored, tidy
+from ._common import byte_values, flat_text, mix, odd_powers, ranges, steps, stored, tidy, trim
 
 WIDTH = 200
 ANCHOR = 32
@@ -162,6 +162,8 @@ def _bitmap(keys: DataFrame, column: str):
     words = keys.select((F.col(column).bitwiseAND((1 << BITMAP_BITS) - 1)).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    del words
+    trim()
     return keys.sparkSession.sparkContext.broadcast(bitmap)
 
 
