@@ -89,10 +89,10 @@ def best_version(attempts: DataFrame, enough: int = 2) -> DataFrame:
     one, the earliest of the highest rank is provisional.
     """
     rows = attempts.where("verified").withColumn("rank", X.version_rank(F.col("version")))
-    at = F.struct("provider_ord", (-F.col("rank")).alias("r"), "cand_ord")
+    at = F.struct("provider_ord", (-F.col("rank")).alias("r"), "cand_ord", "url")
     row = F.struct("provider", "url", "version", "rank")
     good = F.min_by(F.when(F.col("rank") >= enough, row), F.when(F.col("rank") >= enough, at))
-    other = F.min_by(row, F.struct((-F.col("rank")).alias("r"), "provider_ord", "cand_ord"))
+    other = F.min_by(row, F.struct((-F.col("rank")).alias("r"), "provider_ord", "cand_ord", "url"))
     out = rows.groupBy("doi").agg(good.alias("good"), other.alias("other"))
     return out.select("doi", F.coalesce("good", "other").alias("x"), F.col("good").isNotNull().alias("final")).select("doi", "x.provider", "x.url", "x.version", "x.rank", "final")
 

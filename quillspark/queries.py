@@ -349,7 +349,7 @@ def bibliography_entries(spark, sf):
 ATTEMPTS = ("lineitem", ["cast(l_orderkey as string) as doi", "l_linenumber as provider_ord", "cast(l_quantity as int) as cand_ord", "concat('p', cast(l_linenumber as string)) as provider", "concat('u', cast(l_partkey as string), '-', cast(l_linenumber as string)) as url", "case when l_returnflag = 'R' then 'publishedVersion' when l_returnflag = 'A' then 'submittedVersion' else 'accepted-version' end as version", "l_linestatus = 'O' as verified"])
 
 
-@query(cte(a=ATTEMPTS) + ", r AS (SELECT *, CASE version WHEN 'publishedVersion' THEN 3 WHEN 'submittedVersion' THEN 1 ELSE 2 END AS rank FROM a WHERE verified), w AS (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY rank >= 2 DESC, CASE WHEN rank >= 2 THEN provider_ord ELSE 0 END, rank DESC, provider_ord, cand_ord) AS k FROM r) SELECT doi, provider, url, rank, rank >= 2 AS final FROM w WHERE k = 1")
+@query(cte(a=ATTEMPTS) + ", r AS (SELECT *, CASE version WHEN 'publishedVersion' THEN 3 WHEN 'submittedVersion' THEN 1 ELSE 2 END AS rank FROM a WHERE verified), w AS (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY rank >= 2 DESC, CASE WHEN rank >= 2 THEN provider_ord ELSE 0 END, rank DESC, provider_ord, cand_ord, url) AS k FROM r) SELECT doi, provider, url, rank, rank >= 2 AS final FROM w WHERE k = 1")
 def fetch_best_version(spark, sf):
     return citations.best_version(view(spark, sf, ATTEMPTS)).select("doi", "provider", "url", "rank", "final")
 
