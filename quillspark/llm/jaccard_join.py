@@ -32,8 +32,8 @@ from ._common import byte_values, connected_components, flat_text, mix, odd_powe
 #: Cells of the word count table: 1 MB as codes of a byte, whatever the corpus.
 CELL_BITS = 20
 CHUNK_BITS = 12
-#: Bits of the bitmaps of repeated tokens and candidate texts: 2 MB, whatever the corpus.
-BITMAP_BITS = 24
+#: Bits of the bitmaps of repeated tokens and candidate texts: 4 MB, whatever the corpus.
+BITMAP_BITS = 25
 #: Sets of a token that meet in one task are at most twice this many.
 BLOCK = 2000
 #: Partners that a set keeps at a token in the second round.
@@ -65,12 +65,13 @@ def words(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, np.diff(np.searchsorted(start, offsets))
 
 
-def shingles(flat: np.ndarray, offsets: np.ndarray, n: int, codes: np.ndarray | None = None, ordered: bool = False) -> tuple[np.ndarray, ...]:
+def shingles(flat: np.ndarray, offsets: np.ndarray, n: int, codes: np.ndarray | None = None, ordered: bool = False, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
     """Distinct n-grams of each text, rarest first by ``codes``, and their n + 1 offsets; texts with fewer words have the whole sequence.
 
     With ``ordered`` also the place of each in the order, as a whole number (rarity, then the hash's high bits).
+    ``known`` is what ``words`` gives, if it is at hand.
     """
-    hashes, count = words(flat, offsets)
+    hashes, count = known or words(flat, offsets)
     first = np.cumsum(count) - count
     full = np.maximum(count - n + 1, (count > 0).astype(np.int64))
     doc = np.repeat(np.arange(len(count)), full)
@@ -121,8 +122,9 @@ def _scan(rows: DataFrame, n: int) -> DataFrame:
             flat, offsets = flat_text(batch.column(1))
             for a, b in steps(offsets):
                 part, cut = flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                cells += np.bincount((words(part, cut)[0] >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
-                h, at = shingles(part, cut, n)
+                known = words(part, cut)
+                cells += np.bincount((known[0] >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
+                h, at = shingles(part, cut, n, known=known)
                 k0, k1 = set_keys(h, at)
                 none = [pa.nulls(b - a, t) for t in (pa.int32(), pa.int32(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _i64(k0), _i64(k1), pa.array(np.diff(at)), *none], schema=schema)
