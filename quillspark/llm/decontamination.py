@@ -10,9 +10,12 @@ Windows whose keys agree in any table give a region, where the exact edit distan
 between the item and the best stretch of the document decides.
 
 Windows of documents with too few words of any item can't lie in a match and are
-not embedded. The number of tables is the least that reaches ``RECALL`` on items
-with as many random edits as the threshold allows, in a seeded simulation, and
-``MOST_TABLES`` at most; ``Index.recall`` tells what was reached.
+not embedded. The number of tables is the least that reaches ``RECALL`` for items of
+each length with as many random edits as the threshold allows, in a seeded
+simulation. Lengths that miss it with ``MOST_TABLES`` tables are searched exactly
+instead: of an item cut in one piece more than its edits, one piece stays whole in
+every match, so all places of a piece are verified. ``Index.recall`` has what was
+reached, by item length; ``Index.exact`` the lengths searched by pieces.
 """
 
 from __future__ import annotations
@@ -30,10 +33,13 @@ from ._common import byte_values, flat_text, mix, odd_powers, ranges, steps, tid
 #: Window sizes; an item takes the largest that it has.
 WINDOWS = (1, 2, 3, 4, 6, 8, 12, 16)
 SAMPLES = 4
+#: Tables of a window size; lengths that need more are searched exactly.
 MOST_TABLES = 8
-RECALL = 0.95
-#: Items with random edits that recall is measured on, for each window size.
+RECALL = 0.97
+#: Items with random edits that recall is measured on, for each item length.
 SIMULATED = 200
+#: Items of so many words and more have ever more windows of the same share of edits: the shortest of them stand for all.
+LONG_ITEM = 80
 #: Edits allowed, as a share of the item's words.
 EDITS = 0.2
 #: Items that are broadcast at once: benchmarks with more text are searched in blocks of this many bytes.
@@ -83,43 +89,102 @@ class Index:
         self.window = np.r_[0, WINDOWS][np.searchsorted(WINDOWS, self.sizes, "right")]
         self.tables: dict[int, list[tuple]] = {}
         self.recall: dict[int, float] = {}
+        self.exact: list[int] = []
+        #: words behind each text, for matches with fewer words than a window
+        self.gap = 0
         for w in sorted(set(self.window.tolist()) - {0}):
             self._build(w, recall)
+        self.pieces = self._pieces()
 
     def allowed(self, size: int) -> int:
         return int(size * self.edits)
 
     def _build(self, w: int, recall: float) -> None:
         items = np.flatnonzero(self.window == w)
+        most = (self.sizes[items] * self.edits).astype(np.int64)
+        self.gap = max(self.gap, int((w - self.sizes[items] + most).max()))
         count = self.sizes[items] - w + 1
         start = ranges(self.at[items], count)
         item = np.repeat(items, count)
         windows = self.symbols[start[:, None] + np.arange(w)]
         offset = start - self.at[item]
-        # items with random edits, to measure recall on
-        mutated, owner = [], []
-        for k in self.rng.choice(items, min(SIMULATED, len(items)), replace=False).tolist():
-            for _ in range(-(-SIMULATED // min(SIMULATED, len(items)))):
-                mutated.append(self._mutate(self.symbols[self.at[k] : self.at[k + 1]]))
-                owner.append(k)
-        found = np.zeros(len(mutated), bool)
-        self.tables[w] = []
-        while len(self.tables[w]) < MOST_TABLES and (len(self.tables[w]) < 2 or found.mean() < recall):
-            where = np.sort(self.rng.choice(w + w // 2, min(SAMPLES, w + w // 2), replace=False))
+        copies, owner, group = self._copies(items, w)
+        n = np.array([len(c) - w + 1 for c in copies])
+        flat, at = np.concatenate(copies), np.r_[0, np.cumsum([len(c) for c in copies])]
+        own = flat[ranges(at[:-1], n)[:, None] + np.arange(w)]
+        copy = np.repeat(np.arange(len(copies)), n)
+        found = np.zeros(len(copies), bool)
+        reached = lambda: np.bincount(group, found) / np.bincount(group)
+        tables = self.tables[w] = []
+        # steps close together write the same few words, whose keys are common
+        walk = w + w // 2
+        samples = min(SAMPLES, walk)
+        apart = max(1, walk // (2 * samples))
+        while len(tables) < MOST_TABLES and (len(tables) < 2 or reached().min() < recall):
+            where = np.sort(self.rng.choice(walk - (samples - 1) * (apart - 1), samples, replace=False)) + (apart - 1) * np.arange(samples)
             bits = self.rng.integers(0, 2, (int(where[-1]) + 1, self.pad + 1)).astype(np.int8)
             bits[:, self.pad] = 0
             keys = self._keys(windows, where, bits)
             order = np.argsort(keys, kind="stable")
+            tables.append((where, bits, keys[order], item[order], offset[order]))
+            key = self._keys(own, where, bits)
+            lo, hi = np.searchsorted(tables[-1][2], key, "left"), np.searchsorted(tables[-1][2], key, "right")
+            of = np.repeat(copy, hi - lo)
+            found[of[tables[-1][3][ranges(lo, hi - lo)] == owner[of]]] = True
+        share = reached()
+        sizes = np.minimum(self.sizes[items], LONG_ITEM)
+        lengths = np.unique(sizes)
+        missed = lengths[share < recall]
+        self.exact += np.unique(self.sizes[items[np.isin(sizes, missed)]]).tolist()
+        self.recall |= {int(k): 1.0 if v < recall else float(v) for k, v in zip(lengths, share, strict=True)}
+        # items searched by pieces leave the tables
+        for k, (where, bits, keys, ids, shift) in enumerate(tables):
+            stay = ~np.isin(self.sizes[ids], self.exact)
+            high = np.zeros(1 << 16, bool)
+            high[(keys[stay] >> np.uint64(48)).astype(np.int64)] = True
+            tables[k] = (where, bits, keys[stay], ids[stay], shift[stay], high)
+        if np.isin(self.sizes[items], self.exact).all():
+            del self.tables[w]
+
+    def _copies(self, items: np.ndarray, w: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Items with the most edits among other words, their items, and the number of their length in the class."""
+        copies, owner, group = [], [], []
+        sizes = np.minimum(self.sizes[items], LONG_ITEM)
+        around = np.full(w - 1, self.oov)
+        for g, size in enumerate(np.unique(sizes).tolist()):
+            same = items[sizes == size]
+            same = same[np.argsort(self.sizes[same], kind="stable")][:SIMULATED]
+            for k in self.rng.permutation(np.resize(same, SIMULATED)).tolist():
+                copies.append(np.concatenate([around, self._mutate(self.symbols[self.at[k] : self.at[k + 1]]), around]))
+                owner.append(k)
+                group.append(g)
+        return copies, np.array(owner), np.array(group)
+
+    def _pieces(self) -> list[tuple]:
+        """Of the items searched exactly, by piece size: sorted keys of the pieces, their items and offsets, and a table of high bits."""
+        at: dict[int, list[tuple[int, int]]] = {}
+        for k in np.flatnonzero(np.isin(self.sizes, self.exact)).tolist():
+            size = int(self.sizes[k])
+            n = self.allowed(size) + 1
+            at.setdefault(size // n, []).extend((k, i * size // n) for i in range(n))
+        out = []
+        for q, found in sorted(at.items()):
+            item, offset = np.array(found).T
+            keys = self._gram((self.at[item] + offset), self.symbols, q)
+            order = np.argsort(keys, kind="stable")
             high = np.zeros(1 << 16, bool)
             high[(keys >> np.uint64(48)).astype(np.int64)] = True
-            table = (where, bits, keys[order], item[order], offset[order], high)
-            self.tables[w].append(table)
-            for i, (m, k) in enumerate(zip(mutated, owner, strict=True)):
-                if not found[i] and len(m) >= w:
-                    own = self._keys(np.lib.stride_tricks.sliding_window_view(m, w), where, bits)
-                    lo, hi = np.searchsorted(table[2], own, "left"), np.searchsorted(table[2], own, "right")
-                    found[i] = bool((table[3][ranges(lo, hi - lo)] == k).any())
-        self.recall[w] = float(found.mean()) if len(found) else 1.0
+            out.append((q, keys[order], item[order], offset[order], high))
+        return out
+
+    @staticmethod
+    def _gram(start: np.ndarray, symbols: np.ndarray, q: int) -> np.ndarray:
+        """Keys of the q symbols from each start."""
+        key = np.zeros(len(start), np.uint64)
+        for j in range(q):
+            key = (key + symbols[start + j].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        return mix(key)
 
     def _mutate(self, s: np.ndarray) -> np.ndarray:
         out = s.tolist()
@@ -160,17 +225,20 @@ class Index:
         hashes, at = word_hashes(flat, offsets)
         if not len(hashes) or not len(self.words):
             return []
-        symbols = np.full(len(hashes) + 1, self.oov, np.int32)
+        # texts are laid out with unknown words behind each
+        words, at = np.diff(at), at + self.gap * np.arange(len(at))
+        end = at[:-1] + words
+        symbols = np.full(int(at[-1]) + 1, self.oov, np.int32)
         near = np.flatnonzero(self.high[(hashes >> np.uint64(48)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.words, hashes[near]), len(self.words) - 1)
-        symbols[near] = np.where(self.words[k] == hashes[near], k, self.oov)
+        symbols[ranges(at[:-1], words)[near]] = np.where(self.words[k] == hashes[near], k, self.oov)
         known = np.r_[0, np.cumsum(symbols[:-1] != self.oov)]
         text = np.repeat(np.arange(len(at) - 1), np.diff(at))
         hits = []
         for w, tables in self.tables.items():
-            if len(hashes) < w:
+            if len(text) < w:
                 continue
-            start = np.arange(len(hashes) - w + 1)
+            start = np.arange(len(text) - w + 1)
             # a match has a window with no more than its share of edits
             ok = (known[w:] - known[:-w] >= w - int(np.ceil(w * self.edits))) & (text[: len(start)] == text[w - 1 :])
             start = start[ok].astype(np.int32)
@@ -185,6 +253,20 @@ class Index:
                         which = ranges(lo, n)
                         p = np.repeat(part[i], n)
                         hits.append(np.stack([text[p], items[which], p - shift[which]]))
+        for q, keys, items, shift, high in self.pieces:
+            if len(text) < q:
+                continue
+            start = np.flatnonzero((known[q:] - known[:-q] == q) & (text[: len(text) - q + 1] == text[q - 1 :]))
+            key = self._gram(start, symbols, q)
+            i = np.flatnonzero(high[(key >> np.uint64(48)).astype(np.int64)])
+            lo, hi = np.searchsorted(keys, key[i], "left"), np.searchsorted(keys, key[i], "right")
+            which = ranges(lo, hi - lo)
+            p, item = np.repeat(start[i], hi - lo), items[which]
+            place, most = p - shift[which], (self.sizes[item] * self.edits).astype(np.int64)
+            # a match at this place has all but its edits of the item's words within as many words of it
+            a, b = np.maximum(place - most, at[text[p]]), np.minimum(place + self.sizes[item] + most, end[text[p]])
+            ok = known[b] - known[a] >= self.sizes[item] - most
+            hits.append(np.stack([text[p], item, place])[:, ok])
         if not hits:
             return []
         rows = np.unique(np.concatenate(hits, axis=1), axis=1).T.tolist()
@@ -196,7 +278,7 @@ class Index:
             slack = 2 * most + 2
             if reach[:2] == (t, item) and place <= reach[2]:
                 continue  # the last region holds this place
-            lo, hi = max(int(at[t]), place - slack), min(int(at[t + 1]), place + size + 2 * slack)
+            lo, hi = max(int(at[t]), place - slack), min(int(end[t]), place + size + 2 * slack)
             reach = (t, item, place + slack)
             d, a, b = best_place(self.symbols[self.at[item] : self.at[item + 1]], symbols[lo:hi])
             if d <= most and d < out.get((t, item), (most + 1,))[0]:

@@ -143,3 +143,49 @@ def test_leaks_are_found_and_clean_texts_stay(spark):
     bench = spark.createDataFrame([(0, items[0]), (1, None), (2, "")], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"], r["edits"], r["start"]) for r in find_leaks(docs, bench).collect()] == [(2, 0, 0, 1)]
     assert drop_leaks(docs, bench).count() == 3 and drop_leaks(docs, bench.limit(0)).count() == 4
+
+
+def edited_copies(rng, items, times):
+    """(item, text): copies with as many random edits as are allowed."""
+    out = []
+    for k, t in enumerate(items):
+        for _ in range(times):
+            w = t.split()
+            for _ in range(int(len(w) * 0.2)):
+                j = rng.randrange(len(w))
+                w[j : j + 1] = rng.choice([["zzz"], [], [w[j], "yyy"]])
+            out.append((k, " ".join(w)))
+    return out
+
+
+def searched(ix, texts):
+    raw = [t.encode() for t in texts]
+    return {(t, k) for t, k, *_ in ix.search(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])}
+
+
+def test_leaks_of_every_length_are_found():
+    from quillspark.llm.decontamination import Index, best_place
+
+    rng = random.Random(23)
+    items = [sentence(rng, n) for n in range(8, 60) for _ in range(4)]
+    ix = Index(list(range(len(items))), items)
+    copies = edited_copies(rng, items, 25)
+    got = searched(ix, [f"{sentence(rng, 20)} {c} {sentence(rng, 20)}" for _, c in copies])
+    reached = collections.defaultdict(list)
+    for i, (k, c) in enumerate(copies):
+        a, b = items[k].split(), c.split()
+        code = {x: j for j, x in enumerate(dict.fromkeys(a + b))}
+        assert best_place(np.array([code[x] for x in a]), np.array([code[x] for x in b]))[0] <= int(len(a) * 0.2)
+        reached[len(a)].append((i, k) in got)
+    low = {n: sum(v) / len(v) for n, v in reached.items() if sum(v) / len(v) < 0.92}
+    assert not low
+    assert min(ix.recall.values()) >= 0.95
+
+
+def test_leak_shorter_than_its_window_is_found():
+    from quillspark.llm.decontamination import Index
+
+    item = [f"word{i}" for i in range(16)]
+    ix = Index([0], [" ".join(item)])
+    cut = [" ".join(x for j, x in enumerate(item) if j not in gone) for gone in ((0, 1, 2), (13, 14, 15), (0, 7, 15), (3, 8, 12))]
+    assert searched(ix, cut) == {(t, 0) for t in range(4)}
