@@ -19,7 +19,9 @@ def _cut_lineage(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "") or os.path.join(tempfile.mkdtemp(prefix="graph-")))
-    return df.checkpoint(eager=True)
+    # a checkpoint keeps the constraints of its plan, which multiply from sweep to sweep; a table of its rows has none
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(kept.toJavaRDD(), kept.schema()), spark)
 
 
 def nodes(pages: DataFrame) -> DataFrame:
@@ -163,103 +165,93 @@ def community_summary(communities: DataFrame, degree: DataFrame, top: int = 5) -
     return rows.groupBy("community").agg(F.count("*").alias("size"), F.transform(F.sort_array(best), lambda x: x.id).alias("members"))
 
 
-#: Graphs of at most so many edges (counted first) are solved on the driver: about 20 MB.
-LOCAL_EDGES = 100_000
-
-
-def _local_louvain(pairs: list[tuple[str, str]]) -> dict[str, str]:
-    """Modularity communities of a small graph: nodes move in id order to the best community, ties to the smallest, levels until nothing moves."""
-    total = 2.0 * len(pairs)
-    graph: dict[str, dict[str, float]] = {}
-    for a, b in pairs:
-        graph.setdefault(a, {})[b] = graph.setdefault(a, {}).get(b, 0.0) + 1.0
-        graph.setdefault(b, {})[a] = graph.setdefault(b, {}).get(a, 0.0) + 1.0
-    member = {n: n for n in graph}
-    while True:
-        weight = {n: sum(near.values()) for n, near in graph.items()}
-        label, size = {n: n for n in graph}, dict(weight)
-        moved_once, moved = False, True
-        while moved:
-            moved = False
-            for n in sorted(graph):
-                near: dict[str, float] = {label[n]: 0.0}
-                for m, w in graph[n].items():
-                    if m != n:
-                        near[label[m]] = near.get(label[m], 0.0) + w
-                size[label[n]] -= weight[n]
-                gain = {c: round(w - weight[n] * size[c] / total, 9) for c, w in near.items()}
-                best = max(sorted(gain), key=gain.__getitem__)
-                to = best if gain[best] > gain[label[n]] else label[n]
-                moved |= to != label[n]
-                label[n] = to
-                size[to] += weight[n]
-            moved_once |= moved
-        names: dict[str, str] = {}
-        for n in sorted(graph):
-            names.setdefault(label[n], n)
-        member = {n: names[label[c]] for n, c in member.items()}
-        if not moved_once:
-            return member
-        merged: dict[str, dict[str, float]] = {}
-        for n, near in graph.items():
-            own = merged.setdefault(names[label[n]], {})
-            for m, w in near.items():
-                own[names[label[m]]] = own.get(names[label[m]], 0.0) + w
-        graph = merged
-
-
-def louvain(node_ids: DataFrame, edges: DataFrame, levels: int = 10, sweeps: int = 12) -> DataFrame:
+def louvain(node_ids: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, community): modularity communities of an undirected graph; isolated nodes are their own.
 
-    Small graphs (``LOCAL_EDGES``) are solved on the driver, node by node. Others by synchronous local moves: in each sweep a node joins the neighbouring community
-    of highest gain, ties to the smallest, and only towards smaller labels on even
-    and larger on odd sweeps, which keeps pairs from swapping forever. Levels
-    aggregate communities to weighted nodes. Work is joins and grouped sums, so no
-    adjacency list is gathered; the driver sees one number a sweep.
+    Synchronous local moves: in each sweep a node joins the neighbouring community
+    of highest gain, ties to the largest, and only towards smaller labels on even
+    and larger on odd sweeps. Such moves are kept if modularity grows. If not, only
+    moves that share no community are made: of those that a community is an end of,
+    it takes the one of most gain, and a move needs both of its ends; each of them
+    raises modularity by its gain. So every sweep raises modularity, sums are
+    whole numbers, and sweeps end when no node gains by any move. Levels aggregate
+    communities to weighted nodes, until nothing merges. Work is joins and grouped
+    sums at every size, so no adjacency list is gathered; the driver sees two
+    numbers a sweep.
     """
-    both = edges.where("`from` <> `to`").select(F.col("from").cast("string").alias("a"), F.col("to").cast("string").alias("b"), F.lit(1.0).alias("w"))
-    if both.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
-        found = _local_louvain([tuple(sorted((r["a"], r["b"]))) for r in both.select("a", "b").collect()])
-        rows = node_ids.sparkSession.createDataFrame(sorted(found.items()), "id string, community string")
-        own = node_ids.select(F.col("id").cast("string").alias("id"))
-        return rows.union(own.join(rows, "id", "left_anti").select("id", F.col("id").alias("community")).distinct())
+    both = edges.where("`from` <> `to`").select(F.col("from").cast("string").alias("a"), F.col("to").cast("string").alias("b"), F.lit(1).cast("long").alias("w"))
     graph = _cut_lineage(both.union(both.select("b", "a", "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
     total = graph.agg(F.sum("w").alias("t")).first()["t"]
     whole = node_ids.select(F.col("id").cast("string").alias("id")).union(graph.select("a")).distinct().select("id", F.col("id").alias("community"))
     if not total:
         return whole
     member = _cut_lineage(whole)
-    for _ in range(levels):
+    while True:
         weight = graph.groupBy("a").agg(F.sum("w").alias("k"))
         label = _cut_lineage(weight.select("a", "k", F.col("a").alias("c")))
-        idle = 0
-        for sweep in range(sweeps):
-            sums = label.groupBy("c").agg(F.sum("k").alias("kc"))
-            near = graph.where("a <> b").join(label.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a", F.col("cb").alias("c")).agg(F.sum("w").alias("kin"))
-            own = label.select("a", "k", F.col("c").alias("now"))
-            options = near.join(own, "a").join(sums, "c")
-            rest = F.col("kc") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("kin") - F.col("k") * rest / F.lit(total), 9)
-            best = options.withColumn("gain", gain).groupBy("a").agg(F.max("gain").alias("top"), F.max(F.when(F.col("c") == F.col("now"), F.col("gain"))).alias("stay"), F.max_by(F.col("c"), F.struct("gain", F.when(F.col("c") == F.col("now"), 1).otherwise(0))).alias("to"))
-            # a node alone in its community has no option named by it: staying gains nothing
-            way = (F.col("to") < F.col("c")) if sweep % 2 == 0 else (F.col("to") > F.col("c"))
-            moves = (F.col("top") > F.coalesce("stay", F.lit(0.0)) + 1e-9) & way
-            fresh = label.join(best, "a", "left").select("a", "k", F.when(moves, F.col("to")).otherwise(F.col("c")).alias("c"), F.coalesce(moves, F.lit(False)).alias("moved"))
-            fresh = _cut_lineage(fresh)
-            moved = fresh.where("moved").count()
-            label = fresh.drop("moved")
-            idle = 0 if moved else idle + 1
-            if idle == 2:
+        worth = _worth(graph, label, total)
+        sweep = moved = 0
+        while True:
+            wanted = _cut_lineage(_moves(graph, label, total))
+            if wanted.isEmpty():
                 break
+            way = (F.col("to") < F.col("c")) if sweep % 2 == 0 else (F.col("to") > F.col("c"))
+            sweep += 1
+            fresh = _cut_lineage(_moved(label, wanted.where(way)))
+            after = _worth(graph, fresh, total)
+            if after <= worth:
+                fresh = _cut_lineage(_moved(label, _apart(wanted)))
+                after = _worth(graph, fresh, total)
+            label, worth = fresh, after
+            moved += 1
+        if not moved:
+            return member
         names = label.groupBy("c").agg(F.min("a").alias("n"))
         label = _cut_lineage(label.join(names, "c").select("a", F.col("n").alias("c")))
-        merged = label.where("a <> c").limit(1).count()
-        if not merged:
-            break
         member = _cut_lineage(member.join(label.select(F.col("a").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community")))
         left, right = label.select("a", F.col("c").alias("ca")), label.select(F.col("a").alias("b"), F.col("c").alias("cb"))
         graph = _cut_lineage(graph.join(left, "a").join(right, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
-    return member
+
+
+def _worth(graph: DataFrame, label: DataFrame, total: int) -> int:
+    """Modularity of labels times the square of ``total``, a whole number."""
+    left, right = label.select("a", F.col("c").alias("ca")), label.select(F.col("a").alias("b"), F.col("c").alias("cb"))
+    inside = graph.join(left, "a").join(right, "b").where("ca = cb").agg(F.sum("w").alias("n")).first()["n"] or 0
+    squares = label.groupBy("c").agg(F.sum("k").cast("decimal(19,0)").alias("kc")).agg(F.sum(F.col("kc") * F.col("kc")).alias("n")).first()["n"]
+    return total * inside - int(squares)
+
+
+def _moves(graph: DataFrame, label: DataFrame, total: int) -> DataFrame:
+    """(a, c, to, gain): of each node that gains by leaving its community, the best move."""
+    sums = label.groupBy("c").agg(F.sum("k").alias("kc"))
+    near = graph.where("a <> b").join(label.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a", F.col("cb").alias("c")).agg(F.sum("w").alias("kin"))
+    own = label.join(sums, "c").select("a", "k", F.col("c").alias("now"), F.col("kc").alias("know"))
+    wide = lambda c: c.cast("decimal(19,0)")
+    options = near.join(own, "a").join(sums, "c")
+    here = F.col("c") == F.col("now")
+    rest = F.col("kc") - F.when(here, F.col("k")).otherwise(0)
+    options = options.withColumn("gain", wide(F.col("kin")) * wide(F.lit(total)) - wide(F.col("k")) * wide(rest))
+    best = options.groupBy("a").agg(
+        F.first("now").alias("c"),
+        F.max(F.when(here, F.col("gain"))).alias("stay"),
+        # without a neighbour in its own community a node leaves the others behind
+        F.max(-wide(F.col("k")) * wide(F.col("know") - F.col("k"))).alias("alone"),
+        F.max(F.when(~here, F.struct("gain", F.col("c").alias("to")))).alias("go"),
+    )
+    gain = F.col("go.gain") - F.coalesce("stay", "alone")
+    return best.select("a", "c", F.col("go.to").alias("to"), gain.alias("gain")).where("gain > 0")
+
+
+def _apart(moves: DataFrame) -> DataFrame:
+    """Moves of which no two share a community: each is the best of both its ends. The best of all is always among them."""
+    order = F.struct("gain", "a")
+    best = moves.select("gain", "a", F.explode(F.array("c", "to")).alias("end")).groupBy("end").agg(F.max(order).alias("top"))
+    top = best.select(F.col("top.a").alias("a")).groupBy("a").agg(F.count("*").alias("n")).where("n = 2")
+    return moves.join(top.select("a"), "a", "left_semi")
+
+
+def _moved(label: DataFrame, moves: DataFrame) -> DataFrame:
+    return label.join(moves.select("a", "to"), "a", "left").select("a", "k", F.coalesce("to", "c").alias("c"))
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
