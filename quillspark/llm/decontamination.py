@@ -71,6 +71,35 @@ def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix((sums[end] - sums[start]) * _powers[1][start]), np.searchsorted(start, offsets)
 
 
+def unknown_words(size: int, edits: int, w: int) -> int:
+    """The unknown words that a match's least-edited window holds in the worst arrangement of the edits."""
+    if size >= LONG_ITEM:  # a bound: windows that don't overlap share the edits
+        return min(w, max((edits - gone) // ((size - gone) // w) if size - gone >= w else w - size + edits for gone in range(edits + 1)))
+    for most in range(min(edits, w), 0, -1):
+        for gone in range(edits + 1):  # deleted words shorten the match, the other edits are unknown words
+            n = size - gone
+            if n < w:  # words beside the match fill the window
+                if w - n + edits - gone >= most:
+                    return most
+                continue
+            # the least number of places of which every window holds ``most``: as far right as can be
+            places: list[int] = []
+            for a in range(n - w + 1):
+                inside = sum(x >= a for x in places[-w:])
+                b = a + w
+                while inside < most:
+                    b -= 1
+                    if b not in places[-w:]:
+                        places.append(b)
+                        inside += 1
+                places.sort()
+                if len(places) > edits - gone:
+                    break
+            if len(places) <= edits - gone:
+                return most
+    return 0
+
+
 class Index:
     """Items, their vocabulary, and the LSH tables of their windows."""
 
@@ -90,6 +119,8 @@ class Index:
         self.tables: dict[int, list[tuple]] = {}
         self.recall: dict[int, float] = {}
         self.exact: list[int] = []
+        #: by window size, unknown words in the window of a match that has fewest, at most
+        self.unknown: dict[int, int] = {}
         #: words behind each text, for matches with fewer words than a window
         self.gap = 0
         for w in sorted(set(self.window.tolist()) - {0}):
@@ -113,6 +144,9 @@ class Index:
         flat, at = np.concatenate(copies), np.r_[0, np.cumsum([len(c) for c in copies])]
         own = flat[ranges(at[:-1], n)[:, None] + np.arange(w)]
         copy = np.repeat(np.arange(len(copies)), n)
+        self.unknown[w] = max(unknown_words(k, self.allowed(k), w) for k in np.unique(self.sizes[items]).tolist())
+        seen = (own == self.oov).sum(axis=1) <= self.unknown[w]
+        own, copy = own[seen], copy[seen]
         found = np.zeros(len(copies), bool)
         reached = lambda: np.bincount(group, found) / np.bincount(group)
         tables = self.tables[w] = []
@@ -239,8 +273,7 @@ class Index:
             if len(text) < w:
                 continue
             start = np.arange(len(text) - w + 1)
-            # a match has a window with no more than its share of edits
-            ok = (known[w:] - known[:-w] >= w - int(np.ceil(w * self.edits))) & (text[: len(start)] == text[w - 1 :])
+            ok = (known[w:] - known[:-w] >= w - self.unknown[w]) & (text[: len(start)] == text[w - 1 :])
             start = start[ok].astype(np.int32)
             for a in range(0, len(start), 100_000):
                 part = start[a : a + 100_000]

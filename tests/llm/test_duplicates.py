@@ -189,3 +189,20 @@ def test_leak_shorter_than_its_window_is_found():
     ix = Index([0], [" ".join(item)])
     cut = [" ".join(x for j, x in enumerate(item) if j not in gone) for gone in ((0, 1, 2), (13, 14, 15), (0, 7, 15), (3, 8, 12))]
     assert searched(ix, cut) == {(t, 0) for t in range(4)}
+
+
+def test_edits_that_stand_together_are_found():
+    from quillspark.llm.decontamination import Index, unknown_words
+
+    assert [unknown_words(n, n // 5, 16) for n in (16, 20, 24, 25, 27, 28, 31, 32, 40, 48)] == [3, 4, 4, 5, 5, 4, 3, 3, 4, 3]
+    rng = random.Random(31)
+    for n in (25, 26, 27):
+        items = [" ".join(f"w{n}x{k}x{j}" for j in range(n)) for k in range(40)]
+        ix = Index(list(range(40)), items)
+        texts = []
+        for t in items:
+            w = t.split()
+            w[11:16] = [f"foreign{j}" for j in range(5)]
+            texts.append(f"{sentence(rng, 20)} {' '.join(w)} {sentence(rng, 20)}")
+        found = searched(ix, texts)
+        assert sum((k, k) in found for k in range(40)) >= 30, n
