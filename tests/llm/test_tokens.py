@@ -106,3 +106,18 @@ def test_digests(spark, tmp_path):
     r = op1_sentencepiece(spark, str(tmp_path)).where("doc_id = 1").first()
     assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert r["decoded_sha256"] == hashlib.sha256(b"Ein Text.").hexdigest()
+
+
+def test_heap_of_long_words_equals_rounds(monkeypatch):
+    import random
+
+    from quillspark.llm import sentencepiece_codec as c
+    from quillspark.llm.queries import tokenizer_file
+
+    rng = random.Random(1)
+    codec = c.Codec(tokenizer_file("piece_bpe_32k.model"))
+    words = ["".join(rng.choice("abcdefghié") for _ in range(2001)), "a" * 2001]
+    heap = codec.encode_words(words)
+    monkeypatch.setattr(c, "LONG_WORD", 1 << 30)
+    rounds = codec.encode_words(words)
+    assert all((x == y).all() for x, y in zip(heap, rounds, strict=True))
