@@ -12,25 +12,46 @@ from io import BytesIO
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def fold(s: str | None) -> str:
-    """Text without accents."""
-    return "".join(c for c in unicodedata.normalize("NFKD", s or "") if not unicodedata.combining(c))
+#: All combining marks lie beyond these.
+_BEYOND = re.compile(r"[^\x00-\u02ff]")
 
 
 @F.pandas_udf(T.StringType())
-def norm_title(s: pd.Series) -> pd.Series:
+def folded(s: pd.Series) -> pd.Series:
+    """Compatibility decomposition without combining marks; null stays null. The one step that Spark has no function for."""
+    out = s.str.normalize("NFKD")
+    odd = out.str.contains(_BEYOND, na=False)
+    out[odd] = out[odd].map(lambda x: "".join(c for c in x if not unicodedata.combining(c)))
+    return out
+
+
+def _folded(c) -> Column:
+    return folded(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+
+
+def norm_title(c) -> Column:
     """Accents dropped, lowered, anything but a-z and 0-9 one blank."""
-    return s.map(lambda x: re.sub(r"[^a-z0-9]+", " ", fold(x).lower()).strip())
+    return F.btrim(F.regexp_replace(F.lower(_folded(c)), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def slugify(s: pd.Series) -> pd.Series:
+def raw_slug(stem) -> Column:
+    """An ASCII slug of a file's stem."""
+    plain = F.lower(F.regexp_replace(_folded(stem), r"[^\x00-\x7F]", ""))
+    return F.btrim(F.regexp_replace(plain, "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def slugify(c) -> Column:
     """An ASCII slug of at most 60 letters."""
-    return s.map(lambda x: re.sub(r"[^a-z0-9]+", "-", fold(x).encode("ascii", "ignore").decode().lower()).strip("-")[:60])
+    return F.substring(raw_slug(c), 1, 60)
+
+
+def _normal(s: pd.Series) -> pd.Series:
+    return folded.func(s.fillna("")).str.lower().str.replace(r"[^a-z0-9]+", " ", regex=True).str.strip()
 
 
 @F.pandas_udf(T.DoubleType())
@@ -42,9 +63,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio of normalised titles; 0 if either is empty."""
-    clean = lambda x: re.sub(r"[^a-z0-9]+", " ", fold(x).lower()).strip()
-    pairs = [(clean(x), clean(y)) for x, y in zip(a, b, strict=True)]
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in pairs])
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(_normal(a), _normal(b), strict=True)])
 
 
 @F.pandas_udf(T.StringType())
@@ -78,17 +97,14 @@ def match_offsets(pattern: str, groups: int, flags: int = re.IGNORECASE):
     return found
 
 
-@F.pandas_udf(T.StringType())
-def figure_slug(s: pd.Series) -> pd.Series:
-    """The first eight informative words of a caption."""
-    from .text import FIGURE_STOP
-
-    def one(x: str | None) -> str:
-        words = re.findall(r"[A-Za-z0-9]+", fold(x).lower())
-        kept = [w for w in words if w not in FIGURE_STOP and len(w) > 1] or words
-        return "-".join(kept[:8]) or "untitled"
+def figure_slug(caption, most: int = 8) -> Column:
+    """The first informative words of a caption."""
+    from .text import FIGURE_STOP, none_if_empty
 
-    return s.map(one)
+    words = F.regexp_extract_all(F.lower(_folded(caption)), F.lit("([a-z0-9]+)"), F.lit(1))
+    telling = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*FIGURE_STOP))
+    shown = F.slice(F.when(F.size(telling) > 0, telling).otherwise(words), 1, most)
+    return F.coalesce(none_if_empty(F.array_join(shown, "-")), F.lit("untitled"))
 
 
 _OPF = {"dc": "http://purl.org/dc/elements/1.1/", "opf": "http://www.idpf.org/2007/opf"}
@@ -105,21 +121,18 @@ def opf_metadata(data: bytes) -> dict:
         return empty
     if root is None:
         return empty
-    text = lambda tag: next((e.text.strip() for e in root.iterfind(f".//dc:{tag}", _OPF) if e.text and e.text.strip()), None)
-    roles = {e.get("refines", "").lstrip("#"): (e.text or "").strip() for e in root.iterfind(".//opf:meta", _OPF) if e.get("property") == "role"}
-    out = empty | {"title": text("title"), "publisher": text("publisher"), "language": text("language")}
-    for e in root.iterfind(".//dc:creator", _OPF):
-        role = e.get(f"{{{_OPF['opf']}}}role") or roles.get(e.get("id", ""), "aut")
-        if e.text and e.text.strip():
-            out["editors" if role == "edt" else "authors"] = [*out["editors" if role == "edt" else "authors"], e.text.strip()]
-    for e in root.iterfind(".//dc:identifier", _OPF):
-        digits = re.sub(r"[^0-9Xx]", "", e.text or "")
-        if len(digits) in (10, 13):
-            out["isbn"] = digits
-            break
-    year = re.search(r"\d{4}", text("date") or "")
-    out["year"] = int(year.group()) if year else None
-    return out
+    said = lambda tag: [(e, e.text.strip()) for e in root.iterfind(f".//dc:{tag}", _OPF) if e.text and e.text.strip()]
+    first = lambda tag: next((t for _, t in said(tag)), None)
+    attribute = lambda e, name: e.get(f"{{{_OPF['opf']}}}{name}", "")
+    people = [(name, attribute(e, "role") == "edt") for e, name in said("creator")]
+    # an identifier is an ISBN only where its scheme or its text says so
+    isbns = (re.sub(r"[^0-9X]", "", t.upper()) for e, t in said("identifier") if attribute(e, "scheme").lower() == "isbn" or "isbn" in t.lower())
+    years = (m.group() for _, t in said("date") if (m := re.search(r"\d{4}", t)))
+    year, language = next(years, None), first("language")
+    return empty | {
+        "title": first("title"), "publisher": first("publisher"), "language": language.lower()[:2] if language else None, "year": int(year) if year else None,
+        "authors": [n for n, editor in people if not editor], "editors": [n for n, editor in people if editor], "isbn": next((d for d in isbns if len(d) in (10, 13)), None),
+    }
 
 
 # types, not text: text would need a session at import
@@ -129,3 +142,18 @@ _TEXT, _LIST = T.StringType(), T.ArrayType(T.StringType())
 @F.pandas_udf(T.StructType([T.StructField(n, t) for n, t in (("title", _TEXT), ("authors", _LIST), ("editors", _LIST), ("publisher", _TEXT), ("isbn", _TEXT), ("language", _TEXT), ("year", T.IntegerType()))]))
 def epub_metadata(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([opf_metadata(bytes(x)) for x in data], columns=["title", "authors", "editors", "publisher", "isbn", "language", "year"])
+
+
+@F.pandas_udf(T.StringType())
+def with_fields(content: pd.Series, fields: pd.Series) -> pd.Series:
+    """Pages with frontmatter fields set from a JSON object, those of null values dropped; other fields and their order stay."""
+    import yaml
+
+    def one(text: str, patch: str) -> str:
+        m = re.match(r"(?s)\A---\n(.*?)\n---\n", text)
+        own = (yaml.safe_load(m[1]) if m else None) or {}
+        new = {k: v for k, v in (own | json.loads(patch)).items() if v is not None or k in own.keys() - json.loads(patch).keys()}
+        head = yaml.safe_dump(new, allow_unicode=True, sort_keys=False).strip()
+        return f"---\n{head}\n---\n\n{text[m.end() if m else 0 :].lstrip()}"
+
+    return pd.Series([one(c, p) for c, p in zip(content, fields, strict=True)])

@@ -22,6 +22,11 @@ def matching(sources: DataFrame, domain: str | None = None, intervention: str |
     return out
 
 
+def imaging_sources(sources: DataFrame) -> DataFrame:
+    """Sources whose methods name diffusion imaging."""
+    return sources.where(F.exists("methods", lambda m: F.upper(m).isin("DTI", "TRACTOGRAPHY", "DIFFUSION")))
+
+
 def method_matrix(sources: DataFrame) -> DataFrame:
     """(slug, year, study_design, n, population, methods, interventions) by year; long fields are cut as in the table."""
     cut = lambda c, k: F.array_join(F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, k), ", ")
@@ -162,6 +167,11 @@ def region_index(snippets: DataFrame, top: int = 5) -> DataFrame:
     return rows.groupBy("key", "label").agg(F.count("*").alias("n_sources"), F.transform(best, lambda x: x.page_id).alias("top_sources"))
 
 
+def region_view(sentences: DataFrame, regions: DataFrame, key: str, cap: int = 3) -> DataFrame:
+    """(page_id, pos, sentence): the pages of one region with their first ``cap`` sentences (a report's limit)."""
+    return region_snippets(sentences, regions.where(F.col("key") == key), cap).select("page_id", "pos", "sentence").orderBy("page_id", "pos")
+
+
 # retrieval
 
 

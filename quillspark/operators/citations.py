@@ -22,8 +22,23 @@ def cited_by(cites: DataFrame, sources: DataFrame, distinct: bool = False) -> Da
 
 def snowball(cites: DataFrame, sources: DataFrame, top: int | None = 30) -> DataFrame:
     """(doi, n, citers): cited DOIs that no source has, by count."""
-    out = cites.join(doi_owner(sources).select("doi"), "doi", "left_anti").groupBy("doi").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("slug")).alias("citers")).orderBy(F.desc("n"), "doi")
-    return out.limit(top) if top else out
+    fresh = cites.join(doi_owner(sources).select("doi"), "doi", "left_anti")
+    best = fresh.groupBy("doi").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doi")
+    if top:  # citers are gathered for these alone
+        best = best.limit(top)
+        fresh = fresh.join(F.broadcast(best.select("doi")), "doi", "left_semi")
+    return best.join(fresh.groupBy("doi").agg(F.sort_array(F.collect_list("slug")).alias("citers")), "doi").orderBy(F.desc("n"), "doi")
+
+
+def snowball_by_concept(cites: DataFrame, sources: DataFrame, named: DataFrame, top: int = 30) -> DataFrame:
+    """(concept, doi, n, citers): as ``snowball``, over the sources that name each concept (concept, slug); the first ``top`` of a concept (a report's limit)."""
+    fresh = cites.join(doi_owner(sources).select("doi"), "doi", "left_anti").join(named, "slug")
+    counted = fresh.groupBy("concept", "doi").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("concept").orderBy(F.desc("n"), "doi"))
+    best = counted.withColumn("r", rank).where(F.col("r") <= top).drop("r")
+    # citers are gathered for the rows that stay alone
+    citers = fresh.join(best.select("concept", "doi"), ["concept", "doi"], "left_semi").groupBy("concept", "doi").agg(F.sort_array(F.collect_list("slug")).alias("citers"))
+    return best.join(citers, ["concept", "doi"]).orderBy("concept", F.desc("n"), "doi")
 
 
 def forward_candidates(citers: DataFrame, sources: DataFrame, as_of: int, **limits: float) -> DataFrame:
@@ -139,3 +154,58 @@ def pick_own_doi(candidates: DataFrame, metadata: DataFrame, titles: DataFrame,
     out = rows.groupBy("page_id").agg(best.alias("b"), F.min_by("doi", "ord").alias("first"))
     ok = F.col("b.score") >= least
     return out.select("page_id", F.when(ok, F.col("b.doi")).otherwise(F.col("first")).alias("doi"), "b.score", ok.alias("confident"))
+
+
+def enrichment_summary(picked: DataFrame) -> DataFrame:
+    """One row: documents, with a DOI, of high and of low confidence, without one; from (page_id, doi, confident)."""
+    has, sure = F.col("doi").isNotNull(), F.coalesce("confident", F.lit(False))
+    return picked.agg(F.count("*").alias("documents"), F.count_if(has).alias("with_doi"), F.count_if(has & sure).alias("high"), F.count_if(has & ~sure).alias("low"), F.count_if(~has).alias("without_doi"))
+
+
+# Headings that are no titles, and what announces another work on a line.
+PLAIN_HEADINGS = (
+    "abstract", "introduction", "references", "bibliography", "glossary", "article info", "highlights", "keywords", "summary", "background", "methods", "method", "materials", "materials and methods", "results",
+    "discussion", "conclusion", "conclusions", "acknowledgments", "acknowledgements", "corrections", "correction", "comment", "comments", "editorial", "erratum", "contents", "table of contents", "funding",
+    "author contributions", "conflict of interest", "supplementary material", "figure", "table", "appendix", "notes", "part i", "part ii", "part iii", "subject category", "subject categories", "subject areas", "subject area",
+    "author for correspondence", "cite this article", "research", "electronic supplementary material", "data accessibility", "competing interests", "authors' contributions", "interface", "the royal society",
+    "review", "mini review", "original research", "open access", "graphical abstract",
+)
+OTHER_WORK = r"(?i)(refers?\s+to|comment(ary)?\s+on|in\s+response\s+to|reply\s+to|erratum|corrigendum|correction\s+to|retraction\s+of|this\s+article\s+is\s+a\s+commentary)"
+TITLE_LETTERS, TITLE_WORDS = 15, 3
+JUNK_TITLE = r"(?i)\.(docx|doc|pdf)$|^(untitled|microsoft|adobe|word)"
+NO_TITLE_LINE = r"(?i)^(abstract|introduction|methods?|results?|discussion|background|keywords?|page \d+|doi|http|received|accepted|published|\d{4}\s*[—–,-])"
+
+
+def document_title(body: Column, file_title: Column | None = None, stem: Column | None = None) -> Column:
+    """The first heading that looks like a title; else the file's own title, if it is long enough and not the file's name."""
+    heads = F.filter(F.split(F.coalesce(body, F.lit("")), r"\r?\n"), lambda x: F.btrim(x).startswith("#"))
+    bare = F.transform(heads, lambda x: F.rtrim(F.btrim(X.strip(F.ltrim(X.strip(x), F.lit("#"))), F.lit("*_")), F.lit(":.")))
+    good = F.filter(bare, lambda h: ~F.lower(h).isin(*PLAIN_HEADINGS) & (F.length(h) >= TITLE_LETTERS) & (F.size(F.split(X.strip(h), r"\s+")) >= TITLE_WORDS))
+    own = X.strip(F.coalesce(file_title, F.lit(""))) if file_title is not None else F.lit("")
+    other = F.lower(own) != F.lower(stem) if stem is not None else F.lit(True)
+    return F.coalesce(F.get(good, 0), F.when((F.length(own) >= TITLE_LETTERS) & other, own))
+
+
+def own_doi_candidates(body: Column, page1: Column) -> Column:
+    """Distinct lowered DOIs, the likeliest own one first: before the references, on the first page, anywhere; lines that announce another work are passed over."""
+
+    def found(text: Column) -> Column:
+        lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: ~x.rlike(OTHER_WORK))
+        return F.flatten(F.transform(lines, X.extract_dois))
+
+    return F.array_distinct(F.concat(found(X.body_before_references(body)), found(page1), found(body)))
+
+
+def pdf_title(meta: Column, lines: Column) -> Column:
+    """The metadata title unless it is junk, else the longest plausible of a first page's first 20 lines, the first of equals."""
+    own = X.strip(F.coalesce(meta, F.lit("")))
+    some = F.slice(F.filter(F.transform(F.slice(lines, 1, 40), X.strip), lambda x: x != ""), 1, 20)
+    good = F.filter(some, lambda x: F.length(x).between(21, 249) & x.rlike("[A-Za-z]{4,}") & ~x.rlike(NO_TITLE_LINE))
+    longest = F.aggregate(good, F.lit(""), lambda s, x: F.when(F.length(x) > F.length(s), x).otherwise(s))
+    return F.when(F.length(own).between(16, 249) & ~own.rlike(JUNK_TITLE), own).otherwise(X.none_if_empty(longest))
+
+
+def location_union(locations: DataFrame) -> DataFrame:
+    """(doi, urls): distinct addresses of (doi, part, at, url), those of the first part first, blank ones dropped."""
+    first = locations.where("trim(url) <> ''").groupBy("doi", F.btrim("url").alias("url")).agg(F.min(F.struct("part", "at")).alias("k"))
+    return first.groupBy("doi").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "url"))), lambda x: x.url).alias("urls"))

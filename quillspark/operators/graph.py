@@ -86,6 +86,11 @@ def graph_stats(degree: DataFrame, edges: DataFrame) -> DataFrame:
     return one.select("n_nodes", "n_edges", per.alias("edges_per_node"), density.alias("density"), "mean", "sd", (F.col("mean") + 2 * F.col("sd")).alias("threshold"), "orphans", band.alias("band"))
 
 
+def edge_type_counts(edges: DataFrame) -> DataFrame:
+    """(type, n)."""
+    return edges.groupBy("type").agg(F.count("*").alias("n"))
+
+
 def god_nodes(degree: DataFrame) -> DataFrame:
     """Nodes of more than the mean degree plus two sample deviations."""
     limit = degree.agg((F.avg("degree") + 2 * F.coalesce(F.stddev_samp("degree"), F.lit(0.0))).alias("limit"))
@@ -263,6 +268,33 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return m.crossJoin(F.broadcast(squares)).select((F.col("inside") / F.col("m") - F.col("sq") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
+# What the report advises where a section has rows.
+ACTIONS = {"orphans": "link orphan pages", "phantoms": "create missing pages", "bridges": "strengthen fragile bridges", "hubs": "review hub pages"}
+
+
+def insight_report(pages: DataFrame, links: DataFrame, edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """(section, item, n): orphans, hubs, phantoms, bridges, communities, health and actions of a wiki in one table.
+
+    ``edges`` are undirected, ``communities`` are (id, community).
+    """
+    degree = degrees(pages.select(F.col("page_id").alias("id")), edges)
+    row = lambda df, section, item, n: df.select(F.lit(section).alias("section"), item.cast("string").alias("item"), n.cast("long").alias("n"))
+    parts = [
+        row(orphans(links, pages), "orphans", F.col("page_id"), F.lit(0)),
+        row(god_nodes(degree), "hubs", F.col("id"), F.col("degree")),
+        row(phantom_hubs(links, pages), "phantoms", F.col("target"), F.col("ref_count")),
+        row(fragile_bridges(edges, communities), "bridges", F.concat_ws("|", "low", "high"), F.lit(1)),
+        row(communities.groupBy("community").agg(F.count("*").alias("k")), "communities", F.col("community"), F.col("k")),
+        row(graph_stats(degree, edges), "health", F.col("band"), F.col("n_edges")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    advice = F.coalesce(*(F.when(F.col("section") == k, F.lit(v)) for k, v in ACTIONS.items()))
+    actions = out.where(F.col("section").isin(*ACTIONS)).groupBy("section").agg(F.count("*").alias("k"))
+    return out.union(row(actions, "actions", advice, F.col("k")))
+
+
 # views of a graph
 
 

@@ -120,6 +120,27 @@ def lint_summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count("*").alias("n"), F.count_if(~F.col("pass")).alias("failed"))
 
 
+def health(pages: DataFrame, index: DataFrame, listed: DataFrame, log: DataFrame, sources: DataFrame, least: int = 100) -> DataFrame:
+    """(check, item, detail): stubs, pages and index links without each other, and sources without an ingest entry."""
+    row = lambda df, check, item, detail: df.select(F.lit(check).alias("check"), F.col(item).alias("item"), detail.alias("detail"))
+    out = row(stub_pages(pages, least=least), "stub", "page_id", F.col("status"))
+    out = out.union(row(index_sync(index, listed), "index", "href", F.col("problem")))
+    return out.union(row(unlogged_sources(log, sources), "log", "slug", F.lit("no ingest entry")))
+
+
+def structural_lint(pages: DataFrame, links: DataFrame, edges: DataFrame, entities: int = 3, sparse: int = 2, stub: int = 500) -> DataFrame:
+    """(check, page_id, detail): broken links, orphans, missing entities, pages with few links, and short hubs."""
+    from . import graph
+
+    degree = graph.degrees(pages.select(F.col("page_id").alias("id")), edges)
+    row = lambda df, check, item, detail: df.select(F.lit(check).alias("check"), F.col(item).alias("page_id"), detail.cast("string").alias("detail"))
+    out = row(graph.broken_links(links, pages), "broken_link", "page_id", F.col("target"))
+    out = out.union(row(graph.orphans(links, pages), "orphan", "page_id", F.lit("")))
+    out = out.union(row(graph.missing_entities(links, pages, entities), "missing_entity", "target", F.col("mentions")))
+    out = out.union(row(graph.sparse_pages(links, pages, sparse), "sparse", "page_id", F.col("outlinks")))
+    return out.union(row(graph.hub_stubs(degree, pages, stub), "hub_stub", "id", F.col("degree")))
+
+
 # caches
 
 
@@ -178,6 +199,29 @@ def kind_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(open_).alias("open_questions"))
 
 
+def coverage(pages: DataFrame) -> DataFrame:
+    """(section, item, value): pages by kind, depth classes, open questions, and methods that name no use."""
+    row = lambda df, section, item, value: df.select(F.lit(section).alias("section"), item.alias("item"), value.cast("string").alias("value"))
+    kinds = kind_counts(pages)
+    out = row(kinds, "kinds", F.col("kind"), F.col("n"))
+    out = out.union(row(depth_distribution(pages), "depth", F.concat_ws(" ", "kind", "depth"), F.col("n")))
+    out = out.union(row(kinds.where("kind = 'questions'"), "open questions", F.col("kind"), F.col("open_questions")))
+    return out.union(row(bare_pages(pages.where("kind = 'methods'")), "bare methods", F.col("page_id"), F.lit("")))
+
+
+def recent_sources(pages: DataFrame, top: int = 5) -> DataFrame:
+    """The pages that changed last."""
+    return pages.orderBy(F.desc("mtime"), "page_id").limit(top)
+
+
+def consolidation_work(sources: DataFrame, concepts: DataFrame, most: int = 20, excerpt: int = 1500) -> DataFrame:
+    """(concept, source, excerpt): the first pending sources of each concept (a work list's limit), with the start of their text."""
+    rank = F.row_number().over(Window.partitionBy("concept").orderBy("source"))
+    first = pending_consolidation(sources, concepts).withColumn("r", rank).where(F.col("r") <= most)
+    texts = sources.select(F.col("slug").alias("source"), F.substring("body", 1, excerpt).alias("excerpt"))
+    return first.join(texts, "source").select("concept", "source", "excerpt")
+
+
 def pending_consolidation(sources: DataFrame, concepts: DataFrame) -> DataFrame:
     """(concept, source): sources that name a concept whose page doesn't link back."""
     named = sources.select(F.col("slug").alias("source"), F.explode(F.array_distinct(X.loose_links(F.col("body")))).alias("concept"))

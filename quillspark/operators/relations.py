@@ -41,12 +41,13 @@ def reference_entries(block: Column, least: int = 30) -> Column:
 
 
 def resolve_references(entries: DataFrame, own: str = "own_doi", valid: DataFrame | None = None, hits: DataFrame | None = None, cut: int = 200) -> DataFrame:
-    """(slug, cites, cites_unresolved) from (slug, own_doi, entries array<string>).
+    """(slug, cites, cites_curated, cites_unresolved) from (slug, own_doi, entries array<string>).
 
     In order, each entry takes its first DOI that is not yet taken (the document's
     own counts as taken). ``valid(doi, valid)`` is a snapshot: a DOI it marks false
-    is passed over, an absent one counts as valid. Entries without a DOI may be
-    answered by ``hits(query_hash, rank, score, overlap, doi)``.
+    is passed over, an absent one counts as valid. Entries that take none may be
+    answered by ``hits(query_hash, rank, score, overlap, doi)``; such answers are
+    ``cites_curated``, and stand behind the others in ``cites``.
     """
     rows = entries.select("slug", F.lower(F.coalesce(F.btrim(F.col(own)), F.lit(""))).alias("own"), F.transform("entries", lambda e: F.struct(e.alias("entry"), X.extract_dois(e).alias("dois"))).alias("entries"))
     if valid is not None:
@@ -62,21 +63,25 @@ def resolve_references(entries: DataFrame, own: str = "own_doi", valid: DataFram
     else:
         rows = rows.withColumn("answers", F.lit(None).cast("map<int,string>"))
     bad = F.coalesce("bad", F.array().cast("array<string>"))
-    start = F.struct(F.array("own").alias("seen"), F.array().cast("array<string>").alias("cites"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("i"))
+    start = F.struct(F.array("own").alias("seen"), *(F.array().cast("array<string>").alias(c) for c in ("cites", "curated", "open")), F.lit(0).alias("i"))
 
     def step(s: Column, e: Column) -> Column:
         fresh = F.filter(e.dois, lambda d: ~F.array_contains(s.seen, d) & ~F.array_contains(bad, d))
         answer = F.col("answers")[s.i]
-        pick = F.coalesce(F.get(fresh, 0), F.when((F.size(e.dois) == 0) & ~F.array_contains(s.seen, answer), answer))
+        own_pick = F.get(fresh, 0)
+        found = F.when(own_pick.isNull() & ~F.array_contains(s.seen, answer), answer)
+        pick = F.coalesce(own_pick, found)
+        grown = lambda to, x: F.when(x.isNotNull(), F.array_append(to, x)).otherwise(to)
         return F.struct(
-            F.when(pick.isNotNull(), F.array_append(s.seen, pick)).otherwise(s.seen).alias("seen"),
-            F.when(pick.isNotNull(), F.array_append(s.cites, pick)).otherwise(s.cites).alias("cites"),
+            grown(s.seen, pick).alias("seen"),
+            grown(s.cites, own_pick).alias("cites"),
+            grown(s.curated, found).alias("curated"),
             F.when(pick.isNull(), F.array_append(s.open, F.substring(e.entry, 1, cut))).otherwise(s.open).alias("open"),
             (s.i + 1).alias("i"),
         )
 
     out = rows.withColumn("r", F.aggregate("entries", start, step))
-    return out.select("slug", F.col("r.cites").alias("cites"), F.col("r.open").alias("cites_unresolved"))
+    return out.select("slug", F.concat("r.cites", "r.curated").alias("cites"), F.col("r.curated").alias("cites_curated"), F.col("r.open").alias("cites_unresolved"))
 
 
 def log_rows(logs: DataFrame, body: str = "content") -> DataFrame:

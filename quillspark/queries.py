@@ -363,7 +363,7 @@ def _sources(spark: SparkSession, sf: str) -> DataFrame:
     return s.withColumns({"authors": F.when(F.col("title").isNotNull(), F.array("source")), "tags": F.when(F.col("lang") == "es", F.array(F.lit("thesis"))).otherwise(none), "cites": F.when(F.col("date").isNotNull(), F.array("slug")), "cites_unresolved": none, "methods": F.array_compact(F.array("method")), "domain": F.array("domain1"), "interventions": none, "population": F.substring("text", 1, 80), "sample_size": F.col("year").cast("string")})
 
 
-FINDINGS = SECTIONS + rf""", c AS (SELECT *, len(regexp_extract_all(body, '[\p{{L}}\p{{N}}_]+')) AS w, CASE WHEN length('- ' || substr(string_split(body, '## Recommendations / Implications' || chr(10) || '- ')[-1], 1, 0)) >= 0 THEN list_filter(string_split(string_split(string_split(body, '## Recommendations / Implications' || chr(10))[-1], '## Extraction')[1], chr(10)), lambda x: starts_with(trim(x), '-') AND length(x) > 30 AND NOT regexp_matches(x, '\(p\.\s*[0-9?]+\)')) END AS bare, length(body) - length(replace(replace(body, '—', ''), '–', '')) AS dashes FROM s),
+FINDINGS = SECTIONS + rf""", c AS (SELECT *, len(regexp_extract_all(body, '[\p{{L}}\p{{N}}_]+')) AS w, list_filter(string_split(string_split(string_split(body, '## Recommendations / Implications' || chr(10))[-1], '## Extraction')[1], chr(10)), lambda x: starts_with(trim(x), '-') AND length(x) > 30 AND NOT regexp_matches(x, '\(p\.\s*[0-9?]+\)')) AS bare, length(body) - length(replace(replace(body, '—', ''), '–', '')) AS dashes FROM s),
 f AS (SELECT path, 'frontmatter_required' AS "check", 'BLOCKING' AS severity FROM c WHERE title IS NULL UNION ALL SELECT path, 'frontmatter_required', 'BLOCKING' FROM c WHERE title IS NULL UNION ALL SELECT path, 'frontmatter_required', 'BLOCKING' FROM c WHERE date IS NULL
 UNION ALL SELECT path, 'study_design_empty', 'WARNING' FROM c WHERE lang <> 'es' AND study_design IS NULL UNION ALL SELECT path, 'doi_missing', 'WARNING' FROM c WHERE lang <> 'es' AND doi IS NULL UNION ALL SELECT path, 'cites_empty', 'INFO' FROM c WHERE date IS NULL
 UNION ALL SELECT path, 'uncited_claims', 'BLOCKING' FROM c WHERE len(bare) > 0 UNION ALL SELECT path, 'page_too_short', 'WARNING' FROM c WHERE study_design IS NOT NULL AND w < 400 UNION ALL SELECT path, 'wrong_folder', 'WARNING' FROM c WHERE lang = 'en' UNION ALL SELECT path, 'checklist_incomplete', 'BLOCKING' FROM c UNION ALL SELECT path, 'em_dash', 'WARNING' FROM c WHERE dashes > 0)"""
@@ -539,7 +539,7 @@ def duplicates_by_text(spark, sf):
     none = F.array().cast("array<string>")
     refs = d.select(F.col("slug").alias("target"), none.alias("referrers")).limit(0)
     rows = duplicates.features(d.withColumns({"aliases": none, "tags": none}), refs)
-    out = duplicates.kept(duplicates.scored_pairs(duplicates.candidate_pairs(rows.withColumn("title", F.col("path"))), rows, F.lit(0.0)))
+    out = duplicates.kept(duplicates.scored_pairs(duplicates.candidate_pairs(rows, titles=False), rows, F.lit(0.0)))
     return out.where(F.round("text", 3) >= duplicates.TEXT).select("a", "b", F.round("text", 3).alias("text_jaccard"))
 
 

@@ -22,8 +22,19 @@ SCHEMAS = {
 
 
 def snapshot(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """A snapshot table from JSON lines, with its fixed schema; faulty rows are dropped."""
-    return spark.read.schema(SCHEMAS[name]).option("mode", "DROPMALFORMED").json(path)
+    """A snapshot table from JSON lines, with its fixed schema; ``faulty`` has the lines that don't fit it."""
+    return _lines(spark, name, path).where("corrupt is null").drop("corrupt")
+
+
+def faulty(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """(corrupt): the lines of a snapshot that its schema can't read, whole."""
+    return _lines(spark, name, path).where("corrupt is not null").select("corrupt")
+
+
+def _lines(spark: SparkSession, name: str, path: str) -> DataFrame:
+    lines = spark.read.text(path)
+    row = F.from_json("value", f"{SCHEMAS[name]}, corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})
+    return lines.where("trim(value) <> ''").select(row.alias("r")).select("r.*")
 
 
 def inference_checkpoint(spark: SparkSession, path: str) -> DataFrame:
