@@ -6,10 +6,12 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ STEP_BYTES = 1 << 19
 #: glibc's, where there is one.
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
+#: The mark that SentencePiece vocabularies have for a space.
+SPACE = "▁"
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,6 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage now: Spark deletes the shuffle files of finished jobs only then, which a roomy heap puts off for a whole run."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read from there."""
     shared_dir(df.sparkSession)
@@ -45,9 +55,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again (columnar, compressed)."""
-    path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    release(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote. Only for those whose every reader has been written out itself: a lost executor must not need them again."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +85,25 @@ def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[at[0] : at[-1]], at - at[0]
 
 
+def spaced_words(texts: pa.Array, prefix: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """Runs of spaces with the other characters behind them, as bytes, and how many each text has.
+
+    The space mark counts as a space; ``prefix`` puts a space before each text that isn't empty.
+    """
+    flat, offsets = flat_text(pc.replace_substring(texts, SPACE, " "))
+    some = offsets[:-1] < offsets[1:]
+    if prefix:
+        flat = np.insert(flat, offsets[:-1][some], 32)
+        offsets = offsets + np.r_[0, np.cumsum(some)]
+    space = flat == 32
+    new = np.r_[True, ~space[:-1]][: len(flat)] & space
+    new[offsets[:-1][some]] = True
+    start = np.flatnonzero(new)
+    at = np.r_[start, len(flat)].astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(flat))])
+    return found, np.diff(np.searchsorted(start, offsets))
+
+
 def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes each; a longer row comes alone."""
     a, n = 0, len(offsets) - 1
@@ -80,13 +121,87 @@ def trim() -> None:
         _trim(0)
 
 
-def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same batches; after each, memory that lies free goes back to the system, so that idle workers stay small."""
+#: What this worker remembers between tasks, by owner: each has ``forget()``.
+_kept: list = []
+
+
+def tidy(batches: Iterator[pa.RecordBatch], mine: object = None) -> Iterator[pa.RecordBatch]:
+    """The same batches; after each, memory that lies free goes back to the system, so that idle workers stay small.
+
+    A reused worker first forgets what other operators remember: all code books but ``mine``.
+    """
+    for book in _kept:
+        if book is not mine:
+            book.forget()
+    trim()
     for batch in batches:
         yield batch
         trim()
 
 
+class CodeBook:
+    """Numbers (such as token ids) of chunks of text that a worker met before.
+
+    Beyond ``most`` chunks or ``most_bytes`` bytes of them, those that stood in one
+    step alone are forgotten, or all if that isn't half. One that ``tidy`` is not
+    given as its own is emptied.
+    """
+
+    def __init__(self, dtype: type = np.int32, most: int = 400_000, most_bytes: int = 16 << 20) -> None:
+        self.dtype, self.most, self.most_bytes = dtype, most, most_bytes
+        self.forget()
+        _kept.append(self)
+
+    def __len__(self) -> int:
+        return len(self.code)
+
+    def forget(self) -> None:
+        self.code: defaultdict[bytes, int] = defaultdict()
+        self.code.default_factory = self.code.__len__
+        self.bytes = 0
+        self.uses = np.zeros(0, np.int32)  # steps in which a chunk stood
+        self.flat = np.zeros(0, self.dtype)
+        self.at = np.zeros(1, np.int64)
+
+    def _thin(self) -> None:
+        names = list(self.code)
+        keep = np.flatnonzero(self.uses[: len(names)] > 1)
+        size = (self.at[1:] - self.at[:-1])[keep]
+        flat = self.flat[ranges(self.at[keep], size)]
+        self.forget()
+        names = [names[k] for k in keep.tolist()]
+        if 2 * len(names) <= self.most and 2 * (held := sum(map(len, names))) <= self.most_bytes:
+            for w in names:
+                self.code[w]  # takes the next number
+            self.bytes, self.flat, self.at = held, flat, np.r_[0, np.cumsum(size)]
+            self.uses = np.zeros(len(names), np.int32)
+
+    def look_up(self, chunks: pa.Array, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all chunks in a row, and how many each has; ``encode`` gives them for new chunks."""
+        if len(self.code) > self.most or self.bytes > self.most_bytes:
+            self._thin()
+        chunks = chunks.dictionary_encode()
+        words, known = chunks.dictionary.to_pylist(), len(self.code)
+        own = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        if len(self.code) > known:
+            # numbers ascend by first place, and so do the new words here
+            fresh = [words[k] for k in np.flatnonzero(own >= known).tolist()]
+            numbers, sizes = encode(fresh)
+            used = int(self.at[-1])
+            if used + len(numbers) > len(self.flat):
+                self.flat = np.r_[self.flat[:used], np.zeros(len(numbers) + used // 4, self.dtype)]
+            self.flat[used : used + len(numbers)] = numbers
+            self.at = np.r_[self.at, used + np.cumsum(sizes)]
+            self.bytes += sum(map(len, fresh))
+            if len(self.code) > len(self.uses):
+                self.uses = np.r_[self.uses, np.zeros(len(self.code) + len(self.code) // 4 - len(self.uses), np.int32)]
+        self.uses[own] += 1
+        codes = own[chunks.indices.to_numpy()]
+        start = self.at[codes]
+        size = self.at[codes + 1] - start
+        return self.flat[ranges(start, size)], size
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each range, one after another."""
     lengths = np.asarray(lengths, np.int64)

@@ -10,14 +10,12 @@ u8 id is null, u32 number of ids``; a reader seeks to any record by it.
 
 from __future__ import annotations
 
+import bisect
 import functools
-import itertools
 import json
-import re
 import struct
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +26,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import checkpointed, flat_text, ranges, steps, tidy
+from ._common import CodeBook, checkpointed, flat_text, ranges, steps, tidy
 
 MASK_DELTA = 0xA282EAD8
 INDEX_ENTRY = np.dtype([("offset", "<u8"), ("id", "<i8"), ("null", "u1"), ("n", "<u4")])
-#: Chunks that a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 500_000
+#: Bytes of text whose ids make one file, and the most files.
+FILE_TEXT = 16 << 20
+MOST_FILES = 50_000
+#: Bytes of text that one step encodes.
+STEP_TEXT = 1 << 21
+
+#: Marks before which a letter's chunk ends.
+MARKS = np.isin(np.arange(256), list(b".,;:!?*#$%&|"))
+LETTERS = np.isin(np.arange(256), np.arange(97, 123))
+SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+LOWERED = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
 MANIFEST = "shard int, data string, index string, n_docs long, n_tokens long"
 
@@ -94,8 +101,7 @@ class ChunkEncoder:
         for token, i in vocab.items() if suffix else ():
             self.last[i] = token.endswith(suffix)
         self.lower = self.by_chunk and "Lowercase" in json.dumps(spec["normalizer"]) and suffix is not None
-        self.between = re.compile(rb"(?<=[a-z])(?=[.,;:!?*#$%&|])")
-        self.forget()
+        self.book = CodeBook()
 
     @staticmethod
     def _drops_space(spec: dict) -> bool:
@@ -112,12 +118,6 @@ class ChunkEncoder:
         pattern = regex.compile(first["pattern"]["Regex"])
         return not any(s in m for s in " \t\n\r\x0b\x0c" for t in (f"a{s}b", f"1{s}2", f"!{s}?", f"'{s}s", s * 3) for m in pattern.findall(t))
 
-    def forget(self) -> None:
-        self.code: defaultdict[bytes, int] = defaultdict()
-        self.code.default_factory = self.code.__len__
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.at = np.zeros(1, np.int64)
-
     def _single(self, chunk: str) -> bool:
         """Whether the tokenizer's splitter surely leaves the chunk whole: letters alone, or ASCII marks alone."""
         return chunk.isalpha() or (chunk.isascii() and "'" not in chunk and not any(c.isalnum() or c <= " " or c == "\x7f" for c in chunk))
@@ -158,41 +158,44 @@ class ChunkEncoder:
             flat[ranges(start[part], sizes[part])] = ids
         return flat, sizes
 
-    def chunks(self, text: str) -> list[bytes]:
-        """Parts that encode on their own: split at ASCII white space and between a letter and a common mark, letters A-Z lowered.
+    def chunks(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Parts that encode on their own, and how many each text has: split at ASCII white space and between a letter and a common mark, letters A-Z lowered.
 
         A lowered letter before a combining mark could compose otherwise, so texts
-        with such marks stay as they are.
+        with such marks, and texts with added tokens, are split at white space only.
         """
-        raw = text.encode()
-        if self.lower and b"\xcc" not in raw and b"\xcd" not in raw and not any(m in raw for m in self.marks):
-            raw = self.between.sub(b" ", raw.lower())
-        return raw.split()
-
-    def encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts, each with the end id last, and their n + 1 offsets."""
+        text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+        apart = np.full(len(offsets) - 1, self.lower)
+        if self.lower:
+            apart[text[np.flatnonzero((flat & 0xFE) == 0xCC)]] = False
+            data = flat.tobytes()
+            for m in self.marks:
+                at = data.find(m)
+                while at >= 0:
+                    apart[text[at]] = False
+                    at = data.find(m, at + 1)
+        lone = apart[text]
+        low = np.where(lone, LOWERED[flat], flat)
+        inside = ~SPACES[flat]
+        new = inside.copy()
+        new[1:] &= ~inside[:-1] | (lone[1:] & LETTERS[low[:-1]] & MARKS[low[1:]])
+        edge = offsets[:-1][offsets[:-1] < offsets[1:]]
+        new[edge] = inside[edge]
+        start = np.flatnonzero(new)
+        place = np.cumsum(inside, dtype=np.int32)
+        at = np.r_[place[start] - 1, inside.sum()].astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(low[inside])])
+        return found, np.diff(np.searchsorted(start, offsets))
+
+    def encode(self, texts: pa.Array | list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts, each with the end id last, and their n + 1 offsets; null counts as empty."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         if not self.by_chunk or self.separator is None:
-            rows = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+            rows = [e.ids for e in self.tok.encode_batch(["" if t is None else t for t in texts.to_pylist()], add_special_tokens=False)]
             flat, ends = np.array([i for r in rows for i in r], np.int32), np.cumsum([len(r) for r in rows])
         else:
-            if len(self.code) > REMEMBERED:
-                self.forget()
-            code, codes, counts, known = self.code, [], np.zeros(len(texts), np.int64), len(self.code)
-            for k, text in enumerate(texts):
-                chunks = self.chunks(text)
-                counts[k] = len(chunks)
-                codes += [code[w] for w in chunks]
-            if len(code) > known:
-                fresh = list(itertools.islice(code, known, None))
-                ids, sizes = self._encode_chunks(fresh)
-                used = int(self.at[-1])
-                if used + len(ids) > len(self.ids):
-                    self.ids = np.r_[self.ids[:used], np.zeros(used + 2 * len(ids), np.int32)]
-                self.ids[used : used + len(ids)] = ids
-                self.at = np.r_[self.at, used + np.cumsum(sizes)]
-            codes = np.array(codes, np.int64)
-            size = self.at[codes + 1] - self.at[codes]
-            flat = self.ids[ranges(self.at[codes], size)]
+            found, counts = self.chunks(*flat_text(texts))
+            flat, size = self.book.look_up(found, self._encode_chunks)
             ends = np.r_[0, np.cumsum(size)][np.cumsum(counts)]
         ends = np.asarray(ends, np.int64)
         if end_id is not None:
@@ -210,7 +213,7 @@ def encoder(path: str) -> ChunkEncoder:
 def write_token_files(docs: DataFrame, tokenizer_path: str, out_uri: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1) -> DataFrame:
     """Writes the ids of all rows in ascending id order; returns the manifest of files.
 
-    Rows are dealt by ranges of the id, with the text's hash and a row number to
+    Texts are encoded where they are read, and packed ids are dealt by ranges of the id, with the text's hash and a row number to
     split ties, so that a repeated id doesn't fill one file; equal ids stand in the
     order of their hash. Null ids come first. Null and empty texts give a record of
     the end id alone. Other columns are not read; an empty table gives no file with
@@ -220,39 +223,83 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_uri: str, id_col
     executors; ids must fit 64-bit integers.
     """
     run_id = uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, enc = TaskContext.get(), encoder(tokenizer_path)
+    number = F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), number.alias("at"), F.col(text_col).alias("text"))
+    bounds = file_bounds(rows)
+    shared = docs.sparkSession.sparkContext.broadcast(bounds)
+    packed = "part int, id long, tie long, at long, n int, payload binary"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer_path)
+        for batch in tidy(batches, enc.book):
+            part = file_of(shared.value, *batch.columns[:3])
+            _, offsets = flat_text(batch.column(3))
+            for a, b in steps(offsets, STEP_TEXT):
+                flat, cut = enc.encode(batch.column(3).slice(a, b - a), end_id)
+                payload = [pack(flat[x:y], enc.width) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                keys = [batch.column(k).slice(a, b - a) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[a:b]), *keys, pa.array(np.diff(cut).astype(np.int32)), pa.array(payload, pa.binary())], names=["part", "id", "tie", "at", "n", "payload"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
         files, base = pafs.FileSystem.from_uri(out_uri)
         files.create_dir(base, recursive=True)
-        name = f"{base}/{run_id}-{task.partitionId():06d}-{task.taskAttemptId()}"
+        name = f"{run_id}-{task.partitionId():06d}-{task.taskAttemptId()}"
         at = n_docs = n_tokens = 0
-        with files.open_output_stream(f"{name}.rec") as data, files.open_output_stream(f"{name}.idx") as index:
+        with files.open_output_stream(f"{base}/{name}.rec") as data, files.open_output_stream(f"{base}/{name}.idx") as index:
             for batch in tidy(batches):
-                ids = batch.column(0).cast(pa.int64())
-                _, offsets = flat_text(batch.column(1))
-                for a, b in steps(offsets):
-                    flat, cut = enc.encode(["" if t is None else t for t in batch.column(1).slice(a, b - a).to_pylist()], end_id)
-                    entries = np.zeros(b - a, INDEX_ENTRY)
-                    entries["id"] = ids.slice(a, b - a).fill_null(0).to_numpy(zero_copy_only=False)
-                    entries["null"] = ids.slice(a, b - a).is_null().to_numpy(zero_copy_only=False)
-                    entries["n"] = np.diff(cut)
-                    records = [frame(pack(flat[x:y], enc.width)) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                    sizes = np.array([len(r) for r in records], np.int64)
-                    entries["offset"] = at + np.cumsum(sizes) - sizes
-                    data.write(b"".join(records))
-                    index.write(entries.tobytes())
-                    at, n_docs, n_tokens = at + int(sizes.sum()), n_docs + b - a, n_tokens + len(flat)
-        yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "data": f"{out_uri}/{name.rpartition('/')[2]}.rec", "index": f"{out_uri}/{name.rpartition('/')[2]}.idx", "n_docs": n_docs, "n_tokens": n_tokens}], schema=pa.schema([("shard", pa.int32()), ("data", pa.string()), ("index", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    tie = F.xxhash64("text")
-    dealt = rows.repartitionByRange(F.col("id").asc_nulls_first(), tie, F.monotonically_increasing_id()).sortWithinPartitions(F.col("id").asc_nulls_first(), tie)
-    return checkpointed(dealt.mapInArrow(run, MANIFEST))
+                entries = np.zeros(len(batch), INDEX_ENTRY)
+                entries["id"] = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+                entries["null"] = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+                entries["n"] = batch.column(1).to_numpy()
+                sizes = np.zeros(len(batch), np.int64)
+                for k, payload in enumerate(batch.column(2)):
+                    sizes[k] = data.write(frame(payload.as_buffer().to_pybytes()))
+                entries["offset"] = at + np.cumsum(sizes) - sizes
+                index.write(entries.tobytes())
+                at, n_docs, n_tokens = at + int(sizes.sum()), n_docs + len(batch), n_tokens + int(entries["n"].sum(dtype=np.int64))
+        row = {"shard": task.partitionId(), "data": f"{out_uri}/{name}.rec", "index": f"{out_uri}/{name}.idx", "n_docs": n_docs, "n_tokens": n_tokens}
+        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("data", pa.string()), ("index", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+
+    # packed ids move, not texts: one shuffle of about two bytes a token
+    dealt = rows.mapInArrow(encode, packed).repartitionById(len(bounds) + 1, "part").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie", "at")
+    return checkpointed(dealt.select("id", "n", "payload").mapInArrow(write, MANIFEST))
+
+
+def file_bounds(rows: DataFrame) -> list[tuple[bool, int, int, int]]:
+    """The first keys (id is no null, id, tie, at) of all files but the first, from a sample of keys.
+
+    Files hold about ``FILE_TEXT`` bytes of text each, more where that would make
+    over ``MOST_FILES``. The sample only balances the files: any bounds give the
+    same order. At most about a million keys reach the driver.
+    """
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    files = min(MOST_FILES, size["n"], -(-size["b"] // FILE_TEXT))
+    if files < 2:
+        return []
+    share = min(1.0, min(100 * files, 1_000_000) / size["n"])
+    keys = rows.select("id", "tie", "at").sample(share, 1).toArrow()
+    order = sorted((i is not None, i if i is not None else 0, t, a) for i, t, a in zip(*(c.to_pylist() for c in keys.columns), strict=True))
+    return sorted({order[k * len(order) // files] for k in range(1, files)}) if order else []
+
+
+def file_of(bounds: list[tuple[bool, int, int, int]], ids: pa.Array, ties: pa.Array, ats: pa.Array) -> np.ndarray:
+    """The file of each row: how many bounds are not above its key."""
+    if not bounds:
+        return np.zeros(len(ids), np.int32)
+    low = np.iinfo(np.int64).min
+    edge = np.array([b[1] if b[0] else low for b in bounds], np.int64)
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    own = np.where(null, low, ids.fill_null(0).to_numpy(zero_copy_only=False))
+    out, last = np.searchsorted(edge, own, "left"), np.searchsorted(edge, own, "right")
+    tie, at = ties.to_numpy(), ats.to_numpy()
+    for k in np.flatnonzero(out < last).tolist():  # ids that are a bound's
+        out[k] = bisect.bisect_right(bounds, (not null[k], 0 if null[k] else int(own[k]), int(tie[k]), int(at[k])))
+    return out.astype(np.int32)
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """(id long, start long, ids array<long>) of all records, read through the index, checksums verified.
+    """(id long, start long, ids array<int>) of all records, read through the index, checksums verified.
 
     ``start`` counts the ids of all records before. One task reads one file; the
     driver sees a row a file.
@@ -262,7 +309,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     for s in shards:
         rows.append((s["data"], s["index"], base))
         base += s["n_tokens"]
-    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType(), False))])
+    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidy(batches):
@@ -279,7 +326,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         data = memoryview(f.read_at(int(bounds[b] - bounds[a]), int(bounds[a])))
                         ids = [unpack(unframe(data, int(bounds[k] - bounds[a]))[0]) for k in range(a, b)]
                         cut = np.r_[0, np.cumsum([len(x) for x in ids])]
-                        flat = np.concatenate(ids).astype(np.int64)
+                        flat = np.concatenate(ids).astype(np.int32)
                         key = pa.array(entries["id"][a:b].astype(np.int64), mask=entries["null"][a:b].astype(bool))
                         yield pa.RecordBatch.from_arrays([key, pa.array(starts[a:b]), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat))], names=["id", "start", "ids"])
                         a = b
@@ -297,7 +344,7 @@ def checksums(records: DataFrame) -> DataFrame:
         for batch in tidy(batches):
             ids = batch.column(2)
             at = ids.offsets.to_numpy()
-            flat = ids.values.to_numpy().astype("<u4")
+            flat = ids.values.to_numpy().astype("<u4", copy=False)
             crc = [zlib.crc32(flat[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 

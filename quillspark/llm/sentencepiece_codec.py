@@ -7,13 +7,15 @@ one flat symbol array; every round finds each word's best pair by a segmented
 minimum of ranks, merges its leftmost occurrence in all words at once, compacts
 the array, and drops words that have no pair left. Where a piece can't give rise
 to a pair of the same or a better rank, all its disjoint occurrences in a word
-merge in one round, which gives what merging them one by one gives.
+merge in one round, which gives what merging them one by one gives. Words of many
+symbols (texts without spaces) are cut, again and again, at boundaries that no
+piece of the vocabulary crosses, so that their parts go through the rounds side by
+side.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,15 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import ranges, tidy
+from ._common import SPACE, CodeBook, flat_text, mix, odd_powers, ranges, spaced_words, steps, tidy
 
-SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NO_RANK = np.iinfo(np.int32).max
-#: Words that a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 400_000
-#: Longer words go through a heap, whose time doesn't grow with the square of their length.
-LONG_WORD = 2_000
+#: Words of more symbols are cut where no piece can cross, before the first round and after every ``CUT_ROUNDS``.
+CUT_FROM, CUT_ROUNDS = 64, 16
+BASE = 0x5851F42D4C957F2D  # odd
 
 SCHEMA = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
 
@@ -56,8 +56,15 @@ class Merges:
 
     def run(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merges in all words until none has a pair left; ``word`` ascends."""
+        first_word, place = word, np.arange(len(symbols))
+        end = place + 1
+        sums, back = self._sums(symbols)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        rounds = 0
         while len(symbols):
+            if rounds % CUT_ROUNDS == 0:
+                word = self._cut(word, place, end, sums, back)
+            rounds += 1
             made = self.find(symbols[:-1], symbols[1:])
             made[word[:-1] != word[1:]] = -1
             rank = np.full(len(symbols), NO_RANK, np.int32)
@@ -66,17 +73,14 @@ class Merges:
             count = np.diff(np.r_[first, len(word)])
             best = np.minimum.reduceat(rank, first)
             live = best < NO_RANK
+            made = np.r_[made, -1]
             if not live.all():
                 keep = np.repeat(live, count)
-                done.append((symbols[~keep], word[~keep]))
-                symbols, word, rank = symbols[keep], word[keep], rank[keep]
-                made = np.r_[made, -1][keep]
+                done.append((symbols[~keep], place[~keep]))
+                symbols, word, rank, made, place, end = (x[keep] for x in (symbols, word, rank, made, place, end))
                 best, count = best[live], count[live]
-                first = np.cumsum(count) - count
                 if not len(symbols):
                     break
-            else:
-                made = np.r_[made, -1]
             hit = np.flatnonzero(rank == np.repeat(best, count))
             segment = np.repeat(np.arange(len(count)), count)[hit]
             # leftmost of each word, and every second of a run of touching hits where all may merge together
@@ -94,42 +98,60 @@ class Merges:
                 lead[hit[new]] = True
                 seg = np.repeat(np.arange(len(count)), count)
                 take = take[~mixed[seg[take]] | lead[take]]
-            symbols = symbols.copy()
-            symbols[take] = made[take]
+            symbols, end = symbols.copy(), end.copy()
+            symbols[take], end[take] = made[take], end[take + 1]
             keep = np.ones(len(symbols), bool)
             keep[take + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            symbols, word, place, end = (x[keep] for x in (symbols, word, place, end))
         symbols = np.concatenate([s for s, _ in done] or [symbols])
-        word = np.concatenate([w for _, w in done] or [word])
-        order = np.argsort(word, kind="stable")
-        return symbols[order], word[order]
-
-    def run_long(self, symbols: np.ndarray) -> np.ndarray:
-        """The same for one long word, by a heap of pairs."""
-        s = symbols.tolist()
-        after, before = list(range(1, len(s))) + [-1], list(range(-1, len(s) - 1))
-        pairs = dict(zip(self.keys.tolist(), self.made.tolist(), strict=True))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j >= 0 and (z := pairs.get(min(s[i], self.size - 1) * self.size + min(s[j], self.size - 1))) is not None:
-                heapq.heappush(heap, (int(self.rank[z]), i, j, z))
-
-        for i in range(len(s) - 1):
-            push(i)
-        while heap:
-            _, i, j, z = heapq.heappop(heap)
-            if s[i] < 0 or s[j] < 0 or after[i] != j or pairs.get(min(s[i], self.size - 1) * self.size + min(s[j], self.size - 1)) != z:
-                continue
-            s[i], s[j] = z, -1
-            after[i] = after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            if before[i] >= 0:
-                push(before[i])
-            push(i)
-        return np.array([x for x in s if x >= 0], symbols.dtype)
+        place = np.concatenate([p for _, p in done] or [place])
+        order = np.argsort(place)
+        return symbols[order], first_word[place[order]]
+
+    def _sums(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums from which the hash of a range of characters follows, and the inverse powers of its base."""
+        n = len(symbols)
+        out = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(symbols.astype(np.uint64) + np.uint64(1)) * odd_powers(n, BASE), out=out[1:])
+        return out, odd_powers(n, pow(BASE, -1, 1 << 64))
+
+    def know(self, pieces: list[list[int]]) -> None:
+        """Takes the vocabulary as rows of character symbols."""
+        self.longest = max(map(len, pieces), default=0)
+        out = []
+        for p in pieces:
+            sums, _ = self._sums(np.array(p, np.int64))
+            out.append(sums[-1])
+        self.pieces = np.unique(np.array(out, np.uint64))
+
+    def _cut(self, word: np.ndarray, place: np.ndarray, end: np.ndarray, sums: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """``word`` with long words cut where no piece of the vocabulary crosses, so that their parts merge apart.
+
+        Symbols to come are pieces that begin and end where present symbols do, so
+        parts of a word can't meet at a boundary inside none of these. Pieces are
+        known by hash: a false hit leaves a boundary uncut, and no result differs.
+        """
+        change = np.r_[True, word[1:] != word[:-1]]
+        first = np.flatnonzero(change)
+        count = np.diff(np.r_[first, len(word)])
+        if count.max() <= CUT_FROM:
+            return word
+        inside = np.repeat(count > CUT_FROM, count)
+        covered = np.zeros(len(word) + 1, np.int32)
+        at = np.flatnonzero(inside)
+        for k in range(1, self.longest):
+            at = at[at + k < len(word)]
+            at = at[(word[at + k] == word[at]) & (end[at + k] - place[at] <= self.longest)]
+            if not len(at):
+                break
+            key = (sums[end[at + k]] - sums[place[at]]) * back[place[at]]
+            near = np.minimum(np.searchsorted(self.pieces, key), len(self.pieces) - 1)
+            hit = at[self.pieces[near] == key]
+            covered[hit] += 1
+            np.subtract.at(covered, hit + k, 1)
+        open_ = np.cumsum(covered[:-1]) == 0
+        change[1:] |= (open_ & inside)[:-1]
+        return np.cumsum(change)
 
 
 class Codec:
@@ -175,6 +197,7 @@ class Codec:
             worse = part[(part < self.n) & (rank[made] <= rank[part])]
             together[worse] = False
         self.merges = Merges(keys, made, rank, together, size)
+        self.merges.know([[symbol[c] for c in p] for p in number if len(p) > 1])
         top = max((ord(c) for c in symbol if len(c) == 1), default=0)
         self.of_char = np.full(top + 2, self.other, np.int32)
         for c, i in symbol.items():
@@ -188,37 +211,25 @@ class Codec:
         kind = np.array([p.type for p in pieces])
         self.is_byte, self.is_control = kind == BYTE, kind == CONTROL
         self.spaced = np.array([p.type == NORMAL and p.piece.startswith(SPACE) for p in pieces])
-        self.forget()
-
-    def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.at = np.zeros(1, np.int64)
-
-    def words(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if SPACE in text or "  " in text or text[-1] == " " or (text[0] == " " and self.prefix):
-            text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-            return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+$", text)
-        out = text.split(" ")
-        out = [SPACE + w for w in out]
-        if not self.prefix:
-            out[0] = out[0][1:]
-            return out if out[0] else out[1:]
-        return out
-
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.book = CodeBook()
+        self.space, self.stride = symbol.get(SPACE, -1), 1 << 40
+        # where the longest piece of space marks always comes first of a run, whatever follows, runs may part there
+        longest = max((len(p) for p in number if not p.strip(SPACE)), default=0)
+        runs = [self.merges.run(np.full(n, self.space), np.zeros(n, np.int64))[0] for n in range(longest, 5 * longest)]
+        if longest > 1 and all(len(r) and r[0] == number[SPACE * longest] for r in runs):
+            self.stride = longest
+
+    def encode_words(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each word and how many there are."""
+        words = [w.decode().replace(" ", SPACE) for w in raw]
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.array([len(w) for w in words], np.int64)
         word = np.repeat(np.arange(len(words)), lengths)
         symbols = self.of_char[np.minimum(points, len(self.of_char) - 1)].astype(np.int64)
         # characters outside the vocabulary stand for themselves: numbers from size on never merge
         strange = symbols >= self.n
-        long = np.repeat(lengths > LONG_WORD, lengths)
         tagged = symbols * (1 << 21) + points  # carries the code point of single characters
-        whole, owner = self._merge(tagged, symbols, word, long)
+        whole, owner = self._merge(tagged, symbols, word)
         sym, point = whole >> 21, whole & ((1 << 21) - 1)
         strange = sym >= self.n
         count = np.ones(len(sym), np.int64)
@@ -236,21 +247,21 @@ class Codec:
         sizes = np.bincount(np.repeat(owner, count), minlength=len(words))
         return out, sizes
 
-    def _merge(self, tagged: np.ndarray, symbols: np.ndarray, word: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _merge(self, tagged: np.ndarray, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge rounds; single characters keep their code point in the low bits."""
         # strange characters get numbers beyond the table, so that their code points survive
         strange = symbols >= self.n
         lone = symbols == self.other
         own = np.where(lone, self.merges.size + np.arange(len(symbols)), symbols)
-        done, owner = self.merges.run(own[~long], word[~long])
-        if long.any():
-            parts, owners = [done], [owner]
-            for w in np.unique(word[long]):
-                parts.append(self.merges.run_long(own[word == w]))
-                owners.append(np.full(len(parts[-1]), w))
-            done, owner = np.concatenate(parts), np.concatenate(owners)
-            order = np.argsort(owner, kind="stable")
-            done, owner = done[order], owner[order]
+        # a long run of space marks parts after each ``stride``
+        space = symbols == self.space
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        count = np.diff(np.r_[first, len(word)])
+        at = np.arange(len(word)) - np.repeat(first, count)
+        left = np.repeat(np.add.reduceat(space.astype(np.int64), first), count) - at
+        part = np.cumsum((at == 0) | (space & (at % self.stride == 0) & (left >= self.stride)))
+        done, owner = self.merges.run(own, part)
+        owner = word[np.searchsorted(part, owner)]
         out = done << 21
         at_lone = done >= self.merges.size
         out[at_lone] = tagged[done[at_lone] - self.merges.size]
@@ -261,30 +272,11 @@ class Codec:
             out[named] |= back[done[named]]
         return out, owner
 
-    def encode(self, texts: list[str], end: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts and their n + 1 offsets."""
-        if len(self.code) > REMEMBERED:
-            self.forget()
-        code, fresh, codes, counts = self.code, [], [], np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            words = self.words(text)
-            counts[k] = len(words)
-            for w in words:
-                c = code.get(w)
-                if c is None:
-                    c = code[w] = len(code)
-                    fresh.append(w)
-                codes.append(c)
-        if fresh:
-            ids, sizes = self.encode_words(fresh)
-            used = int(self.at[-1])
-            if used + len(ids) > len(self.ids):
-                self.ids = np.r_[self.ids[:used], np.zeros(used + 2 * len(ids), np.int32)]
-            self.ids[used : used + len(ids)] = ids
-            self.at = np.r_[self.at, used + np.cumsum(sizes)]
-        codes = np.array(codes, np.int64)
-        size = self.at[codes + 1] - self.at[codes]
-        flat = self.ids[ranges(self.at[codes], size)]
+    def encode(self, texts: pa.Array | list[str | None], end: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts and their n + 1 offsets; null counts as empty."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        found, counts = spaced_words(texts, self.prefix)
+        flat, size = self.book.look_up(found, self.encode_words)
         ends = np.r_[0, np.cumsum(size)][np.cumsum(counts)]
         if end:
             flat = np.insert(flat, ends, self.end)
@@ -348,8 +340,8 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-#: Characters that one vectorised step encodes.
-STEP_CHARS = 1 << 20
+#: Bytes of text that one vectorised step encodes.
+STEP_TEXT = 1 << 20
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True) -> DataFrame:
@@ -365,18 +357,12 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
-        for batch in tidy(batches):
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            a = 0
-            while a < len(texts):
-                b, chars = a, 0
-                while b < len(texts) and (b == a or chars + len(texts[b]) <= STEP_CHARS):
-                    chars += len(texts[b])
-                    b += 1
-                flat, at = c.encode(texts[a:b], end)
+        for batch in tidy(batches, c.book):
+            _, offsets = flat_text(batch.column(1))
+            for a, b in steps(offsets, STEP_TEXT):
+                flat, at = c.encode(batch.column(1).slice(a, b - a), end)
                 decoded = c.decode(flat, at)
                 ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids, pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
-                a = b
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -13,6 +13,7 @@ once in a worker.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import flat_text, steps, tidy
+from ._common import SPACE, CodeBook, flat_text, spaced_words, steps, tidy
 
-SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 400_000
+#: Bytes of text that one step counts.
+STEP_TEXT = 1 << 20
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -50,10 +51,8 @@ class Counter:
         for p, s in self.score.items():
             self.automaton.add_word(p, (len(p), s))
         self.automaton.make_automaton()
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: _Memory = _Memory(self.viterbi)
+        self.longest = max(map(len, self.score))
+        self.book = CodeBook(np.int64)  # pieces and score of each word
 
     def viterbi(self, word: str) -> tuple[int, float]:
         """Number of pieces and score of the best path."""
@@ -61,14 +60,19 @@ class Counter:
         best, pieces, run = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)  # run: unknown characters at the path's end
         done, single = 0, False
         reached = [True] + [False] * n
+        at = [0, *itertools.accumulate(1 if c < "\x80" else len(c.encode()) for c in word)]
+
+        def fused(start: int, end: int) -> int:
+            """Pieces of a run of unknown characters: one if it is in the vocabulary, else its bytes."""
+            if start == end:
+                return 0
+            return 1 if end - start <= self.longest and word[start:end] in self.score else at[end] - at[start]
 
         def unknown(end: int) -> None:
             score = best[end - 1] + self.unknown
             if not reached[end] or score > best[end]:
-                k = run[end - 1]
-                fused = word[end - 1 - k : end]
-                before = self._fused(word[end - 1 - k : end - 1]) if k else 0
-                best[end], pieces[end], run[end], reached[end] = score, pieces[end - 1] - before + self._fused(fused), k + 1, True
+                start = end - 1 - run[end - 1]
+                best[end], pieces[end], run[end], reached[end] = score, pieces[end - 1] - fused(start, end - 1) + fused(start, end), end - start, True
 
         for last, (length, s) in self.automaton.iter(word):
             end = last + 1
@@ -89,34 +93,18 @@ class Counter:
             single = False
         return pieces[n], best[n]
 
-    def _fused(self, run: str) -> int:
-        return 1 if run in self.score else len(run.encode())
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """A text, with the space mark before it and for each space, cut before each run of marks."""
-        if not text:
-            return []
-        if SPACE in text or "  " in text or text[-1] == " " or text[0] == " ":
-            return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+$", SPACE + text.replace(" ", SPACE))
-        return [SPACE + w for w in text.split(" ")]
-
-    def count(self, text: str) -> tuple[int, float]:
-        """Pieces and score of a text."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        known = self.known
-        found = [known[w] for w in self.words(text)]
-        return sum(x[0] for x in found), float(sum(x[1] for x in found))
-
-
-class _Memory(dict):
-    def __init__(self, of) -> None:
-        self.of = of
+    def _of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.viterbi(w.decode().replace(" ", SPACE)) for w in words]
+        return np.array(found, np.float64).astype(np.int64).ravel(), np.full(len(words), 2)
 
-    def __missing__(self, word: str) -> tuple[int, float]:
-        out = self[word] = self.of(word)
-        return out
+    def count(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces and score of each text; null counts as empty."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        found, counts = spaced_words(texts)
+        both, _ = self.book.look_up(found, self._of_words)
+        total = np.r_[np.zeros((1, 2), np.int64), np.cumsum(both.reshape(-1, 2), axis=0)][np.r_[0, np.cumsum(counts)]]
+        total = np.diff(total, axis=0)
+        return total[:, 0], total[:, 1].astype(np.float64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -136,10 +124,10 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model_path)
-        for batch in tidy(batches):
+        for batch in tidy(batches, c.book):
             _, offsets = flat_text(batch.column(1))
-            for a, b in steps(offsets):
-                found = [c.count(t or "") for t in batch.column(1).slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.array([x[0] for x in found], np.int64)), pa.array(np.array([x[1] for x in found], np.float64))], names=[id_col, "n_tokens", "score"])
+            for a, b in steps(offsets, STEP_TEXT):
+                n, score = c.count(batch.column(1).slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(score)], names=[id_col, "n_tokens", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -53,8 +53,8 @@ def test_counts_equal_library():
     lib = Tokenizer(models.Unigram(v, 0, True))
     lib.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
     c = Counter(v)
-    t = [x for x in texts(300, 3) if len(x) < 1000]
-    assert [c.count(x)[0] for x in t] == [len(lib.encode(x, add_special_tokens=False).ids) for x in t]
+    t = [*texts(300, 3), "\u0600\u0601" * 20_000 + "the", "thing" * 4000, "é漢a" * 3000]
+    assert c.count(t)[0].tolist() == [len(lib.encode(x, add_special_tokens=False).ids) for x in t]
 
 
 def test_count_rows(spark):
@@ -108,16 +108,41 @@ def test_digests(spark, tmp_path):
     assert r["decoded_sha256"] == hashlib.sha256(b"Ein Text.").hexdigest()
 
 
-def test_heap_of_long_words_equals_rounds(monkeypatch):
+def test_long_words_equal_library():
     import random
 
-    from quillspark.llm import sentencepiece_codec as c
-    from quillspark.llm.queries import tokenizer_file
+    import sentencepiece
+
+    from quillspark.llm.sentencepiece_codec import Codec
 
     rng = random.Random(1)
-    codec = c.Codec(tokenizer_file("piece_bpe_32k.model"))
-    words = ["".join(rng.choice("abcdefghié") for _ in range(2001)), "a" * 2001]
-    heap = codec.encode_words(words)
-    monkeypatch.setattr(c, "LONG_WORD", 1 << 30)
-    rounds = codec.encode_words(words)
-    assert all((x == y).all() for x, y in zip(heap, rounds, strict=True))
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=PIECES), Codec(PIECES)
+    t = ["".join(rng.choice(a) for _ in range(n)) for a, n in (("abcdefghié", 2001), ("the and ing▁".replace(" ", ""), 30_000), ("ab", 5000), ("漢é🙂a", 3000), ("abcdefghijklmnopqrstuvwxyz0123456789+/", 1_000_000))]
+    t += ["a" * 20_001, " " * 30_001, *(" " * n + "the x" + " " * n for n in range(14, 70)), "\n" * 500 + " " * 47 + "\n"]
+    flat, at = own.encode(t, end=False)
+    for k, x in enumerate(t):
+        assert flat[at[k] : at[k + 1]].tolist() == lib.encode(x), x[:80]
+    assert own.decode(flat, at) == [lib.decode(lib.encode(x)) for x in t]
+
+
+def test_many_record_files_keep_the_order(spark, tmp_path, monkeypatch):
+    """Hot, null and extreme ids over many files: a total order, every row once."""
+    from quillspark.llm import record_files as r
+
+    monkeypatch.setattr(r, "FILE_TEXT", 500)
+    rng = random.Random(4)
+    ids = [None, -(2**63), 2**63 - 1, *[7] * 300, *(rng.randint(-5, 20) for _ in range(300)), None]
+    rows = [(i, rng.choice(["same text", "x" * rng.randint(1, 40), "a b c", None, ""])) for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    manifest = r.write_token_files(df, WORDS, str(tmp_path / "rec"))
+    shards = sorted(manifest.collect())
+    assert len(shards) > 8 and max(x["n_docs"] for x in shards) < 200
+    got = sorted(r.read_token_files(spark, manifest).collect(), key=lambda x: x["start"])
+    keys = [(x["id"] is not None, x["id"] or 0) for x in got]
+    assert keys == sorted(keys) and len(got) == len(rows)
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(WORDS)
+    want = sorted(repr((i, [*lib.encode(t or "", add_special_tokens=False).ids, 1])) for i, t in rows)
+    assert sorted(repr((x["id"], x["ids"])) for x in got) == want
+    assert [x["start"] for x in got] == [sum(len(y["ids"]) for y in got[:k]) for k in range(len(got))]
