@@ -4,19 +4,24 @@ A tree builder reads tags with the implied ends and starts of HTML (a paragraph
 ends at the next block, a list item at the next item, a cell at the next cell),
 raw-text elements and character references. Its serialised tree (open, text and
 close events) is rendered in one pass without recursion, so nesting of any depth
-works. Hidden subtrees give nothing.
+works. Subtrees that aren't laid out give nothing; visibility is inherited and may
+be turned on again inside. Cells keep their column under row and column spans.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+import textwrap
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._common import tidy
+
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
@@ -42,12 +47,14 @@ ENDS = {
 }
 HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas svg math rp".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript head".split())
-HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
-#: Columns are padded up to this width; longer cells overflow.
-WIDEST = 40
-#: Deeper lists aren't indented further.
-DEEPEST = 20
+#: Lines of a cell that are longer wrap at blanks, so that padding stays in proportion; columns stay aligned.
+WIDEST = 400
+#: List levels that add to the indent; browsers bound a tree's depth alike.
+DEEPEST = 512
 
 
 def events(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -135,33 +142,61 @@ def events(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
 
 
 class _Out:
-    """Text under construction: inline runs, line breaks, and the blank lines that blocks ask for."""
+    """Text under construction: inline runs, line breaks, the blank lines that blocks ask for, and the list items that lines stand in."""
 
     def __init__(self) -> None:
         self.parts: list[str] = []
         self.breaks = 0  # line breaks wanted before the next text
         self.space = False
         self.empty = True
+        self.fresh = True  # the next text starts a line
+        self.marks: list[str] = []  # of open list items
+        self.shown = 0  # of these, how many are written; the others wait for text
+        self.width = [0]  # indent behind each number of items
 
     def ask(self, n: int) -> None:
         self.breaks = max(self.breaks, n)
         self.space = False
 
-    def line(self) -> None:
-        """A forced line break."""
+    def open_item(self, mark: str) -> None:
+        self.marks.append(mark)
+        self.width.append(self.width[-1] + (len(mark) if len(self.marks) <= DEEPEST else 0))
+
+    def close_item(self) -> None:
+        self.marks.pop()
+        self.width.pop()
+        self.shown = min(self.shown, len(self.marks))
+
+    def _indent(self) -> str:
+        return " " * self.width[self.shown]
+
+    def _feed(self) -> None:
         if self.breaks and not self.empty:
             self.parts.append("\n" * self.breaks)
+            self.fresh = True
         self.breaks = 0
+
+    def line(self) -> None:
+        """A forced line break."""
+        self._feed()
         if not self.empty:
             self.parts.append("\n")
+            self.fresh = True
         self.space = False
 
     def add(self, text: str) -> None:
-        if self.breaks and not self.empty:
-            self.parts.append("\n" * self.breaks)
-        elif self.space and not self.empty and not (self.parts and self.parts[-1].endswith("\n")):
+        self._feed()
+        if self.fresh or self.shown < len(self.marks):
+            if not self.fresh:
+                self.parts.append("\n")
+            self.parts.append(self._indent())
+            self.parts += self.marks[self.shown :]
+            self.shown = len(self.marks)
+        elif self.space and not self.parts[-1].endswith("\n"):
             self.parts.append(" ")
-        self.breaks, self.space, self.empty = 0, False, False
+        if "\n" in text:
+            text = text.replace("\n", "\n" + self._indent())
+        self.space = self.empty = self.fresh = False
         self.parts.append(text)
 
     def inline(self, text: str) -> None:
@@ -175,38 +210,85 @@ class _Out:
         self.space = text[-1].isspace()
 
     def text(self) -> str:
-        return re.sub(r"\n{3,}", "\n\n", "".join(self.parts)).strip("\n")
+        lines = "\n".join(x.rstrip(" ") for x in "".join(self.parts).split("\n"))
+        return re.sub(r"\n{3,}", "\n\n", lines).strip("\n")
+
+
+def _span(value: str | None, most: int) -> int:
+    """A span attribute as browsers read it; 0 is kept, for all the rows below."""
+    m = re.match(r"\s*\+?(\d{1,9})", value or "")
+    return min(int(m[1]), most) if m else 1
 
 
-def _table(rows: list[list[str]]) -> str:
-    """Rows of cells, columns padded to their widest cell up to ``WIDEST``."""
-    grid = [[c.split("\n") for c in r] for r in rows if any(r)]
-    widths: list[int] = []
-    for r in grid:
-        for k, cell in enumerate(r):
-            if k == len(widths):
-                widths.append(0)
-            widths[k] = max(widths[k], max((len(x) for x in cell if len(x) <= WIDEST), default=0))
-    lines = []
-    for r in grid:
-        for k in range(max(map(len, r), default=0)):
-            lines.append(" | ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(r, widths, strict=False)).rstrip())
-    return "\n".join(lines)
+def _wrapped(text: str) -> list[str]:
+    out = []
+    for x in text.split("\n"):
+        out += textwrap.wrap(x, WIDEST, break_on_hyphens=False, drop_whitespace=False, expand_tabs=False, replace_whitespace=False) if len(x) > WIDEST else [x]
+    return out
+
+
+def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, str]]]:
+    """(column, columns, text) of each row's cells: a cell takes the first column that no cell of a row above reaches into."""
+    taken: dict[int, int] = {}  # column -> the first row that is free of spans from above
+    out = []
+    for y, row in enumerate(rows):
+        placed, x = [], 0
+        for text, wide, high in row:
+            while taken.get(x, 0) > y:
+                x += 1
+            wide = max(wide, 1)
+            placed.append((x, wide, text))
+            below = len(rows) if high == 0 else y + high
+            if below > y + 1:
+                taken.update(dict.fromkeys(range(x, x + wide), below))
+            x += wide
+        out.append(placed)
+    return out
+
+
+def _table(rows: list[list[tuple[str, int, int]]]) -> str:
+    """Rows of cells (text, columns, rows) with columns padded to their widest cell; rows without text are left out."""
+    placed = [row for row in _placed(rows) if any(text for *_, text in row)]
+    starts = sorted({x for row in placed for x, _, _ in row})  # a column where no cell starts has no width of its own
+    at = {x: k for k, x in enumerate(starts)}
+    grid = [[(at[x], bisect.bisect_left(starts, x + wide) - at[x], _wrapped(text)) for x, wide, text in row] for row in placed]
+    widths = [0] * len(starts)
+    for row in grid:
+        for k, n, lines in row:
+            if n == 1:
+                widths[k] = max(widths[k], *map(len, lines))
+    for row in grid:
+        for k, n, lines in row:
+            if n > 1:  # what a spanning cell lacks goes to its last column
+                widths[k + n - 1] += max(0, max(map(len, lines)) - sum(widths[k : k + n]) - 3 * (n - 1))
+    out = []
+    for row in grid:
+        for y in range(max(len(lines) for *_, lines in row)):
+            cells, k = [], 0
+            for at_, n, lines in row:
+                cells += [" " * w for w in widths[k:at_]]
+                cells.append((lines[y] if y < len(lines) else "").ljust(sum(widths[at_ : at_ + n]) + 3 * (n - 1)))
+                k = at_ + n
+            cells += [" " * w for w in widths[k:]]
+            out.append(" | ".join(cells).rstrip(" |") if not "".join(cells).strip() else " | ".join(cells).rstrip(" "))
+    return "\n".join(out)
 
 
 def render(page: str | None) -> str:
     """The visible text of a page; null gives the empty text."""
     outs = [_Out()]
     lists: list[int | None] = []  # number of the next item, None in bullet lists
-    tables: list[list[list[str]]] = []
-    hidden = 0
+    tables: list[list[list[tuple[str, int, int]]]] = []
+    cells: list[tuple[int, int]] = []  # spans of open cells
+    hidden = 0  # open elements that aren't laid out
+    visible = [True]  # inherited, and set anew by a style
     closed_details: list[bool] = []
     open_tags: list[tuple[str, bool]] = []
     pre = 0
     for kind, what, attributes in events(page or ""):
         out = outs[-1]
         if kind == "text":
-            if hidden or (closed_details and closed_details[-1] and open_tags[-1][0] == "details"):
+            if hidden or not visible[-1] or (closed_details and closed_details[-1] and open_tags[-1][0] == "details"):
                 continue
             if pre:
                 out.add(what)
@@ -214,9 +296,12 @@ def render(page: str | None) -> str:
                 out.inline(what.replace("\xa0", " "))
             continue
         if kind == "open":
-            hides = what in HIDDEN or "hidden" in attributes or bool(HIDING_STYLE.search(attributes.get("style", ""))) or (what == "input" and attributes.get("type", "").lower() == "hidden")
+            style = attributes.get("style", "")
+            hides = what in HIDDEN or "hidden" in attributes or bool(NOT_SHOWN.search(style)) or (what == "input" and attributes.get("type", "").lower() == "hidden")
             if closed_details and closed_details[-1] and open_tags and open_tags[-1][0] == "details" and what != "summary":
                 hides = True
+            said = VISIBILITY.findall(style)
+            visible.append(said[-1].lower() == "visible" if said else visible[-1])
             open_tags.append((what, hides))
             hidden += hides
             if what == "details":
@@ -227,17 +312,25 @@ def render(page: str | None) -> str:
                 out.line()
             elif what == "hr":
                 out.ask(1)
-                out.add("---")
+                if visible[-1]:
+                    out.add("---")
                 out.ask(1)
-            elif what == "input" and attributes.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url") and attributes.get("value"):
+            elif what == "input" and visible[-1] and attributes.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url") and attributes.get("value"):
                 out.inline(f" {attributes['value']} ")
             elif what in BLOCK:
                 out.ask(2 if what in SPACED and not (what in ("ul", "ol") and lists) else 1)
             if what in ("ul", "ol", "menu"):
                 start = attributes.get("start", "1")
                 lists.append((int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1) if what == "ol" else None)
-            elif what in ("li", "td", "th", "caption"):
+            elif what == "li":
+                mark = "- "
+                if lists and lists[-1] is not None:
+                    mark = f"{lists[-1]}. "
+                    lists[-1] += 1
+                out.open_item(mark if visible[-1] else " " * len(mark))
+            elif what in ("td", "th", "caption"):
                 outs.append(_Out())
+                cells.append((_span(attributes.get("colspan"), MOST_COLUMNS), _span(attributes.get("rowspan"), MOST_ROWS)))
             elif what == "table":
                 tables.append([])
             elif what == "tr" and tables:
@@ -246,30 +339,26 @@ def render(page: str | None) -> str:
                 pre += 1
             continue
         _, hides = open_tags.pop()
+        visible.pop()
         if what == "details":
             closed_details.pop()
         if hidden:
             hidden -= hides
             continue
-        if what in ("li", "td", "th", "caption"):
+        if what == "li":
+            out.close_item()
+        elif what in ("td", "th", "caption"):
             text = outs.pop().text()
+            spans = cells.pop()
             out = outs[-1]
-            if what == "li":
-                mark = "- "
-                if lists and lists[-1] is not None:
-                    mark = f"{lists[-1]}. "
-                    lists[-1] += 1
-                if text:
-                    out.ask(1)
-                    out.add(mark + text.replace("\n", "\n" + " " * len(mark) if len(lists) <= DEEPEST else "\n"))
-            elif what == "caption" or not tables:
+            if what == "caption" or not tables:
                 out.ask(1)
                 if text:
                     out.add(text)
             else:
                 if not tables[-1]:
                     tables[-1].append([])
-                tables[-1][-1].append(text)
+                tables[-1][-1].append((text, *spans))
         elif what == "table" and tables:
             text = _table(tables.pop())
             if text:
@@ -280,12 +369,7 @@ def render(page: str | None) -> str:
             pre -= 1
         if what in BLOCK:
             outs[-1].ask(2 if what in SPACED and not (what in ("ul", "ol") and lists) else 1)
-    while len(outs) > 1:
-        text = outs.pop().text()
-        if text:
-            outs[-1].ask(1)
-            outs[-1].add(text)
-    return "\n".join(x.rstrip(" ") for x in outs[0].text().split("\n"))
+    return outs[0].text()
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -298,7 +382,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     schema = T.StructType([pages.schema[id_col], T.StructField("text", T.StringType(), False), T.StructField("n_chars", T.LongType(), False), T.StructField("n_lines", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for a in range(0, len(batch), 200):
                 part = batch.slice(a, 200)
                 texts = [render(x) for x in part.column(1).to_pylist()]

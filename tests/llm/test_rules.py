@@ -99,10 +99,59 @@ def test_pages(spark):
     assert render("<pre> x\n  y</pre>a &amp;  b<script>p</script><style>q</style><!-- c -->") == " x\n  y\n\na & b"
     for deep in ("<div>" * 30000 + "x", "<ul><li>" * 2000 + "x", "<b" * 20000, "<!--" * 20000, "<table><td>" * 500 + "x"):
         assert "x" in render(deep) or "x" not in deep
+    # spans keep the columns, long cells wrap inside theirs
+    assert render("<table><tr><td colspan=2>ab<td>c<tr><td>1<td>2<td>3<tr><td rowspan=2>long<td>x<td>y<tr><td>q<td>r</table>") == "ab       | c\n1    | 2 | 3\nlong | x | y\n     | q | r"
+    assert render(f"<table><tr><td>{'w' * 45}<td>a<tr><td>b<td>c</table>").split("\n")[1] == "b" + " " * 44 + " | c"
+    wide = render(f"<table><tr><td>{'word ' * 400}<td>a<tr><td>b<td>c</table>").split("\n")
+    assert wide[0].endswith("| a") and wide[-1].endswith("| c") and wide[0].index("| a") == wide[-1].index("| c") and " ".join(wide).split().count("word") == 400
+    # what is hidden may hold something visible
+    assert render("<div style='visibility:hidden'>a <b style='visibility: visible'>b</b> c</div>d") == "b\nd"
+    assert render("<div style='display:none'>a <b style='visibility: visible'>b</b></div>d") == "d"
+    assert render("<ul><li>" * 20000 + "x" + "<p>y").count("- ") == 20000
     df = spark.createDataFrame([(1, None, 0), (1, "", 0), (2, "<p>x", 0)], "page_id long, html string, text long")
     assert sorted((r["page_id"], r["text"], r["n_lines"]) for r in extract_text(df).collect()) == [(1, "", 0), (1, "", 0), (2, "x", 1)]
 
 
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
+def test_words_of_pages_equal_another_reader(spark):
+    """The words of every page of the test table are those that a plain event reader sees outside of hidden elements."""
+    from html.parser import HTMLParser
+
+    from quillspark.llm.html_text import HIDDEN, VOID
+    from quillspark.llm.queries import op6_html_text
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            style = dict(attrs).get("style") or ""
+            if tag not in VOID:
+                self.stack.append((tag, tag in HIDDEN or "hidden" in dict(attrs) or "none" in style or "hidden" in style))
+            if tag == "hr" and not any(h for _, h in self.stack):
+                self.words.append("---")
+
+        def handle_endtag(self, tag):
+            while any(t == tag for t, _ in self.stack) and self.stack.pop()[0] != tag:
+                pass
+
+        def handle_data(self, data):
+            if not any(h for _, h in self.stack):
+                self.words += data.split()
+
+    def clean(words):
+        return sorted("".join(w for w in words if w not in ("-", "|") and not w.rstrip(".").isdigit()))
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in op6_html_text(spark, SMALL).collect()}
+    assert set(got) == set(pages)
+    for k, page in pages.items():
+        reader = Reader()
+        reader.feed(page or "")
+        assert clean(got[k].split()) == clean(reader.words), k
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
 def test_pipeline(spark):
     import corpus_pipeline
