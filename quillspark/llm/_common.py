@@ -72,6 +72,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """A prefix that no column of ``df`` starts with, for columns that come and go; letter case doesn't count."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all values and their n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -202,6 +209,18 @@ class CodeBook:
         return self.flat[ranges(start, size)], size
 
 
+def bitmap(keys: DataFrame, column: str, bits: int):
+    """A broadcast bitmap of the low bits of a hash column: its size is fixed, whatever the rows; made of words that the cluster ORs together."""
+    h = keys.select(F.col(column).bitwiseAND((1 << bits) - 1).alias("h"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
+    words = h.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy()
+    del words
+    trim()
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each range, one after another."""
     lengths = np.asarray(lengths, np.int64)

@@ -5,7 +5,7 @@ the summed logarithms of its words' corpus counts (from a fixed-size count table
 over all texts), then the hash. Sets that reach the threshold share a token in
 their prefixes, the longer one's probing prefix and the shorter one's index
 prefix. Equal sets are one; sets with equal prefixes and size are one group, and
-only groups meet in the join.
+only groups meet in the join. Tokens that the same groups have are one as well.
 
 Components don't need every link, so the join has three rounds. In the first, each
 token's groups meet only its pivot, the group that has the token earliest; what
@@ -27,12 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_values, connected_components, flat_text, mix, odd_powers, ranges, steps, stored, tidy, trim
+from ._common import bitmap, byte_values, connected_components, discard, flat_text, mix, odd_powers, ranges, steps, stored, tidy, trim
 
 #: Cells of the word count table: 1 MB as codes of a byte, whatever the corpus.
 CELL_BITS = 20
 CHUNK_BITS = 12
-#: Bits of the bitmaps of repeated tokens and candidate texts: 4 MB, whatever the corpus.
+#: Count tables that one group adds up.
+FAN = 1000
+#: Bits of the bitmaps of repeated tokens and candidate texts: 4 MB, whatever the corpus. They spare a shuffle of rows that
+#: meet nothing, never the exact join behind them; of a corpus that fills them every row takes part in that join, once.
 BITMAP_BITS = 25
 #: Sets of a token that meet in one task are at most twice this many.
 BLOCK = 2000
@@ -131,7 +134,7 @@ def _scan(rows: DataFrame, n: int) -> DataFrame:
         own = [(k, c.astype("<i8").tobytes()) for k, c in enumerate(cells.reshape(-1, 1 << CHUNK_BITS)) if c.any()]
         if own:
             none = [pa.nulls(len(own), pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in own], pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * len(own), pa.int32()), pa.array([c for _, c in own], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in own], pa.int32()), pa.array([TaskContext.get().partitionId()] * len(own), pa.int32()), pa.array([c for _, c in own], pa.binary())], schema=schema)
 
     return rows.mapInArrow(run, "id long, k0 long, k1 long, size long, chunk int, part int, cells binary")
 
@@ -140,16 +143,17 @@ def _added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(1 << CHUNK_BITS, np.int64)
     for c in rows["cells"]:
         total += np.frombuffer(c, "<i8")
-    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "part": [0], "cells": [total.tobytes()]})
+    return pd.DataFrame({"chunk": [key[0]], "part": [key[1]], "cells": [total.tobytes()]})
 
 
 def word_codes(scanned: DataFrame) -> np.ndarray:
-    """Four times the base-2 logarithm of each cell's count, as bytes; sums are made in two steps, so that no task gets all parts."""
-    parts = scanned.where("chunk is not null").select("chunk", "part", "cells")
-    schema = "chunk int, part int, cells binary"
-    total = parts.groupBy("chunk", "part").applyInPandas(_added, schema).groupBy("chunk").applyInPandas(_added, schema).toPandas()
+    """Four times the base-2 logarithm of each cell's count, as bytes; sums go up a tree, ``FAN`` parts of 32 KB at a time, whatever the number of tasks."""
+    total = scanned.where("chunk is not null").select("chunk", "part", "cells")
+    for step in (FAN, FAN, 1 << 31):
+        total = total.withColumn("part", F.floor(F.col("part") / step).cast("int")).groupBy("chunk", "part").applyInPandas(_added, "chunk int, part int, cells binary")
+    total = total.toArrow()
     cells = np.zeros((1 << (CELL_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.int64)
-    for k, c in zip(total["chunk"], total["cells"], strict=True):
+    for k, c in zip(total["chunk"].to_pylist(), total["cells"].to_pylist(), strict=True):
         cells[k] = np.frombuffer(c, "<i8")
     codes = np.minimum(4 * np.log2(cells.ravel() + 1), 255).astype(np.uint8)
     del total, cells
@@ -222,20 +226,9 @@ def _close(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a0 long, a1 long, b0 long, b1 long")
 
 
-def _bitmap(keys: DataFrame, column: str):
-    """A broadcast bitmap of the low bits of a hash column: its size is fixed, whatever the rows."""
-    h = keys.select(F.col(column).bitwiseAND((1 << BITMAP_BITS) - 1).alias("h"))
-    held = h.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    bitmap[held["w"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
-    del held
-    trim()
-    return keys.sparkSession.sparkContext.broadcast(bitmap)
-
-
 def _repeated_postings(prefixes: DataFrame, repeated: DataFrame) -> DataFrame:
     """(g, size, pos, token) of the prefix tokens that the bitmap of repeated tokens holds: all of those, and few others."""
-    shared = _bitmap(repeated, "token")
+    shared = bitmap(repeated, "token", BITMAP_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidy(batches):
@@ -252,11 +245,24 @@ def _repeated_postings(prefixes: DataFrame, repeated: DataFrame) -> DataFrame:
     return prefixes.select("g", "size", "prefix").mapInArrow(run, "g long, size long, pos int, token long")
 
 
+def _classes(postings: DataFrame) -> DataFrame:
+    """(token, g, size, pos, w): tokens that the same groups have are one, a class of w tokens with its first position in each group.
+
+    Documents that share a passage share all its tokens, so there are far fewer
+    classes than tokens. Classes are known by hash: tokens that it confuses give a
+    class of more groups, in which pairs still meet, and no fewer.
+    """
+    hashes = [F.bit_xor(F.xxhash64(*c)) for c in (("g", "size"), ("size", "g"))]
+    own = postings.groupBy("token").agg(F.count("*").alias("c"), *hashes).where("c > 1").toDF("token", "c", "h0", "h1")
+    named = postings.join(own.select("token", F.xxhash64("c", "h0", "h1").alias("class")), "token")
+    return named.groupBy(F.col("class").alias("token"), "g", "size").agg(F.min("pos").alias("pos"), F.count("*").alias("w"))
+
+
 def _texts_of(rows: DataFrame, pairs: DataFrame, prefixes: DataFrame, n: int) -> DataFrame:
     """(k0, k1, text) of the sets in ``pairs``, and of some more: a bitmap of the hashes of their texts picks rows, each text once in a task."""
     keys = pairs.select(F.explode(F.array(F.struct(F.col("a0").alias("k0"), F.col("a1").alias("k1")), F.struct(F.col("b0").alias("k0"), F.col("b1").alias("k1")))).alias("k")).select("k.*").distinct()
     h = prefixes.select("k0", "k1", "t").join(keys, ["k0", "k1"], "left_semi").select(F.col("t").alias("h"))
-    shared = _bitmap(h, "h")
+    shared = bitmap(h, "h", BITMAP_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -273,7 +279,8 @@ def _texts_of(rows: DataFrame, pairs: DataFrame, prefixes: DataFrame, n: int) ->
                 k0, k1 = (_i64(k) for k in set_keys(*shingles(*flat_text(texts), n)))
                 yield pa.RecordBatch.from_arrays([k0, k1, texts], names=["k0", "k1", "text"])
 
-    return rows.mapInArrow(run, "k0 long, k1 long, text string")
+    # both sides of the check below read the same shuffle of these
+    return rows.mapInArrow(run, "k0 long, k1 long, text string").dropDuplicates(["k0", "k1"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -319,7 +326,9 @@ def _group_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     rest = lambda x: f"(ceil({percent} * {x} / 100.0d - 1e-9) - 1)"
     room = F.expr(f"case when la < lb then {rest('sa')} when lb < la then {rest('sb')} else greatest({rest('sa')}, {rest('sb')}) end")
     need = F.expr(f"ceil({percent} * (sa + sb) / {100 + percent}.0d - 1e-9)")
-    return pairs.join(a, ["ga", "sa"]).join(b, ["gb", "sb"]).where(F.size(F.array_intersect("ta", "tb")) + room >= need).select("ga", "sa", "gb", "sb")
+    names = F.transform("tb", lambda x: x.token)
+    common = F.aggregate(F.filter("ta", lambda x: F.array_contains(names, x.token)), F.lit(0).cast("long"), lambda n, x: n + x.w)
+    return pairs.join(a, ["ga", "sa"]).join(b, ["gb", "sb"]).where(common + room >= need).select("ga", "sa", "gb", "sb")
 
 
 def _close_pairs(postings: DataFrame, own: DataFrame, prefixes: DataFrame, percent: int, best: int | None) -> DataFrame:
@@ -420,21 +429,20 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = prefixes.select("g", "size", "k0", "k1").distinct()
     repeated = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     postings = _repeated_postings(prefixes, repeated).distinct()
-    # the pivot of a token is the group that has it first
-    postings = postings.withColumn("rank", F.shiftleft(F.col("pos").cast("long"), 40) + F.col("g").bitwiseAND((1 << 40) - 1))
-    shared = postings.groupBy("token").agg(F.count("*").alias("c"), F.min("rank").alias("first")).where("c > 1").select("token", "first")
-    postings = stored(postings.join(shared, "token"), "postings")
+    postings = stored(_classes(postings), "postings")
     ends = prefixes.groupBy("g", "size").agg(F.max("last").alias("last"))
-    groups = stored(postings.groupBy("g", "size").agg(F.collect_list("token").alias("tokens")).join(ends, ["g", "size"]), "groups")
-    pivots = postings.where("rank = first").dropDuplicates(["token"]).select("token", "g", "size", "pos")
+    groups = stored(postings.groupBy("g", "size").agg(F.collect_list(F.struct("token", "w")).alias("tokens")).join(ends, ["g", "size"]), "groups")
+    # the pivot of a token is the group that has it first
+    first = F.min_by(F.struct("g", "size", "pos"), F.struct("pos", "g", "size")).alias("q")
+    pivots = postings.groupBy("token").agg(first).select("token", "q.g", "q.size", "q.pos")
 
     met = postings.alias("p").join(pivots.alias("q"), "token").where("p.g <> q.g or p.size <> q.size").where(_may_link("p", "q", percent))
     met = _group_pairs(met, groups, percent)
     first = members.groupBy("g", "size").agg(F.min(F.struct("k0", "k1")).alias("m"), F.count("*").alias("c")).where("c > 1")
     inside = members.join(first, ["g", "size"]).where("k0 <> m.k0 or k1 <> m.k1").select("k0", "k1", "m.k0", "m.k1").toDF("a0", "a1", "b0", "b1")
     pairs = stored(_close(_expanded(met, members).union(inside), prefixes, percent), "pairs")
-    texts = stored(_texts_of(rows, pairs, prefixes, n), "texts").dropDuplicates(["k0", "k1"])
-    links = stored(_verified(pairs, texts, n, percent), "links")
+    links = stored(_verified(pairs, _texts_of(rows, pairs, prefixes, n), n, percent), "links")
+    discard(groups, pairs)
 
     name = lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
     edges = lambda x: x.select(name("a0", "a1").alias("a"), name("b0", "b1").alias("b"))
@@ -443,16 +451,17 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # further rounds: first each set's nearest partners in other components, then all that are left
     for best in (NEAREST, None):
         own = members.withColumn("id", name("k0", "k1")).join(components, "id", "left").select("g", "size", "k0", "k1", F.xxhash64(F.coalesce("component", "id")).alias("c"))
-        more = stored(_close_pairs(postings, own, prefixes, percent, best), "more")
-        if more.isEmpty():
+        near = stored(_close_pairs(postings, own, prefixes, percent, best), "more")
+        if near.isEmpty():
             continue
-        texts = stored(_texts_of(rows, more, prefixes, n), "texts").dropDuplicates(["k0", "k1"])
-        more = stored(_verified(more, texts, n, percent), "links")
+        more = stored(_verified(near, _texts_of(rows, near, prefixes, n), n, percent), "links")
+        discard(near)
         if not more.isEmpty():
             links = links.union(more)
             # links so far are one edge a set now
             known = components.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
             components = stored(connected_components(known.union(edges(more))), "components")
+    discard(prefixes, postings)
     half = lambda at: F.conv(F.substring("id", at, 16), 16, -10).cast("long")
     return sets, components.select(half(1).alias("k0"), half(17).alias("k1"), "component"), links
 

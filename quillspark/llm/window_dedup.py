@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_values, flat_text, mix, odd_powers, ranges, steps, stored, tidy, trim
+from ._common import bitmap, byte_values, discard, flat_text, mix, odd_powers, ranges, steps, stored, tidy
 
 WIDTH = 200
 ANCHOR = 32
@@ -157,20 +157,10 @@ def anchor_runs(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, run long, k0 long, k1 long, place long")
 
 
-def _bitmap(keys: DataFrame, column: str):
-    """A broadcast bitmap of the low bits of a hash column: its size is fixed, whatever the rows."""
-    words = keys.select((F.col(column).bitwiseAND((1 << BITMAP_BITS) - 1)).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    del words
-    trim()
-    return keys.sparkSession.sparkContext.broadcast(bitmap)
-
-
 def _perhaps_repeated(found: DataFrame) -> DataFrame:
     """The runs whose anchor the bitmap of repeated anchors holds: all of those, and few others."""
     repeated = found.select("anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    shared = _bitmap(repeated, "anchor")
+    shared = bitmap(repeated, "anchor", BITMAP_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -183,7 +173,7 @@ def _perhaps_repeated(found: DataFrame) -> DataFrame:
 
 def _held(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``texts`` whose key the bitmap of ``keys`` may hold, one copy of a text a task."""
-    shared = _bitmap(keys, "k0")
+    shared = bitmap(keys, "k0", BITMAP_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
@@ -351,19 +341,21 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", width: int = WIDTH
     table gives none.
     """
     texts = docs.select(*text_key(F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = stored(_perhaps_repeated(stored(anchor_runs(texts, width), "runs")), "perhaps")
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("run").alias("low"), F.max("run").alias("high")).where("n > 1")
-    found = stored(found.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchor"), "repeated")
-    texts = stored(_held(texts, found), "texts")
-
-    mixed = found.where("not same")
-    distinct = stored(mixed.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("k0", "k1", "place")).alias("at")), "distinct")
-    full = found.where("same").select("k0", "k1", "place").union(mixed.join(distinct.where("n > 1").select("anchor", "run"), ["anchor", "run"]).select("k0", "k1", "place"))
-    crowds = distinct.groupBy("anchor").agg(F.count("*").alias("c")).select("anchor", (F.col("c") > CROWD).alias("crowd"))
-    wanted = distinct.join(crowds, "anchor").select("at.k0", "at.k1", F.struct("anchor", "at.place", (F.col("n") == 1).alias("alone"), "crowd").alias("r")).groupBy("k0", "k1").agg(F.collect_list("r").alias("runs"))
+    every = stored(anchor_runs(texts, width), "runs")
+    found = perhaps = stored(_perhaps_repeated(every), "perhaps")
+    discard(every)
+    # a hot anchor's runs are counted before anything is dealt by anchors, and the counts are a table, so that skewed joins can be split
+    kinds = stored(found.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("k0", "k1", "place")).alias("at")), "kinds")
+    mixed = stored(kinds.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", (F.col("c") > CROWD).alias("crowd")), "mixed")
+    # a run that stands twice is repeated as a whole; of an anchor's different runs one occurrence each is sorted
+    full = stored(found.join(kinds.where("n > 1").select("anchor", "run"), ["anchor", "run"]).select("k0", "k1", "place"), "full")
+    distinct = stored(kinds.join(mixed, "anchor").select("anchor", "n", "at", "crowd"), "distinct")
+    discard(perhaps, kinds)
+    texts = stored(_held(texts, full.select("k0").union(distinct.select("at.k0"))), "texts")
+    wanted = distinct.select("at.k0", "at.k1", F.struct("anchor", "at.place", (F.col("n") == 1).alias("alone"), "crowd").alias("r")).groupBy("k0", "k1").agg(F.collect_list("r").alias("runs"))
     # a text that came from several tasks gives its runs several times
     chosen = _run_bytes(texts.join(wanted, ["k0", "k1"]), width)
-    crowded = not crowds.where("crowd").isEmpty()
+    crowded = not mixed.where("crowd").isEmpty()
     if crowded:
         chosen = stored(chosen, "chosen")
     single = _sorted_runs(chosen.where("not crowd").repartition("anchor").sortWithinPartitions("anchor", "k0", "k1", "place"), width)
