@@ -80,10 +80,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secret_scan import find_secrets, labelled_findings, train_forest
+    from .secret_scan import dictionary, find_secrets, labelled_findings, train_forest
 
     docs = _table(spark, sf_dir, "documents")
-    found = find_secrets(docs, train_forest(labelled_findings(spark)))
+    words = dictionary(docs)
+    found = find_secrets(docs, train_forest(labelled_findings(spark), words), words=words)
     return found.withColumn("value_sha256", F.sha2(F.col("value").cast("binary"), 256)).drop("value")
 
 
