@@ -2,7 +2,8 @@
 
 Base labels come from phrases whose words stand consecutively. The method adds
 labels: a template's index entry is its words of highest inverse document
-frequency over all templates, with their positions. A document looks up the index
+frequency, with their positions; frequencies are counted over all documents that
+are scanned. A document looks up the index
 words it has, each occurrence votes for (template, document position - template
 position), and the longest run of equal differences, over the number of indexed
 words, is the template's score. A template counts from ``THRESHOLD`` on, if the
@@ -12,9 +13,6 @@ shuffle, no join, no Python on executors.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,19 +47,45 @@ TEMPLATES = (
     ("cc-by-sa", "attribution sharealike", "licensed under the creative commons attribution sharealike 4 0 international license"),
     ("cc0", "cc0", "dedicated to the public domain under cc0 1 0 universal"),
     ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("mit", "the above copyright notice and this permission notice shall be included", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "may be used to endorse or promote products", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("isc", "the software is provided as is and the author disclaims all warranties", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages"),
+    ("apache-2", "unless required by applicable law or agreed to in writing", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-2", "terms and conditions for use reproduction and distribution", "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution"),
+    ("gpl-3", "you should have received a copy of the gnu general public license", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses"),
+    ("mpl-2", "a copy of the mpl was not distributed with this file", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "the origin of this software must not be misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required"),
+    ("bsl-1", "boost software license", "distributed under the boost software license version 1 0"),
+    ("cc0", "waive all copyright and related or neighboring rights", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
 )
 
 
-def index() -> list[tuple[str, str, list[tuple[str, int]]]]:
-    """(label, key phrase, [(word, position), ...]) of each template: its words of highest IDF, ties by position."""
-    df = Counter(w for _, _, t in TEMPLATES for w in set(t.split()))
-    out = []
+def index(counts: dict[str, int] | None = None) -> list[tuple[str, str, list[tuple[str, int]]]]:
+    """(label, key phrase, [(word, position), ...]) of each template: its words that fewest documents have, ties by position.
+
+    The inverse document frequency falls as the count grows, so the order needs no
+    logarithm. Words without a count stand in no document.
+    """
+    counts, out = counts or {}, []
     for label, phrase, text in TEMPLATES:
-        words = sorted(enumerate(text.split()), key=lambda x: (-math.log(len(TEMPLATES) / df[x[1]]), x[0]))
+        words = sorted(enumerate(text.split()), key=lambda x: (counts.get(x[1], 0), x[0]))
         out.append((label, phrase, sorted(((w, i) for i, w in words[:INDEXED]), key=lambda x: x[1])))
     return out
 
 
+def document_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
+    """How many documents have each word of the templates, over all of them: a row a word reaches the driver."""
+    known = sorted({w for *_, t in TEMPLATES for w in t.split()})
+    words = F.split(F.btrim(license_columns(F.col(f"`{text_col}`"))["_l_norm"]), "  ")
+    own = docs.select(F.explode(F.array_distinct(F.filter(words, lambda w: w.isin(known)))).alias("w"))
+    return {r["w"]: r["n"] for r in own.groupBy("w").agg(F.count("*").alias("n")).collect()}
+
+
 def _padded(phrase: str) -> str:
     """A phrase as it stands in normalised text, where two spaces part words and surround the text."""
     return f" {phrase.replace(' ', '  ')} "
@@ -89,6 +113,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts have no words, no labels and score 0; repeated and null ids are scanned
     row by row; other columns aren't read; an empty table gives none.
     """
+    found = index(document_counts(docs, text_col))
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     df = df.select("id", license_columns(F.col("text"))["_l_norm"].alias("norm"))
     has = [F.col("norm").contains(_padded(p)) for p, _ in BASE]
@@ -99,7 +124,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         counts.append(F.when(here, (F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(pad), F.lit("")))) / len(pad)).otherwise(0).cast("long"))
         first.append(F.when(here, _gaps(F.substring_index("norm", pad, 1)).cast("long")))
         last.append(F.when(here, n_words - _gaps(F.substring_index("norm", pad, -1)).cast("long") - len(p.split())))
-    found = index()
     phrases = sorted({p for _, p, _ in found})
     vocabulary = sorted({w for _, _, words in found for w, _ in words})
     some = F.lit(False)
@@ -147,24 +171,25 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def oracle_sql() -> str:
     """The same rows in SQL, with one row a word; made from the same templates."""
-    found = index()
-    values = ", ".join(f"({t}, '{label}', '{w}', {r}, {len(words)})" for t, (label, _, words) in enumerate(found) for w, r in words)
-    keys = ", ".join(f"({t}, '{_padded(p)}')" for t, (_, p, _) in enumerate(found))
+    values = ", ".join(f"({t}, '{label}', '{w}', {r})" for t, (label, _, text) in enumerate(TEMPLATES) for r, w in enumerate(text.split()))
+    keys = ", ".join(f"({t}, '{_padded(p)}')" for t, (_, p, _) in enumerate(TEMPLATES))
     base = ", ".join(f"('{_padded(p)}', '{label}', {len(p.split())})" for p, label in BASE)
     return rf"""
 WITH n AS (SELECT doc_id, regexp_replace(' ' || translate(coalesce(text, ''), '{UPPER}', '{LOWER}') || ' ', '{SEPARATOR}', '  ', 'g') AS norm FROM documents),
 b(p, label, k) AS (VALUES {base}),
-i(t, label, w, r, size) AS (VALUES {values}),
+a(t, label, w, r) AS (VALUES {values}),
 y(t, p) AS (VALUES {keys}),
 w AS (SELECT doc_id, list_filter(string_split(norm, '  '), lambda x: x <> '') AS w FROM n),
 o AS (SELECT doc_id, b.label, len(string_split(norm, p)) - 1 AS c, len(list_filter(string_split(string_split(norm, p)[1], '  '), lambda x: trim(x) <> '')) AS f,
       len(w.w) - len(list_filter(string_split(string_split(norm, p)[-1], '  '), lambda x: trim(x) <> '')) - k AS l FROM n JOIN w USING (doc_id) JOIN b ON contains(norm, p)),
 v AS (SELECT doc_id, unnest(w) AS w, unnest(range(0, len(w))) AS pos FROM w),
+f AS (SELECT w, count(DISTINCT doc_id) AS n FROM v WHERE w IN (SELECT w FROM a) GROUP BY w),
+i AS (SELECT t, label, w, r, least(k, {INDEXED}) AS size FROM (SELECT a.*, count(*) OVER (PARTITION BY t) AS k, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), r) AS x FROM a LEFT JOIN f USING (w)) WHERE x <= {INDEXED}),
 s AS (SELECT doc_id, t, label, max(c) / max(size) AS score FROM (SELECT doc_id, i.t, i.label, pos - r, count(*)::DOUBLE AS c, max(size) AS size FROM v JOIN i USING (w) GROUP BY ALL) GROUP BY ALL),
 m AS (SELECT s.doc_id, s.label, s.score FROM s JOIN y USING (t) JOIN n ON n.doc_id = s.doc_id AND contains(norm, p) WHERE s.score >= {THRESHOLD}),
 g AS (SELECT doc_id, sum(c)::BIGINT AS n_base, min(f)::BIGINT AS first_word, max(l)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM o GROUP BY doc_id),
-a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM o UNION SELECT doc_id, label FROM m) GROUP BY doc_id),
+z AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM o UNION SELECT doc_id, label FROM m) GROUP BY doc_id),
 x AS (SELECT doc_id, max(score) AS score FROM m GROUP BY doc_id)
 SELECT doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
-FROM w LEFT JOIN g USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN x USING (doc_id)
+FROM w LEFT JOIN g USING (doc_id) LEFT JOIN z USING (doc_id) LEFT JOIN x USING (doc_id)
 """
