@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import flat_text, steps, stored, tidy
+from ._common import flat_text, free_prefix, steps, stored, tidy
 
 #: A sketch stands for its own group from so many documents on.
 LEAST_DOCS = 200
@@ -188,7 +188,12 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns unchanged. Two scans, no shuffle of texts."""
+    """The rows of ``docs`` that the rules keep, all columns unchanged, also those named like the operator's own (``_q_``). Two scans, no shuffle of texts."""
+    own = free_prefix(docs.drop(text_col, lang_col, source_col), "_q_")
+    if own != "_q_":
+        aside = {c: f"{own[:-3]}kept_{k}" for k, c in enumerate(docs.columns) if c.lower().startswith("_q_")}
+        kept = quality_filter(docs.withColumnsRenamed(aside), aside.get(text_col, text_col), aside.get(lang_col, lang_col), aside.get(source_col, source_col))
+        return kept.withColumnsRenamed({v: k for k, v in aside.items()})
     counted = with_counts(docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")), "text").drop("text")
     cuts = stored(cutoffs(sketches(counted)), "cutoffs")
     return judged(with_counts(docs, text_col), cuts, lang_col, source_col).where("_q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
