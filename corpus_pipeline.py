@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import stored
+from quillspark.llm._common import free_prefix, stored
 from quillspark.llm.decontamination import drop_leaks
 from quillspark.llm.jaccard_join import near_duplicates
 from quillspark.llm.quality_rules import quality_filter
 from quillspark.llm.queries import tokenizer_file
-from quillspark.llm.secret_scan import labelled_findings, redact_secrets, train_forest
+from quillspark.llm.secret_scan import dictionary, labelled_findings, redact_secrets, train_forest
 from quillspark.llm.sentencepiece_codec import encode_decode
 from quillspark.shipping import ship
 
@@ -27,18 +27,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (five-word shingles, Jaccard 0.8) the document with the smallest id stays.
+    """Of each component of near duplicates (five-word shingles, Jaccard 0.8) the first row of the table stays.
 
-    Ids that repeat or are null are replaced by row numbers for the decision.
+    Rows are told apart by a number that is written with them, so null and repeated
+    ids are rows like others.
     """
     ship(spark)
-    ids = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    if ids["n"] == ids["d"]:
-        found = near_duplicates(docs, n=5, percent=80)
-        return docs.join(found.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered, "_row", n=5, percent=80)
-    return numbered.join(found.where("component_id <> _row").select("_row"), "_row", "left_anti").select(docs.columns)
+    row = f"{free_prefix(docs, '_')}row"
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, row, n=5, percent=80)
+    return numbered.join(found.where(F.col("component_id") != F.col(row)).select(row), row, "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +48,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced, and the number of characters follows."""
     ship(spark)
-    out = redact_secrets(docs, train_forest(labelled_findings(spark)))
+    words = dictionary(docs)
+    out = redact_secrets(docs, train_forest(labelled_findings(spark), words), words=words)
     return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
 
 
