@@ -9,6 +9,15 @@ from ..functions import text as X
 from ..functions.python import match_offsets
 
 
+#: Rows of a lexicon up to which it is broadcast.
+LEXICON_ROWS = 10_000
+
+
+def _dimension(lexicon: DataFrame) -> DataFrame:
+    """A lexicon for a join by patterns: broadcast if its rows, which are counted, are few."""
+    return F.broadcast(lexicon) if lexicon.limit(LEXICON_ROWS + 1).count() <= LEXICON_ROWS else lexicon
+
+
 def matching(sources: DataFrame, domain: str | None = None, intervention: str | None = None, method: str | None = None) -> DataFrame:
     """Sources of a domain (case kept), an intervention family or entry, and a method (case ignored)."""
     out = sources
@@ -43,7 +52,7 @@ def pooled_samples(sources: DataFrame) -> DataFrame:
 
 def descriptor_counts(sources: DataFrame, descriptors: DataFrame, text: str = "population") -> DataFrame:
     """(grp, label, n): sources whose text has a pattern of (grp, label, pattern); the lexicon is a small dimension table."""
-    hit = sources.select("slug", F.col(text).alias("t")).join(F.broadcast(descriptors), F.rlike("t", F.concat(F.lit("(?iU)"), "pattern")))
+    hit = sources.select("slug", F.col(text).alias("t")).join(_dimension(descriptors), F.rlike("t", F.concat(F.lit("(?iU)"), "pattern")))
     return hit.groupBy("grp", "label").agg(F.count_distinct("slug").alias("n"))
 
 
@@ -73,7 +82,7 @@ def metric_observations(sources: DataFrame, metrics: dict[str, list[str]], tract
     metric = F.coalesce(*(F.when(low == k, F.lit(v)) for k, v in names.items()), F.upper(low))
     rows = found.select("slug", F.col("m.start").alias("pos"), metric.alias("metric"), F.col("m.groups")[1].cast("double").alias("value"), F.col("m.groups")[2].try_cast("double").alias("sd"), F.substring("body", F.greatest(F.col("m.start") - window, F.lit(0)) + 1, F.least(F.col("m.start"), F.lit(window)) + window).alias("near"))
     rows = rows.where("metric <> 'FA' or value between 0 and 1")
-    named = rows.join(F.broadcast(tracts), F.rlike("near", F.concat(F.lit("(?iU)"), "pattern")))
+    named = rows.join(_dimension(tracts), F.rlike("near", F.concat(F.lit("(?iU)"), "pattern")))
     first = named.groupBy("slug", "pos").agg(F.min_by("label", "ord").alias("tract"))
     return rows.join(first, ["slug", "pos"], "left").select("slug", "pos", "tract", "metric", "value", "sd")
 
@@ -153,7 +162,7 @@ def single_study_concepts(concepts: DataFrame, sources: DataFrame, header: str =
 
 def region_snippets(sentences: DataFrame, regions: DataFrame, cap: int = 3) -> DataFrame:
     """(key, label, page_id, pos, sentence): sentences that name a region of the lexicon (key, label, pattern), the first ``cap`` of a page (a report's limit)."""
-    hit = sentences.join(F.broadcast(regions), F.rlike("sentence", F.concat(F.lit("(?iU)"), "pattern"))).dropDuplicates(["key", "page_id", "pos"])
+    hit = sentences.join(_dimension(regions), F.rlike("sentence", F.concat(F.lit("(?iU)"), "pattern"))).dropDuplicates(["key", "page_id", "pos"])
     rank = F.row_number().over(Window.partitionBy("key", "page_id").orderBy("pos"))
     return hit.withColumn("r", rank).where(F.col("r") <= cap).select("key", "label", "page_id", "pos", "sentence")
 
@@ -190,7 +199,13 @@ def retrieve(index: DataFrame, pages: DataFrame, edges: DataFrame, question: str
 
 def entity_contexts(pages: DataFrame, names: DataFrame, cap: int = 15) -> DataFrame:
     """(name, page_id, ord): pages, neither entities nor concepts, whose text has a missing entity's name; the first ``cap`` (a report's limit)."""
-    rows = pages.where(~F.col("kind").isin("entities", "concepts")).join(F.broadcast(names.select("name")), F.lower("content").contains(F.lower("name")))
+    # a name is looked up by its first three letters among all such grams of a page, so that the join is one of equal keys
+    low = F.lower("content")
+    gram = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.substring(low, i, k))))))
+    texts = pages.where(~F.col("kind").isin("entities", "concepts")).select("page_id", "content")
+    keyed = names.select("name").distinct().withColumn("gram", F.substring(F.lower("name"), 1, 3))
+    hits = texts.select("page_id", gram.alias("gram")).join(keyed, "gram").select("page_id", "name")
+    rows = hits.join(texts, "page_id").where(F.lower("content").contains(F.lower("name")))
     rank = F.row_number().over(Window.partitionBy("name").orderBy("page_id"))
     return rows.select("name", "page_id", rank.alias("ord")).where(F.col("ord") <= cap)
 

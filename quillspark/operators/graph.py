@@ -133,9 +133,12 @@ def sparse_pages(links: DataFrame, pages: DataFrame, least: int = 2) -> DataFram
     return pages.select("page_id").join(out, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("outlinks")).where(F.col("outlinks") < least)
 
 
-def inlinks(links: DataFrame) -> DataFrame:
-    """(target, referrers): distinct pages by the last part of their targets, case kept, self links too."""
-    return links.groupBy(F.element_at(F.split("target", "/"), -1).alias("target")).agg(F.collect_set("page_id").alias("referrers"))
+def inlinks(links: DataFrame, referrer: str = "page_id") -> DataFrame:
+    """(target, referrers): distinct referrers by the last part of their targets, case kept, self links too.
+
+    Duplicates compare referrers by stem: pass its column, where stems repeat in several kinds.
+    """
+    return links.groupBy(F.element_at(F.split("target", "/"), -1).alias("target")).agg(F.collect_set(referrer).alias("referrers"))
 
 
 # communities

@@ -153,22 +153,21 @@ def chapters(docs: DataFrame, body: str = "body", least: int = 1500) -> DataFram
     A heading without number takes the next after the highest so far, a fold over
     the document's lines, so each document is handled within its row.
     """
-    lines = F.transform(F.split(F.coalesce(F.col(body), F.lit("")), r"(?<=\n)"), lambda x: F.struct(x.alias("line"), chapter_heading(x).alias("h")))
-    empty = F.array().cast("array<struct<number: int, title: string, lines: array<string>>>")
-    start = F.struct(empty.alias("done"), F.lit(0).alias("top"))
+    lines = F.split(F.coalesce(F.col(body), F.lit("")), r"(?<=\n)")
+    heads = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"), chapter_heading(x).alias("h"))), lambda x: x.h.isNotNull())
+    # the fold goes over headings alone, and each chapter is one slice of the lines
+    start = F.struct(F.array().cast("array<struct<at: int, number: int, title: string>>").alias("done"), F.lit(0).alias("top"))
 
     def step(s: Column, x: Column) -> Column:
         number = F.coalesce(x.h.number, s.top + 1)
         title = F.coalesce(X.none_if_empty(x.h.title), X.strip(F.ltrim(F.regexp_replace(x.line, r"\*+", ""), F.lit("# "))))
-        new = F.struct(number.alias("number"), title.alias("title"), F.array(x.line).alias("lines"))
-        last = F.element_at(s.done, -1)
-        longer = F.struct(last.number.alias("number"), last.title.alias("title"), F.array_append(last.lines, x.line).alias("lines"))
-        grown = F.when(F.size(s.done) > 0, F.array_append(F.slice(s.done, F.lit(1), F.size(s.done) - 1), longer)).otherwise(s.done)
-        return F.struct(F.when(x.h.isNotNull(), F.array_append(s.done, new)).otherwise(grown).alias("done"), F.when(x.h.isNotNull(), F.greatest(s.top, number)).otherwise(s.top).alias("top"))
-
-    found = docs.select("page_id", F.aggregate(lines, start, step, lambda s: s.done).alias("c"))
-    rows = found.select("page_id", F.posexplode("c").alias("ord", "c")).select("page_id", "ord", "c.number", "c.title", F.array_join("c.lines", "").alias("text"))
-    return rows.where(F.length("text") >= least)
+        return F.struct(F.array_append(s.done, F.struct(x.at.alias("at"), number.alias("number"), title.alias("title"))).alias("done"), F.greatest(s.top, number).alias("top"))
+
+    found = docs.select("page_id", lines.alias("lines"), F.aggregate(heads, start, step, lambda s: s.done).alias("c"))
+    rows = found.select("page_id", "lines", F.expr("transform(c, (x, i) -> struct(x.at, x.number, x.title, coalesce(get(c, i + 1).at, size(lines)) as stop))").alias("c"))
+    text = lambda x: F.array_join(F.slice(F.col("lines"), x.at + 1, x.stop - x.at), "")
+    whole = F.transform("c", lambda x: F.struct(x.number.alias("number"), x.title.alias("title"), text(x).alias("text")))
+    return rows.select("page_id", F.posexplode(whole).alias("ord", "c")).select("page_id", "ord", "c.*").where(F.length("text") >= least)
 
 
 # figures
