@@ -106,6 +106,7 @@ def word_count(body: Column) -> Column:
 
 
 def depth_label(n: Column) -> Column:
+    """Depth class by words; the limits are fixed values."""
     return F.when(n < 500, "stub").when(n < 1500, "page").otherwise("chapter")
 
 
@@ -171,6 +172,20 @@ def section(body: Column, header: str) -> Column:
     return F.when(body.rlike(rf"(?md)^##[ \t]+{quoted}[ \t]*$"), F.regexp_extract(body, pattern, 1))
 
 
+def sections(body: Column) -> Column:
+    """(head, text) of every second-level heading in order: one pass over the body for all sections that are asked for."""
+    parts = F.split(body, r"(?md)^##(?=\s)")
+    rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    head = lambda p: F.when(p.rlike(r"\A[ \t]"), F.btrim(F.substring_index(p, "\n", 1), F.lit(" \t"))).otherwise("")
+    text = lambda p: F.when(F.instr(p, "\n") > 0, F.substring(p, F.instr(p, "\n") + 1, F.length(p))).otherwise("")
+    return F.transform(rest, lambda p: F.struct(head(p).alias("head"), text(p).alias("text")))
+
+
+def section_of(all_: Column, header: str) -> Column:
+    """The first section of ``sections`` with a heading, as ``section`` gives it."""
+    return F.get(F.filter(all_, lambda s: s["head"] == header), 0)["text"]
+
+
 def references_block(body: Column) -> Column:
     """All below the first heading that names references; empty without one."""
     lines = F.split(F.coalesce(body, F.lit("")), "\n")
@@ -269,7 +284,7 @@ def version_rank(version: Column) -> Column:
 
 
 def publisher_url(doi: Column) -> Column:
-    """The PDF address that a publisher's DOI prefix implies, else null."""
+    """The PDF address that a publisher's DOI prefix implies, else null. Prefixes and addresses are fixed values."""
     journal = F.regexp_extract(doi, r"^10\.1371/journal\.([a-z]+)\.\d+$", 1)
     name = F.coalesce(*(F.when(journal == k, F.lit(v)) for k, v in PLOS_JOURNALS.items()), F.lit("plosone"))
     elife = F.regexp_extract(doi, r"(?i)^10\.7554/eLife\.(\d+)$", 1)

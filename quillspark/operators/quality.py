@@ -55,20 +55,21 @@ def _findings(rows: DataFrame, found: list[Column], overall: str | None) -> Data
 
 def check_sources(sources: DataFrame) -> DataFrame:
     """Findings (file, check, pass, severity, details) of source pages with typed frontmatter and ``body``."""
-    body = F.coalesce("body", F.lit(""))
+    sources = sources.withColumns({"body": F.coalesce("body", F.lit("")), "_sections": X.sections(F.coalesce("body", F.lit("")))})
+    body, sections = F.col("body"), F.col("_sections")
     thesis = F.coalesce(F.array_contains("tags", "thesis"), F.lit(False))
     blank = lambda c: ~X.truthy(F.btrim(F.col(c).cast("string")))
     empty = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
     unresolved = F.coalesce(F.size("cites_unresolved"), F.lit(0))
     bare = F.lit(0)
     for s in CITED_SECTIONS:
-        lines = F.split(F.coalesce(X.section(body, s), F.lit("")), "\n")
+        lines = F.split(F.coalesce(X.section_of(sections, s), F.lit("")), "\n")
         bare = bare + F.size(F.filter(lines, lambda x: F.btrim(x).startswith("-") & (F.length(x) > 30) & ~x.rlike(X.PAGE_REF)))
     words = X.word_count(body)
     design = F.lower(F.coalesce("study_design", F.lit("")))
     least = F.coalesce(*(F.when(design == k, F.lit(v)) for k, v in LEAST_WORDS.items()))
     family = F.lower(F.coalesce("intervention_family", F.lit("")))
-    checklist = F.coalesce(X.section(body, "Extraction Checklist"), F.lit(""))
+    checklist = F.coalesce(X.section_of(sections, "Extraction Checklist"), F.lit(""))
     unchecked, checked = F.regexp_count(checklist, F.lit(r"- \[ \]")), F.regexp_count(checklist, F.lit(r"- \[[xX]\]"))
     text = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
     found = [

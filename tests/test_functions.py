@@ -99,3 +99,19 @@ def test_metrics(spark):
     df = spark.createDataFrame([("a", "In the CST the FA was = 0.45 ± 0.05; FA (=) 1.45")], "slug string, body string")
     got = [tuple(r) for r in analyze.metric_observations(df, {"FA": ["fractional anisotropy", "FA was"]}, tracts).select("tract", "metric", "value", "sd").collect()]
     assert got == [("CST", "FA", 0.45, 0.05)]
+
+
+def test_sections_equal_the_pattern(spark):
+    """All sections in one pass give what the pattern for each heading gives."""
+    from pyspark.sql import functions as F
+
+    from quillspark.functions import text as X
+
+    parts = ["## A", "##  A \t", "##\tB", "### A", "##A", "##", "text", "", "## A b", "##\r", "## B\r", " ## A", "##\n## A"]
+    bodies = ["\n".join(parts[(i * k) % len(parts)] for k in range(1, 9)) + "\n" * (i % 2) for i in range(40)] + ["", "## A", "## A\n"]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    found = X.sections(F.col("body"))
+    for h in ("A", "B", "A b"):
+        rows = df.select("body", X.section(F.col("body"), h).alias("want"), X.section_of(found, h).alias("got")).collect()
+        assert [r for r in rows if r["want"] != r["got"]] == []
+        assert any(r["want"] for r in rows)
