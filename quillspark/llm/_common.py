@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections import defaultdict
@@ -30,13 +31,17 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, a temporary folder is made.
+    A cluster names it in ``spark.checkpoint.dir``, and it is an error if none is
+    set there. Only in local mode, as in tests, a temporary folder takes its place.
     """
     where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="shared-")
+        where = found.get() if found.isDefined() else ""
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="shared-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -259,9 +264,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in ``edges(a, b)``; the component is its smallest id.
 
     Alternating large-star and small-star steps over a distributed edge table;
-    each step groups by a vertex with pre-aggregated minima and joins that back,
-    so no vertex's neighbours meet in one task and nothing reaches the driver but
-    two counts a round. Lineage is cut by checkpoints.
+    each step groups by a vertex with pre-aggregated minima and joins that back. The
+    edges of a vertex pass through one task as a stream of pairs, and are never
+    gathered; nothing reaches the driver but two counts a round. Lineage is cut by
+    checkpoints.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = checkpointed(e)

@@ -320,15 +320,32 @@ def _group_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     prefixes, so the overlap is at most the common prefix tokens plus what that set
     has behind its prefix.
     """
+    schema = "ga long, sa long, gb long, sb long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tidy(batches):
+            sizes = [batch.column(k).to_numpy() for k in (1, 3)]
+            row, token, w = [], [], []
+            for k in (4, 7):
+                at = batch.column(k).offsets.to_numpy()
+                row.append(np.repeat(np.arange(len(batch)), np.diff(at)))
+                token.append(batch.column(k).values.to_numpy()[at[0] : at[-1]])
+                w.append(batch.column(k + 1).values.to_numpy()[at[0] : at[-1]] if k == 4 else np.zeros(int(at[-1] - at[0]), np.int64))
+            row, token, w = (np.concatenate(x) for x in (row, token, w))
+            order = np.lexsort((token, row))
+            row, token, w = row[order], token[order], w[order]
+            same = (row[1:] == row[:-1]) & (token[1:] == token[:-1])
+            common = np.bincount(row[1:][same], (w[1:] + w[:-1])[same], len(batch))
+            rest = [-(-percent * x // 100) - 1 for x in sizes]
+            ends = [batch.column(k).to_numpy() for k in (6, 9)]
+            room = np.where(ends[0] < ends[1], rest[0], np.where(ends[1] < ends[0], rest[1], np.maximum(*rest)))
+            keep = common + room >= -(-percent * (sizes[0] + sizes[1]) // (100 + percent))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["ga", "sa", "gb", "sb"]).filter(pa.array(keep))
+
     pairs = met.select(F.col("p.g").alias("ga"), F.col("p.size").alias("sa"), F.col("q.g").alias("gb"), F.col("q.size").alias("sb")).distinct()
-    a = groups.select(F.col("g").alias("ga"), F.col("size").alias("sa"), F.col("tokens").alias("ta"), F.col("last").alias("la"))
-    b = groups.select(F.col("g").alias("gb"), F.col("size").alias("sb"), F.col("tokens").alias("tb"), F.col("last").alias("lb"))
-    rest = lambda x: f"(ceil({percent} * {x} / 100.0d - 1e-9) - 1)"
-    room = F.expr(f"case when la < lb then {rest('sa')} when lb < la then {rest('sb')} else greatest({rest('sa')}, {rest('sb')}) end")
-    need = F.expr(f"ceil({percent} * (sa + sb) / {100 + percent}.0d - 1e-9)")
-    names = F.transform("tb", lambda x: x.token)
-    common = F.aggregate(F.filter("ta", lambda x: F.array_contains(names, x.token)), F.lit(0).cast("long"), lambda n, x: n + x.w)
-    return pairs.join(a, ["ga", "sa"]).join(b, ["gb", "sb"]).where(common + room >= need).select("ga", "sa", "gb", "sb")
+    side = lambda x: groups.select(F.col("g").alias(f"g{x}"), F.col("size").alias(f"s{x}"), F.transform("tokens", lambda t: t.token).alias(f"t{x}"), F.transform("tokens", lambda t: t.w).alias(f"w{x}"), F.col("last").alias(f"l{x}"))
+    rows = pairs.join(side("a"), ["ga", "sa"]).join(side("b"), ["gb", "sb"]).select("ga", "sa", "gb", "sb", "ta", "wa", "la", "tb", "wb", "lb")
+    return rows.mapInArrow(run, schema)
 
 
 def _close_pairs(postings: DataFrame, own: DataFrame, prefixes: DataFrame, percent: int, best: int | None) -> DataFrame:
