@@ -31,6 +31,7 @@ def test_core_imports_without_llm():
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
 def test_queries_equal_their_sql(spark):
+    import quillspark.file_queries
     import quillspark.wiki_queries  # noqa: F401
     from quillspark.queries import QUERIES, SQL
 
