@@ -256,7 +256,7 @@ def chapter_list(spark, sf):
 def watch_list(spark, sf):
     from .sources.config import watch_queries
 
-    queries = [{"name": name, "query": f"query {k}"} for k, name, _ in _nations(spark, sf) if k % 2 == 0]
+    queries = [{"name": name, "pubmed": f"query {k}"} for k, name, _ in _nations(spark, sf) if k % 2 == 0]
     with tempfile.TemporaryDirectory() as top:
         with open(f"{top}/watch.yaml", "w", encoding="utf-8") as f:
             json.dump({"queries": [*queries, "odd", {"name": "none"}]}, f)

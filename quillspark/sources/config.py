@@ -28,7 +28,7 @@ def _yaml(path: str) -> dict:
 
 def watch_queries(spark: SparkSession, path: str) -> DataFrame:
     """(ord, name, query) of a watch list; a missing or faulty file gives none."""
-    rows = [(i, str(q.get("name") or q.get("query")), str(q["query"])) for i, q in enumerate(_yaml(path).get("queries") or []) if isinstance(q, dict) and q.get("query")]
+    rows = [(i, str(q.get("name") or q["pubmed"]), str(q["pubmed"])) for i, q in enumerate(_yaml(path).get("queries") or []) if isinstance(q, dict) and q.get("pubmed")]
     return spark.createDataFrame(rows, "ord int, name string, query string")
 
 
