@@ -5,9 +5,9 @@ characters; no piece of the vocabulary crosses such a boundary, which is
 checked), and encodes each distinct word once. All new words of a batch lie in
 one flat symbol array; every round finds each word's best pair by a segmented
 minimum of ranks, merges its leftmost occurrence in all words at once, compacts
-the array, and drops words that have no pair left. Where a piece can't give rise
-to a pair of the same or a better rank, all its disjoint occurrences in a word
-merge in one round, which gives what merging them one by one gives. Words of many
+the array, and drops words that have no pair left. Where no merge gives rise to a
+pair of the same or a better rank, all disjoint occurrences in a word merge in one
+round, which gives what merging them one by one gives. Words of many
 symbols (texts without spaces) are cut, again and again, at boundaries that no
 piece of the vocabulary crosses, so that their parts go through the rounds side by
 side.
@@ -83,21 +83,17 @@ class Merges:
                     break
             hit = np.flatnonzero(rank == np.repeat(best, count))
             segment = np.repeat(np.arange(len(count)), count)[hit]
-            # leftmost of each word, and every second of a run of touching hits where all may merge together
+            # every second of a run of touching hits
             new = np.r_[True, segment[1:] != segment[:-1]]
             touch = np.r_[False, (hit[1:] == hit[:-1] + 1) & ~new[1:]]
             start = np.maximum.accumulate(np.where(touch, -1, np.arange(len(hit))))
             even = (np.arange(len(hit)) - start) % 2 == 0
-            take = hit[new | (even & self.together[made[hit]])]
-            # a word whose first hit must merge alone lets none of the others merge
-            alone = ~self.together[made[hit[new]]]
-            if alone.any():
+            take, owner, lead = hit[even], segment[even], new[even]
+            if not self.together[made[take]].all():
+                alone = self._alone(symbols, word, made, take, best[owner])
                 mixed = np.zeros(len(count), bool)
-                mixed[segment[new]] = alone
-                lead = np.zeros(len(symbols), bool)
-                lead[hit[new]] = True
-                seg = np.repeat(np.arange(len(count)), count)
-                take = take[~mixed[seg[take]] | lead[take]]
+                mixed[owner[alone]] = True
+                take = take[~mixed[owner] | lead]
             symbols, end = symbols.copy(), end.copy()
             symbols[take], end[take] = made[take], end[take + 1]
             keep = np.ones(len(symbols), bool)
@@ -108,6 +104,21 @@ class Merges:
         order = np.argsort(place)
         return symbols[order], first_word[place[order]]
 
+    def _alone(self, symbols: np.ndarray, word: np.ndarray, made: np.ndarray, take: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Which merges give rise to a pair of the same or a better rank, so that their word's other hits must wait.
+
+        Leftmost first, a merged symbol meets what is left of it as merged, and what
+        is right of it as it was.
+        """
+        n = len(symbols)
+        merged = np.full(n + 1, -1, np.int64)
+        merged[take + 1] = made[take]  # where the second of two symbols stood
+        before, behind = take - 1, np.minimum(take + 2, n - 1)
+        left = np.where(merged[before] >= 0, merged[before], symbols[before])
+        found = [self.find(left, made[take]), self.find(made[take], symbols[behind])]
+        inside = [(take > 0) & (word[before] == word[take]), (take + 2 < n) & (word[behind] == word[take])]
+        return np.logical_or(*(ok & (z >= 0) & (self.rank[z] <= best) for z, ok in zip(found, inside, strict=True)))
+
     def _sums(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sums from which the hash of a range of characters follows, and the inverse powers of its base."""
         n = len(symbols)

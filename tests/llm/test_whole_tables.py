@@ -198,3 +198,40 @@ def test_pipeline_of_odd_tables(spark):
     for _, f in c.STAGES[:4]:
         out = f(spark, odd, SMALL)
         assert out.columns == odd.columns and out.count() in (0, 3)
+
+
+def test_one_very_long_text(spark):
+    """A text of two million letters goes through every operator that works row by row."""
+    import sentencepiece
+
+    from quillspark.llm.decontamination import find_leaks
+    from quillspark.llm.license_scan import scan_licenses
+    from quillspark.llm.quality_rules import quality_report
+    from quillspark.llm.sentencepiece_codec import encode_decode
+
+    words = [f"w{k % 5000}x" for k in range(300_000)]
+    item = " ".join(f"leaked{k}" for k in range(30))
+    text = " ".join([*words, "under the MIT license", item, "z" * 300_000])
+    df = spark.createDataFrame([(1, text, "en", "s"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    n = len(words) + 4 + 30 + 1
+    got = {r["doc_id"]: r for r in quality_report(df).collect()}
+    assert got[1]["n_words"] == n and got[1]["n_repeat_words"] == 300_000 and got[2]["n_words"] == 0
+    got = {r["doc_id"]: r for r in scan_licenses(df).collect()}
+    assert got[1]["n_words"] == n and got[1]["first_word"] == 300_000 and got[1]["base_labels"] == "mit" and got[2]["n_words"] == 0
+    [leak] = find_leaks(df, spark.createDataFrame([(7, item), (8, None), (9, "")], "item_id long, text string")).collect()
+    assert (leak["doc_id"], leak["item_id"], leak["edits"], leak["start"], leak["end"]) == (1, 7, 0, 300_004, 300_034)
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = {r["doc_id"]: r for r in encode_decode(df, PIECES).collect()}
+    assert got[1]["ids"] == [*lib.encode(text), 2] and got[1]["decoded"] == text and got[2]["ids"] == [2]
+
+
+def test_ties_of_leaks(spark):
+    """Repeated rows and items each give their rows; of equal places the first is named."""
+    from quillspark.llm.decontamination import drop_leaks, find_leaks
+
+    item = " ".join(f"leaked{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, f"a {item} b {item} c")] * 2 + [(None, item), (3, None), (4, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (7, item), (8, item)], "item_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["item_id"], r["start"]) for r in find_leaks(docs, items).collect()))
+    assert got == sorted([(1, 7, 1), (1, 7, 1), (1, 8, 1)] * 2 + [(0, 7, 0), (0, 7, 0), (0, 8, 0)])
+    assert sorted(r["doc_id"] for r in drop_leaks(docs, items).collect()) == [3, 4]
