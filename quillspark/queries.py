@@ -157,17 +157,17 @@ def pages_hub_stubs(spark, sf):
     return graph.hub_stubs(_degrees(p), p, 5000)
 
 
-def _groups(pages: DataFrame) -> DataFrame:
-    return pages.select(F.col("page_id").alias("id"), F.expr("cast(page_id as bigint) % 40").alias("community"))
+def _groups(pages: DataFrame, n: int = 40) -> DataFrame:
+    return pages.select(F.col("page_id").alias("id"), F.expr(f"cast(page_id as bigint) % {n}").alias("community"))
 
 
 COMMUNITY = LINKS + ", c AS (SELECT u.*, a::BIGINT % 40 AS ca, b::BIGINT % 40 AS cb FROM u)"
 
 
-@query(COMMUNITY + " SELECT least(ca, cb) AS low, greatest(ca, cb) AS high, min(a) AS a, min(b) AS b FROM c WHERE ca <> cb GROUP BY 1, 2 HAVING count(*) = 1")
+@query(COMMUNITY.replace("% 40", "% 25") + " SELECT least(ca, cb) AS low, greatest(ca, cb) AS high, min(a) AS a, min(b) AS b FROM c WHERE ca <> cb GROUP BY 1, 2 HAVING count(*) = 1")
 def graph_fragile_bridges(spark, sf):
     p = view(spark, sf, PAGES)
-    out = graph.fragile_bridges(_edges(p).select(F.least("from", "to").alias("from"), F.greatest("from", "to").alias("to")), _groups(p))
+    out = graph.fragile_bridges(_edges(p).select(F.least("from", "to").alias("from"), F.greatest("from", "to").alias("to")), _groups(p, 25))
     return out.withColumnsRenamed({"from": "a", "to": "b"})
 
 
@@ -266,10 +266,10 @@ def fetch_publisher_urls(spark, sf):
     return view(spark, sf, PARTS).select("p_partkey", X.publisher_url(F.col("doi")).alias("url"))
 
 
-EFFECTS = ("lineitem", ["l_orderkey", "l_linenumber", "concat('Score gain of ', cast(cast(l_quantity as int) as string), ' points, d = 0.', lpad(cast(cast(l_partkey % 100 as int) as string), 2, '0'), case when l_returnflag = 'R' then ', p < 0.05' else ' and no test' end) as text", "cast(cast(l_quantity as int) as string) as q", "lpad(cast(cast(l_partkey % 100 as int) as string), 2, '0') as c", "l_returnflag"])
+EFFECTS = ("lineitem", ["l_orderkey", "l_linenumber", "concat(case when l_linestatus = 'O' then 'Score gain of ' else 'Score was ' end, cast(cast(l_quantity as int) as string), ' points, d = 0.', lpad(cast(cast(l_partkey % 100 as int) as string), 2, '0'), case when l_returnflag = 'R' then ', p < 0.05' else ' and no test' end) as text", "cast(cast(l_quantity as int) as string) as q", "lpad(cast(cast(l_partkey % 100 as int) as string), 2, '0') as c", "l_returnflag", "l_linestatus"])
 
 
-@query(cte(x=EFFECTS) + " SELECT l_orderkey, l_linenumber, q AS delta, '0.' || c AS effect_size, CASE WHEN l_returnflag = 'R' THEN '0.05' END AS p FROM x")
+@query(cte(x=EFFECTS) + " SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'O' THEN q END AS delta, '0.' || c AS effect_size, CASE WHEN l_returnflag = 'R' THEN '0.05' END AS p FROM x")
 def effects_extracted(spark, sf):
     t = F.col("text")
     return view(spark, sf, EFFECTS).select("l_orderkey", "l_linenumber", X.effect_delta(t).alias("delta"), X.effect_size(t).alias("effect_size"), X.p_value(t).alias("p"))
@@ -404,9 +404,10 @@ def refresh_stale(spark, sf):
     return quality.stale(now, old)
 
 
-@query(SECTIONS + " SELECT slug FROM s WHERE method IS NULL AND intervention_family IS NULL")
+@query(SECTIONS + " SELECT slug FROM s WHERE method IS NULL AND lang IN ('fr', 'de')")
 def coverage_under_tagged(spark, sf):
-    return quality.under_tagged(_sources(spark, sf))
+    s = _sources(spark, sf)
+    return quality.under_tagged(s.withColumn("intervention_family", F.when(F.col("lang") == "de", "").when(F.col("lang") != "fr", F.col("intervention_family"))))
 
 
 @query(cte(p=PAGES) + ", l AS (SELECT page_id, unnest(regexp_extract_all(content, 'href=\"/([^\"]+)\"', 1)) AS slug FROM p WHERE kind = 'sources'), m AS (SELECT slug, count(DISTINCT page_id) AS n FROM l GROUP BY 1), c AS (SELECT stem, len(regexp_extract_all(content, '[\\p{L}\\p{N}_]+')) AS w FROM p WHERE kind = 'concepts') SELECT stem AS slug, n::BIGINT AS n, w::BIGINT AS words FROM c JOIN m ON m.slug = c.stem WHERE w < 500 AND n >= 3 ORDER BY n DESC, slug DESC, words DESC LIMIT 20")
@@ -482,11 +483,12 @@ def metrics_by_tract(spark, sf):
     return analyze.metric_summary(found).select("tract", "metric", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query(cte(x=EFFECTS) + " SELECT l_returnflag AS family, count(*)::BIGINT AS n, count(*)::BIGINT AS with_delta FROM x GROUP BY 1")
+@query(cte(x=EFFECTS) + " SELECT l_returnflag AS family, count(*)::BIGINT AS n, count(*) FILTER (l_linestatus = 'O')::BIGINT AS with_delta FROM x GROUP BY 1")
 def effects_by_outcome(spark, sf):
     rows = view(spark, sf, EFFECTS).select(F.col("l_returnflag").alias("slug"), "text")
-    found = analyze.effects(analyze.outcome_mentions(rows, "score", r"\bScore\b", "text"))
-    return found.groupBy(F.col("slug").alias("family")).agg(F.count("*").alias("n"), F.count("delta").alias("with_delta"))
+    said = analyze.outcome_mentions(rows, "score", r"\bScore\b", "text")
+    found = analyze.effects(said).groupBy("slug").agg(F.count("delta").alias("with_delta"))
+    return said.groupBy("slug").agg(F.count("*").alias("n")).join(found, "slug", "left").withColumnRenamed("slug", "family")
 
 
 @query(cte(p=PAGES) + ", l AS (SELECT page_id, unnest(regexp_extract_all(content, 'href=\"/([^\"]+)\"', 1)) AS target FROM p), st AS (SELECT lower(stem) AS s, arg_max(page_id, path) AS dst FROM p GROUP BY 1), e AS (SELECT DISTINCT least(l.page_id, st.dst) AS a, greatest(l.page_id, st.dst) AS b FROM l JOIN st ON lower(l.target) = st.s WHERE l.page_id <> st.dst), h AS (SELECT page_id AS id FROM p WHERE list_bool_or(list_transform(string_split(lower(stem), ' '), lambda w: length(w) > 2 AND contains('what does the action of thand on ther say', w)))), n AS (SELECT b AS id FROM e WHERE a IN (SELECT id FROM h) UNION SELECT a FROM e WHERE b IN (SELECT id FROM h) AND a NOT IN (SELECT id FROM h)), o AS (SELECT 1 AS part, id::BIGINT AS place, id || '.md' AS path FROM h UNION ALL SELECT 2, 0, id || '.md' FROM n WHERE id NOT IN (SELECT id FROM h)) SELECT (row_number() OVER (ORDER BY part, place, path) - 1)::INT AS ord, path FROM o ORDER BY 1 LIMIT 15")
