@@ -505,5 +505,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = own.join(components, ["k0", "k1"])
     least = linked.groupBy("component").agg(F.min("low").alias("least"))
     of_set = own.join(linked.select("k0", "k1", "component").join(least, "component").select("k0", "k1", "least"), ["k0", "k1"], "left").select("k0", "k1", F.coalesce("least", "low").alias("component_id"))
-    out = sets.join(of_set, ["k0", "k1"], "left")
+    # written, so that a join skewed by copies or empty texts can be split
+    out = sets.join(stored(of_set, "of-set"), ["k0", "k1"], "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ._common import shared_dir, stored
 from .license_scan import oracle_sql as license_sql
 
 
@@ -92,13 +93,14 @@ def op5_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .window_dedup import repeated_windows, text_key
 
     docs = _table(spark, sf_dir, "documents")
-    cut = repeated_windows(docs).select(
+    cut = repeated_windows(docs).select(  # a row a text; written, so that a join skewed by copies can be split
         "k0",
         "k1",
         F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+    cut = stored(cut, "cut")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     own = docs.select("doc_id", *text_key(F.col("text")), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("own"))
     none = F.lit(0).cast("long")
@@ -118,7 +120,6 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ._common import shared_dir
     from .record_files import checksums, read_token_files, write_token_files
 
     out = f"{shared_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
