@@ -23,12 +23,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import byte_values, flat_text, mix, odd_powers, ranges, steps, tidy
+from ._common import byte_values, flat_text, mix, odd_powers, ranges, steps, tidy, trim
 
 #: Window sizes; an item takes the largest that it has.
 WINDOWS = (1, 2, 3, 4, 6, 8, 12, 16)
@@ -363,15 +365,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     found = None
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("text", "item").toPandas()
-        part = _search(docs.select(id_col, text_col), Index(part["item"].tolist(), part["text"].tolist(), edits, recall), schema)
+        part = _search(docs.select(id_col, text_col), _shared_index(docs.sparkSession, part, edits, recall), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _search(docs: DataFrame, index: Index, schema: T.StructType) -> DataFrame:
+def _shared_index(spark: SparkSession, part: pd.DataFrame, edits: float, recall: float) -> Broadcast:
+    """The index of a block of items, broadcast; the driver keeps none of the memory that building took."""
+    shared = spark.sparkContext.broadcast(Index(part["item"].tolist(), part["text"].tolist(), edits, recall))
+    trim()
+    return shared
+
+
+def _search(docs: DataFrame, shared: Broadcast, schema: T.StructType) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    shared = docs.sparkSession.sparkContext.broadcast(index)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,7 +404,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     at, schema = docs.columns.index(text_col), docs.schema
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("text", "item").toPandas()
-        shared = docs.sparkSession.sparkContext.broadcast(Index(part["item"].tolist(), part["text"].tolist(), edits, recall))
+        shared = _shared_index(docs.sparkSession, part, edits, recall)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in tidy(batches):
