@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -48,7 +49,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Has the driver collect its garbage now: Spark deletes the shuffle files of finished jobs only then, which a roomy heap puts off for a whole run."""
+    """Has the driver collect its garbage now, Python's first, as that holds the JVM's: Spark deletes the shuffle files of finished jobs only then, which a roomy heap puts off for a whole run."""
+    gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -282,6 +285,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         tied = e.join(low, "a")
         e = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).union(tied.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         e = checkpointed(e)
+        release(e.sparkSession)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.count_distinct("a")).first())
         # a star forest has one edge for each vertex that is not a root, and no root hangs from another
         if now == before and now[0] == now[2]:
