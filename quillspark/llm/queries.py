@@ -139,6 +139,75 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth text by the checksum of its id repeats a stretch of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    chosen = docs.withColumn("_w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    chosen = chosen.withColumn("_n", F.coalesce(F.size("_w"), F.lit(0)).cast("long")).withColumn("_a", F.when(F.col("_n") > 0, g % F.col("_n")))
+    rest = F.col("_n") - F.col("_a")
+    period = F.lit(1) + F.floor(rest / (F.lit(3) + g % 8))
+    again = F.flatten(F.array_repeat(F.slice("_w", F.col("_a").cast("int") + 1, period.cast("int")), F.ceil(rest / period).cast("int")))
+    words = F.slice(F.concat(F.slice("_w", F.lit(1), F.col("_a").cast("int")), again), F.lit(1), F.col("_n").cast("int"))
+    return chosen.select("doc_id", F.when(F.col("_n") > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in ``documents``, a tenth of which get one planted."""
+    from .periodic_runs import find_runs
+
+    found = find_runs(_with_planted_runs(_table(spark, sf_dir, "documents")))
+    # runs come by start and period, so the first of the longest in periods stays
+    longer = lambda best, r: F.when(best.isNull() | (r.length * best.period > best.length * r.period), r).otherwise(best)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), longer)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+#: The checksum of an id goes by its definition, bit by bit. Words that are equal at a distance q
+#: make stretches; those with the same bounds are one run, of the smallest distance.
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (SELECT range AS v, range AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT v, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY v) AS t FROM bits WHERE k = 8),
+ids AS (SELECT DISTINCT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda c, x: xor(c // 256, t[1 + xor(c % 256, x)]))) AS h FROM documents, crc),
+raw AS (SELECT doc_id, h, h // 10 AS g, w, len(w) AS n FROM (SELECT doc_id, h, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents JOIN ids USING (doc_id))),
+cut AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM raw WHERE h % 10 = 0 AND n > 0),
+d AS (SELECT doc_id, n, w FROM raw WHERE h % 10 <> 0 OR n = 0
+  UNION ALL SELECT doc_id, n, list_transform(range(n), lambda i: CASE WHEN i >= a THEN w[1 + a + (i - a) % p] ELSE w[1 + i] END) FROM cut),
+words AS (SELECT doc_id, n, unnest(w) AS w, unnest(range(n)) AS i FROM d),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, min(i) AS s, max(i) + 1 + q AS e FROM (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs) GROUP BY doc_id, q, k),
+runs AS (SELECT doc_id, s AS start, e - s AS length, min(q) AS period FROM islands WHERE e - s >= greatest(24, 3 * q) GROUP BY doc_id, s, e),
+best AS (SELECT doc_id, start, length, period FROM (SELECT r.*, EXISTS (SELECT 1 FROM runs o WHERE o.doc_id = r.doc_id AND (o.length * r.period > r.length * o.period
+         OR (o.length * r.period = r.length * o.period AND (o.start < r.start OR (o.start = r.start AND o.period < r.period))))) AS beaten FROM runs r) WHERE NOT beaten),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of ``documents`` and their components."""
+    from .simhash_join import near_simhashes
+
+    return near_simhashes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
@@ -150,9 +219,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_records": op8_records,
     "op9_licenses": op9_licenses,
     "op10_jaccard": op10_jaccard,
+    "op11_runs": op11_runs,
+    "op12_simhash": op12_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality": OP2_SQL,
     "op9_licenses": license_sql(),
+    "op11_runs": OP11_SQL,
 }
