@@ -9,7 +9,6 @@ from __future__ import annotations
 import io
 import json
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -18,14 +17,13 @@ from pyspark.sql import functions as F
 from .operators import graph
 from .plans import edits, render
 from .queries import query
+from .session import shared_folder
 from .shipping import ship
 from .sources import snapshots, vault
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one only in local mode without a checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="vault-")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return shared_folder(spark, "files")
 
 
 def _put(spark: SparkSession, folder: str, files: dict[str, bytes | str]) -> str:

@@ -16,6 +16,7 @@ def test_entry_imports_with_a_stale_cache_folder(tmp_path):
     top = os.path.dirname(os.path.dirname(__file__))
     shutil.copytree(os.path.join(top, "quillspark"), tmp_path / "quillspark", ignore=shutil.ignore_patterns("llm"))
     (tmp_path / "quillspark/llm/__pycache__").mkdir(parents=True)
+    shutil.copytree(os.path.join(top, "jobs"), tmp_path / "jobs")
     shutil.copy(os.path.join(top, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 120 and not [n for n in q if n.startswith('op')]"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, timeout=120).returncode == 0
@@ -31,6 +32,7 @@ def test_core_imports_without_llm():
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
 def test_queries_equal_their_sql(spark):
+    import jobs.queries
     import quillspark.file_queries
     import quillspark.wiki_queries  # noqa: F401
     from quillspark.queries import QUERIES, SQL
