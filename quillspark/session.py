@@ -19,6 +19,7 @@ def session(name: str = "quillspark", master: str | None = None, **settings: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.python.filterPushdown.enabled": "true",
     }
     for k, v in (defaults | settings).items():
         builder = builder.config(k, v)

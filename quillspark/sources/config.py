@@ -1,12 +1,13 @@
-"""Small configuration files, read by the driver into dimension tables."""
+"""Configuration files as dimension tables."""
 
 from __future__ import annotations
 
-from pathlib import Path
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.python import yaml_to_json
+
 # File endings that can be taken in.
 INGESTIBLE = (".md", ".pdf", ".docx", ".pptx", ".xlsx", ".xls", ".html", ".htm", ".txt", ".csv", ".json", ".xml", ".rst", ".rtf", ".epub", ".ipynb", ".yaml", ".yml", ".tsv", ".wav", ".mp3")
 
@@ -16,28 +17,24 @@ def ingestible(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(*INGESTIBLE)
 
 
-def _yaml(path: str) -> dict:
-    import yaml
-
+def _members(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """(ord, item): the members of a list in YAML files, each as JSON; missing and faulty files give none."""
     try:
-        found = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
-    except (OSError, yaml.YAMLError):
-        return {}
-    return found if isinstance(found, dict) else {}
+        files = spark.read.text(path, wholetext=True)
+    except AnalysisException:  # no such path
+        return spark.createDataFrame([], "ord int, item string")
+    found = files.select(yaml_to_json("value").alias("j"))
+    return found.select(F.posexplode(F.from_json(F.get_json_object("j", f"$.{field}"), "array<string>")).alias("ord", "item"))
 
 
 def watch_queries(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, name, query) of a watch list; a missing or faulty file gives none."""
-    rows = [(i, str(q.get("name") or q["pubmed"]), str(q["pubmed"])) for i, q in enumerate(_yaml(path).get("queries") or []) if isinstance(q, dict) and q.get("pubmed")]
-    return spark.createDataFrame(rows, "ord int, name string, query string")
+    """(ord, name, query) of watch lists; entries without a query are passed over."""
+    rows = _members(spark, path, "queries").select("ord", F.from_json("item", "name string, pubmed string").alias("q"))
+    return rows.where("q.pubmed <> ''").select("ord", F.coalesce(F.when(F.col("q.name") != "", F.col("q.name")), "q.pubmed").alias("name"), F.col("q.pubmed").alias("query"))
 
 
 def chapter_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(chapter, page_ord, page_id) of a chapter list; chapter names as lowered slugs."""
-    import re
-
-    rows = []
-    for c in _yaml(path).get("chapters") or []:
-        slug = re.sub(r"[^A-Za-z0-9]+", "-", str(c["name"])).strip("-").lower()
-        rows += [(slug, i, str(p)) for i, p in enumerate(c.get("pages") or [])]
-    return spark.createDataFrame(rows, "chapter string, page_ord int, page_id string")
+    """(chapter, page_ord, page_id) of chapter lists; chapter names as lowered slugs."""
+    rows = _members(spark, path, "chapters").select(F.from_json("item", "name string, pages array<string>").alias("c"))
+    slug = F.lower(F.btrim(F.regexp_replace("c.name", r"[^A-Za-z0-9]+", "-"), F.lit("-")))
+    return rows.select(slug.alias("chapter"), F.posexplode("c.pages").alias("page_ord", "page_id"))
