@@ -7,15 +7,30 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.python import match_offsets
+from .names import find_names, literal_names
 
 
-#: Rows of a lexicon up to which it is broadcast.
-LEXICON_ROWS = 10_000
+#: Most raw patterns of a lexicon: each is tried on each text.
+MOST_PATTERNS = 1000
 
 
-def _dimension(lexicon: DataFrame) -> DataFrame:
-    """A lexicon for a join by patterns: broadcast if its rows, which are counted, are few."""
-    return F.broadcast(lexicon) if lexicon.limit(LEXICON_ROWS + 1).count() <= LEXICON_ROWS else lexicon
+def lexicon_hits(texts: DataFrame, lexicon: DataFrame, column: str) -> DataFrame:
+    """The rows of ``texts`` with the ``key`` of each entry of ``lexicon(key, pattern)`` that ``column`` matches, letter case ignored; one row a key and pattern.
+
+    Entries that are names between word bounds, however many, are looked up by one
+    automaton. The others are patterns that someone wrote: they are tried on every
+    text, and it is an error if there are more than ``MOST_PATTERNS``.
+    """
+    split = lexicon.select(F.col("key").cast("string").alias("key"), "pattern", literal_names(F.col("pattern")).alias("names"))
+    hits = find_names(texts, split.select("key", F.explode("names").alias("name")), column)
+    raw = split.where("names is null and pattern is not null").select("key", "pattern")
+    n = raw.limit(MOST_PATTERNS + 1).count()
+    if n > MOST_PATTERNS:
+        raise ValueError(f"a lexicon has at most {MOST_PATTERNS} patterns that are no names")
+    if not n:
+        return hits
+    tried = texts.join(F.broadcast(raw), F.rlike(column, F.concat(F.lit("(?iU)"), "pattern")))  # counted above
+    return hits.union(tried.select(*texts.columns, "key"))
 
 
 def matching(sources: DataFrame, domain: str | None = None, intervention: str | None = None, method: str | None = None) -> DataFrame:
@@ -51,9 +66,10 @@ def pooled_samples(sources: DataFrame) -> DataFrame:
 
 
 def descriptor_counts(sources: DataFrame, descriptors: DataFrame, text: str = "population") -> DataFrame:
-    """(grp, label, n): sources whose text has a pattern of (grp, label, pattern); the lexicon is a small dimension table."""
-    hit = sources.select("slug", F.col(text).alias("t")).join(_dimension(descriptors), F.rlike("t", F.concat(F.lit("(?iU)"), "pattern")))
-    return hit.groupBy("grp", "label").agg(F.count_distinct("slug").alias("n"))
+    """(grp, label, n): sources whose text has a pattern of (grp, label, pattern)."""
+    entries = descriptors.select(F.to_json(F.struct("grp", "label")).alias("key"), "grp", "label", "pattern")
+    hit = lexicon_hits(sources.select("slug", F.col(text).alias("t")), entries, "t").select("slug", "key").distinct()
+    return hit.join(entries.select("key", "grp", "label").distinct(), "key").groupBy("grp", "label").agg(F.count_distinct("slug").alias("n"))
 
 
 def severity_extremes(sources: DataFrame, pattern: str, text: str = "population") -> DataFrame:
@@ -82,7 +98,8 @@ def metric_observations(sources: DataFrame, metrics: dict[str, list[str]], tract
     metric = F.coalesce(*(F.when(low == k, F.lit(v)) for k, v in names.items()), F.upper(low))
     rows = found.select("slug", F.col("m.start").alias("pos"), metric.alias("metric"), F.col("m.groups")[1].cast("double").alias("value"), F.col("m.groups")[2].try_cast("double").alias("sd"), F.substring("body", F.greatest(F.col("m.start") - window, F.lit(0)) + 1, F.least(F.col("m.start"), F.lit(window)) + window).alias("near"))
     rows = rows.where("metric <> 'FA' or value between 0 and 1")
-    named = rows.join(_dimension(tracts), F.rlike("near", F.concat(F.lit("(?iU)"), "pattern")))
+    named = lexicon_hits(rows.select("slug", "pos", "near"), tracts.select(F.col("ord").alias("key"), "pattern"), "near")
+    named = named.join(tracts.select(F.col("ord").cast("string").alias("key"), "ord", "label"), "key")
     first = named.groupBy("slug", "pos").agg(F.min_by("label", "ord").alias("tract"))
     return rows.join(first, ["slug", "pos"], "left").select("slug", "pos", "tract", "metric", "value", "sd")
 
@@ -162,7 +179,8 @@ def single_study_concepts(concepts: DataFrame, sources: DataFrame, header: str =
 
 def region_snippets(sentences: DataFrame, regions: DataFrame, cap: int = 3) -> DataFrame:
     """(key, label, page_id, pos, sentence): sentences that name a region of the lexicon (key, label, pattern), the first ``cap`` of a page (a report's limit)."""
-    hit = sentences.join(_dimension(regions), F.rlike("sentence", F.concat(F.lit("(?iU)"), "pattern"))).dropDuplicates(["key", "page_id", "pos"])
+    hit = lexicon_hits(sentences.select("page_id", "pos", "sentence"), regions, "sentence").dropDuplicates(["key", "page_id", "pos"])
+    hit = hit.join(regions.select("key", "label").distinct(), "key")
     rank = F.row_number().over(Window.partitionBy("key", "page_id").orderBy("pos"))
     return hit.withColumn("r", rank).where(F.col("r") <= cap).select("key", "label", "page_id", "pos", "sentence")
 
@@ -199,13 +217,9 @@ def retrieve(index: DataFrame, pages: DataFrame, edges: DataFrame, question: str
 
 def entity_contexts(pages: DataFrame, names: DataFrame, cap: int = 15) -> DataFrame:
     """(name, page_id, ord): pages, neither entities nor concepts, whose text has a missing entity's name; the first ``cap`` (a report's limit)."""
-    # a name is looked up by its first three letters among all such grams of a page, so that the join is one of equal keys
-    low = F.lower("content")
-    gram = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.substring(low, i, k))))))
-    texts = pages.where(~F.col("kind").isin("entities", "concepts")).select("page_id", "content")
-    keyed = names.select("name").distinct().withColumn("gram", F.substring(F.lower("name"), 1, 3))
-    hits = texts.select("page_id", gram.alias("gram")).join(keyed, "gram").select("page_id", "name")
-    rows = hits.join(texts, "page_id").where(F.lower("content").contains(F.lower("name")))
+    texts = pages.where(~F.col("kind").isin("entities", "concepts")).select("page_id", F.lower("content").alias("text"))
+    rows = find_names(texts, names.select(F.col("name").alias("key"), F.lower("name").alias("name")), "text", whole_words=False, fold=False)
+    rows = rows.select(F.col("key").alias("name"), "page_id")
     rank = F.row_number().over(Window.partitionBy("name").orderBy("page_id"))
     return rows.select("name", "page_id", rank.alias("ord")).where(F.col("ord") <= cap)
 
