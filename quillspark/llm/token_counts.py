@@ -4,8 +4,9 @@ An Aho-Corasick automaton enumerates the vocabulary matches that end at each
 character; the dynamic program carries the best score and its number of pieces
 only, no path. Ties go as in the tokenizers library's unigram model: the match
 that starts first stays unless another's score is strictly higher, an unknown
-character costs the lowest score less 10, runs of unknown characters fuse, and
-fused runs count as their bytes. No piece crosses the start of a word, and scores
+character costs the lowest score less 10, runs of unknown characters and of the
+unknown piece's own text fuse, and fused runs count as their bytes, or as one if a piece has
+their text. No piece crosses the start of a word, and scores
 are whole numbers, so sums are exact in doubles and each distinct word is counted
 once in a worker.
 """
@@ -40,7 +41,7 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 class Counter:
     """Counts pieces of texts under a unigram vocabulary with byte fallback."""
 
-    def __init__(self, pieces: list[tuple[str, float]]) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], unknown_id: int = 0) -> None:
         import ahocorasick
 
         if any(s != int(s) for _, s in pieces) or SPACE not in dict(pieces) or any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces):
@@ -49,7 +50,7 @@ class Counter:
         self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
         self.automaton = ahocorasick.Automaton()
         for p, s in self.score.items():
-            self.automaton.add_word(p, (len(p), s))
+            self.automaton.add_word(p, (len(p), s, p == pieces[unknown_id][0]))
         self.automaton.make_automaton()
         self.longest = max(map(len, self.score))
         self.book = CodeBook(np.int64)  # pieces and score of each word
@@ -74,7 +75,7 @@ class Counter:
                 start = end - 1 - run[end - 1]
                 best[end], pieces[end], run[end], reached[end] = score, pieces[end - 1] - fused(start, end - 1) + fused(start, end), end - start, True
 
-        for last, (length, s) in self.automaton.iter(word):
+        for last, (length, s, is_unknown) in self.automaton.iter(word):
             end = last + 1
             while done < end - 1:  # positions where a single character has no match
                 done += 1
@@ -84,6 +85,9 @@ class Counter:
             score = best[end - length] + s
             if not reached[end] or score > best[end]:
                 best[end], pieces[end], run[end], reached[end] = score, pieces[end - length] + 1, 0, True
+                if is_unknown:  # its text joins a run of unknown characters
+                    start = end - length - run[end - length]
+                    pieces[end], run[end] = pieces[end - length] - fused(start, end - length) + fused(start, end), end - start
             if length == 1:
                 single = True
         while done < n:

@@ -12,16 +12,19 @@ from the most significant digit on; a group that is down to one suffix leaves.
 3. Where runs of an anchor differ, the bytes of one occurrence of each distinct run
    are dealt by anchor, and a task sorts the windows of its anchors by passes over
    8-byte digits. Groups left after the last digit are exactly the repeated windows.
-   An anchor with more than ``CROWD`` distinct runs is not held in one task: its
-   windows become rows, whose last digit is the hash of the window.
+   A group of more than ``CROWD`` distinct runs is first dealt by its next 8 bytes,
+   as often as it takes: those behind the anchor for windows that hold them, else
+   those in front of it. Equal windows have their anchor at the same place, so they
+   stay together; a group whose bytes are all dealt out is a repeated window.
 
 The first two digits are 64-bit hashes; runs count as equal if anchor and run
-hashes both agree, and so do a crowd's windows. Their counts are pre-aggregated. Texts that hold no repeated anchor never move: a bitmap of fixed size
+hashes both agree. Their counts are pre-aggregated. Texts that hold no repeated anchor never move: a bitmap of fixed size
 tells most of them apart, and only costs more shuffle where it errs.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,8 +44,10 @@ BASE = 0x5851F42D4C957F2D  # odd
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bits of the bitmaps of repeated anchors and of texts that have some: 8 MB, whatever the corpus.
 BITMAP_BITS = 26
-#: Most distinct runs of an anchor that one task sorts (each has at most 369 bytes: 7 MB).
+#: Most distinct runs that one task sorts (each has at most 369 bytes: 7 MB); larger groups are dealt by further digits.
 CROWD = 20_000
+#: Bytes of a digit by which a group is dealt.
+DIGIT = 8
 #: Windows that one radix sort orders at once.
 STEP_WINDOWS = 200_000
 
@@ -232,21 +237,20 @@ def radix_groups(flat: np.ndarray, starts: np.ndarray, group: np.ndarray, width:
 
 
 def _sorted_runs(rows: DataFrame, width: int) -> DataFrame:
-    """(k0, k1, place) of stretches of repeated windows in lone runs; ``rows`` lie by anchor in order."""
+    """(k0, k1, place) of stretches of repeated windows in lone runs; ``rows(key, k0, k1, place, alone, bytes, first, last)`` lie by key in order, and of a run the windows from first to last count."""
 
     def solve(part: pa.Table) -> pa.RecordBatch:
-        same = np.r_[False, np.logical_and.reduce([(x := part.column(c).to_numpy())[1:] == x[:-1] for c in ("anchor", "k0", "k1", "place")])]
-        part = part.filter(pa.array(~same)).combine_chunks()
+        group = _groups(part.column("key"))
+        same = np.r_[False, np.logical_and.reduce([group[1:] == group[:-1], *((x := part.column(c).to_numpy())[1:] == x[:-1] for c in ("k0", "k1", "place"))])]
+        part, group = part.filter(pa.array(~same)).combine_chunks(), group[~same]
         flat, offsets = flat_text_bytes(part.column("bytes"))
-        anchor = part.column("anchor").to_numpy()
-        place = part.column("place").to_numpy()
-        times = (place & 255) + 1
-        group = np.cumsum(np.r_[0, anchor[1:] != anchor[:-1]])
+        place, from_ = part.column("place").to_numpy(), part.column("first").to_numpy()
+        times = part.column("last").to_numpy() - from_ + 1
         row = np.repeat(np.arange(len(place)), times)
-        starts = ranges(offsets[:-1], times)
+        starts = ranges(offsets[:-1] + from_, times)
         hit = np.zeros(len(starts), bool)
         many = -(-len(starts) // (2 * STEP_WINDOWS))
-        # a crowd's windows are first dealt by their first bytes, so that a sort stays small
+        # windows are first dealt by their first bytes, so that a sort stays small
         deal = mix(range_hash(prefix_sums(flat), starts, starts + min(8, width))) % np.uint64(many) if many > 1 else np.zeros(1, np.uint64)
         for k in range(many):
             own = np.flatnonzero(deal == k) if many > 1 else np.arange(len(starts))
@@ -269,8 +273,8 @@ def _sorted_runs(rows: DataFrame, width: int) -> DataFrame:
                 if n * 100 < STEP_WINDOWS:
                     continue
                 table = pa.Table.from_batches(held).combine_chunks()
-                anchor = table.column("anchor").to_numpy()
-                cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+                group = _groups(table.column("key"))
+                cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
                 if cut:
                     yield solve(table.slice(0, cut).combine_chunks())
                 held, n = table.slice(cut).to_batches(), len(table) - cut
@@ -290,23 +294,95 @@ def flat_text_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def _crowd_windows(rows: DataFrame, width: int) -> DataFrame:
-    """(anchor, window, k0, k1, start, alone) of every window of the runs."""
+def _groups(key: pa.ChunkedArray) -> np.ndarray:
+    """A number for each row that goes up where the key changes."""
+    number = key.combine_chunks().dictionary_encode().indices.to_numpy()
+    return np.cumsum(np.r_[0, number[1:] != number[:-1]])
+
+
+def _anchor_places(part: pa.RecordBatch, width: int) -> np.ndarray:
+    """Where the anchor stands in the bytes of each run: the least gram of its first window, leftmost on ties."""
+    k = min(ANCHOR, width)
+    flat, offsets = flat_text_bytes(part.column(5))
+    at = offsets[:-1, None] + np.arange(width - k + 1)
+    grams = mix(range_hash(prefix_sums(flat), at.ravel(), at.ravel() + k)).reshape(at.shape)
+    return np.argmin(grams & ~LOW, axis=1)
+
+
+#: Runs of groups that are dealt further: of windows with low to high bytes in front of the anchor, the left bytes next to it and the right bytes behind it are in the key.
+DEALT = "key binary, k0 long, k1 long, place long, alone boolean, bytes binary, anchor_at long, left int, right int, low int, high int"
+
+
+def _undealt(rows: DataFrame, width: int) -> DataFrame:
+    """Runs with their anchors' bytes as the key."""
+    k = min(ANCHOR, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidy(batches):
-            for a in range(0, len(batch), 4000):
-                part = batch.slice(a, 4000)
-                flat, offsets = flat_text_bytes(part.column(6))
-                place = part.column(3).to_numpy()
-                times = (place & 255) + 1
-                row = np.repeat(np.arange(len(place)), times)
-                starts = ranges(offsets[:-1], times)
-                whole = mix(range_hash(prefix_sums(flat), starts, starts + width))
-                column = lambda i: pa.array(part.column(i).to_numpy(zero_copy_only=False)[row])  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([column(0), _signed(whole), column(1), column(2), pa.array((place[row] >> 8) + starts - offsets[row]), column(4)], names=["anchor", "window", "k0", "k1", "start", "alone"])
+            for a in range(0, len(batch), 1000):
+                part = batch.slice(a, 1000)
+                at = _anchor_places(part, width)
+                keys = [raw[i : i + k] for raw, i in zip(part.column(5).to_pylist(), at.tolist(), strict=True)]
+                whole = lambda v: pa.array([v] * len(keys), pa.int32())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *part.columns[1:], pa.array(at), whole(0), whole(0), whole(0), whole(width - k)], names=["key", "k0", "k1", "place", "alone", "bytes", "anchor_at", "left", "right", "low", "high"])
+
+    return rows.select("anchor", "k0", "k1", "place", "alone", "bytes").mapInArrow(run, DEALT)
 
-    return rows.mapInArrow(run, "anchor long, window long, k0 long, k1 long, start long, alone boolean")
+
+def next_digits(raw: bytes, at: int, windows: int, left: int, right: int, low: int, high: int, width: int) -> Iterator[tuple[bytes, int, int, int, int]]:
+    """(digit, left, right, low, high): the one or two groups to which a run's windows go by their next bytes.
+
+    Windows that hold the next ``DIGIT`` bytes behind the anchor go by those, the others by
+    the bytes in front of it; digits at a window's edge are shorter. Nothing for a
+    run that has none of the windows.
+    """
+    k = min(ANCHOR, width)
+    free = width - k
+    mine = range(max(low, at - windows + 1), min(high, at) + 1)
+    behind = min(right + DIGIT, free - low)
+    top = min(high, free - behind) if behind > right else low - 1
+    if mine and mine[0] <= top:
+        yield b"R" + raw[at + k + right : at + k + behind], left, behind, low, top
+    if mine and mine[-1] > top:
+        rest = top + 1
+        front = min(left + DIGIT, rest)
+        yield b"L" + raw[at - front : at - left], front, right, rest, high
+
+
+def _dealt(rows: DataFrame, width: int) -> DataFrame:
+    """The runs of ``DEALT`` by their next digits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tidy(batches):
+            for a in range(0, len(batch), 1000):
+                out = []
+                for r in batch.slice(a, 1000).to_pylist():
+                    for digit, left, right, low, high in next_digits(r["bytes"], r["anchor_at"], (r["place"] & 255) + 1, r["left"], r["right"], r["low"], r["high"], width):
+                        out.append(r | {"key": r["key"] + digit, "left": left, "right": right, "low": low, "high": high})
+                yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
+
+    return rows.mapInArrow(run, DEALT)
+
+
+def _crowds(rows: DataFrame, width: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(rows for ``_sorted_runs``, (k0, k1, place) of repeated windows) of runs whose groups are too large for a task."""
+    free = width - min(ANCHOR, width)
+    sorted_, found = [], []
+    rows = _undealt(rows, width)
+    while True:
+        own = F.xxhash64("k0", "k1", "place")
+        dealt = stored(_dealt(rows, width), "dealt")
+        size = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("key", "n")
+        dealt = stored(dealt.join(size, "key"), "digits")  # the counts are joined from a table, so that the hot keys can be split
+        out = (F.col("left") == F.col("low")) & (F.col("right") == free - F.col("low")) & (F.col("low") == F.col("high"))
+        at = F.col("anchor_at")
+        windows = F.col("place").bitwiseAND(255)
+        first, last = F.greatest(at - F.col("high"), F.lit(0)), F.least(at - F.col("low"), windows)
+        sorted_.append(dealt.where(~out & (F.col("n") <= CROWD)).select("key", "k0", "k1", "place", "alone", "bytes", first.cast("long").alias("first"), last.cast("long").alias("last")))
+        found.append(dealt.where(out & F.col("alone")).select("k0", "k1", ((F.shiftright("place", 8) + at - F.col("low")) * 256).alias("place")))
+        rows = dealt.where(~out & (F.col("n") > CROWD)).drop("n")
+        if rows.isEmpty():
+            return sorted_, found
 
 
 def _cut(texts: DataFrame, width: int) -> DataFrame:
@@ -358,11 +434,12 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", width: int = WIDTH
     crowded = not mixed.where("crowd").isEmpty()
     if crowded:
         chosen = stored(chosen, "chosen")
-    single = _sorted_runs(chosen.where("not crowd").repartition("anchor").sortWithinPartitions("anchor", "k0", "k1", "place"), width)
+    whole = F.col("place").bitwiseAND(255)
+    rows = chosen.where("not crowd").select(F.unhex(F.lpad(F.hex("anchor"), 16, "0")).alias("key"), "k0", "k1", "place", "alone", "bytes", F.lit(0).cast("long").alias("first"), whole.alias("last"))
+    found = full
     if crowded:
-        windows = stored(_crowd_windows(chosen.where("crowd"), width), "windows")
-        place = F.xxhash64("k0", "k1", "start")
-        equal = windows.groupBy("anchor", "window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b")
-        single = single.union(windows.where("alone").join(equal.select("anchor", "window"), ["anchor", "window"]).select("k0", "k1", (F.col("start") * 256).alias("place")))
-    places = full.union(single).distinct().groupBy("k0", "k1").agg(F.collect_list("place").alias("places"))
+        more, ends = _crowds(chosen.where("crowd"), width)
+        rows, found = functools.reduce(DataFrame.union, [rows, *more]), functools.reduce(DataFrame.union, [full, *ends])
+    single = _sorted_runs(rows.repartition("key").sortWithinPartitions("key", "k0", "k1", "place"), width)
+    places = found.union(single).distinct().groupBy("k0", "k1").agg(F.collect_list("place").alias("places"))
     return _cut(texts.join(places, ["k0", "k1"]), width).dropDuplicates(["k0", "k1"])

@@ -38,6 +38,7 @@ def test_windows_equal_brute_force(spark, monkeypatch):
     texts = windows_fixture()
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, spans long")
     want = brute_spans(texts, 200)
+    monkeypatch.setattr(w, "DIGIT", 80)  # fewer levels
     for crowd in (20_000, 1):
         monkeypatch.setattr(w, "CROWD", crowd)
         cut = w.repeated_windows(df)
@@ -46,6 +47,56 @@ def test_windows_equal_brute_force(spark, monkeypatch):
     assert w.repeated_windows(df.limit(0)).count() == 0
 
 
+def test_next_digits_deal_out_every_window():
+    """Whatever a run's windows, each goes to one group at every level, until all its bytes are in the key."""
+    from quillspark.llm.window_dedup import next_digits
+
+    width, free = 200, 168
+    raw = bytes(range(256)) * 2
+    for at, windows in ((168, 169), (0, 1), (90, 40), (168, 1), (30, 31), (100, 3)):
+        state = [(b"", 0, 0, 0, free)]
+        want = set(range(at - windows + 1, at + 1)) & set(range(free + 1))
+        done = set()
+        for _ in range(60):
+            new = []
+            for key, left, right, low, high in state:
+                if low == high and left == low and right == free - low:
+                    done.add(low)
+                    continue
+                for digit, *s in next_digits(raw, at, windows, left, right, low, high, width):
+                    assert s[0] <= s[2] <= s[3] <= free - s[1] and (s[0], s[1]) != (left, right) and len(digit) > 1
+                    new.append((key + digit, *s))
+            state = new
+            covered = [j for _, _, _, low, high in state for j in range(low, high + 1) if j in want]
+            assert len(covered) == len(set(covered)) and set(covered) | done == want
+            if not state:
+                break
+        assert done == want and not state
+
+
+def test_windows_of_one_anchor_in_many_runs(spark, monkeypatch):
+    """Hundreds of different runs around one anchor, with repeats that begin in front of it, behind it, and far from it."""
+    from quillspark.llm import window_dedup as w
+
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice(LETTERS) for _ in range(n))
+    hub = some(60)
+    sides = [(some(160), some(160)) for _ in range(12)]
+    texts = []
+    for _ in range(150):
+        (left, _), (_, right) = rng.choice(sides), rng.choice(sides)
+        texts.append(some(40) + left[rng.randrange(100) :] + hub + right[: rng.randrange(60, 160)] + some(40))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = brute_spans(texts, 200)
+    for crowd, digit in ((20, 8), (1, 60)):
+        monkeypatch.setattr(w, "CROWD", crowd)
+        monkeypatch.setattr(w, "DIGIT", digit)
+        rows = df.select("doc_id", "text", *w.text_key("text")).join(w.repeated_windows(df), ["k0", "k1"], "left").collect()
+        got = {r["doc_id"]: bytes(r["kept"]) if r["kept"] is not None else r["text"].encode() for r in rows}
+        assert got == dict(enumerate(want)), crowd
+    assert sum(len(x) < len(t) for x, t in zip(want, texts, strict=True)) > 30
+
+
 def test_radix_groups():
     from quillspark.llm.window_dedup import radix_groups
 

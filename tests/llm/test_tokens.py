@@ -57,6 +57,24 @@ def test_counts_equal_library():
     assert c.count(t)[0].tolist() == [len(lib.encode(x, add_special_tokens=False).ids) for x in t]
 
 
+def test_counts_of_texts_that_hold_special_pieces():
+    """The unknown piece's text is a piece alone and part of a run beside others; control pieces are pieces."""
+    import random
+
+    from tokenizers import Tokenizer, models, normalizers
+
+    from quillspark.llm.token_counts import Counter, vocabulary
+
+    v = vocabulary(PIECES)
+    lib = Tokenizer(models.Unigram(v, 0, True))
+    lib.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    rng = random.Random(6)
+    parts = ["<unk>", "<s>", "</s>", "a", "the ", " ", "é", "<0x0A>", "unk", "<", ">", "\U0001f600", "日本", "\x01\x02"]
+    texts = ["<unk>", "x<unk>y", "<unk><unk>", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(2000))]
+    n, _ = Counter(v).count(texts)
+    assert n.tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_count_rows(spark):
     from quillspark.llm.token_counts import count_tokens
 
