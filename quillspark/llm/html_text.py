@@ -6,6 +6,8 @@ raw-text elements and character references. Its serialised tree (open, text and
 close events) is rendered in one pass without recursion, so nesting of any depth
 works. Subtrees that aren't laid out give nothing; visibility is inherited and may
 be turned on again inside. Cells keep their column under row and column spans.
+Preformatted text keeps its blanks and lines, and no-break spaces stay as many as
+they are where they stand beside text; other white space is folded.
 """
 
 from __future__ import annotations
@@ -51,10 +53,14 @@ NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
-#: Lines of a cell that are longer wrap at blanks, so that padding stays in proportion; columns stay aligned.
+#: By default lines of a cell that are longer wrap at blanks, so that padding stays in proportion; columns stay aligned.
 WIDEST = 400
-#: List levels that add to the indent; browsers bound a tree's depth alike.
+#: By default so many list levels add to the indent; browsers bound a tree's depth alike.
 DEEPEST = 512
+#: Line breaks and blanks that aren't folded, as codes that no text can hold until it is done: of preformatted text, and no-break spaces.
+BREAK, BLANK, HARD = "\ud800", "\ud801", "\ud802"
+_KEEP = str.maketrans({"\n": BREAK, " ": BLANK, "\xa0": BLANK})
+_DONE = str.maketrans({BREAK: "\n", BLANK: " ", HARD: " "})
 
 
 def events(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -144,7 +150,8 @@ def events(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
 class _Out:
     """Text under construction: inline runs, line breaks, the blank lines that blocks ask for, and the list items that lines stand in."""
 
-    def __init__(self) -> None:
+    def __init__(self, deepest: int | None = DEEPEST) -> None:
+        self.deepest = deepest
         self.parts: list[str] = []
         self.breaks = 0  # line breaks wanted before the next text
         self.space = False
@@ -160,7 +167,7 @@ class _Out:
 
     def open_item(self, mark: str) -> None:
         self.marks.append(mark)
-        self.width.append(self.width[-1] + (len(mark) if len(self.marks) <= DEEPEST else 0))
+        self.width.append(self.width[-1] + (len(mark) if self.deepest is None or len(self.marks) <= self.deepest else 0))
 
     def close_item(self) -> None:
         self.marks.pop()
@@ -192,26 +199,40 @@ class _Out:
             self.parts.append(self._indent())
             self.parts += self.marks[self.shown :]
             self.shown = len(self.marks)
-        elif self.space and not self.parts[-1].endswith("\n"):
+        elif self.space and not self.parts[-1].endswith(("\n", BREAK)):
             self.parts.append(" ")
-        if "\n" in text:
-            text = text.replace("\n", "\n" + self._indent())
+        if BREAK in text:
+            text = text.replace(BREAK, BREAK + self._indent())
         self.space = self.empty = self.fresh = False
         self.parts.append(text)
 
+    def kept(self, text: str) -> None:
+        """Preformatted text, or a block of lines that is laid out already."""
+        if text:
+            self.add(text.translate(_KEEP))
+
+    def end_of_kept(self) -> None:
+        """A line break at the end of preformatted text opens no line."""
+        if self.parts and self.parts[-1].endswith(BREAK):
+            self.parts[-1] = self.parts[-1][:-1]
+
     def inline(self, text: str) -> None:
         words = text.split()
         if not words:
             self.space = self.space or bool(text)
             return
+        if "\xa0" in text:
+            text = text.replace("\xa0", HARD)
+            words = text.split()
         if text[0].isspace():
             self.space = True
         self.add(" ".join(words))
         self.space = text[-1].isspace()
 
     def text(self) -> str:
-        lines = "\n".join(x.rstrip(" ") for x in "".join(self.parts).split("\n"))
-        return re.sub(r"\n{3,}", "\n\n", lines).strip("\n")
+        """What there is, its kept line breaks as such; blanks that aren't folded are still codes."""
+        lines = "\n".join(x.rstrip(f" {HARD}") for x in "".join(self.parts).split("\n"))
+        return re.sub(r"\n{3,}", "\n\n", lines).strip("\n").replace(BREAK, "\n")
 
 
 def _span(value: str | None, most: int) -> int:
@@ -220,38 +241,63 @@ def _span(value: str | None, most: int) -> int:
     return min(int(m[1]), most) if m else 1
 
 
-def _wrapped(text: str) -> list[str]:
+def _wrapped(text: str, widest: int | None) -> list[str]:
     out = []
     for x in text.split("\n"):
-        out += textwrap.wrap(x, WIDEST, break_on_hyphens=False, drop_whitespace=False, expand_tabs=False, replace_whitespace=False) if len(x) > WIDEST else [x]
+        out += textwrap.wrap(x, widest, break_on_hyphens=False, drop_whitespace=False, expand_tabs=False, replace_whitespace=False) if widest and len(x) > widest else [x]
     return out
 
 
 def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, str]]]:
     """(column, columns, text) of each row's cells: a cell takes the first column that no cell of a row above reaches into."""
-    taken: dict[int, int] = {}  # column -> the first row that is free of spans from above
+    spans: list[tuple[int, int, int]] = []  # of columns from above, by column: (from, to, first row that is free of them)
     out = []
     for y, row in enumerate(rows):
-        placed, x = [], 0
+        if spans:
+            spans = [s for s in spans if s[2] > y]
+        placed, new, x, k = [], [], 0, 0
         for text, wide, high in row:
-            while taken.get(x, 0) > y:
-                x += 1
+            while k < len(spans) and spans[k][0] <= x:
+                x = max(x, spans[k][1])
+                k += 1
             wide = max(wide, 1)
             placed.append((x, wide, text))
             below = len(rows) if high == 0 else y + high
             if below > y + 1:
-                taken.update(dict.fromkeys(range(x, x + wide), below))
+                if new and new[-1][1:] == (x, below):
+                    new[-1] = (new[-1][0], x + wide, below)
+                else:
+                    new.append((x, x + wide, below))
             x += wide
         out.append(placed)
+        if new:
+            spans = _over(spans, new)
     return out
 
 
-def _table(rows: list[list[tuple[str, int, int]]]) -> str:
+def _over(old: list[tuple[int, int, int]], new: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Both lists of disjoint spans in order; where they overlap the new ones hold."""
+    out, k = [], 0
+    for a, b, below in old:
+        while k < len(new) and new[k][1] <= a:
+            k += 1
+        at = k
+        while at < len(new) and new[at][0] < b:
+            if a < new[at][0]:
+                out.append((a, new[at][0], below))
+            a = max(a, new[at][1])
+            at += 1
+        if a < b:
+            out.append((a, b, below))
+    return sorted(out + new)
+
+
+def _table(rows: list[list[tuple[str, int, int]]], widest: int | None) -> str:
     """Rows of cells (text, columns, rows) with columns padded to their widest cell; rows without text are left out."""
     placed = [row for row in _placed(rows) if any(text for *_, text in row)]
     starts = sorted({x for row in placed for x, _, _ in row})  # a column where no cell starts has no width of its own
     at = {x: k for k, x in enumerate(starts)}
-    grid = [[(at[x], bisect.bisect_left(starts, x + wide) - at[x], _wrapped(text)) for x, wide, text in row] for row in placed]
+    grid = [[(at[x], bisect.bisect_left(starts, x + wide) - at[x], _wrapped(text, widest)) for x, wide, text in row] for row in placed]
     widths = [0] * len(starts)
     for row in grid:
         for k, n, lines in row:
@@ -274,9 +320,13 @@ def _table(rows: list[list[tuple[str, int, int]]]) -> str:
     return "\n".join(out)
 
 
-def render(page: str | None) -> str:
-    """The visible text of a page; null gives the empty text."""
-    outs = [_Out()]
+def render(page: str | None, widest: int | None = WIDEST, deepest: int | None = DEEPEST) -> str:
+    """The visible text of a page; null gives the empty text.
+
+    Lines of a table's cell that are longer than ``widest`` wrap, and lists deeper than
+    ``deepest`` aren't indented further; None leaves them as they are.
+    """
+    outs = [_Out(deepest)]
     lists: list[int | None] = []  # number of the next item, None in bullet lists
     tables: list[list[list[tuple[str, int, int]]]] = []
     cells: list[tuple[int, int]] = []  # spans of open cells
@@ -285,16 +335,19 @@ def render(page: str | None) -> str:
     closed_details: list[bool] = []
     open_tags: list[tuple[str, bool]] = []
     pre = 0
+    new_pre = False
     for kind, what, attributes in events(page or ""):
         out = outs[-1]
         if kind == "text":
             if hidden or not visible[-1] or (closed_details and closed_details[-1] and open_tags[-1][0] == "details"):
                 continue
             if pre:
-                out.add(what)
+                out.kept(what[1:] if new_pre and what[0] == "\n" else what)
             else:
-                out.inline(what.replace("\xa0", " "))
+                out.inline(what)
+            new_pre = False
             continue
+        new_pre = False
         if kind == "open":
             style = attributes.get("style", "")
             hides = what in HIDDEN or "hidden" in attributes or bool(NOT_SHOWN.search(style)) or (what == "input" and attributes.get("type", "").lower() == "hidden")
@@ -329,7 +382,7 @@ def render(page: str | None) -> str:
                     lists[-1] += 1
                 out.open_item(mark if visible[-1] else " " * len(mark))
             elif what in ("td", "th", "caption"):
-                outs.append(_Out())
+                outs.append(_Out(deepest))
                 cells.append((_span(attributes.get("colspan"), MOST_COLUMNS), _span(attributes.get("rowspan"), MOST_ROWS)))
             elif what == "table":
                 tables.append([])
@@ -337,6 +390,7 @@ def render(page: str | None) -> str:
                 tables[-1].append([])
             elif what in ("pre", "xmp", "textarea"):
                 pre += 1
+                new_pre = True
             continue
         _, hides = open_tags.pop()
         visible.pop()
@@ -353,27 +407,25 @@ def render(page: str | None) -> str:
             out = outs[-1]
             if what == "caption" or not tables:
                 out.ask(1)
-                if text:
-                    out.add(text)
+                out.kept(text)
             else:
                 if not tables[-1]:
                     tables[-1].append([])
                 tables[-1][-1].append((text, *spans))
         elif what == "table" and tables:
-            text = _table(tables.pop())
-            if text:
-                out.add(text)
+            out.kept(_table(tables.pop(), widest))
         elif what in ("ul", "ol", "menu") and lists:
             lists.pop()
         elif what in ("pre", "xmp", "textarea") and pre:
             pre -= 1
+            outs[-1].end_of_kept()
         if what in BLOCK:
             outs[-1].ask(2 if what in SPACED and not (what in ("ul", "ol") and lists) else 1)
-    return outs[0].text()
+    return outs[0].text().translate(_DONE)
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, text, n_chars, n_lines) for each row of ``pages``.
+def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", widest: int | None = WIDEST, deepest: int | None = DEEPEST) -> DataFrame:
+    """(id, text, n_chars, n_lines) for each row of ``pages``; ``render`` tells of the two limits.
 
     Null and empty pages give the empty text with 0 lines; repeated and null ids
     are rendered row by row; other columns aren't read; an empty table gives none.
@@ -385,7 +437,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
         for batch in tidy(batches):
             for a in range(0, len(batch), 200):
                 part = batch.slice(a, 200)
-                texts = [render(x) for x in part.column(1).to_pylist()]
+                texts = [render(x, widest, deepest) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64())], names=schema.names)
 
     return pages.select(id_col, html_col).mapInArrow(run, schema)

@@ -206,3 +206,68 @@ def test_pipeline(spark):
     odd = spark.createDataFrame([(None, None, None, None, None)] * 2 + [(1, "a b c d e f", "en", "s", 11)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.one_of_each_group(spark, odd, SMALL)
     assert kept.where("text is not null").count() == 1 and kept.where("text is null").count() == 2
+
+
+def test_preformatted_text_and_no_break_spaces():
+    from quillspark.llm.html_text import render
+
+    assert render("<pre>a\n\n\n\nb   \nc</pre>x") == "a\n\n\n\nb   \nc\n\nx"
+    assert render("<pre>\n  a\n\tb \n</pre><p>x") == "  a\n\tb \n\nx"  # the first break and the last open no line
+    assert render("a&nbsp;&nbsp;&nbsp;b &nbsp; c") == "a   b   c" and render("a<p>&nbsp;</p>b &nbsp;") == "a\n\nb"
+    assert render("<ul><li>x<pre>a\n  b</pre></ul>") == "- x\n\n  a\n    b"
+    assert render("<table><tr><td><pre>a\n\n\n\nb</pre><td>x<tr><td>&nbsp;<td></table>") == "a | x\n\n\n\nb |"
+    assert render("<textarea>\na  b</textarea>") == "a  b" and render("a<pre>b </pre>") == "a\n\nb "
+
+
+def _plain_placed(rows):
+    """Columns of cells by a table of all taken places."""
+    taken, out = {}, []
+    for y, row in enumerate(rows):
+        placed, x = [], 0
+        for text, wide, high in row:
+            while taken.get(x, 0) > y:
+                x += 1
+            wide = max(wide, 1)
+            placed.append((x, wide, text))
+            below = len(rows) if high == 0 else y + high
+            if below > y + 1:
+                taken.update(dict.fromkeys(range(x, x + wide), below))
+            x += wide
+        out.append(placed)
+    return out
+
+
+def test_cells_find_their_columns():
+    import random
+
+    from quillspark.llm.html_text import _placed
+
+    rng = random.Random(3)
+    for _ in range(2000):
+        rows = [[("t", rng.choice([1, 1, 2, 3, 0]), rng.choice([1, 1, 2, 3, 0])) for _ in range(rng.randrange(5))] for _ in range(rng.randrange(7))]
+        assert _placed(rows) == _plain_placed(rows)
+
+
+def test_large_spans_and_deep_tables(spark):
+    """Twenty thousand wide cells, two hundred tables in each other, a long page: through the table function."""
+    import resource
+
+    from quillspark.llm.html_text import extract_text, render
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert render("<table><tr>" + "<td colspan=1000 rowspan=2>a" * 20_000 + "</table>").count("a") == 20_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000  # KB
+    deep = "<table><tr><td>x" * 200 + "</table>" * 200
+    long = "<p>word " * 200_000
+    df = spark.createDataFrame([(1, deep, "t"), (2, long, "t"), (3, None, "t"), (4, "<table>" + "<tr><td rowspan=0 colspan=1000>a" * 3000, "t")], "page_id long, html string, text string")
+    got = {r["page_id"]: (r["text"].count("x" if r["page_id"] == 1 else "a" if r["page_id"] == 4 else "word"), r["n_lines"]) for r in extract_text(df).collect()}
+    assert got[1][0] == 200 and got[2] == (200_000, 399_999) and got[3][1] == 0 and got[4][0] == 3000
+
+
+def test_limits_are_parameters():
+    from quillspark.llm.html_text import render
+
+    page = f"<table><tr><td>{'word ' * 200}<td>b</table>"
+    assert render(page).count("\n") == 2 and render(page, widest=None).count("\n") == 0 and render(page, widest=100).count("\n") > 8
+    nested = "<ul><li>a" * 6
+    assert render(nested, deepest=2).split("\n")[-1] == "    - a" and render(nested).split("\n")[-1] == "          - a"
