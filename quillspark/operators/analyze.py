@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.python import match_offsets
 from .names import find_names, literal_names
+from .overlap import overlap_pairs
 
 
 #: Most raw patterns of a lexicon: each is tried on each text.
@@ -78,6 +81,31 @@ def severity_extremes(sources: DataFrame, pattern: str, text: str = "population"
     return r.agg(F.min("r.low").alias("min_low"), F.max("r.low").alias("max_low"), F.min("r.high").alias("min_high"), F.max("r.high").alias("max_high"), F.count("*").alias("n"))
 
 
+def cohort_report(sources: DataFrame, descriptors: DataFrame, text: str = "population", severity: str | None = None, intervention: str | None = None) -> DataFrame:
+    """(section, item, value): sources and their pooled samples, how many name each descriptor (those that none names too), the range of severity, and samples by family.
+
+    ``intervention`` keeps the sources of one family or entry, and leaves the families out.
+    """
+    kept = matching(sources, intervention=intervention)
+    row = lambda df, section, item, value: df.select(F.lit(section).alias("section"), item.cast("string").alias("item"), value.cast("string").alias("value"))
+    pooled = pooled_samples(kept)
+    whole = pooled.where("family is null")
+    named = descriptors.select("grp", "label").distinct().join(descriptor_counts(kept, descriptors, text), ["grp", "label"], "left")
+    parts = [
+        row(whole, "all", F.lit("sources"), F.col("studies")),
+        row(whole, "all", F.lit("pooled"), F.col("pooled_n")),
+        row(named, "descriptors", F.concat_ws("/", "grp", "label"), F.coalesce("n", F.lit(0))),
+    ]
+    if severity:
+        s = severity_extremes(kept, severity, text)
+        parts += [row(s, "severity", F.lit(name), F.concat_ws("-", F.col(a).cast("long"), F.col(b).cast("long"))) for name, a, b in (("lowest", "min_low", "min_high"), ("highest", "max_low", "max_high"))]
+        parts.append(row(s, "severity", F.lit("reported"), F.col("n")))
+    if not intervention:
+        of = pooled.where("family is not null")
+        parts.append(row(of, "families", F.col("family"), F.concat_ws(" sources, ", "studies", F.coalesce(F.col("pooled_n").cast("string"), F.lit("?")))))
+    return functools.reduce(DataFrame.union, parts)
+
+
 # values mined from text
 
 
@@ -158,13 +186,12 @@ def replication_candidates(sources: DataFrame, least: float = 0.4, top: int | No
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("population", F.lit(""))), F.lit(r"(?U)\w{4,}"), F.lit(0)))
     blank = lambda c: F.coalesce(F.lower(F.btrim(c)), F.lit(""))
     rows = sources.where(X.truthy(F.col("intervention_family")) & X.truthy(F.col("study_design"))).select("slug", F.col("intervention_family").alias("family"), F.col("study_design").alias("design"), words.alias("w"), blank("doi").alias("doi"), blank("replication_of").alias("of"))
-    a, b = (rows.select("family", "design", *(F.col(c).alias(f"{c}_{s}") for c in ("slug", "w", "doi", "of"))) for s in "ab")
-    # both have a word in common, so words are the join keys; each pair counts its common words
-    x, y = a.withColumn("word", F.explode("w_a")), b.withColumn("word", F.explode("w_b"))
-    pairs = x.join(y, ["family", "design", "word"]).where("slug_a < slug_b").groupBy("family", "design", "slug_a", "slug_b").agg(F.count("*").alias("common"), *(F.first(c).alias(c) for c in ("doi_a", "of_a", "doi_b", "of_b")), F.first(F.least(F.size("w_a"), F.size("w_b"))).alias("small"))
+    pairs = overlap_pairs(rows, ["family", "design"], "slug", "w", least)
+    for s in "ab":
+        pairs = pairs.join(rows.select(F.col("slug").alias(s), F.col("doi").alias(f"doi_{s}"), F.col("of").alias(f"of_{s}")), s)
     same = lambda p, q: (F.col(p) == F.col(q)) if parity else ((F.col(p) == F.col(q)) & (F.col(p) != ""))
-    out = pairs.withColumn("overlap", F.col("common") / F.col("small")).where((F.col("overlap") >= least) & ~same("of_a", "doi_b") & ~same("of_b", "doi_a"))
-    out = out.select(F.col("slug_a").alias("a"), F.col("slug_b").alias("b"), "family", "design", "overlap").orderBy(F.desc("overlap"), "family", "a", "b")
+    out = pairs.where(~same("of_a", "doi_b") & ~same("of_b", "doi_a"))
+    out = out.select("a", "b", "family", "design", "overlap").orderBy(F.desc("overlap"), "family", "a", "b")
     return out.limit(top) if top else out
 
 
@@ -174,6 +201,19 @@ def single_study_concepts(concepts: DataFrame, sources: DataFrame, header: str =
     return named.join(sources.select(F.col("slug").alias("source")), "source", "left_semi").groupBy("concept").agg(F.count("*").alias("n"), F.min("source").alias("source")).where("n = 1").select("concept", "source")
 
 
+def replication_report(sources: DataFrame, concepts: DataFrame, least: float = 0.4, top: int | None = 30) -> DataFrame:
+    """(section, a, b, detail): declared replications, those of unknown originals, concepts that rest on one study, and pairs that may replicate each other (a report's ``top``)."""
+    chains, unknown = replication_chains(sources)
+    row = lambda df, section, a, b, detail: df.select(F.lit(section).alias("section"), F.col(a).alias("a"), F.col(b).alias("b"), detail.cast("string").alias("detail"))
+    parts = [
+        row(chains.select("original", F.explode("replications").alias("slug")), "replicated", "original", "slug", F.lit("")),
+        row(unknown, "unknown original", "slug", "missing_doi", F.lit("")),
+        row(single_study_concepts(concepts, sources), "single study", "concept", "source", F.lit("")),
+        row(replication_candidates(sources, least, top), "candidate", "a", "b", F.concat_ws(" ", "family", F.round("overlap", 2))),
+    ]
+    return functools.reduce(DataFrame.union, parts)
+
+
 # regions
 
 
@@ -264,6 +304,23 @@ def page_trail(blame: DataFrame, log: DataFrame, first: int | None = None, last:
     return by.join(ingests, "day", "left").select("commit", "first_line", "lines", "author", "day", "summary", "ingest").orderBy("first_line")
 
 
+def section_lines(pages: DataFrame, section: str) -> DataFrame:
+    """(page_id, first, last): the lines of a page's ``## section``, for ``page_trail``; pages without it have no row.
+
+    It goes on to the line of the next heading of that level, less the blank lines
+    behind its own heading, or to the page's end.
+    """
+    quoted = "".join(f"\\{c}" if c in r"\^$.|?*+()[]{}-/" else c for c in section)
+    lines = F.split(F.regexp_replace("content", r"\n\z", ""), "\n")
+    at = F.transform(lines, lambda x, i: F.when(x.rlike(rf"^##\s+{quoted}\s*$"), i + 1))
+    rows = pages.select("page_id", lines.alias("lines"), F.array_min(at).alias("first")).where("first is not null")
+    later = F.transform("lines", lambda x, i: F.when((i + 1 > F.col("first")) & x.rlike(r"^##(\s|$)"), i + 1))
+    said = F.transform("lines", lambda x, i: F.when((i + 1 > F.col("first")) & (F.btrim(x) != ""), i + 1))
+    following, text = F.array_min(later), F.coalesce(F.array_min(said), F.size("lines") + 1)
+    last = F.when(following.isNotNull(), following - (text - F.col("first") - 1)).otherwise(F.size("lines"))
+    return rows.select("page_id", "first", last.alias("last"))
+
+
 def dash_report(files: DataFrame) -> DataFrame:
     """One row: files with dashes, and dashes in all."""
     c = X.dash_counts(F.col("content"))

@@ -56,6 +56,12 @@ def unseen(hits: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return hits.join(seen.select(key), key, "left_anti")
 
 
+def watched(hits: DataFrame, seen: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(new hits, seen table after them): the seen table grows by what is new, each key once."""
+    new = unseen(hits, seen, key)
+    return new, seen.select(key).union(new.select(key)).where(F.col(key).isNotNull()).distinct()
+
+
 def contains_all_words(blob: Column, query: str, least: int = 4) -> Column:
     """Whether a text has every query word of at least so many letters."""
     words = [w for w in query.lower().split() if len(w) >= least]
@@ -94,6 +100,24 @@ def chapter_sources(chapters: DataFrame, links: DataFrame, sources: DataFrame) -
     return first.select("chapter", F.row_number().over(Window.partitionBy("chapter").orderBy("at")).alias("ord"), "slug")
 
 
+def bibtex_groups(sources: DataFrame, pages: DataFrame, chapters: DataFrame | None = None, kinds: tuple[str, ...] = ("concepts", "interventions", "methods")) -> DataFrame:
+    """(mode, label, ord, n, entry): the entries of the sources that a page of a kind names, or the pages of a chapter, by year and slug; n is their number.
+
+    ``pages`` are (page_id, kind, stem, content), ``chapters`` (chapter, page_ord, page_id).
+    """
+    from .relations import link_occurrences
+
+    links = link_occurrences(pages, grammar="strict")
+    own = pages.where(F.col("kind").isin(*kinds)).select("page_id", F.col("kind").alias("mode"), F.col("stem").alias("label"))
+    rows = sources_by_target(links, sources).join(own, "page_id").select("mode", "label", "slug")
+    if chapters is not None:
+        rows = rows.union(chapter_sources(chapters, links, sources).select(F.lit("chapters"), "chapter", "slug"))
+    entries = bibtex_entries(sources).select("slug", "year", "entry")
+    group = Window.partitionBy("mode", "label")
+    rows = rows.distinct().join(entries, "slug").withColumns({"ord": F.row_number().over(group.orderBy(F.coalesce("year", F.lit(9999)), "slug")), "n": F.count("*").over(group)})
+    return rows.select("mode", "label", "ord", "n", "entry")
+
+
 # fetching: choices over snapshots of attempts
 
 

@@ -55,12 +55,23 @@ def extracted_edges(pages: DataFrame, body: str = "content") -> DataFrame:
 
 def inferred_edges(answers: DataFrame, hashes: DataFrame) -> DataFrame:
     """Edges of a snapshot of model answers (page_id, sha256, edges array<struct<to, type, confidence, relationship>>) for pages whose content is unchanged."""
-    live = answers.join(hashes, ["page_id", "sha256"], "left_semi")
-    e = live.select("page_id", F.explode("edges").alias("e"))
+    return answered_edges(answers.join(hashes, ["page_id", "sha256"], "left_semi"))
+
+
+def answered_edges(answers: DataFrame) -> DataFrame:
+    """Edges of answers (page_id, edges) as they are."""
+    e = answers.select("page_id", F.explode("edges").alias("e"))
     kind = X.inferred_type(F.col("e.type"), F.col("e.confidence"))
     return e.select(X.edge_id(F.col("page_id"), F.col("e.to"), kind).alias("id"), F.col("page_id").alias("from"), F.col("e.to").alias("to"), kind.alias("type"), F.coalesce("e.confidence", F.lit(0.7)).cast("double").alias("confidence"))
 
 
+def latest_answers(checkpoint: DataFrame, cache: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(page_id, edges): each page's last answer in the checkpoint (page_id, edges, ts), else that in the cache (page_id, sha256, edges) if its content is unchanged."""
+    last = checkpoint.groupBy("page_id").agg(F.max_by("edges", "ts").alias("edges"))
+    cached = cache.join(hashes, ["page_id", "sha256"], "left_semi").join(last, "page_id", "left_anti").groupBy("page_id").agg(F.min_by("edges", F.to_json("edges")).alias("edges"))
+    return last.unionByName(cached)
+
+
 def pages_to_infer(hashes: DataFrame, answers: DataFrame) -> DataFrame:
     """Pages without an answer for their present content."""
     return hashes.join(answers, ["page_id", "sha256"], "left_anti")
@@ -73,18 +84,27 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def degrees(node_ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, degree) of every node; edges count for both ends."""
-    ends = edges.select(F.explode(F.array("from", "to")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    return node_ids.select("id").join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+    """(id, degree) of every node and of every other end of an edge; edges count for both ends."""
+    ends = edges.select(F.explode(F.array("from", "to")).alias("id"), F.lit(1).alias("n"))
+    both = node_ids.select("id", F.lit(0).alias("n")).union(ends)
+    return both.groupBy("id").agg(F.sum("n").cast("long").alias("degree"))
+
 
+def graph_stats(degree: DataFrame, edges: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """One row: nodes, edges, edges a node, density, mean, sample deviation, hub threshold, orphans, health band.
 
-def graph_stats(degree: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, edges a node, density, mean, sample deviation, hub threshold, orphans, health band."""
+    Degrees may name ends of edges that are no page: they count for density, mean and
+    deviation, while ``n_nodes`` and edges a node are of ``pages``, if given.
+    """
     m = edges.agg(F.count("*").alias("n_edges"))
-    d = degree.agg(F.count("*").alias("n_nodes"), F.avg("degree").alias("mean"), F.coalesce(F.stddev_samp("degree"), F.lit(0.0)).alias("sd"), F.count_if(F.col("degree") == 0).alias("orphans"))
+    d = degree.agg(F.count("*").alias("n_ends"), F.avg("degree").alias("mean"), F.coalesce(F.stddev_samp("degree"), F.lit(0.0)).alias("sd"), F.count_if(F.col("degree") == 0).alias("orphans"))
     one = d.crossJoin(F.broadcast(m))  # one row each
+    if pages is not None:
+        one = one.crossJoin(F.broadcast(pages.agg(F.count("*").alias("n_nodes"))))
+    else:
+        one = one.withColumn("n_nodes", F.col("n_ends"))
     per = F.when(F.col("n_nodes") > 0, F.col("n_edges") / F.col("n_nodes")).otherwise(0.0)
-    density = F.when(F.col("n_nodes") > 1, 2 * F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1))).otherwise(0.0)
+    density = F.when(F.col("n_ends") > 1, 2 * F.col("n_edges") / (F.col("n_ends") * (F.col("n_ends") - 1))).otherwise(0.0)
     band = F.when(per >= 2, "healthy").when(per >= 1, "warning").otherwise("critical")
     return one.select("n_nodes", "n_edges", per.alias("edges_per_node"), density.alias("density"), "mean", "sd", (F.col("mean") + 2 * F.col("sd")).alias("threshold"), "orphans", band.alias("band"))
 
@@ -291,7 +311,7 @@ def insight_report(pages: DataFrame, links: DataFrame, edges: DataFrame, communi
         row(phantom_hubs(links, pages), "phantoms", F.col("target"), F.col("ref_count")),
         row(fragile_bridges(edges, communities), "bridges", F.concat_ws("|", "low", "high"), F.lit(1)),
         row(communities.groupBy("community").agg(F.count("*").alias("k")), "communities", F.col("community"), F.col("k")),
-        row(graph_stats(degree, edges), "health", F.col("band"), F.col("n_edges")),
+        row(graph_stats(degree, edges, pages), "health", F.col("band"), F.col("n_edges")),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,8 +131,8 @@ def health(pages: DataFrame, index: DataFrame, listed: DataFrame, log: DataFrame
     return out.union(row(unlogged_sources(log, sources), "log", "slug", F.lit("no ingest entry")))
 
 
-def structural_lint(pages: DataFrame, links: DataFrame, edges: DataFrame, entities: int = 3, sparse: int = 2, stub: int = 500) -> DataFrame:
-    """(check, page_id, detail): broken links, orphans, missing entities, pages with few links, and short hubs."""
+def structural_lint(pages: DataFrame, links: DataFrame, edges: DataFrame, entities: int = 3, sparse: int = 2, stub: int = 500, communities: DataFrame | None = None) -> DataFrame:
+    """(check, page_id, detail): broken links, orphans, missing entities, pages with few links, and short hubs; with communities also what ``graph_lint`` finds."""
     from . import graph
 
     degree = graph.degrees(pages.select(F.col("page_id").alias("id")), edges)
@@ -139,7 +141,18 @@ def structural_lint(pages: DataFrame, links: DataFrame, edges: DataFrame, entiti
     out = out.union(row(graph.orphans(links, pages), "orphan", "page_id", F.lit("")))
     out = out.union(row(graph.missing_entities(links, pages, entities), "missing_entity", "target", F.col("mentions")))
     out = out.union(row(graph.sparse_pages(links, pages, sparse), "sparse", "page_id", F.col("outlinks")))
-    return out.union(row(graph.hub_stubs(degree, pages, stub), "hub_stub", "id", F.col("degree")))
+    out = out.union(row(graph.hub_stubs(degree, pages, stub), "hub_stub", "id", F.col("degree")))
+    return out if communities is None else out.union(graph_lint(pages, links, edges, communities))
+
+
+def graph_lint(pages: DataFrame, links: DataFrame, edges: DataFrame, communities: DataFrame, least: int = 2) -> DataFrame:
+    """(check, page_id, detail): missing pages that several name, pairs of communities that one edge ties, and communities without an edge to another."""
+    from . import graph
+
+    row = lambda df, check, item, detail: df.select(F.lit(check).alias("check"), item.cast("string").alias("page_id"), detail.cast("string").alias("detail"))
+    out = row(graph.phantom_hubs(links, pages, least), "phantom", F.col("target"), F.col("ref_count"))
+    out = out.union(row(graph.fragile_bridges(edges, communities), "bridge", F.concat_ws("|", "low", "high"), F.concat_ws(" -> ", "from", "to")))
+    return out.union(row(graph.isolated_communities(edges, communities), "isolated_community", F.col("community"), F.col("size")))
 
 
 # caches
@@ -210,6 +223,31 @@ def coverage(pages: DataFrame) -> DataFrame:
     return out.union(row(bare_pages(pages.where("kind = 'methods'")), "bare methods", F.col("page_id"), F.lit("")))
 
 
+def coverage_report(pages: DataFrame, sources: DataFrame, top: int = 20) -> DataFrame:
+    """(section, item, value): depth of concepts with shares, short concepts that many sources name (a report's ``top``), pages without recorded use, sources without tags, and counts by kind.
+
+    ``pages`` are (page_id, slug, kind, body, status), ``sources`` have methods and
+    intervention_family besides.
+    """
+    row = lambda df, section, item, value: df.select(F.lit(section).alias("section"), item.cast("string").alias("item"), value.cast("string").alias("value"))
+    words = X.word_count(F.col("body"))
+    concepts = pages.where("kind = 'concepts'")
+    depth = depth_distribution(concepts)
+    kinds = kind_counts(pages)
+    parts = [
+        row(depth, "concepts by depth", F.col("depth"), F.col("n")),
+        row(depth, "share of concepts", F.col("depth"), F.format_number("share", 1)),
+        row(priority_stubs(concepts, mentions(sources), top), "concepts to expand", F.col("slug"), F.concat_ws(" sources, ", "n", F.concat("words", F.lit(" words")))),
+        row(under_tagged(sources), "sources without tags", F.col("slug"), F.lit("")),
+        row(kinds.where("kind = 'questions'"), "open questions", F.lit("open"), F.col("open_questions")),
+        row(kinds, "pages", F.col("kind"), F.col("n")),
+    ]
+    for kind in ("methods", "interventions"):
+        own = pages.where(F.col("kind") == kind)
+        parts.append(row(bare_pages(own).join(own.select("page_id", words.alias("w")), "page_id"), f"{kind} without use", F.col("page_id"), F.col("w")))
+    return functools.reduce(DataFrame.union, parts)
+
+
 def recent_sources(pages: DataFrame, top: int = 5) -> DataFrame:
     """The pages that changed last."""
     return pages.orderBy(F.desc("mtime"), "page_id").limit(top)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import analyze, citations, duplicates, graph, quality, relations
+from .operators.overlap import overlap_pairs
 from .shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -293,10 +294,7 @@ def plan_dash_edits(spark, sf):
 @query(cte(p=PAGES) + ", t AS (SELECT page_id, list_distinct(regexp_extract_all(lower(regexp_extract(content, '<title>([^<]*)', 1)), '[\\p{L}\\p{N}_]{4,}')) AS w, kind FROM p), x AS (SELECT kind, page_id, unnest(w) AS k, len(w) AS n FROM t), y AS (SELECT a.page_id AS a, b.page_id AS b, count(*) AS c, least(any_value(a.n), any_value(b.n)) AS s FROM x a JOIN x b ON a.kind = b.kind AND a.k = b.k AND a.page_id < b.page_id GROUP BY 1, 2) SELECT a, b, round(c / s, 6) AS overlap FROM y WHERE c / s >= 0.5")
 def titles_overlapping(spark, sf):
     t = view(spark, sf, PAGES).select("kind", "page_id", X.title_words(F.regexp_extract("content", "<title>([^<]*)", 1)).alias("w"))
-    x = t.select("kind", F.col("page_id").alias("a"), F.size("w").alias("na"), F.explode("w").alias("k"))
-    y = t.select("kind", F.col("page_id").alias("b"), F.size("w").alias("nb"), F.explode("w").alias("k"))
-    pairs = x.join(y, ["kind", "k"]).where("a < b").groupBy("a", "b").agg((F.count("*") / F.least(F.first("na"), F.first("nb"))).alias("overlap"))
-    return pairs.where("overlap >= 0.5").select("a", "b", F.round("overlap", 6).alias("overlap"))
+    return overlap_pairs(t, ["kind"], "page_id", "w", 0.5).select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
 # ---- citations

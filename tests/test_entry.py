@@ -34,6 +34,7 @@ def test_core_imports_without_llm():
 def test_queries_equal_their_sql(spark):
     import jobs.queries
     import quillspark.file_queries
+    import quillspark.report_queries
     import quillspark.wiki_queries  # noqa: F401
     from quillspark.queries import QUERIES, SQL
 
