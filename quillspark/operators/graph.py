@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import shared_folder
 
 TYPE_COLORS = {"sources": "#4CAF50", "concepts": "#FF9800", "methods": "#2196F3", "interventions": "#9C27B0"}
 
 
 def _cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names; a temporary one only where none is set."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-        if not named and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graph-"))
-    # a checkpoint keeps the constraints of its plan, which multiply from sweep to sweep; a table of its rows has none
-    kept = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.createDataFrame(kept.toJavaRDD(), kept.schema()), spark)
+    """``df`` as a table in the folder that the cluster names: neither its lineage nor what its plan knows of it goes on."""
+    path = shared_folder(df.sparkSession, "graph")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def nodes(pages: DataFrame) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import analyze, citations, graph, quality, relations
-from .queries import SECTIONS, _sources, cte, query, view
-from .wiki_queries import _ANSWERS_SQL, LINKS, PAIRED, WORDS, _answers, wiki
+from .plans import render
+from .queries import QUERIES, SECTIONS, SQL, _sources, cte, query, view
+from .session import shared_folder
+from .sources.pagefiles import read_pages
+from .wiki_queries import _ANSWERS_SQL, _FIGURES, FIGURES, LINKS, PAIRED, THESES, WORDS, _answers, wiki
 
 # ---- the graph with ends that are no pages
 
@@ -175,3 +178,39 @@ def watch_remembered(spark, sf):
     new, seen = citations.watched(hits.where("event_id % 2 = 0"), seen, "user_id")
     rows = new.groupBy("user_id").agg(F.count("*").alias("n")).select(F.lit("new").alias("part"), "user_id", "n")
     return rows.union(seen.select(F.lit("seen"), "user_id", F.lit(1).cast("long")))
+
+
+# ---- what is written
+
+
+@query(
+    cte(t=THESES) + """, c AS (SELECT page_id, (c_custkey % 5 + 1)::INT AS number, 'the-start' AS slug, 'The start' AS title, '# Chapter ' || (c_custkey % 5 + 1) || ': The start' || chr(10) || repeat('word ', 320) AS text FROM t
+UNION ALL SELECT page_id, (c_custkey % 5 + 2)::INT, 'general-discussion', 'general discussion', '# **General Discussion**' || chr(10) || repeat('talk ', 310) FROM t UNION ALL SELECT page_id, 9, 'la-fin', 'La fin', '# Partie IX - La fin' || chr(10) || repeat('fin ', 400) FROM t)
+SELECT page_id || '/ch' || lpad(number::VARCHAR, 2, '0') || '-' || slug || '.md' AS path, sha256('---' || chr(10) || 'chapter: ' || number || chr(10) || 'chapter_title: "' || title || '"' || chr(10) || 'parent_thesis: ' || page_id || chr(10) || 'type: source' || chr(10) || 'tags:' || chr(10) || '- thesis-chapter' || chr(10) || '---' || chr(10) || chr(10) || rtrim(text) || chr(10)) AS sha FROM c"""
+)
+def thesis_chapters_written(spark, sf):
+    """A file for each chapter, with its own frontmatter, as it is read back."""
+    root = shared_folder(spark, "chapters")
+    render.write_files(render.chapter_files(relations.chapters(view(spark, sf, THESES))), root)
+    return read_pages(spark, root).select("path", F.sha2("content", 256).alias("sha"))
+
+
+@query(
+    _FIGURES + """, x AS (SELECT page_id, image_id, CASE WHEN c_custkey % 3 > 0 THEN '- [[' || page_id || '--fig-' || (c_custkey % 9 + 1) || 'b' || CASE WHEN part <> '' THEN '-' || part ELSE '' END || '--shape-customer-' || lpad(c_custkey::VARCHAR, 9, '0') || '-curve]] ** The shape of the ' || c_name || ' curve' ELSE '- [[' || page_id || '--unlabelled]] ' END AS line FROM i)
+SELECT page_id AS source, count(*)::BIGINT AS n, string_agg(line, chr(10) ORDER BY image_id) AS entries FROM x GROUP BY 1"""
+)
+def figure_index(spark, sf):
+    """What the index page lists of each source's figures."""
+    f = view(spark, sf, FIGURES)
+    images = f.select("page_id", F.explode(F.regexp_extract_all("body", F.lit(r"img/([ab]\d+\.png)"), F.lit(1))).alias("image_id"))
+    images = images.withColumns({"file": F.col("image_id"), "bytes": F.xxhash64("image_id")})
+    return render.figure_index(relations.figure_bank(images, relations.figure_captions(f)))
+
+
+@query(SQL["duplicates_by_text"])
+def duplicates_written(spark, sf):
+    """Candidates as JSON lines, as they are read back."""
+    path = shared_folder(spark, "duplicates")
+    found = QUERIES["duplicates_by_text"](spark, sf)
+    render.write_duplicates(found.orderBy(F.desc("text_jaccard"), "a", "b"), path)
+    return spark.read.schema(found.schema).json(path)

@@ -183,12 +183,12 @@ def lint_filtered(spark, sf):
     return quality.lint(_typed(spark, sf), wiki(spark, sf, "concepts"), wiki(spark, sf, "methods"), "WARNING", "con").drop("pass")
 
 
-@query(LINKS + _CONCEPTS + ", f AS (SELECT * FROM fs UNION ALL SELECT * FROM fc WHERE \"check\" = 'em_dash' OR regexp_extract(details, '^\\d+')::INT >= 3 UNION ALL SELECT * FROM fm) SELECT severity, count(*)::BIGINT AS n, string_agg(file || ' ' || \"check\" || ' ' || details, chr(10) ORDER BY file, \"check\", details) AS findings FROM f GROUP BY 1")
+@query(LINKS + _CONCEPTS + ", f AS (SELECT * FROM fs UNION ALL SELECT * FROM fc WHERE \"check\" = 'em_dash' OR regexp_extract(details, '^\\d+')::INT >= 3 UNION ALL SELECT * FROM fm) SELECT severity, file || ' ' || \"check\" || ' ' || details AS finding, count(*)::BIGINT AS n FROM f GROUP BY ALL")
 def lint_report(spark, sf):
     found = render.lint_json(quality.lint(_typed(spark, sf), wiki(spark, sf, "concepts"), wiki(spark, sf, "methods")))
     schema = "array<struct<file: string, check: string, pass: boolean, details: string>>"
     lines = F.transform(F.from_json("findings", schema), lambda x: F.concat_ws(" ", x.file, x.check, x.details))
-    return found.select("severity", "n", F.array_join(lines, "\n").alias("findings"))
+    return found.select("severity", F.explode(lines).alias("finding")).groupBy("severity", "finding").agg(F.count("*").alias("n"))
 
 
 @query(LINKS + """, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e), d AS (SELECT page_id AS id, count(a)::BIGINT AS degree FROM w LEFT JOIN u ON page_id IN (a, b) GROUP BY 1)
