@@ -138,24 +138,29 @@ def near_fingerprints(fps: DataFrame, radius: int = 2) -> list[DataFrame]:
     """Edges (a, b), in stored parts, that connect all different ``fps(fp)`` within the radius, directly or through others within it."""
     if not 0 <= radius < 6:
         raise ValueError("the radius goes from 0 to 5")
-    spark, word = fps.sparkSession, (1 << BITS) - 1
+    word = (1 << BITS) - 1
     signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
     # a path names the tables of all levels so far; their number doesn't depend on the rows
     kept = {0: 0}
     rows = fps.select(F.lit(0).cast("long").alias("path"), "fp")
     parts: list[DataFrame] = []
+    over: DataFrame | None = None  # members of large buckets
     while True:
         below = [(path, path << (radius + 1) | v, mask | new) for path, mask in kept.items() for v, new in enumerate(covering_masks(word & ~mask, radius), 1)]
-        tables = spark.createDataFrame([(up, path, signed(mask)) for up, path, mask in below], "path long, next long, mask long")
-        dealt = rows.join(F.broadcast(tables), "path").select(F.col("next").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        table = lambda path, mask: F.struct(F.lit(path).cast("long").alias("path"), F.lit(signed(mask)).cast("long").alias("mask"))
+        of_path = {up: F.array(*(table(path, mask) for u, path, mask in below if u == up)) for up in kept}
+        tables = F.element_at(F.create_map(*(c for up, own in of_path.items() for c in (F.lit(up).cast("long"), own))), F.col("path"))
+        dealt = rows.select("fp", F.explode(tables).alias("t")).select("t.path", F.col("fp").bitwiseAND(F.col("t.mask")).alias("key"), "fp")
         size = dealt.groupBy("path", "key").agg(F.count("*").alias("c")).where("c > 1")
         met = stored(dealt.join(size, ["path", "key"]), "met")
+        if over is not None:
+            discard(over)
         small = met.where(F.col("c") <= BUCKET).groupBy("path", "key").agg(F.collect_list("fp").alias("members"))
         parts.append(stored(_links(small, radius).distinct(), "near"))
         large = met.where(F.col("c") > BUCKET)
         used = {r["path"] for r in large.select("path").distinct().collect()}
         if used:
-            rows = stored(large.select("path", "fp"), "large")
+            rows = over = stored(large.select("path", "fp"), "large")
             kept = {path: mask for _, path, mask in below if path in used}
         discard(met)
         if not used:
