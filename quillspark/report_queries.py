@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import analyze, citations, graph, quality, relations
+from .operators import analyze, citations, graph, linktable, quality, relations
 from .plans import render
-from .queries import QUERIES, SECTIONS, SQL, _sources, cte, query, view
+from .queries import PAGES, QUERIES, SECTIONS, SQL, _sources, cte, query, view
 from .session import shared_folder
 from .sources.pagefiles import read_pages
 from .wiki_queries import _ANSWERS_SQL, _FIGURES, FIGURES, LINKS, PAIRED, THESES, WORDS, _answers, wiki
@@ -214,3 +214,25 @@ def duplicates_written(spark, sf):
     found = QUERIES["duplicates_by_text"](spark, sf)
     render.write_duplicates(found.orderBy(F.desc("text_jaccard"), "a", "b"), path)
     return spark.read.schema(found.schema).json(path)
+
+
+# ---- many analyses of one link table
+
+
+_TABLES = cte(p=PAGES) + r""", l AS (SELECT page_id, unnest(regexp_extract_all(content, 'href="/([^"]+)"', 1)) AS target FROM p),
+o AS (SELECT lower(stem) AS s, arg_max(page_id, path) AS owner FROM p WHERE stem IS NOT NULL GROUP BY 1),
+m AS (SELECT * FROM l WHERE lower(target) NOT IN (SELECT s FROM o))
+SELECT 'phantoms' AS section, target AS item, count(DISTINCT page_id)::BIGINT AS n FROM m GROUP BY target HAVING count(DISTINCT page_id) >= 2
+UNION ALL SELECT 'missing', target, count(*)::BIGINT FROM m GROUP BY target HAVING count(*) >= 3
+UNION ALL SELECT 'broken', page_id, count(*)::BIGINT FROM m GROUP BY page_id
+UNION ALL SELECT 'unlinked', page_id, 0::BIGINT FROM p WHERE stem IS NULL OR lower(stem) NOT IN (SELECT lower(target) FROM l)
+UNION ALL SELECT 'linked', owner, count(*)::BIGINT FROM o JOIN l ON lower(target) = s GROUP BY s, owner
+UNION ALL SELECT 'total', 'broken', count(*)::BIGINT FROM m"""
+
+
+@query(_TABLES)
+def link_table_report(spark, sf):
+    """Phantoms, missing entities, broken links, unlinked pages and links to each page, from names and targets that are bucketed alike."""
+    found = F.regexp_extract_all("content", F.lit('href="/([^"]+)"'), F.lit(1))
+    pages = view(spark, sf, PAGES).select("page_id", "path", "stem", found.alias("targets"))
+    return linktable.link_report(linktable.store(pages, shared_folder(spark, "links")))
