@@ -193,13 +193,13 @@ def louvain(node_ids: DataFrame, edges: DataFrame) -> DataFrame:
     Synchronous local moves: in each sweep a node joins the neighbouring community
     of highest gain, ties to the largest, and only towards smaller labels on even
     and larger on odd sweeps. Such moves are kept if modularity grows. If not, only
-    moves that share no community are made: of those that a community is an end of,
-    it takes the one of most gain, and a move needs both of its ends; each of them
-    raises modularity by its gain. So every sweep raises modularity, sums are
-    whole numbers, and sweeps end when no node gains by any move. Levels aggregate
-    communities to weighted nodes, until nothing merges. Work is joins and grouped
-    sums at every size, so no adjacency list is gathered; the driver sees two
-    numbers a sweep.
+    moves that share no community are made: of those that a community is an end of, it takes the one of
+    most gain, and a move needs both of its ends; their gains add up. So every
+    sweep raises modularity, sums are whole numbers, and sweeps end when no node gains
+    by any move. Levels aggregate communities to weighted nodes,
+    until nothing merges. At the end a community that its edges don't hold together is
+    split, which raises modularity again. Work is joins and grouped sums at every size,
+    so no adjacency list is gathered; the driver sees two numbers a sweep.
     """
     both = edges.where("`from` <> `to`").select(F.col("from").cast("string").alias("a"), F.col("to").cast("string").alias("b"), F.lit(1).cast("long").alias("w"))
     graph = _cut_lineage(both.union(both.select("b", "a", "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
@@ -222,12 +222,13 @@ def louvain(node_ids: DataFrame, edges: DataFrame) -> DataFrame:
             fresh = _cut_lineage(_moved(label, wanted.where(way)))
             after = _worth(graph, fresh, total)
             if after <= worth:
-                fresh = _cut_lineage(_moved(label, _apart(wanted)))
-                after = _worth(graph, fresh, total)
+                chosen = _apart(wanted)
+                fresh = _cut_lineage(_moved(label, chosen))
+                after = worth + 2 * int(chosen.agg(F.sum("gain").alias("n")).first()["n"])
             label, worth = fresh, after
             moved += 1
         if not moved:
-            return member
+            return connected_parts(both.select("a", "b"), member)
         names = label.groupBy("c").agg(F.min("a").alias("n"))
         label = _cut_lineage(label.join(names, "c").select("a", F.col("n").alias("c")))
         member = _cut_lineage(member.join(label.select(F.col("a").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community")))
@@ -265,17 +266,37 @@ def _moves(graph: DataFrame, label: DataFrame, total: int) -> DataFrame:
 
 
 def _apart(moves: DataFrame) -> DataFrame:
-    """Moves of which no two share a community: each is the best of both its ends. The best of all is always among them."""
+    """Moves of which no two share a community, so that their gains add up: each is the best of both its ends. The best of all is always among them."""
     order = F.struct("gain", "a")
     best = moves.select("gain", "a", F.explode(F.array("c", "to")).alias("end")).groupBy("end").agg(F.max(order).alias("top"))
     top = best.select(F.col("top.a").alias("a")).groupBy("a").agg(F.count("*").alias("n")).where("n = 2")
-    return moves.join(top.select("a"), "a", "left_semi")
+    return _cut_lineage(moves.join(top.select("a"), "a", "left_semi"))
 
 
 def _moved(label: DataFrame, moves: DataFrame) -> DataFrame:
     return label.join(moves.select("a", "to"), "a", "left").select("a", "k", F.coalesce("to", "c").alias("c"))
 
 
+def connected_parts(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """(id, community): the connected parts of each community over ``edges`` (a, b), named after their smallest member.
+
+    Each round takes the smallest label around a node and then that label's own, until none changes.
+    """
+    near, far = (communities.select(F.col("id").alias(x), F.col("community").alias(f"c{x}")) for x in "ab")
+    inside = edges.join(near, "a").join(far, "b").where("ca = cb").select("a", "b")
+    inside = _cut_lineage(inside.union(inside.select("b", "a")).distinct())
+    label = communities.select("id", F.col("id").alias("community"))
+    while True:
+        around = inside.join(label.select(F.col("id").alias("b"), "community"), "b").groupBy("a").agg(F.min("community").alias("least"))
+        step = label.join(around, label["id"] == around["a"], "left").select("id", F.col("community").alias("old"), F.least("community", "least").alias("to"))
+        step = _cut_lineage(step)
+        ahead = step.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        fresh = _cut_lineage(step.join(ahead, "to").select("id", "old", F.col("next").alias("community")))
+        if fresh.where("community <> old").isEmpty():
+            return fresh.select("id", "community")
+        label = fresh.select("id", "community")
+
+
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """One row: the modularity of a partition of an undirected graph."""
     e = edge_communities(edges.select(F.col("from").cast("string").alias("from"), F.col("to").cast("string").alias("to")), communities)
