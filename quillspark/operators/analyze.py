@@ -15,24 +15,30 @@ from .overlap import overlap_pairs
 
 #: Most raw patterns of a lexicon: each is tried on each text.
 MOST_PATTERNS = 1000
+#: A word's bound where only ASCII letters, digits and the underscore make words, whatever the Java version takes ``\\b`` for.
+_ASCII_BOUND = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 
 
-def lexicon_hits(texts: DataFrame, lexicon: DataFrame, column: str) -> DataFrame:
+def lexicon_hits(texts: DataFrame, lexicon: DataFrame, column: str, ascii_words: bool = False) -> DataFrame:
     """The rows of ``texts`` with the ``key`` of each entry of ``lexicon(key, pattern)`` that ``column`` matches, letter case ignored; one row a key and pattern.
 
     Entries that are names between word bounds, however many, are looked up by one
     automaton. The others are patterns that someone wrote: they are tried on every
-    text, and it is an error if there are more than ``MOST_PATTERNS``.
+    text, and it is an error if there are more than ``MOST_PATTERNS``. ``ascii_words``
+    takes word bounds as SQL engines with RE2 do, at which an accented letter is none.
     """
     split = lexicon.select(F.col("key").cast("string").alias("key"), "pattern", literal_names(F.col("pattern")).alias("names"))
-    hits = find_names(texts, split.select("key", F.explode("names").alias("name")), column)
+    hits = find_names(texts, split.select("key", F.explode("names").alias("name")), column, ascii_words=ascii_words)
     raw = split.where("names is null and pattern is not null").select("key", "pattern")
     n = raw.limit(MOST_PATTERNS + 1).count()
     if n > MOST_PATTERNS:
         raise ValueError(f"a lexicon has at most {MOST_PATTERNS} patterns that are no names")
     if not n:
         return hits
-    tried = texts.join(F.broadcast(raw), F.rlike(column, F.concat(F.lit("(?iU)"), "pattern")))  # counted above
+    pattern = F.concat(F.lit("(?iU)"), "pattern")
+    if ascii_words:
+        pattern = F.concat(F.lit("(?iu)"), F.regexp_replace("pattern", r"(?<!\\)((?:\\\\)*)\\b", "$1" + _ASCII_BOUND))
+    tried = texts.join(F.broadcast(raw), F.rlike(column, pattern))  # counted above
     return hits.union(tried.select(*texts.columns, "key"))
 
 
@@ -217,9 +223,9 @@ def replication_report(sources: DataFrame, concepts: DataFrame, least: float = 0
 # regions
 
 
-def region_snippets(sentences: DataFrame, regions: DataFrame, cap: int = 3) -> DataFrame:
+def region_snippets(sentences: DataFrame, regions: DataFrame, cap: int = 3, ascii_words: bool = False) -> DataFrame:
     """(key, label, page_id, pos, sentence): sentences that name a region of the lexicon (key, label, pattern), the first ``cap`` of a page (a report's limit)."""
-    hit = lexicon_hits(sentences.select("page_id", "pos", "sentence"), regions, "sentence").dropDuplicates(["key", "page_id", "pos"])
+    hit = lexicon_hits(sentences.select("page_id", "pos", "sentence"), regions, "sentence", ascii_words).dropDuplicates(["key", "page_id", "pos"])
     hit = hit.join(regions.select("key", "label").distinct(), "key")
     rank = F.row_number().over(Window.partitionBy("key", "page_id").orderBy("pos"))
     return hit.withColumn("r", rank).where(F.col("r") <= cap).select("key", "label", "page_id", "pos", "sentence")
@@ -234,9 +240,9 @@ def region_index(snippets: DataFrame, top: int = 5) -> DataFrame:
     return rows.groupBy("key", "label").agg(F.count("*").alias("n_sources"), F.transform(best, lambda x: x.page_id).alias("top_sources"))
 
 
-def region_view(sentences: DataFrame, regions: DataFrame, key: str, cap: int = 3) -> DataFrame:
+def region_view(sentences: DataFrame, regions: DataFrame, key: str, cap: int = 3, ascii_words: bool = False) -> DataFrame:
     """(page_id, pos, sentence): the pages of one region with their first ``cap`` sentences (a report's limit)."""
-    return region_snippets(sentences, regions.where(F.col("key") == key), cap).select("page_id", "pos", "sentence").orderBy("page_id", "pos")
+    return region_snippets(sentences, regions.where(F.col("key") == key), cap, ascii_words).select("page_id", "pos", "sentence").orderBy("page_id", "pos")
 
 
 # retrieval

@@ -57,18 +57,22 @@ def _automaton(shared, fold: bool):
     return _made["automaton"]
 
 
-def _bounded(text: str, start: int, end: int) -> bool:
+def _is_ascii_word(c: str) -> bool:
+    return c.isascii() and (c.isalnum() or c == "_")
+
+
+def _bounded(text: str, start: int, end: int, is_word=_is_word) -> bool:
     """Whether a word begins or ends at both edges."""
-    before = start > 0 and _is_word(text[start - 1])
-    after = end < len(text) and _is_word(text[end])
-    return before != _is_word(text[start]) and after != _is_word(text[end - 1])
+    before = start > 0 and is_word(text[start - 1])
+    after = end < len(text) and is_word(text[end])
+    return before != is_word(text[start]) and after != is_word(text[end - 1])
 
 
-def find_names(texts: DataFrame, names: DataFrame, column: str, whole_words: bool = True, fold: bool = True) -> DataFrame:
+def find_names(texts: DataFrame, names: DataFrame, column: str, whole_words: bool = True, fold: bool = True, ascii_words: bool = False) -> DataFrame:
     """The rows of ``texts`` with the ``key`` of each name in ``names(key, name)`` that ``column`` holds, one row a key.
 
     ``fold`` ignores letter case; ``whole_words`` asks for a word bound at both edges
-    of a name, as ``\\b`` does. Names are dealt to blocks of bounded bytes, whose automata
+    of a name, as ``\\b`` does; with ``ascii_words`` only ASCII letters, digits and the underscore make words. Names are dealt to blocks of bounded bytes, whose automata
     go over each text once. Null texts and empty or null names have no hits.
     """
     spark = texts.sparkSession
@@ -79,6 +83,7 @@ def find_names(texts: DataFrame, names: DataFrame, column: str, whole_words: boo
     total = names.agg(F.sum(F.octet_length("name") + F.octet_length("key"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES)
     kept = texts.schema
+    is_word = _is_ascii_word if ascii_words else _is_word
     at = kept.names.index(column)
     out = spark.createDataFrame([], kept).withColumn("key", F.lit(None).cast("string"))
     for k in range(blocks):
@@ -95,7 +100,7 @@ def find_names(texts: DataFrame, names: DataFrame, column: str, whole_words: boo
                         continue
                     found: set[str] = set()
                     for last, (n, own) in automaton.iter(text.translate(_fold) if fold else text):
-                        if not found.issuperset(own) and (not whole_words or _bounded(text, last - n + 1, last + 1)):
+                        if not found.issuperset(own) and (not whole_words or _bounded(text, last - n + 1, last + 1, is_word)):
                             found.update(own)
                     rows += [i] * len(found)
                     keys += sorted(found)

@@ -73,3 +73,15 @@ def test_entity_contexts_ignores_case(spark):
     low = pages.where("kind <> 'concepts'").crossJoin(entities.where("name <> ''")).where("contains(lower(content), lower(name))")
     want = {(r["name"], r["page_id"]) for r in low.collect()}
     assert {(r["name"], r["page_id"]) for r in analyze.entity_contexts(pages, entities).collect()} == want
+
+
+def test_word_bounds_of_ascii_or_of_any_letters(spark):
+    """An accented letter is no word bound, but for patterns with ASCII words, as names and as patterns."""
+    from quillspark.operators.analyze import lexicon_hits
+
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(["un avecé", "éavec", "avec", "avecs", "xavec", "à avec, là", "avec_"])], "id int, t string")
+    for pattern in (r"\bavec\b", r"\b(?:avec)\b"):
+        lexicon = spark.createDataFrame([("k", pattern)], "key string, pattern string")
+        hits = lambda **o: sorted(r["id"] for r in lexicon_hits(texts, lexicon, "t", **o).collect())  # noqa: E731, B023
+        assert hits() == [2, 5]
+        assert hits(ascii_words=True) == [0, 1, 2, 5]
