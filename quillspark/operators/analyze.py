@@ -187,18 +187,26 @@ def replication_chains(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
 def replication_candidates(sources: DataFrame, least: float = 0.4, top: int | None = 30, parity: bool = False) -> DataFrame:
     """(a, b, family, design, overlap): pairs of a family and design with alike populations that don't declare each other.
 
-    ``parity`` also takes two empty identifiers as a declaration.
+    The ``top`` best in order, or all of them in no order. ``parity`` also takes two empty identifiers as a declaration.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("population", F.lit(""))), F.lit(r"(?U)\w{4,}"), F.lit(0)))
     blank = lambda c: F.coalesce(F.lower(F.btrim(c)), F.lit(""))
     rows = sources.where(X.truthy(F.col("intervention_family")) & X.truthy(F.col("study_design"))).select("slug", F.col("intervention_family").alias("family"), F.col("study_design").alias("design"), words.alias("w"), blank("doi").alias("doi"), blank("replication_of").alias("of"))
-    pairs = overlap_pairs(rows, ["family", "design"], "slug", "w", least)
-    for s in "ab":
-        pairs = pairs.join(rows.select(F.col("slug").alias(s), F.col("doi").alias(f"doi_{s}"), F.col("of").alias(f"of_{s}")), s)
-    same = lambda p, q: (F.col(p) == F.col(q)) if parity else ((F.col(p) == F.col(q)) & (F.col(p) != ""))
-    out = pairs.where(~same("of_a", "doi_b") & ~same("of_b", "doi_a"))
-    out = out.select("a", "b", "family", "design", "overlap").orderBy(F.desc("overlap"), "family", "a", "b")
-    return out.limit(top) if top else out
+    # what the declarations are about goes with the id
+    rows = rows.select("family", "design", "w", F.struct("slug", "doi", "of").alias("id"))
+    groups = ["family", "design"]
+    said = lambda c: F.lit(True) if parity else c != ""
+    first = None
+    if top:
+        # an id leaves out at most so many others, so pairs with later ids of a class come after ``top`` better ones
+        count = lambda c: rows.where(said(F.col(f"id.{c}"))).groupBy(*groups, F.col(f"id.{c}").alias("k")).agg(F.count("*").alias(f"n_{c}"))
+        out = lambda c: F.coalesce(F.max(f"n_{c}"), F.lit(0))
+        first = top + 1 + sum(count("doi").join(count("of"), [*groups, "k"]).agg(out("doi"), out("of")).first())
+    pairs = overlap_pairs(rows, groups, "id", "w", least, first)
+    same = lambda p, q: (p == q) & said(p)
+    pairs = pairs.where(~same(F.col("a.of"), F.col("b.doi")) & ~same(F.col("b.of"), F.col("a.doi")))
+    pairs = pairs.select("a.slug", F.col("b.slug").alias("b"), "family", "design", "overlap").withColumnRenamed("slug", "a")
+    return pairs.orderBy(F.desc("overlap"), "family", "a", "b").limit(top) if top else pairs
 
 
 def single_study_concepts(concepts: DataFrame, sources: DataFrame, header: str = "Empirical Evidence") -> DataFrame:
