@@ -166,8 +166,12 @@ def effects_by_family(effect_rows: DataFrame, sources: DataFrame, shown: int = 1
     """Effects by outcome and family, largest families first, at most ``shown`` of each (a report's limit)."""
     family = F.coalesce(X.none_if_empty(F.col("intervention_family")), F.lit("none"))
     rows = effect_rows.join(sources.select("slug", family.alias("family")), "slug")
+    # a family is dealt to parts that are counted and cut by themselves; the first row of a part brings its count
+    part = F.pmod(F.xxhash64("slug"), F.lit(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    deal = Window.partitionBy("outcome", "family", "part")
+    rows = rows.withColumn("part", part).withColumns({"n": F.count("*").over(deal), "r": F.row_number().over(deal.orderBy("slug", "pos"))}).where(F.col("r") <= shown).drop("part")
     own = Window.partitionBy("outcome", "family")
-    rows = rows.withColumns({"n": F.count("*").over(own), "r": F.row_number().over(own.orderBy("slug", "pos"))})
+    rows = rows.withColumns({"n": F.sum(F.when(F.col("r") == 1, F.col("n"))).over(own), "r": F.row_number().over(own.orderBy("slug", "pos"))})
     return rows.where(F.col("r") <= shown).orderBy("outcome", F.desc("n"), "family", "r")
 
 

@@ -85,3 +85,17 @@ def test_word_bounds_of_ascii_or_of_any_letters(spark):
         hits = lambda **o: sorted(r["id"] for r in lexicon_hits(texts, lexicon, "t", **o).collect())  # noqa: E731, B023
         assert hits() == [2, 5]
         assert hits(ascii_words=True) == [0, 1, 2, 5]
+
+
+def test_families_are_dealt_before_they_are_counted(spark):
+    """The rows of one family are counted and cut in parts; the counts and the first rows are those of the whole."""
+    rows = [("score", f"s{k % 700:04}", k) for k in range(1000)]
+    found = spark.createDataFrame(rows, "outcome string, slug string, pos int")
+    sources = spark.createDataFrame([(f"s{k:04}", "f" if k % 10 else "") for k in range(700)], "slug string, intervention_family string")
+    out = analyze.effects_by_family(found, sources, 7)
+    for family, keep in (("f", lambda s: int(s[1:]) % 10), ("none", lambda s: not int(s[1:]) % 10)):
+        mine = sorted((s, p) for _, s, p in rows if keep(s))
+        got = [(r["slug"], r["pos"]) for r in out.where(F.col("family") == family).orderBy("r").collect()]
+        assert got == mine[:7] and {r["n"] for r in out.where(F.col("family") == family).collect()} == {len(mine)}
+    windows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+    assert "part#" in windows[-1]
