@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -364,15 +363,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField(item_col, item_type), *(T.StructField(c, T.LongType(), False) for c in ("n_words", "edits", "start", "end"))])
     found = None
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("text", "item").toPandas()
+        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("text", "item").toArrow()
         part = _search(docs.select(id_col, text_col), _shared_index(docs.sparkSession, part, edits, recall), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _shared_index(spark: SparkSession, part: pd.DataFrame, edits: float, recall: float) -> Broadcast:
+def _shared_index(spark: SparkSession, part: pa.Table, edits: float, recall: float) -> Broadcast:
     """The index of a block of items, broadcast; the driver keeps none of the memory that building took."""
-    shared = spark.sparkContext.broadcast(Index(part["item"].tolist(), part["text"].tolist(), edits, recall))
+    shared = spark.sparkContext.broadcast(Index(part["item"].to_pylist(), part["text"].to_pylist(), edits, recall))
     trim()
     return shared
 
@@ -403,7 +402,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     blocks = max(1, -(-total // BLOCK_BYTES))
     at, schema = docs.columns.index(text_col), docs.schema
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("text", "item").toPandas()
+        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("text", "item").toArrow()
         shared = _shared_index(docs.sparkSession, part, edits, recall)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,6 +38,8 @@ FAN = 1000
 BITMAP_BITS = 25
 #: Sets of a token that meet in one task are at most twice this many.
 BLOCK = 2000
+#: Words of pairs of sets that a task compares in one step: each of the about ten arrays of it takes up to 2 MB, however many sets meet.
+CELLS = 1 << 18
 #: Partners that a set keeps at a token in the second round.
 NEAREST = 3
 BASE = 0x5851F42D4C957F2D
@@ -139,18 +140,18 @@ def _scan(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, k0 long, k1 long, size long, chunk int, part int, cells binary")
 
 
-def _added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _added(key: tuple, rows: pa.Table) -> pa.Table:
     total = np.zeros(1 << CHUNK_BITS, np.int64)
     for c in rows["cells"]:
-        total += np.frombuffer(c, "<i8")
-    return pd.DataFrame({"chunk": [key[0]], "part": [key[1]], "cells": [total.tobytes()]})
+        total += np.frombuffer(c.as_buffer(), "<i8")
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
 
 
 def word_codes(scanned: DataFrame) -> np.ndarray:
     """Four times the base-2 logarithm of each cell's count, as bytes; sums go up a tree, ``FAN`` parts of 32 KB at a time, whatever the number of tasks."""
     total = scanned.where("chunk is not null").select("chunk", "part", "cells")
     for step in (FAN, FAN, 1 << 31):
-        total = total.withColumn("part", F.floor(F.col("part") / step).cast("int")).groupBy("chunk", "part").applyInPandas(_added, "chunk int, part int, cells binary")
+        total = total.withColumn("part", F.floor(F.col("part") / step).cast("int")).groupBy("chunk", "part").applyInArrow(_added, "chunk int, part int, cells binary")
     total = total.toArrow()
     cells = np.zeros((1 << (CELL_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.int64)
     for k, c in zip(total["chunk"].to_pylist(), total["cells"].to_pylist(), strict=True):
@@ -388,7 +389,7 @@ def _close_pairs(postings: DataFrame, own: DataFrame, prefixes: DataFrame, perce
                     continue  # sizes that far apart fail the size filter
                 folded = lambda i, w=w: np.stack([np.bitwise_xor.reduce(raw[k].reshape(-1, w), axis=0) for k in i])
                 fa, fb = folded(ia).view(np.uint64 if w % 8 == 0 else np.uint8), folded(ib).view(np.uint64 if w % 8 == 0 else np.uint8)
-                step = max(1, 4_000_000 // max(1, fb.size))
+                step = max(1, CELLS // max(1, fb.size))
                 for at in range(0, len(ia), step):
                     own_, bits_ = ia[at : at + step], fa[at : at + step]
                     total = size[own_][:, None] + size[ib][None, :]
