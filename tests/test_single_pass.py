@@ -29,3 +29,9 @@ def test_heading_is_worked_out_once(spark):
 
 def test_thesis_rows_are_dealt(spark):
     assert QUERIES["thesis_chapters"](spark, SF).rdd.getNumPartitions() > 1
+
+
+def test_graph_files_are_packed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(file_queries, "_folder", lambda s: str(tmp_path / "graphs"))
+    assert QUERIES["graph_snapshot_edges"](spark, "/root/testdata/sf0.01").count() == 1500
+    assert len(list(Path(tmp_path, "graphs").rglob("*.txt"))) == 1
