@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.python import match_offsets
-from .names import find_names, literal_names
+from .names import find_keys, find_names, literal_names
 from .overlap import overlap_pairs
 
 
@@ -42,6 +42,17 @@ def lexicon_hits(texts: DataFrame, lexicon: DataFrame, column: str, ascii_words:
     return hits.union(tried.select(*texts.columns, "key"))
 
 
+def lexicon_keys(texts: DataFrame, lexicon: DataFrame, column: str) -> DataFrame:
+    """All rows of ``texts`` with the ``keys`` that ``lexicon_hits`` finds in each: no row is lost, repeated or shuffled."""
+    split = lexicon.select(F.col("key").cast("string").alias("key"), "pattern", literal_names(F.col("pattern")).alias("names"))
+    out = find_keys(texts, split.select("key", F.explode("names").alias("name")), column)
+    raw = split.where("names is null and pattern is not null").select("key", "pattern").limit(MOST_PATTERNS + 1).collect()
+    if len(raw) > MOST_PATTERNS:
+        raise ValueError(f"a lexicon has at most {MOST_PATTERNS} patterns that are no names")
+    tried = [F.when(F.rlike(column, F.lit(f"(?iU){r['pattern']}")), F.lit(r["key"])) for r in raw]
+    return out.withColumn("keys", F.array_union("keys", F.array_compact(F.array(*tried)))) if tried else out
+
+
 def matching(sources: DataFrame, domain: str | None = None, intervention: str | None = None, method: str | None = None) -> DataFrame:
     """Sources of a domain (case kept), an intervention family or entry, and a method (case ignored)."""
     out = sources
@@ -132,10 +143,11 @@ def metric_observations(sources: DataFrame, metrics: dict[str, list[str]], tract
     metric = F.coalesce(*(F.when(low == k, F.lit(v)) for k, v in names.items()), F.upper(low))
     rows = found.select("slug", F.col("m.start").alias("pos"), metric.alias("metric"), F.col("m.groups")[1].cast("double").alias("value"), F.col("m.groups")[2].try_cast("double").alias("sd"), F.substring("body", F.greatest(F.col("m.start") - window, F.lit(0)) + 1, F.least(F.col("m.start"), F.lit(window)) + window).alias("near"))
     rows = rows.where("metric <> 'FA' or value between 0 and 1")
-    named = lexicon_hits(rows.select("slug", "pos", "near"), tracts.select(F.col("ord").alias("key"), "pattern"), "near")
-    named = named.join(tracts.select(F.col("ord").cast("string").alias("key"), "ord", "label"), "key")
-    first = named.groupBy("slug", "pos").agg(F.min_by("label", "ord").alias("tract"))
-    return rows.join(first, ["slug", "pos"], "left").select("slug", "pos", "tract", "metric", "value", "sd")
+    # keys go with their row, so that text is searched once and nothing is shuffled
+    entry = "struct<ord: int, label: string>"
+    named = lexicon_keys(rows, tracts.where("ord is not null").select(F.to_json(F.struct(F.col("ord").cast("int").alias("ord"), "label")).alias("key"), "pattern"), "near")
+    first = F.array_min(F.transform("keys", lambda k: F.from_json(k, entry)))
+    return named.select("slug", "pos", first["label"].alias("tract"), "metric", "value", "sd")
 
 
 def metric_summary(observations: DataFrame) -> DataFrame:
@@ -157,9 +169,17 @@ def outcome_mentions(sources: DataFrame, outcome: str, pattern: str, body: str =
 
 def effects(mentions: DataFrame) -> DataFrame:
     """Mentions with (delta, effect_size, p) where any is given."""
+    return effect_values(mentions).where(SAYS_EFFECT)
+
+
+#: Whether any value of ``effect_values`` is given.
+SAYS_EFFECT = "delta is not null or effect_size is not null or p is not null"
+
+
+def effect_values(mentions: DataFrame) -> DataFrame:
+    """All mentions with (delta, effect_size, p), null where not given."""
     s = F.col("sentence")
-    out = mentions.withColumns({"delta": X.effect_delta(s), "effect_size": X.effect_size(s), "p": X.p_value(s)})
-    return out.where("delta is not null or effect_size is not null or p is not null")
+    return mentions.withColumns({"delta": X.effect_delta(s), "effect_size": X.effect_size(s), "p": X.p_value(s)})
 
 
 def effects_by_family(effect_rows: DataFrame, sources: DataFrame, shown: int = 10) -> DataFrame:

@@ -6,7 +6,8 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -68,6 +69,41 @@ def _bounded(text: str, start: int, end: int, is_word=_is_word) -> bool:
     return before != is_word(text[start]) and after != is_word(text[end - 1])
 
 
+def _keys_of(automaton, text: str | None, whole_words: bool, fold: bool, is_word) -> set[str]:
+    """The keys of the names that a text holds."""
+    found: set[str] = set()
+    for last, (n, own) in automaton.iter(text.translate(_fold) if fold else text) if text else ():
+        if not found.issuperset(own) and (not whole_words or _bounded(text, last - n + 1, last + 1, is_word)):
+            found.update(own)
+    return found
+
+
+def _blocks(spark: SparkSession, names: DataFrame) -> list[Broadcast]:
+    """Broadcast lists of (key, name), each of about ``BLOCK_BYTES``, however many names there are."""
+    ship(spark)
+    names = names.where("name <> ''").select(F.col("key").cast("string").alias("key"), "name").distinct()
+    total = names.agg(F.sum(F.octet_length("name") + F.octet_length("key"))).first()[0] or 0
+    blocks = -(-total // BLOCK_BYTES)
+    share = lambda k: names.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k) if blocks > 1 else names
+    return [spark.sparkContext.broadcast([(r["key"], r["name"]) for r in share(k).collect()]) for k in range(blocks)]
+
+
+def find_keys(texts: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """All rows of ``texts`` with ``keys``, those of the names between word bounds that ``column`` holds, letter case ignored; a pass over the texts for each block of names, no shuffle."""
+    out = texts.withColumn("keys", F.array().cast("array<string>"))
+    at, kept = texts.columns.index(column), [*texts.columns, "keys"]
+    for shared in _blocks(texts.sparkSession, names):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(shared, True)
+            for batch in batches:
+                keys = [sorted({*known, *_keys_of(automaton, text, True, True, _is_word)}) for known, text in zip(batch.column(len(kept) - 1).to_pylist(), batch.column(at).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.list_(pa.string()))], names=kept)
+
+        out = out.mapInArrow(run, out.schema)
+    return out
+
+
 def find_names(texts: DataFrame, names: DataFrame, column: str, whole_words: bool = True, fold: bool = True, ascii_words: bool = False) -> DataFrame:
     """The rows of ``texts`` with the ``key`` of each name in ``names(key, name)`` that ``column`` holds, one row a key.
 
@@ -76,32 +112,22 @@ def find_names(texts: DataFrame, names: DataFrame, column: str, whole_words: boo
     go over each text once. Null texts and empty or null names have no hits.
     """
     spark = texts.sparkSession
-    ship(spark)
     if "key" in texts.columns:
         raise ValueError("texts have a column key of their own")
-    names = names.where("name <> ''").select(F.col("key").cast("string").alias("key"), "name").distinct()
-    total = names.agg(F.sum(F.octet_length("name") + F.octet_length("key"))).first()[0] or 0
-    blocks = -(-total // BLOCK_BYTES)
+    shares = _blocks(spark, names)
+    blocks = len(shares)
     kept = texts.schema
     is_word = _is_ascii_word if ascii_words else _is_word
     at = kept.names.index(column)
     out = spark.createDataFrame([], kept).withColumn("key", F.lit(None).cast("string"))
-    for k in range(blocks):
-        # a block has about BLOCK_BYTES, however many names there are
-        block = names.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k).collect() if blocks > 1 else names.collect()
-        shared = spark.sparkContext.broadcast([(r["key"], r["name"]) for r in block])
+    for shared in shares:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(shared, fold)
             for batch in batches:
                 rows, keys = [], []
                 for i, text in enumerate(batch.column(at).to_pylist()):
-                    if not text:
-                        continue
-                    found: set[str] = set()
-                    for last, (n, own) in automaton.iter(text.translate(_fold) if fold else text):
-                        if not found.issuperset(own) and (not whole_words or _bounded(text, last - n + 1, last + 1, is_word)):
-                            found.update(own)
+                    found = _keys_of(automaton, text, whole_words, fold, is_word)
                     rows += [i] * len(found)
                     keys += sorted(found)
                 part = batch.take(pa.array(rows, pa.int64()))

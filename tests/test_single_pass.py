@@ -31,6 +31,18 @@ def test_thesis_rows_are_dealt(spark):
     assert QUERIES["thesis_chapters"](spark, SF).rdd.getNumPartitions() > 1
 
 
+def test_tracts_need_no_shuffle(spark):
+    tracts = spark.createDataFrame([(1, "Arcuate", r"\barcuate\b"), (0, "Any", r"fascic\w+"), (2, "Late", r"\bfasciculus\b")], "ord int, label string, pattern string")
+    rows = spark.createDataFrame([("a", "the arcuate fasciculus FA = 0.4"), ("b", "Arcuate: FA = 0.5"), ("b", "nothing: FA 0.3"), ("c", None)], "slug string, body string")
+    found = analyze.metric_observations(rows, {"FA": []}, tracts)
+    assert sorted(((r["slug"], r["tract"] or "", r["value"]) for r in found.collect())) == [("a", "Any", 0.4), ("b", "", 0.3), ("b", "Arcuate", 0.5)]
+    assert "Exchange" not in plan(found)
+
+
+def test_effects_are_counted_in_one_pass(spark):
+    assert plan(QUERIES["effects_by_outcome"](spark, SF)).count("EvalPython") == 1
+
+
 def test_graph_files_are_packed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(file_queries, "_folder", lambda s: str(tmp_path / "graphs"))
     assert QUERIES["graph_snapshot_edges"](spark, "/root/testdata/sf0.01").count() == 1500
