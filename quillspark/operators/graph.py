@@ -187,6 +187,11 @@ def community_summary(communities: DataFrame, degree: DataFrame, top: int = 5) -
     return rows.groupBy("community").agg(F.count("*").alias("size"), F.transform(F.sort_array(best), lambda x: x.id).alias("members"))
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that never broadcasts: a table that is sent through the driver in each of a hundred rounds adds up there."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def louvain(node_ids: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, community): modularity communities of an undirected graph; isolated nodes are their own.
 
@@ -230,16 +235,16 @@ def louvain(node_ids: DataFrame, edges: DataFrame) -> DataFrame:
         if not moved:
             return connected_parts(both.select("a", "b"), member)
         names = label.groupBy("c").agg(F.min("a").alias("n"))
-        label = _cut_lineage(label.join(names, "c").select("a", F.col("n").alias("c")))
-        member = _cut_lineage(member.join(label.select(F.col("a").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community")))
+        label = _cut_lineage(_joined(label, names, "c").select("a", F.col("n").alias("c")))
+        member = _cut_lineage(_joined(member, label.select(F.col("a").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community")))
         left, right = label.select("a", F.col("c").alias("ca")), label.select(F.col("a").alias("b"), F.col("c").alias("cb"))
-        graph = _cut_lineage(graph.join(left, "a").join(right, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+        graph = _cut_lineage(_joined(_joined(graph, left, "a"), right, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
 
 
 def _worth(graph: DataFrame, label: DataFrame, total: int) -> int:
     """Modularity of labels times the square of ``total``, a whole number."""
     left, right = label.select("a", F.col("c").alias("ca")), label.select(F.col("a").alias("b"), F.col("c").alias("cb"))
-    inside = graph.join(left, "a").join(right, "b").where("ca = cb").agg(F.sum("w").alias("n")).first()["n"] or 0
+    inside = _joined(_joined(graph, left, "a"), right, "b").where("ca = cb").agg(F.sum("w").alias("n")).first()["n"] or 0
     squares = label.groupBy("c").agg(F.sum("k").cast("decimal(19,0)").alias("kc")).agg(F.sum(F.col("kc") * F.col("kc")).alias("n")).first()["n"]
     return total * inside - int(squares)
 
@@ -247,10 +252,10 @@ def _worth(graph: DataFrame, label: DataFrame, total: int) -> int:
 def _moves(graph: DataFrame, label: DataFrame, total: int) -> DataFrame:
     """(a, c, to, gain): of each node that gains by leaving its community, the best move."""
     sums = label.groupBy("c").agg(F.sum("k").alias("kc"))
-    near = graph.where("a <> b").join(label.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a", F.col("cb").alias("c")).agg(F.sum("w").alias("kin"))
-    own = label.join(sums, "c").select("a", "k", F.col("c").alias("now"), F.col("kc").alias("know"))
+    near = _joined(graph.where("a <> b"), label.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a", F.col("cb").alias("c")).agg(F.sum("w").alias("kin"))
+    own = _joined(label, sums, "c").select("a", "k", F.col("c").alias("now"), F.col("kc").alias("know"))
     wide = lambda c: c.cast("decimal(19,0)")
-    options = near.join(own, "a").join(sums, "c")
+    options = _joined(_joined(near, own, "a"), sums, "c")
     here = F.col("c") == F.col("now")
     rest = F.col("kc") - F.when(here, F.col("k")).otherwise(0)
     options = options.withColumn("gain", wide(F.col("kin")) * wide(F.lit(total)) - wide(F.col("k")) * wide(rest))
@@ -270,11 +275,11 @@ def _apart(moves: DataFrame) -> DataFrame:
     order = F.struct("gain", "a")
     best = moves.select("gain", "a", F.explode(F.array("c", "to")).alias("end")).groupBy("end").agg(F.max(order).alias("top"))
     top = best.select(F.col("top.a").alias("a")).groupBy("a").agg(F.count("*").alias("n")).where("n = 2")
-    return _cut_lineage(moves.join(top.select("a"), "a", "left_semi"))
+    return _cut_lineage(_joined(moves, top.select("a"), "a", "left_semi"))
 
 
 def _moved(label: DataFrame, moves: DataFrame) -> DataFrame:
-    return label.join(moves.select("a", "to"), "a", "left").select("a", "k", F.coalesce("to", "c").alias("c"))
+    return _joined(label, moves.select("a", "to"), "a", "left").select("a", "k", F.coalesce("to", "c").alias("c"))
 
 
 def connected_parts(edges: DataFrame, communities: DataFrame) -> DataFrame:
@@ -283,15 +288,15 @@ def connected_parts(edges: DataFrame, communities: DataFrame) -> DataFrame:
     Each round takes the smallest label around a node and then that label's own, until none changes.
     """
     near, far = (communities.select(F.col("id").alias(x), F.col("community").alias(f"c{x}")) for x in "ab")
-    inside = edges.join(near, "a").join(far, "b").where("ca = cb").select("a", "b")
+    inside = _joined(_joined(edges, near, "a"), far, "b").where("ca = cb").select("a", "b")
     inside = _cut_lineage(inside.union(inside.select("b", "a")).distinct())
     label = communities.select("id", F.col("id").alias("community"))
     while True:
-        around = inside.join(label.select(F.col("id").alias("b"), "community"), "b").groupBy("a").agg(F.min("community").alias("least"))
-        step = label.join(around, label["id"] == around["a"], "left").select("id", F.col("community").alias("old"), F.least("community", "least").alias("to"))
+        around = _joined(inside, label.select(F.col("id").alias("b"), "community"), "b").groupBy("a").agg(F.min("community").alias("least"))
+        step = _joined(label, around.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("community").alias("old"), F.least("community", "least").alias("to"))
         step = _cut_lineage(step)
         ahead = step.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        fresh = _cut_lineage(step.join(ahead, "to").select("id", "old", F.col("next").alias("community")))
+        fresh = _cut_lineage(_joined(step, ahead, "to").select("id", "old", F.col("next").alias("community")))
         if fresh.where("community <> old").isEmpty():
             return fresh.select("id", "community")
         label = fresh.select("id", "community")
