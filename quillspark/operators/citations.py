@@ -79,9 +79,9 @@ def bibtex_entries(sources: DataFrame) -> DataFrame:
 
 
 def bibtex_master(sources: DataFrame) -> DataFrame:
-    """(ord, chunk): group headers and their entries in file order; entries by year, those without one last."""
+    """(ord, chunk): group headers and their entries in file order; entries by year, those without one last, and of one slug by themselves, so that the order is always the same."""
     rows = bibtex_entries(sources)
-    own = Window.partitionBy("category", "label").orderBy(F.coalesce("year", F.lit(9999)), "slug")
+    own = Window.partitionBy("category", "label").orderBy(F.coalesce("year", F.lit(9999)), "slug", "entry")
     rows = rows.withColumn("k", F.row_number().over(own))
     rule = "% " + "=" * 60
     head = F.concat(F.lit(f"{rule}\n% "), F.upper("category"), F.lit(": "), F.col("label"), F.lit(f"\n{rule}\n\n"))
