@@ -1,6 +1,7 @@
 """Overlap pairs against all pairs, and how many meet."""
 
 import random
+import re
 
 import pytest
 
@@ -80,3 +81,14 @@ def test_best_replications_equal_all_pairs(spark, parity):
     got = [(r["a"], r["b"], r["family"]) for r in replication_candidates(df, top=25, parity=parity).collect()]
     assert got == want[:25]
     assert sorted((r["a"], r["b"], r["family"]) for r in replication_candidates(df, top=None, parity=parity).collect()) == sorted(want)
+
+
+def test_pairs_of_two_blocks_are_not_made_in_one_loop(spark):
+    """The two steps that make rows of arrays are in generated code of their own, so a row of the first is done before the next one's pairs are made."""
+    from quillspark.operators import relations
+
+    df = relations.pairs_within(spark.range(60).selectExpr("id % 2 as g", "id as v"), "g", "v")
+    assert len(df.collect()) == 2 * 30 * 29 // 2
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    stages = dict(reversed(m) for m in re.findall(r"\*\((\d+)\) Generate explode\(ids_([ab])", plan))
+    assert len(stages) == 2 and stages["a"] != stages["b"]
